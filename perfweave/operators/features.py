@@ -78,34 +78,41 @@ def _eff_len(df: DataFrame) -> Column:
     return F.coalesce(*parts) if parts else F.lit(None).cast("double")
 
 
-def global_stats(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> Stats:
-    """One aggregate over the enriched trials; returns its single row.
+def stats_frame(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> DataFrame:
+    """ONE aggregate over the enriched trials (a single-row DataFrame).
 
-    ``exact=True`` uses ``percentile`` (buffer = value->count map, so memory
-    grows with the number of distinct values, which is small for hardware
-    columns); ``exact=False`` uses the bounded ``percentile_approx`` sketch.
+    ``exact=True`` uses ``percentile`` (its buffer is a value->count map, so
+    memory grows with the number of distinct values, which is small for
+    hardware columns); ``exact=False`` uses the bounded ``percentile_approx``
+    sketch for high-cardinality inputs.
     """
     def med(c: Column) -> Column:
         return F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, 10000).cast("double")
 
+    null = F.lit(None).cast("double")
     aggs = []
-    cats = [c for c in fam.categorical if c in df.columns]
-    for c in cats:
+    for c in (c for c in fam.categorical if c in df.columns):
         aggs += [F.sort_array(F.collect_set(as_category(c))).alias(f"cats__{c}"),
                  F.count(c).alias(f"n__{c}")]
     name = "gpu_name" if "gpu_name" in df.columns else None
     aggs.append(F.sort_array(F.collect_set(hw.arch_family(name))).alias("arch")
-                if name else F.array().alias("arch"))
+                if name else F.array().cast("array<string>").alias("arch"))
     sm = _sm_col(df, fam)
-    aggs.append(med(dbl("bw_gbs")).alias("med_bw") if "bw_gbs" in df.columns else F.lit(None).alias("med_bw"))
-    aggs.append(med(sm).alias("med_sm") if sm is not None else F.lit(None).alias("med_sm"))
-    aggs.append(F.count("total_vram_bytes").alias("n_vram") if "total_vram_bytes" in df.columns
-                else F.lit(0).alias("n_vram"))
+    aggs.append(med(dbl("bw_gbs")).alias("med_bw") if "bw_gbs" in df.columns else null.alias("med_bw"))
+    aggs.append(med(sm).alias("med_sm") if sm is not None else null.alias("med_sm"))
+    aggs.append((F.count("total_vram_bytes") if "total_vram_bytes" in df.columns
+                 else F.lit(0).cast("bigint")).alias("n_vram"))
     roof = _raw_roof(df, fam)
     aggs += [med(roof).alias("med_roof"), F.count(roof).alias("n_roof")]
     if fam.flops_prefix == "F_TR":
         aggs.append(med(_eff_len(df)).alias("med_eff"))
-    r = df.agg(*aggs).collect()[0].asDict()
+    return df.agg(*aggs)
+
+
+def global_stats(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> Stats:
+    """Read the single stats row on the driver (categories, medians, counts)."""
+    r = stats_frame(df, fam, exact).collect()[0].asDict()
+    cats = [c for c in fam.categorical if c in df.columns]
     categories = {c: list(r[f"cats__{c}"]) for c in cats if r[f"n__{c}"] > 0}
     return Stats(categories=categories, arch_families=list(r["arch"]),
                  median_bw=r["med_bw"], median_sm=r["med_sm"], median_roof=r["med_roof"],

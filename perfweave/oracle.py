@@ -12,6 +12,11 @@ RAW_TRIALS = fx.duckdb_view(fx.RAW_TRIALS_SQL)
 GPU_SPEC = fx.gpu_spec_sql()
 
 
+def r6(x: str) -> str:
+    """Same comparison rounding as the Spark side: |x| < 1e4 to 6 places."""
+    return f"CASE WHEN abs({x}) < 1e4 THEN round({x}, 6) ELSE {x} END"
+
+
 def _trials_cte() -> str:
     """raw trials + generator-derived columns (X20-X23), SQL side."""
     return f"""
@@ -81,16 +86,291 @@ r AS (
     count(*) AS n_samples, sqrt(avg((y - pf) * (y - pf))) AS RMSE_full_ms,
     sqrt(avg((y - pb) * (y - pb))) AS RMSE_base_ms
   FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 2)
-SELECT model, vcpu, storage, n_samples, round(RMSE_full_ms, 6) AS RMSE_full_ms,
-  round(RMSE_base_ms, 6) AS RMSE_base_ms,
-  round(CASE WHEN RMSE_base_ms > 0 THEN 100.0 * (RMSE_base_ms - RMSE_full_ms) / RMSE_base_ms END, 6)
+SELECT model, vcpu, storage, n_samples, {r6('RMSE_full_ms')} AS RMSE_full_ms,
+  {r6('RMSE_base_ms')} AS RMSE_base_ms,
+  {r6('CASE WHEN RMSE_base_ms > 0 THEN 100.0 * (RMSE_base_ms - RMSE_full_ms) / RMSE_base_ms END')}
     AS Improvement_pct
 FROM r ORDER BY model, vcpu, storage
 """
 
 
+
+KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+
+
+
+
+def _canon(c: str) -> str:
+    return f"CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {c} END"
+
+
+def _gmax(lo: str, c: str) -> str:
+    """max(lo, c) keeping a missing c missing."""
+    return f"(CASE WHEN {c} IS NOT NULL THEN greatest({lo}, {c}) END)"
+
+
+def _contains_any(expr: str, keys) -> str:
+    return "(" + " OR ".join(f"contains({expr}, '{k}')" for k in keys) + ")"
+
+
+def _arch_case(name: str) -> str:
+    u = f"upper(coalesce({name}, 'nan'))"
+    return f"""CASE
+      WHEN {_contains_any(u, ('H100', 'H200'))} THEN 'Hopper'
+      WHEN {_contains_any(u, ('L40S', 'L40', 'L4', 'RTX 4000', ' ADA'))}
+           OR regexp_matches({u}, 'RTX\\s*5\\d{{3}}') THEN 'Ada'
+      WHEN {_contains_any(u, ('A100', 'A40', 'A10'))} THEN 'Ampere'
+      WHEN {_contains_any(u, ('V100', 'T4'))} THEN 'Turing'
+      WHEN {_contains_any(u, ('P100', 'P4'))} THEN 'Pascal'
+      ELSE 'Unknown' END"""
+
+
+def _enriched_cte() -> str:
+    return f"""{_trials_cte()},
+spec AS ({GPU_SPEC}),
+e AS (
+  SELECT t.*, s.FP16, s.FP32, s.FP64, s.mem_gb, s.bw_gbs, s.SM, s.total_vram_bytes,
+         s.mem_type, s.bus, s.gpu_arch
+  FROM trials t LEFT JOIN spec s ON t.gpu_name = s.gpu_name
+  WHERE t.avg_batch_time_ms IS NOT NULL AND t.T_gpu_ms IS NOT NULL)"""
+
+
+def _features_cte() -> str:
+    """Enriched trials -> the whole CNN feature prefix."""
+    B = "CAST(batch_size AS DOUBLE)"
+    ampi = "CAST(coalesce(lower(CAST(amp AS VARCHAR)) IN ('true', '1', 'yes'), false) AS INTEGER)"
+    lname = "lower(coalesce(gpu_name, 'nan'))"
+    act = "CAST(act_bytes_per_sample_proxy AS DOUBLE)"
+    roof_raw = f"""CASE WHEN tc IS NOT NULL AND tm IS NOT NULL THEN greatest(tc, tm) END"""
+    tc = (f"flops_train_per_batch / greatest(1e-9, CASE WHEN {ampi} = 1 AND FP16 IS NOT NULL "
+          f"THEN FP16 ELSE coalesce(FP32, 0.0) END) * 1000.0")
+    tm = f"{act} * {B} / greatest(1.0, coalesce(bw_gbs * 1073741824.0, 0.0)) * 1000.0"
+    onehots = []
+    for col, cats in (("mem_type", ("GDDR7", "HBM2", "HBM2e", "nan")), ("bus", ("SXM2", "nan")),
+                      ("gpu_arch", ("Ampere", "Blackwell", "Hopper", "Turing", "Volta", "nan")),
+                      ("storage", ("SSD",))):
+        for v in cats:
+            onehots.append(f"CAST(coalesce({col}, 'nan') = '{v}' AS INTEGER) AS {col}_{v}")
+    for v in ("Ampere", "Hopper", "Turing", "Unknown"):
+        onehots.append(f"CAST(arch_family = '{v}' AS INTEGER) AS arch_{v}")
+    tensor = ("a100", "a40", "a10", "l40", "l4", "h100", "rtx 50", "rtx 5090", "v100", "t4")
+    dc = ("a100", "h100", "v100", "a40", "l40", "l4", "a10", "t4", "p100", "p4")
+    return f"""{_enriched_cte()},
+r0 AS (SELECT e.*, {_arch_case('gpu_name')} AS arch_family, {ampi} AS amp_i,
+         {tc} AS tc, {tm} AS tm FROM e),
+r1 AS (SELECT r0.*, {roof_raw} AS roof_raw FROM r0),
+st AS (SELECT median(bw_gbs) AS med_bw, median(SM) AS med_sm, median(roof_raw) AS med_roof,
+              count(total_vram_bytes) AS n_vram FROM r1),
+f1 AS (
+  SELECT r1.*,
+    flops_train_per_batch / {_gmax('1e-9', 'bw_gbs')} AS flops_to_bw_ratio,
+    flops_train_per_batch / {_gmax('1e-9', 'FP32')} AS flops_to_FP32_ratio,
+    flops_train_per_batch / {_gmax('1e-9', 'FP16')} AS flops_to_FP16_ratio,
+    flops_train_per_batch / {_gmax('1e-9', 'FP64')} AS flops_to_FP64_ratio,
+    bw_gbs / {_gmax('1e-9', 'mem_gb')} AS bw_per_gb,
+    arithmetic_intensity_train / {_gmax('1e-9', 'FP32')} AS ai_over_fp32,
+    {", ".join(onehots)},
+    CAST({_contains_any(lname, tensor)} AS INTEGER) AS has_tensor_cores,
+    CAST(coalesce(regexp_matches(gpu_name, '(?i)PCIE|PCIe|PCI-E'), false) AS INTEGER) AS is_pcie,
+    CAST(coalesce(regexp_matches(gpu_name, '(?i)SXM'), false) AS INTEGER) AS is_sxm,
+    CAST({_contains_any(lname, dc)} AS INTEGER) AS is_datacenter,
+    CAST(coalesce(regexp_matches(mem_type, '(?i)HBM'), false) AS INTEGER) AS has_HBM,
+    FP16 / {_gmax('1e-9', 'flops_train_per_batch')} AS FP16_per_trainflop,
+    FP32 / {_gmax('1e-9', 'flops_train_per_batch')} AS FP32_per_trainflop,
+    flops_train_per_sample AS F_CNN_sample, flops_train_per_batch AS F_CNN_batch,
+    ln(1 + flops_train_per_sample) AS log_F_CNN_sample, ln(1 + flops_train_per_batch) AS log_F_CNN_batch,
+    log2(greatest(1.0, {B})) AS log2_batch_size,
+    CAST({B} <= 32 AS INTEGER) AS batch_bin_small,
+    CAST({B} > 32 AND {B} <= 128 AS INTEGER) AS batch_bin_medium,
+    CAST({B} > 128 AS INTEGER) AS batch_bin_large,
+    {B} / greatest(1.0, nullif(SM, 0.0)) AS B_per_SM,
+    {B} / greatest(1.0, nullif(mem_gb, 0.0)) AS B_over_GB,
+    {B} * coalesce(bw_gbs, (SELECT med_bw FROM st), 0.0) AS B_times_BW,
+    {B} * coalesce(SM, (SELECT med_sm FROM st), 0.0) AS B_times_SM,
+    (CAST(total_state_bytes AS DOUBLE) + {act} * {B}) / {_gmax('1.0', 'total_vram_bytes')} AS mem_pressure,
+    amp_i AS amp_int,
+    coalesce(roof_raw, (SELECT med_roof FROM st)) AS roof_time_ms
+  FROM r1),
+f2 AS (
+  SELECT f1.*,
+    CASE WHEN mem_pressure IS NOT NULL THEN least(1.0, greatest(0.0, 1.0 - mem_pressure)) END AS mem_headroom,
+    CAST(coalesce(mem_pressure > 0.9, false) AS INTEGER) AS near_vram_limit,
+    amp_i * has_tensor_cores AS tc_util_proxy
+  FROM f1),
+feat AS (
+  SELECT f2.*,
+    {B} * tc_util_proxy AS B_times_tc, {B} * mem_headroom AS B_times_headroom,
+    {B} * arch_Ampere AS B_times_arch_Ampere, {B} * 0 AS B_times_arch_Ada,
+    {B} * arch_Hopper AS B_times_arch_Hopper
+  FROM f2)"""
+
+
+def _round_cols(cols, doubles) -> str:
+    return ", ".join(f"{r6(c)} AS {c}" if c in doubles else c for c in cols)
+
+
+FEATURE_DOUBLES = {
+    "flops_to_bw_ratio", "flops_to_FP32_ratio", "flops_to_FP16_ratio", "flops_to_FP64_ratio",
+    "bw_per_gb", "ai_over_fp32", "FP16_per_trainflop", "FP32_per_trainflop", "mem_pressure",
+    "mem_headroom", "log2_batch_size", "B_per_SM", "B_over_GB", "B_times_BW", "B_times_SM",
+    "B_times_tc", "B_times_headroom", "B_times_arch_Ampere", "B_times_arch_Ada",
+    "B_times_arch_Hopper", "roof_time_ms", "F_CNN_sample", "F_CNN_batch", "log_F_CNN_sample",
+    "log_F_CNN_batch"}
+
+
+def _feature_select(cols) -> str:
+    sel = []
+    for c in cols:
+        if c == "amp":
+            sel.append("amp_int AS amp")
+        elif c in FEATURE_DOUBLES:
+            sel.append(f"{r6(c)} AS {c}")
+        else:
+            sel.append(c)
+    return f"WITH {_features_cte()}\nSELECT {KEYS}, {', '.join(sel)} FROM feat"
+
+
+def _feature_group_sql(group: str):
+    from .plans.catalog import FEATURE_GROUPS
+    return lambda: _feature_select(FEATURE_GROUPS[group])
+
+
+def scan_trials_sql() -> str:
+    cols = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, gpu_name, model, dataset, architecture, "
+            "vcpu, storage, batch_size, prec_bits, optimizer, learning_rate, param_count, "
+            "flops_fwd_per_sample, act_bytes_per_sample_proxy, T_gpu_ms, T_cpu_io_ms, "
+            "avg_batch_time_ms, fold, amp, param_bytes, optimizer_state_bytes, master_param_bytes, "
+            "total_state_bytes, flops_train_per_sample, flops_train_per_batch, "
+            "arithmetic_intensity_train, T_step_ms, loader_ratio, bottleneck")
+    doubles = {"learning_rate", "flops_fwd_per_sample", "T_gpu_ms", "T_cpu_io_ms", "avg_batch_time_ms",
+               "flops_train_per_sample", "flops_train_per_batch", "arithmetic_intensity_train",
+               "T_step_ms", "loader_ratio"}
+    return f"WITH {_trials_cte()}\nSELECT {_round_cols([c.strip() for c in cols.split(',')], doubles)} FROM trials"
+
+
+def drop_missing_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, {r6('avg_batch_time_ms')} AS avg_batch_time_ms, {r6('T_gpu_ms')} AS T_gpu_ms
+FROM trials WHERE avg_batch_time_ms IS NOT NULL AND T_gpu_ms IS NOT NULL
+  AND NOT isnan(avg_batch_time_ms) AND NOT isnan(T_gpu_ms)"""
+
+
+def canon_missing_sql() -> str:
+    from .plans.catalog import CANON_SQL
+    raw = fx.duckdb_view(CANON_SQL)
+    return f"""WITH raw AS ({raw})
+SELECT {KEYS}, {r6(_canon('loader_wait_ms'))} AS loader_wait_ms,
+  {r6(_canon('compute_ms'))} AS compute_ms FROM raw"""
+
+
+def gpu_slug_sql() -> str:
+    s = "regexp_replace(url, '[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g')"
+    s = f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({s}, '\\s+', '_', 'g')"
+    return f"SELECT page_id, substring({s}, 1, 140) AS slug FROM pages"
+
+
+def trial_enrich_sql() -> str:
+    return f"""WITH {_trials_cte()}, spec AS ({GPU_SPEC})
+SELECT {KEYS}, t.gpu_name, batch_size, FP16, FP32, FP64, mem_gb, bw_gbs, SM, total_vram_bytes,
+  mem_type, bus, gpu_arch
+FROM trials t LEFT JOIN spec s ON t.gpu_name = s.gpu_name"""
+
+
+def union_trials_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, gpu_name, {r6('T_gpu_ms')} AS T_gpu_ms, {r6('T_cpu_io_ms')} AS T_cpu_io_ms,
+  CAST(NULL AS DOUBLE) AS avg_batch_time_ms FROM trials WHERE l_suppkey % 2 = 0
+UNION ALL
+SELECT {KEYS}, gpu_name, {r6('T_gpu_ms')}, CAST(NULL AS DOUBLE), {r6('avg_batch_time_ms')}
+FROM trials WHERE l_suppkey % 2 = 1"""
+
+
+def gpu_arch_sql() -> str:
+    return f"""WITH {_features_cte()}
+SELECT gpu_name, arch_family, count(*) AS n_trials FROM feat GROUP BY 1, 2"""
+
+
+def gpu_flags_sql() -> str:
+    return f"""WITH {_features_cte()}
+SELECT gpu_name, has_tensor_cores, is_pcie, is_sxm, is_datacenter, has_HBM, count(*) AS n_trials
+FROM feat GROUP BY ALL"""
+
+
+def median_fill_sql() -> str:
+    return f"""WITH {_features_cte()}
+SELECT {r6('med_bw')} AS med_bw, {r6('med_sm')} AS med_sm, {r6('med_roof')} AS med_roof,
+  n_vram FROM st"""
+
+
+# Candidate columns of the heavy-tail profile on the fixture (numeric
+# columns minus target, leaky and key columns), in schema order.
+SKEW_CANDIDATES = (
+    "vcpu", "batch_size", "prec_bits", "learning_rate", "param_count", "flops_fwd_per_sample",
+    "act_bytes_per_sample_proxy", "amp", "param_bytes", "optimizer_state_bytes",
+    "master_param_bytes", "total_state_bytes", "flops_train_per_sample", "flops_train_per_batch",
+    "arithmetic_intensity_train", "FP16", "FP32", "FP64", "mem_gb", "bw_gbs", "SM",
+    "total_vram_bytes", "flops_to_bw_ratio", "flops_to_FP32_ratio", "flops_to_FP16_ratio",
+    "flops_to_FP64_ratio", "bw_per_gb", "ai_over_fp32", "mem_type_GDDR7", "mem_type_HBM2",
+    "mem_type_HBM2e", "mem_type_nan", "bus_SXM2", "bus_nan", "gpu_arch_Ampere",
+    "gpu_arch_Blackwell", "gpu_arch_Hopper", "gpu_arch_Turing", "gpu_arch_Volta", "gpu_arch_nan",
+    "storage_SSD", "arch_Ampere", "arch_Hopper", "arch_Turing", "arch_Unknown",
+    "has_tensor_cores", "is_pcie", "is_sxm", "is_datacenter", "has_HBM", "FP16_per_trainflop",
+    "FP32_per_trainflop", "F_CNN_sample", "F_CNN_batch", "log_F_CNN_sample", "log_F_CNN_batch",
+    "log2_batch_size", "batch_bin_small", "batch_bin_medium", "batch_bin_large", "B_per_SM",
+    "B_over_GB", "B_times_BW", "B_times_SM", "mem_pressure", "roof_time_ms", "mem_headroom",
+    "near_vram_limit", "tc_util_proxy", "B_times_tc", "B_times_headroom", "B_times_arch_Ampere",
+    "B_times_arch_Ada", "B_times_arch_Hopper")
+
+
+def _prof_expr(c: str) -> str:
+    x = "CAST(amp_int AS DOUBLE)" if c == "amp" else f"CAST({c} AS DOUBLE)"
+    return f"""SELECT '{c}' AS column_name, count({x}) AS n, count(*) - count({x}) AS n_missing,
+  count(CASE WHEN {x} NOT IN (0.0, 1.0) THEN 1 END) AS n_non01,
+  coalesce(bool_or({x} < 0), false) AS has_negative,
+  CASE WHEN count({x}) >= 3 AND NOT isnan(skewness({x})) THEN skewness({x}) END AS skew FROM feat"""
+
+
+def skew_profile_sql() -> str:
+    parts = "\nUNION ALL\n".join(_prof_expr(c) for c in SKEW_CANDIDATES)
+    return f"""WITH {_features_cte()}, prof AS ({parts})
+SELECT column_name AS "column", n, n_missing, n_non01, has_negative, {r6('skew')} AS skew,
+  (NOT has_negative) AND NOT (n_non01 = 0 AND n_missing = 0) AND coalesce(skew > 1.0, false) AS take_log
+FROM prof"""
+
+
+# Heavy-tailed columns the profile selects on the fixture (checked by the
+# skew_profile oracle above).
+LOG1P_COLUMNS = (
+    "flops_train_per_batch", "FP16", "FP64", "flops_to_bw_ratio", "flops_to_FP32_ratio",
+    "flops_to_FP16_ratio", "flops_to_FP64_ratio", "bw_per_gb", "ai_over_fp32",
+    "FP16_per_trainflop", "FP32_per_trainflop", "F_CNN_batch", "B_per_SM", "B_over_GB",
+    "B_times_BW", "B_times_SM", "mem_pressure", "roof_time_ms", "B_times_tc",
+    "B_times_arch_Ampere", "B_times_arch_Hopper")
+
+
+def log1p_features_sql() -> str:
+    sel = ", ".join(f"{r6(f'ln(1 + CAST({c} AS DOUBLE))')} AS log1p__{c}" for c in LOG1P_COLUMNS)
+    return f"WITH {_features_cte()}\nSELECT {KEYS}{', ' + sel if sel else ''} FROM feat"
+
+
 ORACLES = {
     "kfold_report": kfold_report_sql,
+    "scan_trials": scan_trials_sql,
+    "drop_missing": drop_missing_sql,
+    "canon_missing": canon_missing_sql,
+    "gpu_slug": gpu_slug_sql,
+    "trial_enrich": trial_enrich_sql,
+    "union_trials": union_trials_sql,
+    "gpu_arch": gpu_arch_sql,
+    "gpu_flags": gpu_flags_sql,
+    "median_fill": median_fill_sql,
+    "skew_profile": skew_profile_sql,
+    "log1p_features": log1p_features_sql,
+    **{g: _feature_group_sql(g) for g in ("hw_ratios", "mem_pressure", "batch_features", "batch_hw",
+                                           "roofline", "tc_util", "flops_features", "one_hot")},
 }
 
 
