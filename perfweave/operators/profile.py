@@ -29,28 +29,28 @@ def bias_adjusted_skew(c) -> F.Column:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long table (column, n, n_missing, n_non01, has_negative, skew, take_log)
-    from ONE aggregate over all columns."""
+    """Long table (column, n, n_missing, n_non01, has_negative, skew, take_log).
+
+    The columns are unpivoted to (column, x) rows and profiled by ONE grouped
+    aggregate: a compact, codegen-friendly plan whose partial aggregation
+    keeps one small buffer per column and task (instead of one aggregate
+    expression per column and statistic, which does not compile well).
+    """
     if not columns:
         raise ValueError("no columns to profile")
-    aggs = []
-    for i, c in enumerate(columns):
-        x = dbl(c)
-        aggs += [F.count(x).alias(f"n{i}"),
-                 (F.count(F.lit(1)) - F.count(x)).alias(f"m{i}"),
-                 F.count_if(~x.isin(0.0, 1.0)).alias(f"o{i}"),
-                 F.coalesce(F.max(x < 0), F.lit(False)).alias(f"g{i}"),
-                 bias_adjusted_skew(c).alias(f"s{i}")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
-                              F.col(f"m{i}").alias("n_missing"), F.col(f"o{i}").alias("n_non01"),
-                              F.col(f"g{i}").alias("has_negative"),
-                              F.when(~F.isnan(F.col(f"s{i}")), F.col(f"s{i}")).alias("skew"))
-                     for i, c in enumerate(columns)])
-    long = wide.select(F.inline(rows))
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), dbl(c).alias("x")) for c in columns])))
+    x = F.col("x")
+    prof = long.groupBy("column").agg(
+        F.count(x).alias("n"),
+        (F.count(F.lit(1)) - F.count(x)).alias("n_missing"),
+        F.count_if(~x.isin(0.0, 1.0)).alias("n_non01"),
+        F.coalesce(F.max(x < 0), F.lit(False)).alias("has_negative"),
+        bias_adjusted_skew("x").alias("skew"))
+    prof = prof.withColumn("skew", F.when(~F.isnan("skew"), F.col("skew")))
     binary = (F.col("n_non01") == 0) & (F.col("n_missing") == 0)
     take = (~F.col("has_negative")) & (~binary) & F.coalesce(F.col("skew") > 1.0, F.lit(False))
-    return long.withColumn("take_log", take)
+    return prof.withColumn("take_log", take)
 
 
 def heavy_tail_columns(df: DataFrame, target: str, leaky=(), extra_drop=()) -> list[str]:

@@ -356,6 +356,219 @@ def log1p_features_sql() -> str:
     return f"WITH {_features_cte()}\nSELECT {KEYS}{', ' + sel if sel else ''} FROM feat"
 
 
+STEPS = fx.duckdb_view(fx.STEPS_SQL)
+LAYERS = fx.duckdb_view(fx.LAYERS_SQL)
+
+
+def _measured_cte() -> str:
+    return f"""steps AS ({STEPS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY ts, event_id) AS rn FROM steps),
+m AS (SELECT *, CASE WHEN NOT coalesce(oom, false) THEN loader_ms + compute_ms END AS total,
+             NOT coalesce(oom, false) AS ok
+      FROM ranked WHERE rn > 5 AND rn <= 25)"""
+
+
+def trial_timing_sql() -> str:
+    return f"""WITH {_measured_cte()},
+r AS (SELECT trial_id, count(total) AS n_steps, avg(total) AS avg_batch_time_ms,
+        quantile_cont(total, 0.9) AS p90_batch_time_ms,
+        avg(CASE WHEN ok THEN loader_ms END) AS avg_loader_ms,
+        avg(CASE WHEN ok THEN compute_ms END) AS avg_compute_ms
+      FROM m GROUP BY trial_id)
+SELECT trial_id, n_steps, {r6('avg_batch_time_ms')} AS avg_batch_time_ms,
+  {r6('p90_batch_time_ms')} AS p90_batch_time_ms, {r6('avg_loader_ms')} AS avg_loader_ms,
+  {r6('avg_compute_ms')} AS avg_compute_ms, {r6('avg_compute_ms')} AS T_gpu_ms,
+  {r6('avg_loader_ms')} AS T_cpu_io_ms,
+  {r6('CASE WHEN avg_compute_ms IS NULL THEN NULL WHEN avg_loader_ms IS NULL THEN avg_compute_ms ELSE greatest(avg_compute_ms, avg_loader_ms) END')} AS T_step_ms,
+  {r6('CASE WHEN avg_loader_ms + avg_compute_ms > 0 THEN avg_loader_ms / (avg_loader_ms + avg_compute_ms) END')} AS loader_ratio,
+  CASE WHEN avg_compute_ms > avg_loader_ms THEN 'gpu' ELSE 'host' END AS bottleneck
+FROM r"""
+
+
+def trial_throughput_sql() -> str:
+    return f"""WITH {_measured_cte()},
+r AS (SELECT trial_id, sum(compute_ms) / 1000.0 AS secs,
+        CAST(sum(CASE WHEN ok THEN n_examples ELSE 0 END) AS BIGINT) AS n_examples,
+        CAST(sum(CASE WHEN ok THEN n_tokens ELSE 0 END) AS BIGINT) AS n_tokens
+      FROM m GROUP BY trial_id)
+SELECT trial_id, n_examples, n_tokens,
+  {r6('CASE WHEN secs > 0 THEN n_examples / secs END')} AS examples_per_sec,
+  {r6('CASE WHEN secs > 0 AND n_tokens > 0 THEN n_tokens / secs END')} AS tokens_per_sec
+FROM r"""
+
+
+def layer_flops_sql() -> str:
+    fconv = ("2.0 * (CAST(c_in AS DOUBLE) / CAST(greatest(1, groups) AS DOUBLE)) * CAST(c_out AS DOUBLE)"
+             " * CAST(kh AS DOUBLE) * CAST(kw AS DOUBLE) * CAST(h_out AS DOUBLE) * CAST(w_out AS DOUBLE)")
+    dw = "(kind = 'conv' AND greatest(1, groups) = c_in AND c_out = c_in)"
+    grp = f"(kind = 'conv' AND NOT {dw} AND greatest(1, groups) > 1)"
+    plain = f"(kind = 'conv' AND NOT {dw} AND greatest(1, groups) <= 1)"
+    hwc = "CAST(h_out AS BIGINT) * w_out * c_out"
+    return f"""WITH layers AS ({LAYERS}),
+r AS (SELECT model,
+  sum(CASE WHEN kind = 'conv' THEN {fconv} WHEN kind = 'linear'
+      THEN 2.0 * CAST(in_features AS DOUBLE) * CAST(out_features AS DOUBLE) ELSE 0.0 END) AS tot,
+  sum(CASE WHEN {plain} AND kh = 1 AND kw = 1 THEN {fconv} ELSE 0.0 END) AS f1,
+  sum(CASE WHEN {plain} AND kh = 3 AND kw = 3 THEN {fconv} ELSE 0.0 END) AS f3,
+  sum(CASE WHEN {dw} THEN {fconv} ELSE 0.0 END) AS fd,
+  sum(CASE WHEN {dw} OR {grp} THEN {fconv} ELSE 0.0 END) AS fg,
+  CAST(coalesce(sum(CASE WHEN kind = 'conv' THEN {hwc} END), 0) AS BIGINT) AS sum_hwC,
+  CAST(coalesce(max(CASE WHEN kind = 'conv' THEN {hwc} END), 0) AS BIGINT) AS max_hwC,
+  count(CASE WHEN kind = 'bn' THEN 1 END) AS bn_layers,
+  count(CASE WHEN kind = 'act' THEN 1 END) AS act_layers,
+  CAST(sum(act_scalars) AS BIGINT) AS act_scalars, CAST(sum(n_params) AS BIGINT) AS param_count,
+  count(CASE WHEN kind IN ('conv', 'linear') THEN 1 END) AS depth
+FROM layers GROUP BY model)
+SELECT model, tot AS flops_fwd_per_sample,
+  {r6('f1 / CASE WHEN tot > 0 THEN tot ELSE 1.0 END')} AS flops_1x1_frac,
+  {r6('f3 / CASE WHEN tot > 0 THEN tot ELSE 1.0 END')} AS flops_3x3_frac,
+  {r6('fd / CASE WHEN tot > 0 THEN tot ELSE 1.0 END')} AS flops_depthwise_frac,
+  {r6('fg / CASE WHEN tot > 0 THEN tot ELSE 1.0 END')} AS flops_grouped_frac,
+  act_scalars, sum_hwC, max_hwC, bn_layers, act_layers, param_count, depth
+FROM r"""
+
+
+def _hosts_cte() -> str:
+    return f"""{_trials_cte()},
+hosts AS (SELECT gpu_name, storage, greatest(1, max(vcpu)) AS vcpu_cap FROM trials GROUP BY 1, 2),
+hw AS (SELECT DISTINCT gpu_name, storage, vcpu_cap, CAST(greatest(0, least(w, vcpu_cap)) AS BIGINT) AS vcpu
+       FROM hosts, unnest([4, 8, 16]) AS u(w))"""
+
+
+def _values(rows, cols, alias: str = "v") -> str:
+    body = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")"
+                     for r in rows)
+    return f"(VALUES {body}) AS {alias}({', '.join(cols)})"
+
+
+def grid_trials_sql() -> str:
+    from .operators import grid as g
+    allowed = [p for p in g.CNN_ALLOWED if p[0] in g.CNN_MODELS and p[1] in g.CNN_DATASETS]
+    return f"""WITH {_hosts_cte()}
+SELECT hw.gpu_name, hw.storage, hw.vcpu_cap, p.model, p.dataset, o.optimizer,
+  CAST(l.learning_rate AS DOUBLE) AS learning_rate, b.batch_size, pr.prec_bits, hw.vcpu,
+  'CNN' AS architecture
+FROM hw, {_values(allowed, ('model', 'dataset'), 'p')},
+  unnest(['SGD', 'AdamW']) AS o(optimizer), unnest([0.0005, 0.001, 0.002]::DOUBLE[]) AS l(learning_rate),
+  unnest([32, 64, 128, 256]::BIGINT[]) AS b(batch_size), unnest([16, 32]) AS pr(prec_bits)"""
+
+
+def flops_mlp_sql() -> str:
+    from .operators import grid as g
+    B = "CAST(batch_size AS DOUBLE)"
+    return f"""WITH {_hosts_cte()},
+base AS (
+  SELECT hw.gpu_name, hw.storage, hw.vcpu, p.model, p.dataset, e.embed_dim,
+    4 * e.embed_dim AS channel_mlp_dim, greatest(128, e.embed_dim // 2) AS token_mlp_dim,
+    CASE WHEN p.dataset = 'TinyImageNet' THEN (CASE WHEN p.model = 'mixer' THEN 10 ELSE 12 END)
+         ELSE (CASE WHEN p.model = 'mixer' THEN 8 ELSE 12 END) END AS depth,
+    CASE p.dataset WHEN 'CIFAR100' THEN 32 WHEN 'TinyImageNet' THEN 64 ELSE 96 END AS image_size,
+    CASE WHEN p.dataset = 'CIFAR100' AND p.model = 'asmlp' THEN 4 ELSE 8 END AS patch_size,
+    l.learning_rate, b.batch_size, o.optimizer, pr.prec_bits
+  FROM hw, {_values(g.MLP_ALLOWED, ('model', 'dataset'), 'p')}, unnest([128, 256]) AS e(embed_dim),
+    unnest([0.0005, 0.001, 0.002]::DOUBLE[]) AS l(learning_rate),
+    unnest([32, 128, 256]::BIGINT[]) AS b(batch_size), unnest(['AdamW', 'SGD']) AS o(optimizer),
+    unnest([16, 32]) AS pr(prec_bits)),
+q AS (SELECT *, pow(floor(CAST(image_size AS DOUBLE) / CAST(patch_size AS DOUBLE)), 2) AS P,
+        CAST(embed_dim AS DOUBLE) AS D FROM base),
+f AS (SELECT *,
+  P * (2.0 * (3.0 * CAST(patch_size AS DOUBLE) * CAST(patch_size AS DOUBLE)) * D)
+  + CAST(depth AS DOUBLE) * (CASE model
+      WHEN 'mixer' THEN 4.0 * D * P * CAST(token_mlp_dim AS DOUBLE) + 4.0 * P * D * CAST(channel_mlp_dim AS DOUBLE) + 4.0 * P * D
+      WHEN 'resmlp' THEN 2.0 * D * P * P + 4.0 * P * D * CAST(channel_mlp_dim AS DOUBLE) + 4.0 * P * D
+      ELSE P * (4.0 * D * D) + 4.0 * P * D * CAST(channel_mlp_dim AS DOUBLE) + 4.0 * P * D END) AS fwd
+  FROM q)
+SELECT gpu_name, storage, vcpu, model, dataset, embed_dim, learning_rate, batch_size, optimizer,
+  prec_bits, depth, patch_size, CAST(P AS BIGINT) AS num_patches, fwd AS flops_fwd_per_sample,
+  fwd * 3.0 * {B} AS flops_train_per_batch,
+  CAST(P AS BIGINT) * embed_dim * (CASE WHEN prec_bits = 16 THEN 2 ELSE 4 END) * depth
+    AS act_bytes_per_sample_proxy
+FROM f"""
+
+
+def flops_transformer_sql() -> str:
+    from .operators import grid as g
+    rows = []
+    for m, d, task, bs, lrs, opts, L in g.TRANSFORMER_SWEEPS:
+        dm, nh, ff, dep = g.TRANSFORMER_DIMS[m]
+        rows.append(f"('{m}', '{d}', '{task}', {L}, {dm}, {nh}, {ff}, {dep}, "
+                    f"{list(bs)}::BIGINT[], {list(lrs)}::DOUBLE[], {list(opts)})")
+    sweeps = ("(VALUES " + ", ".join(rows) + ") AS s(model, dataset, task, cfg_len, d_model, n_heads, "
+              "d_ff, depth, batches, lrs, opts)")
+    blk = ("4.0 * CAST(d_model AS DOUBLE) * CAST(d_model AS DOUBLE) + 2.0 * CAST(cfg_len AS DOUBLE) * "
+           "CAST(d_model AS DOUBLE) * greatest(1.0, floor(CAST(d_model AS DOUBLE) / CAST(n_heads AS DOUBLE)))"
+           " + 2.0 * CAST(d_model AS DOUBLE) * CAST(d_ff AS DOUBLE)")
+    return f"""WITH {_hosts_cte()},
+x AS (
+  SELECT hw.gpu_name, hw.storage, hw.vcpu, s.*, o.optimizer, l.learning_rate, b.batch_size, pr.prec_bits
+  FROM hw, {sweeps}, unnest(s.opts) AS o(optimizer), unnest(s.lrs) AS l(learning_rate),
+    unnest(s.batches) AS b(batch_size), unnest([16, 32]) AS pr(prec_bits)),
+y AS (SELECT *, {blk} AS blk FROM x)
+SELECT gpu_name, storage, vcpu, model, dataset, task, optimizer, learning_rate, batch_size, prec_bits,
+  CASE WHEN task <> 'seq2seq' THEN CAST(cfg_len AS DOUBLE) END AS seq_len,
+  CAST(cfg_len AS DOUBLE) AS src_len,
+  CASE WHEN task = 'seq2seq' THEN CAST(cfg_len AS DOUBLE) END AS tgt_len,
+  CAST(floor(d_model / n_heads) AS BIGINT) AS d_head,
+  blk AS flops_fwd_per_token,
+  blk * CAST(cfg_len AS DOUBLE) * CAST(depth AS DOUBLE) * 3.0 AS flops_train_per_seq,
+  blk * CAST(cfg_len AS DOUBLE) * CAST(depth AS DOUBLE) * 3.0 * CAST(batch_size AS DOUBLE)
+    AS flops_train_per_batch,
+  CAST(cfg_len AS BIGINT) * (d_model + d_ff) * (CASE WHEN prec_bits = 16 THEN 2 ELSE 4 END)
+    AS act_bytes_per_seq_proxy
+FROM y"""
+
+
+def mem_estimate_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, param_bytes, optimizer_state_bytes, master_param_bytes, total_state_bytes,
+  act_bytes_per_sample_proxy, {r6('arithmetic_intensity_train')} AS arithmetic_intensity_train
+FROM trials"""
+
+
+def trial_timing_cols_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, {r6('T_step_ms')} AS T_step_ms, {r6('loader_ratio')} AS loader_ratio, bottleneck
+FROM trials"""
+
+
+def kfold_assign_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, ('0x' || substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR),
+  CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 8))::BIGINT % 5
+  AS fold_md5
+FROM trials"""
+
+
+def _eval_cte() -> str:
+    return f"""{_trials_cte()},
+d AS (SELECT *, log2(greatest(1.0, CAST(batch_size AS DOUBLE))) AS x FROM trials
+      WHERE avg_batch_time_ms IS NOT NULL AND T_gpu_ms IS NOT NULL)"""
+
+
+def oof_mean_sql() -> str:
+    return f"""WITH {_eval_cte()},
+g AS (SELECT fold, model, vcpu, storage, batch_size, sum(avg_batch_time_ms) AS s,
+        count(avg_batch_time_ms) AS n FROM d GROUP BY ALL),
+t AS (SELECT *, sum(s) OVER (PARTITION BY model, vcpu, storage, batch_size) - s AS ts,
+        sum(n) OVER (PARTITION BY model, vcpu, storage, batch_size) - n AS tn FROM g),
+f AS (SELECT fold, sum(avg_batch_time_ms) AS s0, count(avg_batch_time_ms) AS n0 FROM d GROUP BY fold),
+ft AS (SELECT fold, sum(s0) OVER () - s0 AS ts0, sum(n0) OVER () - n0 AS tn0 FROM f)
+SELECT t.fold, model, vcpu, storage, batch_size,
+  {r6('CASE WHEN tn > 0 THEN ts / tn WHEN tn0 <> 0 THEN ts0 / tn0 END')} AS pred_full,
+  CAST(tn AS BIGINT) AS pred_full_train_rows
+FROM t JOIN ft ON t.fold = ft.fold"""
+
+
+def oof_linear_sql() -> str:
+    return f"""WITH {_eval_cte()},
+{_lfo_linear('d', 'fold', 'x')}
+SELECT cf.fk AS fold, {r6('cf.a')} AS pred_full_a, {r6('cf.b')} AS pred_full_b,
+  {r6('cf.ybar')} AS pred_full_ybar, CAST(cf.n AS BIGINT) AS pred_full_train_rows,
+  {r6('cb.a')} AS pred_base_a, {r6('cb.b')} AS pred_base_b, {r6('cb.ybar')} AS pred_base_ybar,
+  CAST(cb.n AS BIGINT) AS pred_base_train_rows
+FROM c_full cf JOIN c_base cb ON cf.fk = cb.fk"""
+
+
 ORACLES = {
     "kfold_report": kfold_report_sql,
     "scan_trials": scan_trials_sql,
@@ -369,6 +582,17 @@ ORACLES = {
     "median_fill": median_fill_sql,
     "skew_profile": skew_profile_sql,
     "log1p_features": log1p_features_sql,
+    "trial_timing": trial_timing_sql,
+    "trial_throughput": trial_throughput_sql,
+    "layer_flops": layer_flops_sql,
+    "grid_trials": grid_trials_sql,
+    "flops_mlp": flops_mlp_sql,
+    "flops_transformer": flops_transformer_sql,
+    "mem_estimate": mem_estimate_sql,
+    "trial_timing_cols": trial_timing_cols_sql,
+    "kfold_assign": kfold_assign_sql,
+    "oof_mean": oof_mean_sql,
+    "oof_linear": oof_linear_sql,
     **{g: _feature_group_sql(g) for g in ("hw_ratios", "mem_pressure", "batch_features", "batch_hw",
                                            "roofline", "tc_util", "flops_features", "one_hot")},
 }

@@ -13,6 +13,7 @@ from ..config import CNN, TARGET_BASE, TARGET_FULL
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
 from ..operators.joins import enrich_with_spec
+from ..operators import folds, grid, layers, predict, timing
 from ..operators.profile import profile, skew_candidates
 from ..sources import fixtures
 from ..sources.tables import read_table
@@ -150,6 +151,87 @@ def feature_matrix_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*ROW_KEYS, *[F.col(c).cast("double").alias(c) for c in base], TARGET_BASE)
 
 
+# ----------------------------------------------------- timing / estimators ---
+
+def trial_timing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + A1 + X23 over the step log."""
+    return timing.trial_timing(fixtures.steps(spark, sf_dir))
+
+
+def trial_throughput_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 over the step log."""
+    return timing.trial_throughput(fixtures.steps(spark, sf_dir))
+
+
+def layer_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + A4 over the layer table."""
+    return layers.layer_rollup(fixtures.layers(spark, sf_dir))
+
+
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.host_configs(trials(spark, sf_dir))
+
+
+def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 + P9 + U3 + X24: CNN grid for every observed host configuration."""
+    return grid.cnn_grid(_hosts(spark, sf_dir))
+
+
+def flops_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X18 (+X21) on the MLP grid."""
+    g = grid.mlp_grid(_hosts(spark, sf_dir))
+    return g.select("gpu_name", "storage", "vcpu", "model", "dataset", "embed_dim", "learning_rate",
+                    "batch_size", "optimizer", "prec_bits", "depth", "patch_size", "num_patches",
+                    "flops_fwd_per_sample", "flops_train_per_batch", "act_bytes_per_sample_proxy")
+
+
+def flops_transformer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X19 (+X21) on the Transformer sweeps."""
+    g = grid.transformer_grid(_hosts(spark, sf_dir))
+    return g.select("gpu_name", "storage", "vcpu", "model", "dataset", "task", "optimizer",
+                    "learning_rate", "batch_size", "prec_bits", "seq_len", "src_len", "tgt_len",
+                    "d_head", "flops_fwd_per_token", "flops_train_per_seq", "flops_train_per_batch",
+                    "act_bytes_per_seq_proxy")
+
+
+def mem_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X20-X22 on the trial table."""
+    return trials(spark, sf_dir).select(
+        *ROW_KEYS, "param_bytes", "optimizer_state_bytes", "master_param_bytes", "total_state_bytes",
+        "act_bytes_per_sample_proxy", "arithmetic_intensity_train")
+
+
+def trial_timing_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X23 on the trial table (T_step, loader ratio, bottleneck)."""
+    return trials(spark, sf_dir).select(*ROW_KEYS, "T_step_ms", "loader_ratio", "bottleneck")
+
+
+# ------------------------------------------------------- folds / predictors ---
+
+def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: seeded hash fold per trial key."""
+    t = trials(spark, sf_dir).select(*ROW_KEYS)
+    return folds.assign_folds(t, ROW_KEYS, k=5, seed=42, out="fold_md5")
+
+
+def _eval_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.with_batch_features(drop_missing_targets(trials(spark, sf_dir)))
+
+
+def oof_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-fold-out group means for every (fold, group) at once."""
+    t = _eval_trials(spark, sf_dir)
+    return predict.leave_out_group_mean(t, "fold", TARGET_FULL, evaluate.FULL_GROUPS, "pred_full")
+
+
+def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-fold-out regression coefficients of both models (k rows)."""
+    t = _eval_trials(spark, sf_dir)
+    f = predict.leave_out_linear(t, "fold", "log2_batch_size", TARGET_FULL, "pred_full")
+    b = predict.leave_out_linear(t, "fold", "log2_batch_size", TARGET_BASE, "pred_base")
+    return f.join(b, "fold")
+
+
 REGISTRY = {
     "scan_trials": scan_trials,
     "drop_missing": drop_missing,
@@ -165,4 +247,15 @@ REGISTRY = {
     "log1p_features": log1p_features,
     "feature_matrix": feature_matrix,
     "feature_matrix_base": feature_matrix_base,
+    "trial_timing": trial_timing_q,
+    "trial_throughput": trial_throughput_q,
+    "layer_flops": layer_flops,
+    "grid_trials": grid_trials,
+    "flops_mlp": flops_mlp,
+    "flops_transformer": flops_transformer,
+    "mem_estimate": mem_estimate,
+    "trial_timing_cols": trial_timing_cols,
+    "kfold_assign": kfold_assign,
+    "oof_mean": oof_mean,
+    "oof_linear": oof_linear,
 }

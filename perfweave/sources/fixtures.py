@@ -153,7 +153,8 @@ def gpu_spec_sql() -> str:
 
 
 def gpu_spec(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(GPU_SPEC_ROWS), GPU_SPEC_SCHEMA)
+    """The dimension as an in-JVM local relation (no Python-side RDD)."""
+    return spark.sql(gpu_spec_sql())
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, tables) -> DataFrame:
