@@ -110,22 +110,32 @@ def restrict_to_heldout(df: DataFrame, fold_col: str, min_rows: int) -> DataFram
 # --------------------------------------------------------------------------
 
 def fold_moments(df: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
-    """Per fold n, sum, sum of squares of every feature (one aggregate) and
-    the leave-fold-out mean and population std; std 0 -> 1 (A12)."""
+    """Leave-fold-out mean and population std of every feature.
+
+    Per fold: count, mean and M2 (= n * var_pop, Spark's stable streaming
+    moments).  Totals combine the k fold rows with the parallel-variance
+    formula; the training complement of fold f is the total with fold f
+    removed by the inverse formula - no sum-of-squares cancellation.
+    A zero (or undefined) std becomes 1.
+    """
     aggs = []
     for c in feats:
         x = dbl(c)
-        aggs += [F.count(x).cast("double").alias(f"n__{c}"), F.sum(x).alias(f"s__{c}"),
-                 F.sum(x * x).alias(f"q__{c}")]
-    m = df.groupBy(fold_col).agg(*aggs).na.fill(0.0)
-    m = _leave_out(m, [], [f"{p}__{c}" for c in feats for p in ("n", "s", "q")])
+        aggs += [F.count(x).cast("double").alias(f"n__{c}"), F.avg(x).alias(f"m__{c}"),
+                 (F.var_pop(x) * F.count(x)).alias(f"q__{c}")]
+    m = df.groupBy(fold_col).agg(*aggs)
+    w = Window.partitionBy()
     out = [F.col(fold_col)]
     for c in feats:
-        n, s, q = F.col(f"t_n__{c}"), F.col(f"t_s__{c}"), F.col(f"t_q__{c}")
-        mean = F.try_divide(s, n)
-        var = F.greatest(F.lit(0.0), F.try_divide(q, n) - mean * mean)
-        sd = F.sqrt(var)
-        out += [mean.alias(f"mean__{c}"),
+        n, mu, q = (F.coalesce(F.col(f"{p}__{c}"), F.lit(0.0)) for p in ("n", "m", "q"))
+        N = F.sum(n).over(w)
+        MU = F.try_divide(F.sum(n * mu).over(w), N)
+        Q = F.sum(q + n * (mu - MU) * (mu - MU)).over(w)
+        nc = N - n
+        muc = F.try_divide(N * MU - n * mu, nc)
+        qc = Q - q - F.try_divide(n * nc, N) * (mu - muc) * (mu - muc)
+        sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(qc, nc)))
+        out += [muc.alias(f"mean__{c}"),
                 F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd).alias(f"std__{c}")]
     return m.select(*out)
 

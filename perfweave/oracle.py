@@ -12,9 +12,20 @@ RAW_TRIALS = fx.duckdb_view(fx.RAW_TRIALS_SQL)
 GPU_SPEC = fx.gpu_spec_sql()
 
 
+# Queries whose floating outputs are sums over many rows: compared at 4
+# decimals (summation order differs between engines; fewer digits make a
+# rounding tie between the two results ~100x less likely).
+AGG_KEYS = {"kfold_report", "kfold_report_overall", "kfold_report_mean", "logo_breakdown",
+            "logo_summary", "report_ymax", "oof_mean", "oof_linear", "logo_mean", "logo_linear",
+            "fold_scale", "skew_profile", "trial_timing", "trial_throughput", "median_fill",
+            "layer_flops", "format_report", "clean_report", "oof_ridge", "manifest_bytes"}
+_DIGITS = {"d": 6}
+
+
 def r6(x: str) -> str:
-    """Same comparison rounding as the Spark side: |x| < 1e4 to 6 places."""
-    return f"CASE WHEN abs({x}) < 1e4 THEN round({x}, 6) ELSE {x} END"
+    """Same comparison rounding as the Spark side: |x| < 1e4 to N places."""
+    d = _DIGITS["d"]
+    return f"CASE WHEN abs({x}) < 1e4 THEN round({x}, {d}) ELSE {x} END"
 
 
 def _trials_cte() -> str:
@@ -569,6 +580,303 @@ SELECT cf.fk AS fold, {r6('cf.a')} AS pred_full_a, {r6('cf.b')} AS pred_full_b,
 FROM c_full cf JOIN c_base cb ON cf.fk = cb.fk"""
 
 
+def _logo_pred_cte() -> str:
+    return f"""{_eval_cte()},
+{_lfo_linear('d', 'gpu_name', 'x')},
+held AS (SELECT gpu_name FROM d WHERE gpu_name IS NOT NULL GROUP BY gpu_name HAVING count(*) >= 3),
+p AS (
+  SELECT d.gpu_name, d.model, d.vcpu, d.storage, d.batch_size, d.avg_batch_time_ms AS y,
+    CASE WHEN d.x IS NOT NULL THEN cf.a + cf.b * d.x ELSE cf.ybar END AS pf,
+    CASE WHEN d.x IS NOT NULL THEN cb.a + cb.b * d.x ELSE cb.ybar END AS pb
+  FROM d JOIN c_full cf ON cf.fk = d.gpu_name JOIN c_base cb ON cb.fk = d.gpu_name
+  WHERE d.gpu_name IN (SELECT gpu_name FROM held))"""
+
+
+def logo_mean_sql() -> str:
+    return f"""WITH {_eval_cte()},
+g AS (SELECT gpu_name, model, batch_size, sum(T_gpu_ms) AS s, count(T_gpu_ms) AS n FROM d GROUP BY ALL),
+t AS (SELECT *, sum(s) OVER (PARTITION BY model, batch_size) - s AS ts,
+        sum(n) OVER (PARTITION BY model, batch_size) - n AS tn FROM g),
+f AS (SELECT gpu_name, sum(T_gpu_ms) AS s0, count(T_gpu_ms) AS n0 FROM d GROUP BY gpu_name),
+ft AS (SELECT gpu_name, sum(s0) OVER () - s0 AS ts0, sum(n0) OVER () - n0 AS tn0 FROM f)
+SELECT t.gpu_name, model, batch_size,
+  {r6('CASE WHEN tn > 0 THEN ts / tn WHEN tn0 <> 0 THEN ts0 / tn0 END')} AS pred_base,
+  CAST(tn AS BIGINT) AS pred_base_train_rows
+FROM t JOIN ft ON t.gpu_name = ft.gpu_name"""
+
+
+def logo_linear_sql() -> str:
+    return f"""WITH {_eval_cte()},
+{_lfo_linear('d', 'gpu_name', 'x')},
+held AS (SELECT gpu_name FROM d WHERE gpu_name IS NOT NULL GROUP BY gpu_name HAVING count(*) >= 3)
+SELECT cf.fk AS gpu_name, {r6('cf.a')} AS pred_full_a, {r6('cf.b')} AS pred_full_b,
+  {r6('cf.ybar')} AS pred_full_ybar, CAST(cf.n AS BIGINT) AS pred_full_train_rows,
+  {r6('cb.a')} AS pred_base_a, {r6('cb.b')} AS pred_base_b, {r6('cb.ybar')} AS pred_base_ybar,
+  CAST(cb.n AS BIGINT) AS pred_base_train_rows
+FROM c_full cf JOIN c_base cb ON cf.fk = cb.fk WHERE cf.fk IN (SELECT gpu_name FROM held)"""
+
+
+def _group_stats(keys: str) -> str:
+    return f"""count(*) AS n_samples, avg(y) AS am, avg(pf) AS pfm, avg(pb) AS pbm,
+    sqrt(avg((y - pf) * (y - pf))) AS rf, sqrt(avg((y - pb) * (y - pb))) AS rb"""
+
+
+def logo_breakdown_sql() -> str:
+    parts = []
+    for label, key in (("vcpu", "vcpu"), ("storage", "storage"), ("batch", "batch_size")):
+        parts.append(f"""SELECT '{label}' AS breakdown, gpu_name, model, CAST({key} AS VARCHAR) AS group_value,
+    {_group_stats(key)}
+  FROM p WHERE model IS NOT NULL AND {key} IS NOT NULL GROUP BY gpu_name, model, {key}""")
+    u = "\nUNION ALL\n".join(parts)
+    return f"""WITH {_logo_pred_cte()},
+b AS ({u})
+SELECT breakdown, gpu_name, model, group_value, n_samples, {r6('am')} AS Actual_ms_mean,
+  {r6('pfm')} AS Pred_full_ms_mean, {r6('CASE WHEN am <> 0 THEN 100.0 * (pfm - am) / am END')} AS full_pct_error,
+  {r6('rf')} AS RMSE_full_ms, {r6('pbm')} AS Pred_base_ms_mean,
+  {r6('CASE WHEN am <> 0 THEN 100.0 * (pbm - am) / am END')} AS base_pct_error, {r6('rb')} AS RMSE_base_ms
+FROM b"""
+
+
+def logo_summary_sql() -> str:
+    return f"""WITH {_logo_pred_cte()},
+s AS (SELECT gpu_name, {_group_stats('gpu_name')} FROM p GROUP BY gpu_name)
+SELECT gpu_name AS GPU, n_samples, {r6('rf')} AS RMSE_full_ms, {r6('rb')} AS RMSE_base_ms,
+  {r6('CASE WHEN rb > 0 THEN 100.0 * (rb - rf) / rb END')} AS Improvement_pct
+FROM s ORDER BY rf"""
+
+
+def report_ymax_sql() -> str:
+    return f"""WITH {_logo_pred_cte()},
+s AS (SELECT gpu_name, {_group_stats('gpu_name')} FROM p GROUP BY gpu_name)
+SELECT {r6('max(greatest(rf, rb))')} AS ymax FROM s"""
+
+
+def _kfold_variant(keys: str, predictor: str) -> str:
+    if predictor == "linear":
+        pred = f"""{_lfo_linear('d', 'fold', 'x')},
+p AS (
+  SELECT d.model, d.vcpu, d.storage, d.avg_batch_time_ms AS y,
+    CASE WHEN d.x IS NOT NULL THEN cf.a + cf.b * d.x ELSE cf.ybar END AS pf,
+    CASE WHEN d.x IS NOT NULL THEN cb.a + cb.b * d.x ELSE cb.ybar END AS pb
+  FROM d JOIN c_full cf ON cf.fk = d.fold JOIN c_base cb ON cb.fk = d.fold)"""
+    else:
+        def lfo(tag, y, groups):
+            return f"""g_{tag} AS (SELECT fold, {groups}, sum({y}) AS s, count({y}) AS n FROM d GROUP BY ALL),
+t_{tag} AS (SELECT *, sum(s) OVER (PARTITION BY {groups}) - s AS ts,
+          sum(n) OVER (PARTITION BY {groups}) - n AS tn FROM g_{tag}),
+f_{tag} AS (SELECT fold, sum({y}) AS s0, count({y}) AS n0 FROM d GROUP BY fold),
+ft_{tag} AS (SELECT fold, sum(s0) OVER () - s0 AS ts0, sum(n0) OVER () - n0 AS tn0 FROM f_{tag}),
+m_{tag} AS (SELECT t.fold, {', '.join('t.' + g.strip() for g in groups.split(','))},
+          CASE WHEN tn > 0 THEN ts / tn WHEN tn0 <> 0 THEN ts0 / tn0 END AS pred
+        FROM t_{tag} t JOIN ft_{tag} ft ON t.fold = ft.fold)"""
+        fg, bg = "model, vcpu, storage, batch_size", "model, batch_size"
+        pred = f"""{lfo('f', 'avg_batch_time_ms', fg)},
+{lfo('b', 'T_gpu_ms', bg)},
+p AS (
+  SELECT d.model, d.vcpu, d.storage, d.avg_batch_time_ms AS y, mf.pred AS pf, mb.pred AS pb
+  FROM d JOIN m_f mf ON mf.fold = d.fold AND mf.model = d.model AND mf.vcpu = d.vcpu
+    AND mf.storage = d.storage AND mf.batch_size = d.batch_size
+  JOIN m_b mb ON mb.fold = d.fold AND mb.model = d.model AND mb.batch_size = d.batch_size)"""
+    sel_keys = ", ".join(f"coalesce({k}, 'nan') AS {k}" if k in ("model", "storage") else k
+                         for k in [k.strip() for k in keys.split(",")])
+    return f"""WITH {_eval_cte()},
+{pred},
+r AS (SELECT {sel_keys}, count(*) AS n_samples, sqrt(avg((y - pf) * (y - pf))) AS rf,
+        sqrt(avg((y - pb) * (y - pb))) AS rb
+      FROM p GROUP BY ALL HAVING count(*) >= 2)
+SELECT {keys}, n_samples, {r6('rf')} AS RMSE_full_ms, {r6('rb')} AS RMSE_base_ms,
+  {r6('CASE WHEN rb > 0 THEN 100.0 * (rb - rf) / rb END')} AS Improvement_pct
+FROM r"""
+
+
+def kfold_report_overall_sql() -> str:
+    return _kfold_variant("model", "linear")
+
+
+def kfold_report_mean_sql() -> str:
+    return _kfold_variant("model, vcpu, storage", "mean")
+
+
+def format_report_sql() -> str:
+    inner = _kfold_variant("model, vcpu, storage", "linear")
+    def f(c):
+        return f"coalesce(printf('%.2f', round({c}, 2)), 'nan') AS {c}"
+    return f"""WITH q AS ({inner})
+SELECT model, vcpu, storage, {f('RMSE_full_ms')}, {f('RMSE_base_ms')}, {f('Improvement_pct')} FROM q"""
+
+
+PREP_FEATURES = ("FP16", "bw_gbs", "mem_pressure", "B_over_GB", "log_F_CNN_batch", "batch_size")
+
+
+def fold_impute_sql() -> str:
+    gpus = "SELECT DISTINCT gpu_name AS g FROM feat WHERE gpu_name IS NOT NULL"
+    meds = ", ".join(
+        f"(SELECT {r6(f'median(CAST({c} AS DOUBLE))')} FROM feat WHERE gpu_name IS NULL OR gpu_name <> g.g) AS med__{c}"
+        for c in PREP_FEATURES)
+    return f"""WITH {_features_cte()}
+SELECT g.g AS gpu_name, {meds} FROM ({gpus}) g"""
+
+
+def fold_scale_sql() -> str:
+    sel = []
+    for c in PREP_FEATURES:
+        x = f"CAST({c} AS DOUBLE)"
+        sel.append(f"""{r6(f'(SELECT avg({x}) FROM feat WHERE fold <> f.fold)')} AS mean__{c},
+  {r6(f"coalesce(nullif((SELECT stddev_pop({x}) FROM feat WHERE fold <> f.fold), 0), 1.0)")} AS std__{c}""")
+    return f"""WITH {_features_cte()}
+SELECT f.fold, {', '.join(sel)} FROM (SELECT DISTINCT fold FROM feat) f"""
+
+
+def distinct_keys_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT DISTINCT model, vcpu, storage FROM trials ORDER BY 1, 2, 3"""
+
+
+# ------------------------------------------------------------------ text ---
+
+def _pat() -> str:
+    from .operators.text import WORD_PATTERN
+    return "'" + WORD_PATTERN.replace("'", "''") + "'"
+
+
+def _tok(text: str) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({text}, ''), {_pat()}), lambda x: lower(x))"
+
+
+def tokenize_sql() -> str:
+    return f"""SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens, len({_tok('text')}) AS n_tokens
+FROM documents"""
+
+
+def _doc_toks_cte(src: str = "documents", idc: str = "doc_id", textc: str = "text", side: int = 0,
+                  name: str = "toks") -> str:
+    return f"""{name} AS (
+  SELECT {idc} AS doc_id, {side} AS side, unnest(l) AS token, unnest(range(len(l))) AS pos
+  FROM (SELECT {idc}, {_tok(textc)} AS l FROM {src}))"""
+
+
+def _vocab_cte(toks: str = "toks") -> str:
+    return f"""cnt AS (SELECT token, count(*) AS freq,
+         min(CAST(side AS BIGINT) * 1000000000000000 + CAST(doc_id AS BIGINT) * 10000000 + pos) AS first_seen
+       FROM {toks} GROUP BY token),
+ranked AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, first_seen) + 3 AS INTEGER) AS token_id, freq
+           FROM cnt ORDER BY freq DESC, first_seen LIMIT 29996),
+voc AS (SELECT * FROM (VALUES ('<unk>', 0), ('<pad>', 1), ('<bos>', 2), ('<eos>', 3)) AS s(token, token_id)
+        CROSS JOIN (SELECT CAST(NULL AS BIGINT) AS freq)
+        UNION ALL SELECT token, token_id, freq FROM ranked)"""
+
+
+def vocab_sql() -> str:
+    return f"""WITH {_doc_toks_cte()},
+{_vocab_cte()}
+SELECT token, CAST(token_id AS INTEGER) AS token_id, freq FROM voc"""
+
+
+def _encode_cte(src: str, idc: str, textc: str, keep: int, name: str) -> str:
+    return f"""{_doc_toks_cte(src, idc, textc, 0, name + '_t')},
+{name}_g AS (SELECT t.doc_id, list(coalesce(v.token_id, 0) ORDER BY t.pos) AS ids
+       FROM {name}_t t LEFT JOIN voc v ON v.token = t.token WHERE t.pos < {keep} GROUP BY t.doc_id),
+{name} AS (SELECT s.{idc} AS doc_id, coalesce(g.ids, [0]) AS ids
+       FROM {src} s LEFT JOIN {name}_g g ON g.doc_id = s.{idc})"""
+
+
+def encode_sql() -> str:
+    return f"""WITH {_doc_toks_cte()},
+{_vocab_cte()},
+{_encode_cte('documents', 'doc_id', 'text', 128, 'enc')}
+SELECT doc_id, array_to_string(ids[1:128], ' ') AS ids, len(ids[1:128]) AS n_ids FROM enc"""
+
+
+def pad_sql() -> str:
+    return f"""WITH {_doc_toks_cte()},
+{_vocab_cte()},
+{_encode_cte('documents', 'doc_id', 'text', 128, 'enc')}
+SELECT doc_id, array_to_string(list_resize(ids[1:128], 128, 1), ' ') AS padded,
+  least(len(ids[1:128]), 128) AS length FROM enc"""
+
+
+def _pairs_cte() -> str:
+    raw = fx.duckdb_view(fx.PAIRS_SQL)
+    return f"""praw AS ({raw}),
+pairs AS (SELECT pair_id, coalesce(nullif(src_primary, ''), nullif(src_fallback, ''), '') AS src,
+                 coalesce(nullif(tgt_primary, ''), nullif(tgt_fallback, ''), '') AS tgt FROM praw)"""
+
+
+def corpus_pairs_sql() -> str:
+    return f"WITH {_pairs_cte()}\nSELECT pair_id, src, tgt FROM pairs"
+
+
+def _pair_vocab_cte() -> str:
+    return f"""{_pairs_cte()},
+{_doc_toks_cte('pairs', 'pair_id', 'src', 0, 'ts')},
+{_doc_toks_cte('pairs', 'pair_id', 'tgt', 1, 'tt')},
+toks AS (SELECT * FROM ts UNION ALL SELECT * FROM tt),
+{_vocab_cte()}"""
+
+
+def vocab_pairs_sql() -> str:
+    return f"""WITH {_pair_vocab_cte()}
+SELECT token, CAST(token_id AS INTEGER) AS token_id, freq FROM voc"""
+
+
+def encode_pairs_sql() -> str:
+    return f"""WITH {_pair_vocab_cte()},
+{_encode_cte('pairs', 'pair_id', 'src', 127, 'es')},
+{_encode_cte('pairs', 'pair_id', 'tgt', 127, 'et')}
+SELECT es.doc_id AS pair_id, array_to_string(([2] || es.ids || [3])[1:128], ' ') AS src_ids,
+  array_to_string(([2] || et.ids || [3])[1:128], ' ') AS tgt_ids
+FROM es JOIN et ON es.doc_id = et.doc_id"""
+
+
+# -------------------------------------------------------------- manifest ---
+
+def _classes_cte() -> str:
+    return f"""cls AS (SELECT class_name, CAST(row_number() OVER (ORDER BY class_name) - 1 AS INTEGER) AS label_idx
+        FROM ({fx.duckdb_view(fx.CLASSES_SQL)}))"""
+
+
+def _manifest_cte() -> str:
+    return f"""pf AS ({fx.duckdb_view(fx.PAGES_SQL)}),
+{_classes_cte()},
+man AS (SELECT path, label_idx, n_bytes FROM pf JOIN cls USING (class_name)
+        WHERE regexp_matches(lower(path), '\\.(html)$'))"""
+
+
+def manifest_sql() -> str:
+    return f"WITH {_manifest_cte()}\nSELECT path, label_idx, n_bytes FROM man"
+
+
+def manifest_bytes_sql() -> str:
+    return f"""WITH {_manifest_cte()},
+per AS (SELECT label_idx, avg(n_bytes) AS a FROM man GROUP BY label_idx)
+SELECT class_name, cls.label_idx, {r6('coalesce(a, 0.0)')} AS avg_bytes FROM cls LEFT JOIN per USING (label_idx)"""
+
+
+def manifest_val_sql() -> str:
+    return f"""WITH files AS ({fx.duckdb_view(fx.VAL_FILES_SQL)}),
+mapping AS ({fx.duckdb_view(fx.MAPPING_SQL)}),
+{_classes_cte()}
+SELECT path, label_idx, n_bytes FROM files JOIN mapping USING (file) JOIN cls USING (class_name)"""
+
+
+def clean_report_sql() -> str:
+    fmt = lambda c: f"coalesce(printf('%.2f', round({c}, 2)), 'nan')"
+    num = lambda c: f"TRY_CAST(regexp_replace({c}, '[^0-9.\\-eE]', '', 'g') AS DOUBLE)"
+    return f"""WITH {_logo_pred_cte()},
+b AS (SELECT model, CAST(batch_size AS VARCHAR) AS bs, avg(y) AS am, avg(pf) AS pfm
+      FROM p WHERE model IS NOT NULL AND batch_size IS NOT NULL GROUP BY gpu_name, model, batch_size),
+r AS (SELECT model AS m, bs, {fmt('am')} AS a, {fmt('pfm')} || ' ms' AS pr FROM b),
+c AS (SELECT m AS Model, {num('bs')} AS Batch, {num('a')} AS Actual, {num('pr')} AS Predicted FROM r)
+SELECT Model, Batch, Actual, Predicted,
+  {r6('CASE WHEN Actual <> 0 THEN 100.0 * abs(Predicted - Actual) / Actual END')} AS Error
+FROM c WHERE Model IS NOT NULL AND Batch IS NOT NULL AND Actual IS NOT NULL AND Predicted IS NOT NULL"""
+
+
+def dedup_columns_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, {r6('T_gpu_ms')} AS T_gpu_ms, vcpu, gpu_name FROM trials"""
+
+
 ORACLES = {
     "kfold_report": kfold_report_sql,
     "scan_trials": scan_trials_sql,
@@ -593,10 +901,42 @@ ORACLES = {
     "kfold_assign": kfold_assign_sql,
     "oof_mean": oof_mean_sql,
     "oof_linear": oof_linear_sql,
+    "logo_mean": logo_mean_sql,
+    "logo_linear": logo_linear_sql,
+    "logo_breakdown": logo_breakdown_sql,
+    "logo_summary": logo_summary_sql,
+    "kfold_report_overall": kfold_report_overall_sql,
+    "kfold_report_mean": kfold_report_mean_sql,
+    "fold_impute": fold_impute_sql,
+    "fold_scale": fold_scale_sql,
+    "distinct_keys": distinct_keys_sql,
+    "report_ymax": report_ymax_sql,
+    "format_report": format_report_sql,
+    "tokenize": tokenize_sql,
+    "vocab": vocab_sql,
+    "encode": encode_sql,
+    "pad": pad_sql,
+    "corpus_pairs": corpus_pairs_sql,
+    "vocab_pairs": vocab_pairs_sql,
+    "encode_pairs": encode_pairs_sql,
+    "manifest": manifest_sql,
+    "manifest_bytes": manifest_bytes_sql,
+    "manifest_val": manifest_val_sql,
+    "clean_report": clean_report_sql,
+    "dedup_columns": dedup_columns_sql,
     **{g: _feature_group_sql(g) for g in ("hw_ratios", "mem_pressure", "batch_features", "batch_hw",
                                            "roofline", "tc_util", "flops_features", "one_hot")},
 }
 
 
+def digits(key: str) -> int:
+    return 4 if key in AGG_KEYS else 6
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: f() for k, f in ORACLES.items()}
+    out = {}
+    for k, f in ORACLES.items():
+        _DIGITS["d"] = digits(k)
+        out[k] = f()
+    _DIGITS["d"] = 6
+    return out

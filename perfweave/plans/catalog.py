@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CNN, TARGET_BASE, TARGET_FULL
+from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
 from ..operators.joins import enrich_with_spec
-from ..operators import folds, grid, layers, predict, timing
+from ..operators import folds, grid, layers, predict, text, timing
 from ..operators.profile import profile, skew_candidates
-from ..sources import fixtures
+from ..sources import fixtures, manifest
+from ..sources import reports as report_src
 from ..sources.tables import read_table
-from ..sources.trials import drop_missing_targets, slug, trials, union_trials
-from . import evaluate
+from ..sources.trials import (dedup_columns, drop_missing_targets, order_columns, slug, trials,
+                              union_trials)
+from . import evaluate, reports
 from .evaluate import KEY_COLS
 
 ROW_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -232,6 +234,207 @@ def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(b, "fold")
 
 
+# ----------------------------------------------------------------- LOGO ---
+
+def _logo_pred(spark: SparkSession, sf_dir: str, predictor: str = "linear") -> DataFrame:
+    return evaluate.logo_predictions(_eval_trials(spark, sf_dir), "gpu_name", predictor)
+
+
+def logo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + M6a: leave-one-GPU-out group means of the GPU-only model."""
+    t = _eval_trials(spark, sf_dir)
+    return predict.leave_out_group_mean(t, "gpu_name", TARGET_BASE, evaluate.BASE_GROUPS, "pred_base")
+
+
+def logo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + M6b: one leave-one-GPU-out regression per GPU, both targets."""
+    t = _eval_trials(spark, sf_dir)
+    held = predict.holdout_flags(t, "gpu_name", MIN_HELDOUT_ROWS).where("held_out").select("gpu_name")
+    f = predict.leave_out_linear(t, "gpu_name", "log2_batch_size", TARGET_FULL, "pred_full")
+    b = predict.leave_out_linear(t, "gpu_name", "log2_batch_size", TARGET_BASE, "pred_base")
+    return f.join(b, "gpu_name").join(held, "gpu_name", "left_semi")
+
+
+def logo_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + X25: per held-out GPU, errors by (model, vcpu|storage|batch)."""
+    return reports.logo_breakdown(_logo_pred(spark, sf_dir))
+
+
+def logo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + X27 + P10: per held-out GPU RMSE of both models."""
+    return reports.logo_summary(_logo_pred(spark, sf_dir))
+
+
+def kfold_report_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-fold RMSE per model."""
+    return evaluate.kfold_report(spark, sf_dir, "linear", keys=("model",))
+
+
+def kfold_report_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 with the leave-fold-out group-mean predictors."""
+    return evaluate.kfold_report(spark, sf_dir, "mean")
+
+
+# Features with missing values / moderate magnitudes for the fold-wise
+# preprocessing queries.
+PREP_FEATURES = ("FP16", "bw_gbs", "mem_pressure", "B_over_GB", "log_F_CNN_batch", "batch_size")
+
+
+def _prep_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir).select("gpu_name", "fold", *PREP_FEATURES)
+
+
+def fold_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training-only median of each feature for every held-out GPU."""
+    return predict.fold_medians(_prep_frame(spark, sf_dir), "gpu_name", list(PREP_FEATURES))
+
+
+def fold_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-fold-out mean and population std per K-fold fold."""
+    return predict.fold_moments(_prep_frame(spark, sf_dir), "fold", list(PREP_FEATURES))
+
+
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted distinct report keys."""
+    return trials(spark, sf_dir).select("model", "vcpu", "storage").distinct().orderBy("model", "vcpu", "storage")
+
+
+def report_ymax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axis limit = max over both RMSE columns of the LOGO summary."""
+    s = reports.logo_summary(_logo_pred(spark, sf_dir))
+    return s.agg(F.max(F.greatest("RMSE_full_ms", "RMSE_base_ms")).alias("ymax"))
+
+
+def format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K-fold report as display strings (2 decimals, 'nan')."""
+    r = evaluate.kfold_report(spark, sf_dir, "linear")
+    return r.select("model", "vcpu", "storage", *[reports.fmt(c, 2).alias(c) for c in
+                                                  ("RMSE_full_ms", "RMSE_base_ms", "Improvement_pct")])
+
+
+# ----------------------------------------------------------------- text ---
+
+SEQ_LEN = 128   # classification / translation sequence length
+
+
+def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.positioned_tokens(fixtures.corpus(spark, sf_dir), "doc_id", "text")
+
+
+def tokenize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-cased word tokens of every document."""
+    c = fixtures.corpus(spark, sf_dir).select("doc_id", text.tokenize("text").alias("tokens"))
+    return c.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"))
+
+
+def vocab_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + W3 + W5: capped vocabulary with specials and deterministic ties."""
+    return text.build_vocab(_doc_tokens(spark, sf_dir))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = fixtures.corpus(spark, sf_dir)
+    voc = text.build_vocab(_doc_tokens(spark, sf_dir))
+    enc = text.encode_ids(corpus, voc, "doc_id", "text", keep_tokens=SEQ_LEN)
+    return enc.select("doc_id", text.truncate("ids", SEQ_LEN).alias("ids"))
+
+
+def encode_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 + T4 + T5 + J5: ids of the first SEQ_LEN tokens, unknown -> <unk>."""
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", text.ids_text("ids").alias("ids"), F.size("ids").alias("n_ids"))
+
+
+def pad_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-length padded ids and true lengths."""
+    padded, length = text.pad("ids", SEQ_LEN)
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", text.ids_text(padded).alias("padded"), length.alias("length"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fixtures.pairs(spark, sf_dir)
+    return p.select("pair_id", text.first_nonempty("src_primary", "src_fallback").alias("src"),
+                    text.first_nonempty("tgt_primary", "tgt_fallback").alias("tgt"))
+
+
+def corpus_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source/target text with field fallback ('' when all are empty)."""
+    return _pairs(spark, sf_dir)
+
+
+def _pair_vocab(pairs: DataFrame) -> DataFrame:
+    toks = text.positioned_tokens(pairs, "pair_id", "src", side=0).unionByName(
+        text.positioned_tokens(pairs, "pair_id", "tgt", side=1))
+    return text.build_vocab(toks)
+
+
+def vocab_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 + U4: one vocabulary over sources then targets."""
+    return _pair_vocab(_pairs(spark, sf_dir))
+
+
+def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """<bos> ids <eos> cut to SEQ_LEN on both sides of every pair."""
+    p = _pairs(spark, sf_dir)
+    voc = _pair_vocab(p)
+    s = text.encode_ids(p, voc, "pair_id", "src", keep_tokens=SEQ_LEN - 1)
+    t = text.encode_ids(p, voc, "pair_id", "tgt", keep_tokens=SEQ_LEN - 1)
+    return (s.select("pair_id", text.ids_text(text.wrap_truncate("ids", SEQ_LEN)).alias("src_ids"))
+             .join(t.select("pair_id", text.ids_text(text.wrap_truncate("ids", SEQ_LEN)).alias("tgt_ids")),
+                   "pair_id"))
+
+
+# ------------------------------------------------------------- manifest ---
+
+MANIFEST_EXTENSIONS = (".html",)
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(fixtures.page_files(spark, sf_dir), fixtures.classes(spark, sf_dir),
+                             MANIFEST_EXTENSIONS)
+
+
+def manifest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + W2: files of known classes with label index."""
+    return _manifest(spark, sf_dir)
+
+
+def manifest_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + J3: mean bytes per sample of every class, 0.0 when empty."""
+    return manifest.average_bytes(_manifest(spark, sf_dir), fixtures.classes(spark, sf_dir))
+
+
+def manifest_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + J2: validation files kept only when mapped to a class."""
+    return manifest.validation_manifest(fixtures.val_files(spark, sf_dir),
+                                        fixtures.page_mapping(spark, sf_dir),
+                                        fixtures.classes(spark, sf_dir))
+
+
+# -------------------------------------------------------------- reports ---
+
+def rendered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-(model, batch) LOGO table rendered as a text report with
+    padded headers and units, as a published CSV would hold it."""
+    b = reports.logo_breakdown(_logo_pred(spark, sf_dir)).where(F.col("breakdown") == "batch")
+    return b.select(F.col("model").alias(" Model "), F.col("group_value").alias("Batch Size "),
+                    reports.fmt("Actual_ms_mean", 2).alias("Actual (ms)"),
+                    F.concat(reports.fmt("Pred_full_ms_mean", 2), F.lit(" ms")).alias(" Predicted (ms)"))
+
+
+def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + P3 + P4 + X26: resolve, clean and score a text report."""
+    return report_src.clean_model_report(report_src.strip_header(rendered_report(spark, sf_dir)))
+
+
+def dedup_columns_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 + P6: duplicated column names reduced to the first, one column moved last."""
+    t = trials(spark, sf_dir)
+    dup = t.select(*ROW_KEYS, "gpu_name", "T_gpu_ms", F.col("T_cpu_io_ms").alias("T_gpu_ms"), "vcpu")
+    return order_columns(dedup_columns(dup), last="gpu_name")
+
+
 REGISTRY = {
     "scan_trials": scan_trials,
     "drop_missing": drop_missing,
@@ -258,4 +461,27 @@ REGISTRY = {
     "kfold_assign": kfold_assign,
     "oof_mean": oof_mean,
     "oof_linear": oof_linear,
+    "logo_mean": logo_mean,
+    "logo_linear": logo_linear,
+    "logo_breakdown": logo_breakdown,
+    "logo_summary": logo_summary,
+    "kfold_report_overall": kfold_report_overall,
+    "kfold_report_mean": kfold_report_mean,
+    "fold_impute": fold_impute,
+    "fold_scale": fold_scale,
+    "distinct_keys": distinct_keys,
+    "report_ymax": report_ymax,
+    "format_report": format_report,
+    "tokenize": tokenize_q,
+    "vocab": vocab_q,
+    "encode": encode_q,
+    "pad": pad_q,
+    "corpus_pairs": corpus_pairs,
+    "vocab_pairs": vocab_pairs,
+    "encode_pairs": encode_pairs,
+    "manifest": manifest_q,
+    "manifest_bytes": manifest_bytes,
+    "manifest_val": manifest_val,
+    "clean_report": clean_report,
+    "dedup_columns": dedup_columns_q,
 }

@@ -87,13 +87,16 @@ FROM {part}
 # Text corpus (classification form).
 CORPUS_SQL = "SELECT doc_id, text FROM {documents}"
 
-# Pair corpus: a user turn and the assistant turn that follows it.
+# Pair corpus: a user turn and the assistant turn that follows it; the
+# conversation's system prompt is the fallback source text.
 PAIRS_SQL = """
-SELECT u.conv_id AS pair_id, u.text AS src_primary, CAST(NULL AS VARCHAR) AS src_fallback,
-       a.text AS tgt_primary, CAST(NULL AS VARCHAR) AS tgt_fallback
+SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS src_primary, s.text AS src_fallback,
+       a.text AS tgt_primary, CAST(NULL AS STRING) AS tgt_fallback
 FROM {conversations} u
 LEFT JOIN {conversations} a
   ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+LEFT JOIN {conversations} s
+  ON s.conv_id = u.conv_id AND s.turn = 0 AND s.role = 'system'
 WHERE u.role = 'user'
 """
 
@@ -101,10 +104,14 @@ WHERE u.role = 'user'
 # the language segment of the URL path.
 PAGES_SQL = """
 SELECT url AS path, regexp_extract(url, '^[a-z]+://[^/]+/([a-z][a-z])/', 1) AS class_name,
-       CAST(octet_length(html) AS BIGINT) AS n_bytes
+       CAST(bit_length(html) / 8 AS BIGINT) AS n_bytes
 FROM {pages}
 """
 
+# Validation split stand-in: files keyed by id, and an id -> class mapping.
+VAL_FILES_SQL = "SELECT page_id AS file, url AS path, CAST(bit_length(html) / 8 AS BIGINT) AS n_bytes FROM {pages}"
+MAPPING_SQL = "SELECT doc_id AS file, lang AS class_name FROM {documents}"
+
 # Ordered class list (the "wnids" file): languages of the documents, sorted.
 CLASSES_SQL = "SELECT DISTINCT lang AS class_name FROM {documents}"
 
@@ -185,6 +192,16 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, PAGES_SQL, ("pages",))
 
 
+def page_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation annotations stand-in: page id -> class (language of the
+    document with the same id); pages without one are unmapped."""
+    return _view(spark, sf_dir, MAPPING_SQL, ("documents",))
+
+
+def val_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, VAL_FILES_SQL, ("pages",))
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CLASSES_SQL, ("documents",))
 
