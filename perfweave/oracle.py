@@ -17,7 +17,7 @@ GPU_SPEC = fx.gpu_spec_sql()
 # rounding tie between the two results ~100x less likely).
 AGG_KEYS = {"kfold_report", "kfold_report_overall", "kfold_report_mean", "logo_breakdown",
             "logo_summary", "report_ymax", "oof_mean", "oof_linear", "logo_mean", "logo_linear",
-            "fold_scale", "skew_profile", "trial_timing", "trial_throughput", "median_fill",
+            "fold_scale", "skew_profile", "median_fill",
             "layer_flops", "format_report", "clean_report", "oof_ridge", "manifest_bytes"}
 _DIGITS = {"d": 6}
 
@@ -877,6 +877,42 @@ def dedup_columns_sql() -> str:
 SELECT {KEYS}, {r6('T_gpu_ms')} AS T_gpu_ms, vcpu, gpu_name FROM trials"""
 
 
+def transformer_features_sql() -> str:
+    B = "CAST(batch_size AS DOUBLE)"
+    act = "CAST(act_bytes_per_seq_proxy AS DOUBLE)"
+    tc = (f"flops_train_per_batch / greatest(1e-9, CASE WHEN amp_i = 1 AND FP16 IS NOT NULL "
+          f"THEN FP16 ELSE coalesce(FP32, 0.0) END) * 1000.0")
+    tm = f"{act} * {B} / greatest(1.0, coalesce(bw_gbs * 1073741824.0, 0.0)) * 1000.0"
+    return f"""WITH g AS ({flops_transformer_sql()}),
+spec AS ({GPU_SPEC}),
+e AS (SELECT g.*, s.FP16, s.FP32, s.mem_gb, s.bw_gbs, CAST(prec_bits = 16 AS INTEGER) AS amp_i,
+        coalesce(seq_len, tgt_len, src_len) AS eff
+      FROM g LEFT JOIN spec s ON g.gpu_name = s.gpu_name),
+r AS (SELECT e.*, {tc} AS tc, {tm} AS tm FROM e),
+r1 AS (SELECT r.*, CASE WHEN tc IS NOT NULL AND tm IS NOT NULL THEN greatest(tc, tm) END AS roof_raw FROM r),
+st AS (SELECT median(roof_raw) AS med_roof, count(roof_raw) AS n_roof, median(eff) AS med_eff FROM r1)
+SELECT gpu_name, storage, vcpu, model, dataset, optimizer, learning_rate, batch_size, prec_bits,
+  flops_train_per_seq AS F_TR_seq, flops_train_per_batch AS F_TR_batch,
+  {r6('ln(1 + flops_train_per_seq)')} AS log_F_TR_seq, {r6('ln(1 + flops_train_per_batch)')} AS log_F_TR_batch,
+  eff AS eff_seq_len, {r6('ln(1 + coalesce(eff, (SELECT med_eff FROM st), 1.0))')} AS log_eff_seq_len,
+  flops_train_per_batch / greatest(1.0, {B}) AS F_TR_sample,
+  {r6(f'ln(1 + flops_train_per_batch / greatest(1.0, {B}))')} AS log_F_TR_sample,
+  amp_i AS amp, {_arch_case('gpu_name')} AS arch_family_inferred,
+  {r6(f'(0.0 + {act} * {B}) / greatest(1.0, coalesce(mem_gb, 0.0) * 1073741824.0)')} AS mem_pressure,
+  {r6('CASE WHEN (SELECT n_roof FROM st) = 0 THEN 0.0 ELSE coalesce(roof_raw, (SELECT med_roof FROM st)) END')}
+    AS roof_time_ms
+FROM r1"""
+
+
+def write_trials_sql() -> str:
+    s = "regexp_replace(gpu_name, '[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g')"
+    s = f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({s}, '\\s+', '_', 'g')"
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, architecture, gpu_name, substring({s}, 1, 140) AS gpu_slug, {r6('T_gpu_ms')} AS T_gpu_ms
+FROM trials"""
+
+
 ORACLES = {
     "kfold_report": kfold_report_sql,
     "scan_trials": scan_trials_sql,
@@ -924,6 +960,9 @@ ORACLES = {
     "manifest_val": manifest_val_sql,
     "clean_report": clean_report_sql,
     "dedup_columns": dedup_columns_sql,
+    "transformer_features": transformer_features_sql,
+    "write_trials": write_trials_sql,
+    "stream_trial_timing": trial_timing_sql,
     **{g: _feature_group_sql(g) for g in ("hw_ratios", "mem_pressure", "batch_features", "batch_hw",
                                            "roofline", "tc_util", "flops_features", "one_hot")},
 }

@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL
+from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL, TRANSFORMER
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
 from ..operators.joins import enrich_with_spec
-from ..operators import folds, grid, layers, predict, text, timing
+from ..operators import folds, gbt, grid, layers, predict, text, timing
+from ..operators.features import engineer
 from ..operators.profile import profile, skew_candidates
 from ..sources import fixtures, manifest
 from ..sources import reports as report_src
 from ..sources.tables import read_table
 from ..sources.trials import (dedup_columns, drop_missing_targets, order_columns, slug, trials,
                               union_trials)
+from ..streaming import step_stream
 from . import evaluate, reports
 from .evaluate import KEY_COLS
 
@@ -435,6 +437,70 @@ def dedup_columns_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_columns(dedup_columns(dup), last="gpu_name")
 
 
+# ------------------------------------------------- transformer family ---
+
+def transformer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9 + X10 (+ Transformer variants of X13, X14, X16) on the sweep grid
+    of every observed host, enriched with the GPU specification."""
+    g = grid.transformer_grid(_hosts(spark, sf_dir)).withColumn("amp_enabled", F.col("prec_bits") == 16)
+    e = enrich_with_spec(g, fixtures.gpu_spec(spark))
+    f = engineer(e, TRANSFORMER)
+    return f.select("gpu_name", "storage", "vcpu", "model", "dataset", "optimizer", "learning_rate",
+                    "batch_size", "prec_bits", "F_TR_seq", "F_TR_batch", "log_F_TR_seq", "log_F_TR_batch",
+                    "eff_seq_len", "log_eff_seq_len", "F_TR_sample", "log_F_TR_sample", "amp",
+                    "arch_family_inferred", "mem_pressure", "roof_time_ms")
+
+
+# --------------------------------------------------------------- sinks ---
+
+def write_trials_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + U1 roundtrip: write one folder per (architecture, GPU) under the
+    shared checkpoint folder, read it back with merged schemas."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.trials import scan_trials as read_trials, write_trials
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trials-{uuid.uuid4().hex}"
+    write_trials(trials(spark, sf_dir).select(*ROW_KEYS, "architecture", "gpu_name", "T_gpu_ms"), path)
+    return read_trials(spark, path).select(*ROW_KEYS, "architecture", "gpu_name", "gpu_slug", "T_gpu_ms")
+
+
+def stream_trial_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: the step-log rollup as a stateful stream; equals trial_timing."""
+    return step_stream.stream_trial_timing_query(spark, sf_dir)
+
+
+# ----------------------------------------------------------------- GBT ---
+
+GBT_QUERY_PARAMS = dict(max_iter=5, max_depth=3)
+
+
+def _gbt_frame(spark: SparkSession, sf_dir: str):
+    f = _features(spark, sf_dir, log1p=True)
+    full, base = evaluate.model_features(f, CNN)
+    return f, full, base
+
+
+def oof_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + M5: 2-fold out-of-fold GBT predictions of both models -> report."""
+    f, full, base = _gbt_frame(spark, sf_dir)
+    f = f.withColumn("fold2", F.col("fold") % 2)
+    pred = gbt.oof_gbt(f, "fold2", [("pred_full", TARGET_FULL, full), ("pred_base", TARGET_BASE, base)],
+                       keys=[*ROW_KEYS, "model", "vcpu", "storage"], params=GBT_QUERY_PARAMS)
+    return reports.kfold_report(pred)
+
+
+def logo_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + M5: leave-one-GPU-out GBT predictions of both models -> summary."""
+    f, full, base = _gbt_frame(spark, sf_dir)
+    held = [r[0] for r in predict.holdout_flags(f, "gpu_name", MIN_HELDOUT_ROWS)
+            .where("held_out").select("gpu_name").collect()]
+    pred = gbt.oof_gbt(f, "gpu_name", [("pred_full", TARGET_FULL, full), ("pred_base", TARGET_BASE, base)],
+                       keys=[*ROW_KEYS, "model", "vcpu", "storage", "batch_size"], folds=sorted(held),
+                       params=GBT_QUERY_PARAMS)
+    return reports.logo_summary(pred)
+
+
 REGISTRY = {
     "scan_trials": scan_trials,
     "drop_missing": drop_missing,
@@ -484,4 +550,9 @@ REGISTRY = {
     "manifest_val": manifest_val,
     "clean_report": clean_report,
     "dedup_columns": dedup_columns_q,
+    "transformer_features": transformer_features,
+    "write_trials": write_trials_q,
+    "stream_trial_timing": stream_trial_timing,
+    "oof_gbt": oof_gbt,
+    "logo_gbt": logo_gbt,
 }
