@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import dbl
+from .joins import small_result
 
 
 def holdout_flags(df: DataFrame, fold_col: str, min_rows: int = 1) -> DataFrame:
@@ -32,17 +33,24 @@ def _leave_out(sums: DataFrame, part_cols, cols) -> DataFrame:
     return sums.withColumns({f"t_{c}": F.sum(c).over(w) - F.col(c) for c in cols})
 
 
-def leave_out_group_mean(df: DataFrame, fold_col: str, y: str, group_cols=(),
-                         name: str = "pred") -> DataFrame:
-    """Per (fold, group): mean of ``y`` over the OTHER folds' rows of the same
-    group, falling back to the other folds' overall mean (M6a).
+def fold_group_sums(df: DataFrame, fold_col: str, group_cols, targets) -> DataFrame:
+    """ONE pass over the facts: per (fold, group) row count and, for every
+    target, its sum and non-missing count.  k x groups rows - every
+    group-mean model (any coarser grouping) derives from this table."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for y in targets:
+        aggs += [F.sum(dbl(y)).alias(f"s__{y}"), F.count(y).alias(f"n__{y}")]
+    return df.groupBy(fold_col, *group_cols).agg(*aggs)
 
-    Returns a small table keyed by (fold, *group_cols) with column ``name``.
-    """
-    g = (df.groupBy(fold_col, *group_cols)
-           .agg(F.sum(dbl(y)).alias("s"), F.count(y).alias("n")))
+
+def leave_out_group_mean_from(sums: DataFrame, fold_col: str, y: str, group_cols=(),
+                              name: str = "pred") -> DataFrame:
+    """Per (fold, group): mean of ``y`` over the OTHER folds' rows of the same
+    group, falling back to the other folds' overall mean (M6a), computed on
+    the (small) fold-group sums table."""
+    g = sums.groupBy(fold_col, *group_cols).agg(F.sum(f"s__{y}").alias("s"), F.sum(f"n__{y}").alias("n"))
     g = _leave_out(g, list(group_cols), ["s", "n"])
-    f = df.groupBy(fold_col).agg(F.sum(dbl(y)).alias("s0"), F.count(y).alias("n0"))
+    f = sums.groupBy(fold_col).agg(F.sum(f"s__{y}").alias("s0"), F.sum(f"n__{y}").alias("n0"))
     f = _leave_out(f, [], ["s0", "n0"])
     out = g.join(f.select(fold_col, "t_s0", "t_n0"), fold_col, "left")
     pred = F.when(F.col("t_n") > 0, F.col("t_s") / F.col("t_n")).otherwise(
@@ -51,57 +59,115 @@ def leave_out_group_mean(df: DataFrame, fold_col: str, y: str, group_cols=(),
                       F.col("t_n").alias(f"{name}_train_rows"))
 
 
-def leave_out_linear(df: DataFrame, fold_col: str, x: str, y: str, name: str = "pred") -> DataFrame:
-    """Per fold: simple regression ``y ~ a + b x`` fitted on the other folds.
-
-    Sums n, sx, sy, sxx, sxy over rows with both x and y; the leave-out mean
-    of y (rows with y) is the fallback prediction for a missing x and the
-    intercept when x is constant.  Returns (fold, a, b, ybar) - k rows.
-    """
-    xx, yy = dbl(x), dbl(y)
-    both = xx.isNotNull() & yy.isNotNull()
-    s = df.groupBy(fold_col).agg(
-        F.count_if(both).cast("double").alias("n"),
-        F.sum(F.when(both, xx)).alias("sx"), F.sum(F.when(both, yy)).alias("sy"),
-        F.sum(F.when(both, xx * xx)).alias("sxx"), F.sum(F.when(both, xx * yy)).alias("sxy"),
-        F.count(yy).cast("double").alias("ny"), F.sum(yy).alias("sy_all"))
-    s = s.na.fill(0.0, ["sx", "sy", "sxx", "sxy", "sy_all"])
-    s = _leave_out(s, [], ["n", "sx", "sy", "sxx", "sxy", "ny", "sy_all"])
+def leave_out_group_mean(df: DataFrame, fold_col: str, y: str, group_cols=(),
+                         name: str = "pred") -> DataFrame:
+    """Leave-fold-out group means straight from the facts."""
+    sums = fold_group_sums(df, fold_col, group_cols, [y])
+    return leave_out_group_mean_from(sums, fold_col, y, group_cols, name)
+
+
+def linear_fold_sums(df: DataFrame, fold_col: str, x: str, targets) -> DataFrame:
+    """ONE pass: per fold row count and, for each target, the regression
+    sums n, sx, sy, sxx, sxy (rows with x and y) and ny, sy_all (rows with y)."""
+    xx = dbl(x)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for y in targets:
+        yy = dbl(y)
+        both = xx.isNotNull() & yy.isNotNull()
+        aggs += [F.count_if(both).cast("double").alias(f"n__{y}"),
+                 F.coalesce(F.sum(F.when(both, xx)), F.lit(0.0)).alias(f"sx__{y}"),
+                 F.coalesce(F.sum(F.when(both, yy)), F.lit(0.0)).alias(f"sy__{y}"),
+                 F.coalesce(F.sum(F.when(both, xx * xx)), F.lit(0.0)).alias(f"sxx__{y}"),
+                 F.coalesce(F.sum(F.when(both, xx * yy)), F.lit(0.0)).alias(f"sxy__{y}"),
+                 F.count(yy).cast("double").alias(f"ny__{y}"),
+                 F.coalesce(F.sum(yy), F.lit(0.0)).alias(f"sya__{y}")]
+    return df.groupBy(fold_col).agg(*aggs)
+
+
+def leave_out_linear_from(sums: DataFrame, fold_col: str, y: str, name: str = "pred") -> DataFrame:
+    """Per fold: ``y ~ a + b x`` fitted on the other folds, from the k-row
+    sums table (M6b).  Leave-out mean of y is the fallback prediction for a
+    missing x and the intercept when x is constant."""
+    parts = ["n", "sx", "sy", "sxx", "sxy", "ny", "sya"]
+    s = sums.select(fold_col, *[F.col(f"{p}__{y}").alias(p) for p in parts])
+    s = _leave_out(s, [], parts)
     den = F.col("t_n") * F.col("t_sxx") - F.col("t_sx") * F.col("t_sx")
     b = F.coalesce(F.when(den != 0, (F.col("t_n") * F.col("t_sxy") - F.col("t_sx") * F.col("t_sy")) / den),
                    F.lit(0.0))
-    s = s.withColumns({f"{name}_b": b, f"{name}_ybar": F.try_divide(F.col("t_sy_all"), F.col("t_ny"))})
+    s = s.withColumns({f"{name}_b": b, f"{name}_ybar": F.try_divide(F.col("t_sya"), F.col("t_ny"))})
     a = F.when(F.col("t_n") > 0, (F.col("t_sy") - F.col(f"{name}_b") * F.col("t_sx")) / F.col("t_n")) \
          .otherwise(F.col(f"{name}_ybar"))
     return s.select(fold_col, a.alias(f"{name}_a"), f"{name}_b", f"{name}_ybar",
                     F.col("t_n").cast("bigint").alias(f"{name}_train_rows"))
 
 
+def leave_out_linear(df: DataFrame, fold_col: str, x: str, y: str, name: str = "pred") -> DataFrame:
+    """Leave-fold-out simple regression straight from the facts."""
+    return leave_out_linear_from(linear_fold_sums(df, fold_col, x, [y]), fold_col, y, name)
+
+
+def _score_linear(df: DataFrame, model: DataFrame, fold_col: str, x: str, names) -> DataFrame:
+    keep = [fold_col] + [f"{n}_{p}" for n in names for p in ("a", "b", "ybar")]
+    j = df.join(small_result(model.select(*keep)), fold_col, "left")
+    preds = {n: F.when(dbl(x).isNotNull(), F.col(f"{n}_a") + F.col(f"{n}_b") * dbl(x))
+                 .otherwise(F.col(f"{n}_ybar")) for n in names}
+    return j.withColumns(preds).drop(*keep[1:])
+
+
 def apply_linear(df: DataFrame, coefs: DataFrame, fold_col: str, x: str, name: str) -> DataFrame:
-    pred = F.when(dbl(x).isNotNull(), F.col(f"{name}_a") + F.col(f"{name}_b") * dbl(x)) \
-            .otherwise(F.col(f"{name}_ybar"))
-    return (df.join(coefs.select(fold_col, f"{name}_a", f"{name}_b", f"{name}_ybar"), fold_col, "left")
-              .withColumn(name, pred).drop(f"{name}_a", f"{name}_b", f"{name}_ybar"))
+    """Score every row with its fold's model: a broadcast join of the k-row
+    coefficient table (the facts are not shuffled)."""
+    return _score_linear(df, coefs, fold_col, x, [name])
+
 
+def oof_group_mean(df: DataFrame, fold_col: str, specs, min_rows: int | None = None) -> DataFrame:
+    """Attach out-of-fold group-mean predictions; ``specs`` = [(name, y, groups)].
 
-def oof_group_mean(df: DataFrame, fold_col: str, specs) -> DataFrame:
-    """Attach out-of-fold group-mean predictions; ``specs`` = [(name, y, groups)]."""
+    One aggregate over the facts at the union of all group keys feeds every
+    spec; the per-spec leave-out tables are broadcast back (one join each).
+    ``min_rows``: keep only rows of held-out folds (LOGO).
+    """
+    fine_keys = list(dict.fromkeys(c for _, _, gs in specs for c in gs))
+    sums = small_result(fold_group_sums(df, fold_col, fine_keys, sorted({y for _, y, _ in specs})))
+    if min_rows is not None:
+        df = df.join(_held_from(sums, fold_col, min_rows), fold_col, "left_semi")
     for name, y, groups in specs:
-        t = leave_out_group_mean(df, fold_col, y, groups, name).drop(f"{name}_train_rows")
+        t = small_result(leave_out_group_mean_from(sums, fold_col, y, groups, name)
+                         .drop(f"{name}_train_rows"))
         df = df.join(t, [fold_col, *groups], "left")
     return df
 
 
-def oof_linear(df: DataFrame, fold_col: str, specs) -> DataFrame:
-    """Attach out-of-fold simple-regression predictions; specs = [(name, x, y)]."""
-    for name, x, y in specs:
-        df = apply_linear(df, leave_out_linear(df, fold_col, x, y, name), fold_col, x, name)
+def oof_linear(df: DataFrame, fold_col: str, specs, min_rows: int | None = None) -> DataFrame:
+    """Attach out-of-fold simple-regression predictions; specs = [(name, x, y)].
+
+    All specs sharing an x are fitted from ONE aggregate over the facts.
+    """
+    xs = list(dict.fromkeys(x for _, x, _ in specs))
+    for x in xs:
+        mine = [(n, y) for n, xx, y in specs if xx == x]
+        sums = small_result(linear_fold_sums(df, fold_col, x, sorted({y for _, y in mine})))
+        if min_rows is not None:
+            df = df.join(_held_from(sums, fold_col, min_rows), fold_col, "left_semi")
+            min_rows = None
+        model = None
+        for n, y in mine:
+            m = leave_out_linear_from(sums, fold_col, y, n).drop(f"{n}_train_rows")
+            model = m if model is None else model.join(m, fold_col)
+        df = _score_linear(df, model, fold_col, x, [n for n, _ in mine])
     return df
 
 
+def _held_from(sums: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
+    """Held-out folds from a per-fold(-group) sums table (row counts add up)."""
+    t = sums.groupBy(fold_col).agg(F.sum("rows").alias("fold_rows"))
+    return F.broadcast(t.where(F.col(fold_col).isNotNull() & (F.col("fold_rows") >= min_rows))
+                        .select(fold_col))
+
+
 def restrict_to_heldout(df: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
     """Rows whose fold is held out (LOGO: known GPU with >= min_rows rows)."""
-    flags = holdout_flags(df, fold_col, min_rows).where("held_out").select(fold_col)
+    flags = small_result(holdout_flags(df, fold_col, min_rows).where("held_out").select(fold_col))
     return df.join(flags, fold_col, "left_semi")
 
 
@@ -141,7 +207,7 @@ def fold_moments(df: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
 
 
 def scale_with(df: DataFrame, moments: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
-    j = df.join(moments, fold_col, "left")
+    j = df.join(small_result(moments), fold_col, "left")
     return j.withColumns({c: (dbl(c) - F.col(f"mean__{c}")) / F.col(f"std__{c}") for c in feats}) \
             .drop(*[f"mean__{c}" for c in feats], *[f"std__{c}" for c in feats])
 
@@ -171,6 +237,6 @@ def fold_medians(df: DataFrame, fold_col: str, feats: list[str], exact: bool = T
 
 
 def impute_with(df: DataFrame, medians: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
-    j = df.join(medians, fold_col, "left")
+    j = df.join(small_result(medians), fold_col, "left")
     return j.withColumns({c: F.coalesce(dbl(c), F.col(f"med__{c}"), F.lit(0.0)) for c in feats}) \
             .drop(*[f"med__{c}" for c in feats])

@@ -231,8 +231,9 @@ def oof_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-fold-out regression coefficients of both models (k rows)."""
     t = _eval_trials(spark, sf_dir)
-    f = predict.leave_out_linear(t, "fold", "log2_batch_size", TARGET_FULL, "pred_full")
-    b = predict.leave_out_linear(t, "fold", "log2_batch_size", TARGET_BASE, "pred_base")
+    sums = predict.linear_fold_sums(t, "fold", "log2_batch_size", [TARGET_FULL, TARGET_BASE])
+    f = predict.leave_out_linear_from(sums, "fold", TARGET_FULL, "pred_full")
+    b = predict.leave_out_linear_from(sums, "fold", TARGET_BASE, "pred_base")
     return f.join(b, "fold")
 
 
@@ -251,9 +252,10 @@ def logo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 + M6b: one leave-one-GPU-out regression per GPU, both targets."""
     t = _eval_trials(spark, sf_dir)
-    held = predict.holdout_flags(t, "gpu_name", MIN_HELDOUT_ROWS).where("held_out").select("gpu_name")
-    f = predict.leave_out_linear(t, "gpu_name", "log2_batch_size", TARGET_FULL, "pred_full")
-    b = predict.leave_out_linear(t, "gpu_name", "log2_batch_size", TARGET_BASE, "pred_base")
+    sums = predict.linear_fold_sums(t, "gpu_name", "log2_batch_size", [TARGET_FULL, TARGET_BASE])
+    held = sums.where(F.col("gpu_name").isNotNull() & (F.col("rows") >= MIN_HELDOUT_ROWS)).select("gpu_name")
+    f = predict.leave_out_linear_from(sums, "gpu_name", TARGET_FULL, "pred_full")
+    b = predict.leave_out_linear_from(sums, "gpu_name", TARGET_BASE, "pred_base")
     return f.join(b, "gpu_name").join(held, "gpu_name", "left_semi")
 
 

@@ -3,6 +3,7 @@ predictions -> reports (K-fold and leave-one-GPU-out)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,25 @@ def evaluation_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_with_spec(t, fixtures.gpu_spec(spark))
 
 
+_CACHED: list = []
+
+
 def feature_frame(df: DataFrame, fam: FamilyConfig = CNN, exact: bool = True,
-                  stats: Stats | None = None, log1p: bool = True) -> DataFrame:
-    """Feature prefix + heavy-tail logs (two one-row/one-small-table jobs)."""
+                  stats: Stats | None = None, log1p: bool = True, cache: bool = True) -> DataFrame:
+    """Feature prefix + heavy-tail logs.
+
+    Jobs: the one-row stats aggregate, then (with ``log1p``) the profile
+    aggregate.  With ``cache`` the engineered frame is persisted
+    (MEMORY_AND_DISK, recomputable from lineage) so the profile and every
+    consumer read it instead of recomputing ~100 expressions per row; only
+    the most recent such frame is kept.
+    """
     f = engineer(df, fam, stats or global_stats(df, fam, exact=exact))
+    if cache:
+        while _CACHED:
+            _CACHED.pop().unpersist()
+        f = f.persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHED.append(f)
     if log1p:
         f, _ = auto_log1p(f, TARGET_FULL, fam.leaky, extra_drop=KEY_COLS)
     return f
@@ -47,14 +63,17 @@ def model_features(f: DataFrame, fam: FamilyConfig = CNN) -> tuple[list[str], li
 
 
 def kfold_predictions(df: DataFrame, fold_col: str = "fold", predictor: str = "linear",
-                      x: str = "log2_batch_size") -> DataFrame:
-    """Out-of-fold predictions of both models (M3 with exact M6 predictors)."""
+                      x: str = "log2_batch_size", min_rows: int | None = None) -> DataFrame:
+    """Out-of-fold predictions of both models (M3 with exact M6 predictors).
+
+    ``min_rows`` restricts the output to held-out folds with enough rows
+    (leave-one-GPU-out)."""
     if predictor == "mean":
         return predict.oof_group_mean(df, fold_col, [("pred_full", TARGET_FULL, FULL_GROUPS),
-                                                     ("pred_base", TARGET_BASE, BASE_GROUPS)])
+                                                     ("pred_base", TARGET_BASE, BASE_GROUPS)], min_rows)
     if predictor == "linear":
         return predict.oof_linear(df, fold_col, [("pred_full", x, TARGET_FULL),
-                                                 ("pred_base", x, TARGET_BASE)])
+                                                 ("pred_base", x, TARGET_BASE)], min_rows)
     raise ValueError(f"unknown predictor {predictor!r}")
 
 
@@ -73,5 +92,4 @@ def logo_predictions(df: DataFrame, gpu: str = "gpu_name", predictor: str = "lin
     """Leave-one-GPU-out predictions (M4): every known GPU with enough rows
     is predicted by models trained on all other rows (unknown-GPU rows and
     small GPUs only ever train)."""
-    pred = kfold_predictions(df, gpu, predictor, x)
-    return predict.restrict_to_heldout(pred, gpu, min_rows)
+    return kfold_predictions(df, gpu, predictor, x, min_rows=min_rows)
