@@ -18,6 +18,10 @@ from ..functions import hardware as hw
 from ..functions.nulls import as_category, clip01, dbl, guarded_max, is_truthy, safe_ratio
 
 GIB = float(1024 ** 3)
+MAX_DIM_NAMES = 10_000
+
+# Columns that depend only on the GPU (its name and specification).
+SPEC_ONLY_CATEGORICALS = ("mem_type", "bus", "gpu_arch")
 
 
 @dataclass
@@ -31,6 +35,8 @@ class Stats:
     vram_all_missing: bool
     median_eff_len: float | None = None
     roof_any: bool = True
+    gpu_names: list | None = None
+    has_null_name: bool = False
 
 
 def _has(df: DataFrame, *cols) -> bool:
@@ -97,6 +103,11 @@ def stats_frame(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> DataFra
     name = "gpu_name" if "gpu_name" in df.columns else None
     aggs.append(F.sort_array(F.collect_set(hw.arch_family(name))).alias("arch")
                 if name else F.array().cast("array<string>").alias("arch"))
+    # distinct GPU names (bounded by the number of GPU models, capped here:
+    # beyond the cap the name features are computed per row instead)
+    aggs.append(F.slice(F.collect_set(name), 1, MAX_DIM_NAMES + 1).alias("names")
+                if name else F.array().cast("array<string>").alias("names"))
+    aggs.append(F.count_if(F.col(name).isNull()).alias("null_names") if name else F.lit(0).alias("null_names"))
     sm = _sm_col(df, fam)
     aggs.append(med(dbl("bw_gbs")).alias("med_bw") if "bw_gbs" in df.columns else null.alias("med_bw"))
     aggs.append(med(sm).alias("med_sm") if sm is not None else null.alias("med_sm"))
@@ -117,7 +128,8 @@ def global_stats(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> Stats:
     return Stats(categories=categories, arch_families=list(r["arch"]),
                  median_bw=r["med_bw"], median_sm=r["med_sm"], median_roof=r["med_roof"],
                  vram_all_missing=(r["n_vram"] == 0), median_eff_len=r.get("med_eff"),
-                 roof_any=r["n_roof"] > 0)
+                 roof_any=r["n_roof"] > 0, gpu_names=list(r["names"]),
+                 has_null_name=r["null_names"] > 0)
 
 
 def one_hot_columns(col: str, categories: list, prefix: str | None = None,
@@ -129,29 +141,20 @@ def one_hot_columns(col: str, categories: list, prefix: str | None = None,
     return {f"{p}_{c}": (v == F.lit(c)).cast("int") for c in sorted(categories)[1:]}
 
 
-def gpu_model_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
-    """Hardware ratios (X2) and one-hot GPU/host categoricals (M1)."""
+def gpu_columns(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
+    """Columns that depend only on the GPU: spec ratio, one-hot spec
+    categoricals (M1), architecture family + dummies and name / memory flags
+    (X2 part, X6, X7).  Works on the facts or on a one-row-per-GPU dimension."""
     new = {}
-    if _has(df, "flops_train_per_batch", "bw_gbs"):
-        new["flops_to_bw_ratio"] = safe_ratio("flops_train_per_batch", "bw_gbs")
-    for peak in ("FP32", "FP16", "FP64"):
-        if _has(df, peak, "flops_train_per_batch"):
-            new[f"flops_to_{peak}_ratio"] = safe_ratio("flops_train_per_batch", peak)
     if _has(df, "bw_gbs", "mem_gb"):
         new["bw_per_gb"] = safe_ratio("bw_gbs", "mem_gb")
-    if _has(df, "arithmetic_intensity_train", "FP32"):
-        new["ai_over_fp32"] = safe_ratio("arithmetic_intensity_train", "FP32")
     for c, cats in st.categories.items():
-        new.update(one_hot_columns(c, cats))
-    return df.withColumns(new) if new else df
-
-
-def hardware_flags(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
-    """Architecture family + drop-first dummies, name flags."""
+        if c in SPEC_ONLY_CATEGORICALS:
+            new.update(one_hot_columns(c, cats))
     fam_col = "arch_family_inferred" if fam.keep_arch_family else "arch_family"
     if "gpu_name" in df.columns:
         df = df.withColumn(fam_col, hw.arch_family("gpu_name"))
-        new = one_hot_columns(fam_col, st.arch_families, prefix="arch", value=F.col(fam_col))
+        new.update(one_hot_columns(fam_col, st.arch_families, prefix="arch", value=F.col(fam_col)))
         new.update({
             "has_tensor_cores": hw.has_tensor_cores("gpu_name"),
             "is_pcie": hw.is_pcie("gpu_name"),
@@ -159,13 +162,47 @@ def hardware_flags(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
             "is_datacenter": hw.is_datacenter("gpu_name"),
         })
     else:
-        new = {fam_col: F.lit("Unknown"), "has_tensor_cores": F.lit(0), "is_pcie": F.lit(0),
-               "is_sxm": F.lit(0), "is_datacenter": F.lit(0)}
+        new.update({fam_col: F.lit("Unknown"), "has_tensor_cores": F.lit(0), "is_pcie": F.lit(0),
+                    "is_sxm": F.lit(0), "is_datacenter": F.lit(0)})
     new["has_HBM"] = hw.has_hbm("mem_type") if "mem_type" in df.columns else F.lit(0)
+    return df.withColumns(new)
+
+
+def gpu_model_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
+    """Per-trial hardware ratios (X2, X3) and the host categorical one-hot (M1)."""
+    new = {}
+    if _has(df, "flops_train_per_batch", "bw_gbs"):
+        new["flops_to_bw_ratio"] = safe_ratio("flops_train_per_batch", "bw_gbs")
+    for peak in ("FP32", "FP16", "FP64"):
+        if _has(df, peak, "flops_train_per_batch"):
+            new[f"flops_to_{peak}_ratio"] = safe_ratio("flops_train_per_batch", peak)
+    if _has(df, "arithmetic_intensity_train", "FP32"):
+        new["ai_over_fp32"] = safe_ratio("arithmetic_intensity_train", "FP32")
+    for c, cats in st.categories.items():
+        if c not in SPEC_ONLY_CATEGORICALS:
+            new.update(one_hot_columns(c, cats))
     for peak in ("FP16", "FP32"):
         if _has(df, peak, "flops_train_per_batch"):
             new[f"{peak}_per_trainflop"] = safe_ratio(peak, "flops_train_per_batch")
-    return df.withColumns(new)
+    return df.withColumns(new) if new else df
+
+
+def hardware_flags(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
+    """GPU-only columns (per row) - kept for frames without a GPU dimension."""
+    return gpu_columns(df, fam, st)
+
+
+def gpu_dimension(spark, st: Stats, spec: DataFrame, fam: FamilyConfig,
+                  key: str = "gpu_name") -> DataFrame | None:
+    """One row per GPU name seen in the trials (plus a NULL-name row when
+    needed) with its spec and every GPU-only feature; None if there are too
+    many names (then the features are computed per row)."""
+    names = st.gpu_names or []
+    if len(names) > MAX_DIM_NAMES:
+        return None
+    rows = [(n,) for n in names] + ([(None,)] if st.has_null_name else [])
+    dim = spark.createDataFrame(rows, f"{key} string").join(spec, key, "left")
+    return gpu_columns(dim, fam, st)
 
 
 def flops_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
@@ -254,11 +291,35 @@ def batch_hw_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
     return df.withColumns(s3)
 
 
-def engineer(df: DataFrame, fam: FamilyConfig, st: Stats | None = None,
-             exact: bool = True) -> DataFrame:
-    """The whole feature prefix in the order the workflow applies it."""
-    st = st or global_stats(df, fam, exact=exact)
+def trial_columns(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
+    """Per-trial features on a frame that already carries the GPU columns."""
     df = gpu_model_features(df, fam, st)
-    df = hardware_flags(df, fam, st)
     df = flops_features(df, fam, st)
     return batch_hw_features(df, fam, st)
+
+
+def engineer(df: DataFrame, fam: FamilyConfig, st: Stats | None = None,
+             exact: bool = True) -> DataFrame:
+    """The whole feature prefix, computed per row on an enriched frame."""
+    st = st or global_stats(df, fam, exact=exact)
+    return trial_columns(gpu_columns(df, fam, st), fam, st)
+
+
+def engineer_with_dimension(trials: DataFrame, spec: DataFrame, fam: FamilyConfig,
+                            exact: bool = True, key: str = "gpu_name") -> DataFrame:
+    """Features with GPU-only work done once per GPU.
+
+    The stats job runs over ``trials`` left-joined to ``spec``; the GPU
+    dimension (names from that job x spec, with every GPU-only feature) is
+    then attached to the trials by ONE null-safe broadcast join, so per-row
+    work is only the per-trial arithmetic.
+    """
+    from .joins import bounded_broadcast
+    enriched = trials.join(bounded_broadcast(spec), key, "left")
+    st = global_stats(enriched, fam, exact=exact)
+    dim = gpu_dimension(trials.sparkSession, st, spec, fam, key)
+    if dim is None:
+        return trial_columns(gpu_columns(enriched, fam, st), fam, st)
+    d = F.broadcast(dim.withColumnRenamed(key, "__dim_key"))
+    joined = trials.join(d, trials[key].eqNullSafe(d["__dim_key"]), "left").drop("__dim_key")
+    return trial_columns(joined, fam, st)

@@ -913,6 +913,48 @@ SELECT {KEYS}, architecture, gpu_name, substring({s}, 1, 140) AS gpu_slug, {r6('
 FROM trials"""
 
 
+# The full model's feature columns on the fixture (numeric columns minus
+# target, leaky, categorical, id/text and key columns) and the log1p twins
+# selected by the profile (see LOG1P_COLUMNS, cross-checked by skew_profile).
+MATRIX_FEATURES = (
+    "vcpu", "batch_size", "prec_bits", "learning_rate", "param_count", "flops_fwd_per_sample",
+    "act_bytes_per_sample_proxy", "amp", "param_bytes", "optimizer_state_bytes",
+    "master_param_bytes", "total_state_bytes", "flops_train_per_sample", "flops_train_per_batch",
+    "arithmetic_intensity_train", "FP16", "FP32", "FP64", "mem_gb", "bw_gbs", "SM",
+    "total_vram_bytes", "bw_per_gb", "mem_type_GDDR7", "mem_type_HBM2", "mem_type_HBM2e",
+    "mem_type_nan", "bus_SXM2", "bus_nan", "gpu_arch_Ampere", "gpu_arch_Blackwell",
+    "gpu_arch_Hopper", "gpu_arch_Turing", "gpu_arch_Volta", "gpu_arch_nan", "arch_Ampere",
+    "arch_Hopper", "arch_Turing", "arch_Unknown", "has_tensor_cores", "is_pcie", "is_sxm",
+    "is_datacenter", "has_HBM", "flops_to_bw_ratio", "flops_to_FP32_ratio", "flops_to_FP16_ratio",
+    "flops_to_FP64_ratio", "ai_over_fp32", "storage_SSD", "FP16_per_trainflop",
+    "FP32_per_trainflop", "F_CNN_sample", "F_CNN_batch", "log_F_CNN_sample", "log_F_CNN_batch",
+    "log2_batch_size", "batch_bin_small", "batch_bin_medium", "batch_bin_large", "B_per_SM",
+    "B_over_GB", "B_times_BW", "B_times_SM", "mem_pressure", "roof_time_ms", "mem_headroom",
+    "near_vram_limit", "tc_util_proxy", "B_times_tc", "B_times_headroom", "B_times_arch_Ampere",
+    "B_times_arch_Ada", "B_times_arch_Hopper")
+
+
+def _matrix_sql(target: str, drop=()) -> str:
+    sel = []
+    for c in MATRIX_FEATURES:
+        if c in drop:
+            continue
+        src = "amp_int" if c == "amp" else c
+        sel.append(f"{r6(f'CAST({src} AS DOUBLE)')} AS {c}")
+    for c in LOG1P_COLUMNS:
+        sel.append(f"{r6(f'ln(1 + CAST({c} AS DOUBLE))')} AS log1p__{c}")
+    return f"WITH {_features_cte()}\nSELECT {KEYS}, {', '.join(sel)}, {r6(target)} AS {target} FROM feat"
+
+
+def feature_matrix_sql() -> str:
+    return _matrix_sql("avg_batch_time_ms")
+
+
+def feature_matrix_base_sql() -> str:
+    # the GPU-only baseline drops host features: names with 'vcpu' or 'storage_*'
+    return _matrix_sql("T_gpu_ms", drop=("vcpu", "storage_SSD"))
+
+
 ORACLES = {
     "kfold_report": kfold_report_sql,
     "scan_trials": scan_trials_sql,
@@ -926,6 +968,8 @@ ORACLES = {
     "median_fill": median_fill_sql,
     "skew_profile": skew_profile_sql,
     "log1p_features": log1p_features_sql,
+    "feature_matrix": feature_matrix_sql,
+    "feature_matrix_base": feature_matrix_base_sql,
     "trial_timing": trial_timing_sql,
     "trial_throughput": trial_throughput_sql,
     "layer_flops": layer_flops_sql,

@@ -80,8 +80,7 @@ def union_trials_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------- features ---
 
 def _features(spark: SparkSession, sf_dir: str, log1p: bool = False) -> DataFrame:
-    e = evaluate.evaluation_trials(spark, sf_dir)
-    return evaluate.feature_frame(e, CNN, log1p=log1p)
+    return evaluate.evaluation_features(spark, sf_dir, CNN, log1p=log1p)
 
 
 def _feature_query(cols, log1p: bool = False):

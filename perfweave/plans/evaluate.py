@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL, FamilyConfig
 from ..functions.nulls import dbl
 from ..operators import predict
-from ..operators.features import Stats, engineer, global_stats
+from ..operators.features import Stats, engineer, engineer_with_dimension, global_stats
 from ..operators.joins import enrich_with_spec
 from ..operators.matrix import base_features, feature_columns
 from ..operators.profile import auto_log1p
@@ -33,6 +33,15 @@ def evaluation_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_with_spec(t, fixtures.gpu_spec(spark))
 
 
+def evaluation_features(spark: SparkSession, sf_dir: str, fam: FamilyConfig = CNN,
+                        log1p: bool = True, exact: bool = True, cache: bool = True) -> DataFrame:
+    """Fixture trials -> full feature frame, GPU-only features via the GPU
+    dimension (see ``engineer_with_dimension``)."""
+    t = drop_missing_targets(require_columns(trials(spark, sf_dir)))
+    f = engineer_with_dimension(t, fixtures.gpu_spec(spark), fam, exact=exact)
+    return finish_features(f, fam, log1p, cache)
+
+
 _CACHED: list = []
 
 
@@ -47,6 +56,10 @@ def feature_frame(df: DataFrame, fam: FamilyConfig = CNN, exact: bool = True,
     the most recent such frame is kept.
     """
     f = engineer(df, fam, stats or global_stats(df, fam, exact=exact))
+    return finish_features(f, fam, log1p, cache)
+
+
+def finish_features(f: DataFrame, fam: FamilyConfig, log1p: bool, cache: bool) -> DataFrame:
     if cache:
         while _CACHED:
             _CACHED.pop().unpersist()
