@@ -158,6 +158,84 @@ def oof_linear(df: DataFrame, fold_col: str, specs, min_rows: int | None = None)
     return df
 
 
+def gram_fold_sums(df: DataFrame, fold_col: str, feats: list[str], y: str) -> DataFrame:
+    """ONE pass: per fold, over complete rows (all features and y present):
+    n, sums of x_i, y, x_i*x_j (i <= j) and x_i*y - (k rows, p^2/2 columns)."""
+    xs = [dbl(c) for c in feats]
+    yy = dbl(y)
+    ok = yy.isNotNull()
+    for x in xs:
+        ok = ok & x.isNotNull()
+    aggs = [F.count_if(ok).cast("double").alias("n"), F.sum(F.when(ok, yy)).alias("sy"),
+            F.sum(F.when(ok, yy * yy)).alias("syy")]
+    for i, xi in enumerate(xs):
+        aggs += [F.sum(F.when(ok, xi)).alias(f"sx{i}"), F.sum(F.when(ok, xi * yy)).alias(f"sxy{i}")]
+        for j in range(i, len(xs)):
+            aggs.append(F.sum(F.when(ok, xi * xs[j])).alias(f"sxx{i}_{j}"))
+    return df.groupBy(fold_col).agg(*aggs).na.fill(0.0)
+
+
+def ridge_models(sums_rows, fold_col: str, p: int, lam: float) -> list[tuple]:
+    """Leave-fold-out ridge per fold from the k summary rows: features are
+    standardised with the training moments, penalty ``lam`` on the
+    standardised coefficients; returns (fold, intercept, coef..., means...)."""
+    import numpy as np
+
+    def vec(r):
+        n = r["n"]
+        sx = np.array([r[f"sx{i}"] for i in range(p)])
+        sxy = np.array([r[f"sxy{i}"] for i in range(p)])
+        sxx = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
+        return n, r["sy"], sx, sxy, sxx
+
+    parts = {r[fold_col]: vec(r) for r in sums_rows}
+    tot = [sum(v[i] for v in parts.values()) for i in range(5)]
+    out = []
+    for f, v in parts.items():
+        n, sy, sx, sxy, sxx = (tot[i] - v[i] for i in range(5))
+        if n <= 0:
+            out.append((f, None, *([None] * p), *([None] * p)))
+            continue
+        mu, ybar = sx / n, sy / n
+        cov = sxx / n - np.outer(mu, mu)
+        cxy = sxy / n - mu * ybar
+        sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+        sd[sd == 0] = 1.0
+        corr = cov / np.outer(sd, sd)
+        beta_std = np.linalg.solve(corr + lam * np.eye(p), cxy / sd)
+        beta = beta_std / sd
+        out.append((f, float(ybar - mu @ beta), *map(float, beta), *map(float, mu)))
+    return out
+
+
+def oof_ridge(df: DataFrame, fold_col: str, specs, lam: float = 1.0) -> DataFrame:
+    """Attach out-of-fold ridge predictions; specs = [(name, features, y)].
+
+    One Gram aggregate per spec (k rows), k p x p solves on the driver (the
+    normal-equations route MLlib's WLS solver also takes), and a broadcast
+    scoring join; a missing feature scores at its training mean.
+    """
+    spark = df.sparkSession
+    for name, feats, y in specs:
+        p = len(feats)
+        rows = gram_fold_sums(df, fold_col, feats, y).collect()
+        models = ridge_models(rows, fold_col, p, lam)
+        fold_type = df.schema[fold_col].dataType.simpleString()
+        schema = (f"{fold_col} {fold_type}, __a double, "
+                  + ", ".join(f"__b{i} double" for i in range(p)) + ", "
+                  + ", ".join(f"__m{i} double" for i in range(p)))
+        m = F.broadcast(spark.createDataFrame(models, schema))
+        pred = F.col("__a")
+        for i, c in enumerate(feats):
+            pred = pred + F.col(f"__b{i}") * F.coalesce(dbl(c), F.col(f"__m{i}"))
+        df = (df.join(m, fold_col, "left").withColumn(name, pred)
+                .drop("__a", *[f"__b{i}" for i in range(p)], *[f"__m{i}" for i in range(p)]))
+    return df
+
+
 def _held_from(sums: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
     """Held-out folds from a per-fold(-group) sums table (row counts add up)."""
     t = sums.groupBy(fold_col).agg(F.sum("rows").alias("fold_rows"))

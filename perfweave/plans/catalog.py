@@ -502,6 +502,22 @@ def logo_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.logo_summary(pred)
 
 
+# Features of the ridge models (full sees host configuration; the GPU-only
+# baseline gets the same list with host features removed).
+RIDGE_FEATURES = ("log2_batch_size", "log_F_CNN_batch", "vcpu", "storage_SSD", "FP32", "bw_gbs",
+                  "mem_headroom", "tc_util_proxy", "B_over_GB")
+
+
+def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-fold-out ridge for both models (k Gram matrices) -> report."""
+    f = _features(spark, sf_dir)
+    full = list(RIDGE_FEATURES)
+    base = CNN.ablate(full)
+    pred = predict.oof_ridge(f, "fold", [("pred_full", full, TARGET_FULL),
+                                         ("pred_base", base, TARGET_BASE)])
+    return reports.kfold_report(pred)
+
+
 REGISTRY = {
     "scan_trials": scan_trials,
     "drop_missing": drop_missing,
@@ -528,6 +544,7 @@ REGISTRY = {
     "kfold_assign": kfold_assign,
     "oof_mean": oof_mean,
     "oof_linear": oof_linear,
+    "oof_ridge": oof_ridge,
     "logo_mean": logo_mean,
     "logo_linear": logo_linear,
     "logo_breakdown": logo_breakdown,
