@@ -904,6 +904,25 @@ SELECT gpu_name, storage, vcpu, model, dataset, optimizer, learning_rate, batch_
 FROM r1"""
 
 
+def mlp_features_sql() -> str:
+    B = "CAST(batch_size AS DOUBLE)"
+    tensor = ("a100", "a40", "a10", "l40", "l4", "h100", "rtx 50", "rtx 5090", "v100", "t4")
+    lname = "lower(coalesce(g.gpu_name, 'nan'))"
+    return f"""WITH g AS ({flops_mlp_sql()}),
+spec AS ({GPU_SPEC})
+SELECT g.gpu_name, storage, vcpu, model, dataset, embed_dim, learning_rate, batch_size, optimizer,
+  prec_bits, flops_fwd_per_sample * 3.0 AS F_MLP_sample, flops_train_per_batch AS F_MLP_batch,
+  {r6('ln(1 + flops_fwd_per_sample * 3.0)')} AS log_F_MLP_sample,
+  {r6('ln(1 + flops_train_per_batch)')} AS log_F_MLP_batch,
+  {r6(f'log2(greatest(1.0, {B}))')} AS log2_batch_size,
+  {r6(f'{B} / greatest(1.0, nullif(s.SM, 0.0))')} AS B_per_SM,
+  {r6(f'{B} / greatest(1.0, nullif(s.mem_gb, 0.0))')} AS B_over_GB,
+  {_arch_case('g.gpu_name')} AS arch_family,
+  CAST({_contains_any(lname, tensor)} AS INTEGER) AS has_tensor_cores,
+  CAST(prec_bits = 16 AS INTEGER) * CAST({_contains_any(lname, tensor)} AS INTEGER) AS tc_util_proxy
+FROM g LEFT JOIN spec s ON g.gpu_name = s.gpu_name"""
+
+
 def write_trials_sql() -> str:
     s = "regexp_replace(gpu_name, '[<>:\"/\\\\|?*\\x00-\\x1F]', '_', 'g')"
     s = f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
@@ -1005,6 +1024,7 @@ ORACLES = {
     "clean_report": clean_report_sql,
     "dedup_columns": dedup_columns_sql,
     "transformer_features": transformer_features_sql,
+    "mlp_features": mlp_features_sql,
     "write_trials": write_trials_sql,
     "stream_trial_timing": trial_timing_sql,
     **{g: _feature_group_sql(g) for g in ("hw_ratios", "mem_pressure", "batch_features", "batch_hw",

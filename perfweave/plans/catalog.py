@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL, TRANSFORMER
+from ..config import CNN, MIN_HELDOUT_ROWS, MLP_LOGO, TARGET_BASE, TARGET_FULL, TRANSFORMER
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
-from ..operators.joins import enrich_with_spec
+from ..operators.joins import enrich_with_spec, small_result
 from ..operators import folds, gbt, grid, layers, predict, text, timing
-from ..operators.features import engineer
+from ..operators.features import engineer, engineer_with_dimension
 from ..operators.profile import profile, skew_candidates
 from ..sources import fixtures, manifest
 from ..sources import reports as report_src
@@ -172,7 +172,9 @@ def layer_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.host_configs(trials(spark, sf_dir))
+    """Observed host configurations: one pass over the trials, materialised
+    as a small broadcast table (every grid job reads it)."""
+    return small_result(grid.host_configs(trials(spark, sf_dir)))
 
 
 def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,6 +454,17 @@ def transformer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "arch_family_inferred", "mem_pressure", "roof_time_ms")
 
 
+def mlp_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X8 (MLP-named copy, F_MLP_*) + X11/X12 on the MLP grid of every
+    observed host, enriched with the GPU specification."""
+    g = grid.mlp_grid(_hosts(spark, sf_dir)).withColumn("amp", F.col("prec_bits") == 16)
+    f = engineer_with_dimension(g, fixtures.gpu_spec(spark), MLP_LOGO)
+    return f.select("gpu_name", "storage", "vcpu", "model", "dataset", "embed_dim", "learning_rate",
+                    "batch_size", "optimizer", "prec_bits", "F_MLP_sample", "F_MLP_batch",
+                    "log_F_MLP_sample", "log_F_MLP_batch", "log2_batch_size", "B_per_SM", "B_over_GB",
+                    "arch_family", "has_tensor_cores", "tc_util_proxy")
+
+
 # --------------------------------------------------------------- sinks ---
 
 def write_trials_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,6 +582,7 @@ REGISTRY = {
     "clean_report": clean_report,
     "dedup_columns": dedup_columns_q,
     "transformer_features": transformer_features,
+    "mlp_features": mlp_features,
     "write_trials": write_trials_q,
     "stream_trial_timing": stream_trial_timing,
     "oof_gbt": oof_gbt,
