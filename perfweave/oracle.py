@@ -16,7 +16,7 @@ GPU_SPEC = fx.gpu_spec_sql()
 # decimals (summation order differs between engines; fewer digits make a
 # rounding tie between the two results ~100x less likely).
 AGG_KEYS = {"kfold_report", "kfold_report_overall", "kfold_report_mean", "logo_breakdown",
-            "logo_summary", "report_ymax", "oof_mean", "oof_linear", "logo_mean", "logo_linear",
+            "logo_summary", "logo_report", "report_ymax", "oof_mean", "oof_linear", "logo_mean", "logo_linear",
             "fold_scale", "skew_profile", "median_fill",
             "layer_flops", "format_report", "clean_report", "oof_ridge", "manifest_bytes"}
 _DIGITS = {"d": 6}
@@ -645,6 +645,15 @@ SELECT gpu_name AS GPU, n_samples, {r6('rf')} AS RMSE_full_ms, {r6('rb')} AS RMS
 FROM s ORDER BY rf"""
 
 
+def logo_report_sql() -> str:
+    b = logo_breakdown_sql()
+    sm = logo_summary_sql().replace(" ORDER BY rf", "")
+    return f"""WITH b AS ({b}), s AS ({sm})
+SELECT b.*, s.n_samples AS gpu_n_samples, s.RMSE_full_ms AS gpu_RMSE_full_ms,
+  s.RMSE_base_ms AS gpu_RMSE_base_ms, s.Improvement_pct AS gpu_Improvement_pct
+FROM b JOIN s ON b.gpu_name = s.GPU"""
+
+
 def report_ymax_sql() -> str:
     return f"""WITH {_logo_pred_cte()},
 s AS (SELECT gpu_name, {_group_stats('gpu_name')} FROM p GROUP BY gpu_name)
@@ -1004,6 +1013,7 @@ ORACLES = {
     "logo_linear": logo_linear_sql,
     "logo_breakdown": logo_breakdown_sql,
     "logo_summary": logo_summary_sql,
+    "logo_report": logo_report_sql,
     "kfold_report_overall": kfold_report_overall_sql,
     "kfold_report_mean": kfold_report_mean_sql,
     "fold_impute": fold_impute_sql,

@@ -270,6 +270,12 @@ def logo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.logo_summary(_logo_pred(spark, sf_dir))
 
 
+def logo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakdown rows joined to their GPU's summary row."""
+    pred = _logo_pred(spark, sf_dir)
+    return reports.logo_report(reports.logo_breakdown(pred), reports.logo_summary(pred))
+
+
 def kfold_report_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-fold RMSE per model."""
     return evaluate.kfold_report(spark, sf_dir, "linear", keys=("model",))
@@ -562,6 +568,7 @@ REGISTRY = {
     "logo_linear": logo_linear,
     "logo_breakdown": logo_breakdown,
     "logo_summary": logo_summary,
+    "logo_report": logo_report,
     "kfold_report_overall": kfold_report_overall,
     "kfold_report_mean": kfold_report_mean,
     "fold_impute": fold_impute,

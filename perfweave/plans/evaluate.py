@@ -34,7 +34,7 @@ def evaluation_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_features(spark: SparkSession, sf_dir: str, fam: FamilyConfig = CNN,
-                        log1p: bool = True, exact: bool = True, cache: bool = True) -> DataFrame:
+                        log1p: bool = True, exact: bool = True, cache: bool = False) -> DataFrame:
     """Fixture trials -> full feature frame, GPU-only features via the GPU
     dimension (see ``engineer_with_dimension``)."""
     t = drop_missing_targets(require_columns(trials(spark, sf_dir)))
@@ -46,14 +46,17 @@ _CACHED: list = []
 
 
 def feature_frame(df: DataFrame, fam: FamilyConfig = CNN, exact: bool = True,
-                  stats: Stats | None = None, log1p: bool = True, cache: bool = True) -> DataFrame:
+                  stats: Stats | None = None, log1p: bool = True, cache: bool = False) -> DataFrame:
     """Feature prefix + heavy-tail logs.
 
     Jobs: the one-row stats aggregate, then (with ``log1p``) the profile
-    aggregate.  With ``cache`` the engineered frame is persisted
-    (MEMORY_AND_DISK, recomputable from lineage) so the profile and every
-    consumer read it instead of recomputing ~100 expressions per row; only
-    the most recent such frame is kept.
+    aggregate.  The feature projection is a narrow, codegen'd pipeline over
+    the scan, so consumers recompute it: measured at sf0.1, persisting the
+    ~100-column frame cost more (12 s) than the two recomputations it saves
+    (~7 s each), and at scale it would write the whole frame once more.
+    ``cache=True`` (MEMORY_AND_DISK, recomputable) is for callers that read
+    the frame many times (e.g. k model fits); only the most recent such
+    frame is kept.
     """
     f = engineer(df, fam, stats or global_stats(df, fam, exact=exact))
     return finish_features(f, fam, log1p, cache)
