@@ -101,6 +101,7 @@ def cnn_grid(hosts: DataFrame) -> DataFrame:
     for name, vals in (("optimizer", CNN_OPTIMIZERS), ("learning_rate", CNN_LRS),
                        ("batch_size", CNN_BATCH), ("prec_bits", PRECISIONS)):
         g = explode_values(g, name, vals)
+    g = g.withColumn("batch_size", F.col("batch_size").cast("bigint"))
     return _with_workers(g).withColumn("architecture", F.lit("CNN"))
 
 
@@ -119,7 +120,7 @@ def mlp_grid(hosts: DataFrame) -> DataFrame:
     for name, vals in (("learning_rate", MLP_LRS), ("batch_size", MLP_BATCH),
                        ("optimizer", MLP_OPTIMIZERS), ("prec_bits", PRECISIONS)):
         g = explode_values(g, name, vals)
-    g = _with_workers(g)
+    g = _with_workers(g.withColumn("batch_size", F.col("batch_size").cast("bigint")))
     n_patches, fwd = image_mlp_forward_flops("model", "image_size", "patch_size", "in_chans",
                                              "embed_dim", "depth", "token_mlp_dim", "channel_mlp_dim")
     g = g.withColumns({"num_patches": n_patches, "flops_fwd_per_sample": fwd})

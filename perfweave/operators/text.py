@@ -105,7 +105,7 @@ def pad(ids, max_len: int) -> tuple[Column, Column]:
     """(padded ids of exactly ``max_len``, true length min(len, max_len))."""
     c = col_(ids)
     padded = F.slice(F.concat(c, F.array_repeat(F.lit(PAD_ID), max_len)), 1, max_len)
-    return padded, F.least(F.size(c), F.lit(max_len))
+    return padded, F.least(F.size(c), F.lit(max_len)).cast("bigint")
 
 
 def ids_text(ids) -> Column:

@@ -335,7 +335,8 @@ def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower-cased word tokens of every document."""
     c = fixtures.corpus(spark, sf_dir).select("doc_id", text.tokenize("text").alias("tokens"))
-    return c.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"))
+    return c.select("doc_id", F.array_join("tokens", " ").alias("tokens"),
+                    F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
 def vocab_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +354,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 + T4 + T5 + J5: ids of the first SEQ_LEN tokens, unknown -> <unk>."""
     e = _encoded(spark, sf_dir)
-    return e.select("doc_id", text.ids_text("ids").alias("ids"), F.size("ids").alias("n_ids"))
+    return e.select("doc_id", text.ids_text("ids").alias("ids"), F.size("ids").cast("bigint").alias("n_ids"))
 
 
 def pad_q(spark: SparkSession, sf_dir: str) -> DataFrame:
