@@ -82,3 +82,17 @@ def test_entry_smoke(spark):
     assert len(rows) > 0
     assert df.columns == ["model", "vcpu", "storage", "n_samples", "RMSE_full_ms", "RMSE_base_ms",
                           "Improvement_pct"]
+
+
+def test_broadcast_helpers_check_size(spark):
+    from perfweave.operators.joins import bounded_broadcast, small_result
+    small = spark.range(10)
+    big = spark.range(1000)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(bounded_broadcast(small, max_rows=100)).lower()
+    assert "broadcast" not in plan(bounded_broadcast(big, max_rows=100)).lower()
+    # a small computed table is materialised once and hinted; a large one stays lazy
+    s = small_result(small.groupBy((small.id % 3).alias("k")).count(), max_rows=100)
+    assert "broadcast" in plan(s).lower() and s.count() == 3
+    b = small_result(big.withColumnRenamed("id", "k"), max_rows=100)
+    assert "broadcast" not in plan(b).lower() and b.count() == 1000
