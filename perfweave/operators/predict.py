@@ -290,28 +290,69 @@ def scale_with(df: DataFrame, moments: DataFrame, fold_col: str, feats: list[str
             .drop(*[f"mean__{c}" for c in feats], *[f"std__{c}" for c in feats])
 
 
+MAX_FOLDS = 1000
+
+
 def fold_medians(df: DataFrame, fold_col: str, feats: list[str], exact: bool = True) -> DataFrame:
     """Training-set median of every feature for every held-out fold.
 
-    The training set of fold f is "all rows with fold != f".  Medians are not
-    additive, so each fold's training median is one aggregate over the rows
-    of the other folds: the facts are joined to the (small) fold list on
-    ``fold != f`` per fold value - expressed as a union of k filtered
-    aggregates, each a full partial/final aggregation.  Non-finite -> 0;
-    a feature without training values yields NULL (dropped by the caller).
+    The training set of fold f is "all rows whose fold is not f" (a NULL
+    fold always trains).  Exact medians come from ONE pass over the facts:
+    the features are unpivoted to (feature, x) and counted per distinct value
+    - in total and per fold (k conditional counts, partial aggregation) - so
+    fold f's training histogram is ``total - count_f``.  A running sum per
+    feature (ordered by x) locates the median ranks of every fold at once;
+    the interpolation between the two middle values is the one of Spark's
+    ``percentile``.  The window holds one feature's distinct values, the
+    memory bound of any exact median.  ``exact=False`` uses one bounded
+    ``percentile_approx`` sketch per fold (k aggregates; sketches do not
+    subtract).  A feature without training values yields NULL.
     """
-    folds = [r[0] for r in df.select(fold_col).distinct().where(F.col(fold_col).isNotNull()).collect()]
-    med = (lambda c: F.percentile(dbl(c), 0.5)) if exact else \
-          (lambda c: F.percentile_approx(dbl(c), 0.5, 10000).cast("double"))
-    parts = []
-    for f in sorted(folds):
-        train = df.where(F.col(fold_col).isNull() | (F.col(fold_col) != F.lit(f)))
-        parts.append(train.agg(*[med(c).alias(f"med__{c}") for c in feats])
-                     .withColumn(fold_col, F.lit(f)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(fold_col, *[F.col(f"med__{c}") for c in feats])
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().where(F.col(fold_col).isNotNull())
+                   .limit(MAX_FOLDS + 1).collect())
+    if len(folds) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds")
+    if not exact:
+        parts = []
+        for f in folds:
+            train = df.where(F.col(fold_col).isNull() | (F.col(fold_col) != F.lit(f)))
+            parts.append(train.agg(*[F.percentile_approx(dbl(c), 0.5, 10000).cast("double")
+                                     .alias(f"med__{c}") for c in feats]).withColumn(fold_col, F.lit(f)))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.select(fold_col, *[F.col(f"med__{c}") for c in feats])
+
+    long = df.select(F.col(fold_col).alias("__fold"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), dbl(c).alias("x")) for c in feats]))).where(F.col("x").isNotNull())
+    hist = long.groupBy("feature", "x").agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.col("__fold") == F.lit(f)).alias(f"c{i}") for i, f in enumerate(folds)])
+    run = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("feature")
+    train = {i: F.col("total") - F.col(f"c{i}") for i in range(len(folds))}
+    cum = hist.select("feature", "x",
+                      *[F.sum(train[i]).over(run).alias(f"cum{i}") for i in train],
+                      *[F.sum(train[i]).over(whole).alias(f"n{i}") for i in train])
+    aggs = []
+    for i in train:
+        pos = (F.col(f"n{i}") - 1) * 0.5
+        r_lo, r_hi = F.floor(pos) + 1, F.ceil(pos) + 1
+        aggs += [F.min(F.when(F.col(f"cum{i}") >= r_lo, F.col("x"))).alias(f"lo{i}"),
+                 F.min(F.when(F.col(f"cum{i}") >= r_hi, F.col("x"))).alias(f"hi{i}"),
+                 F.max(pos).alias(f"pos{i}")]
+    per_feature = cum.groupBy("feature").agg(*aggs)
+    rows = []
+    for i, f in enumerate(folds):
+        lo, hi, pos = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"pos{i}")
+        med = F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
+        rows.append(F.struct(F.lit(f).alias(fold_col), med.alias("med")))
+    long_med = per_feature.select("feature", F.inline(F.array(*rows)))
+    wide = long_med.groupBy(fold_col).pivot("feature", list(feats)).agg(F.first("med"))
+    # folds whose training rows hold no value of a feature still get a row
+    base = df.sparkSession.createDataFrame([(f,) for f in folds], df.select(fold_col).schema)
+    out = base.join(wide, fold_col, "left")
+    return out.select(fold_col, *[F.col(c).cast("double").alias(f"med__{c}") for c in feats])
 
 
 def impute_with(df: DataFrame, medians: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:

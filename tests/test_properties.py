@@ -170,3 +170,18 @@ def test_oof_ridge_equals_refit_by_filter(spark, feats):
         Xt = te[cols].astype(float).fillna(pd.Series(mu, index=cols)).to_numpy(float)
         expect = y.mean() + ((Xt - mu) / sd) @ beta_std
         assert np.allclose(te["p"].to_numpy(float), expect, rtol=1e-6, atol=1e-6)
+
+
+def test_fold_medians_equal_refit_by_filter(spark):
+    rows = [(f, x, y) for f, x, y in [
+        ("a", 1.0, None), ("a", 5.0, 2.0), ("b", 2.0, 2.0), ("b", 2.0, 7.0), ("b", 9.0, 1.0),
+        ("c", 4.0, 3.0), ("c", None, 3.0), (None, 3.0, 8.0), (None, 7.5, None), ("c", 6.0, None)]]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r for r in predict.fold_medians(df, "g", ["x", "y"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    for g in ["a", "b", "c"]:
+        tr = pdf[pdf.g != g]   # NULL-fold rows always train
+        for c in ["x", "y"]:
+            assert got[g][f"med__{c}"] == pytest.approx(tr[c].median())
+    approx = {r["g"]: r for r in predict.fold_medians(df, "g", ["x"], exact=False).collect()}
+    assert set(approx) == {"a", "b", "c"}
