@@ -158,6 +158,68 @@ def oof_linear(df: DataFrame, fold_col: str, specs, min_rows: int | None = None)
     return df
 
 
+def linear_report_sums(df: DataFrame, fold_col: str, x: str, specs, y_score: str, keys) -> DataFrame:
+    """Out-of-fold linear models AND their report sums from ONE pass.
+
+    One aggregate at (fold, *keys) collects the training sums of every
+    target and the scoring sums against ``y_score`` (n, x, x^2, y, y^2, xy
+    split by whether x is present).  The k-row leave-out models come from
+    the fold totals of that table; each model's prediction sum and squared
+    error per (fold, key) follow analytically
+    (``sum (y - a - b x)^2 = Syy - 2a Sy - 2b Sxy + a^2 n + 2ab Sx + b^2 Sxx``;
+    rows without x are predicted by the leave-out mean).  Returns the
+    report-ready table ``keys + (n, sy, sp_<name>, se_<name>)`` without ever
+    scoring the facts row by row.  ``specs`` = [(name, target)].
+    """
+    xx, ys = dbl(x), dbl(y_score)
+    hx, hy = xx.isNotNull(), ys.isNotNull()
+    targets = sorted({t for _, t in specs})
+    aggs = [F.count(F.lit(1)).alias("rows"),
+            F.count_if(hx).cast("double").alias("cx"), F.count_if(~hx).cast("double").alias("c0"),
+            F.coalesce(F.sum(F.when(hx, xx)), F.lit(0.0)).alias("sx_all"),
+            F.sum(ys).alias("sy_score"),
+            F.count_if(hx & hy).cast("double").alias("m1"),
+            F.coalesce(F.sum(F.when(hx & hy, xx)), F.lit(0.0)).alias("sx1"),
+            F.coalesce(F.sum(F.when(hx & hy, xx * xx)), F.lit(0.0)).alias("sxx1"),
+            F.coalesce(F.sum(F.when(hx, ys)), F.lit(0.0)).alias("sy1"),
+            F.coalesce(F.sum(F.when(hx, ys * ys)), F.lit(0.0)).alias("syy1"),
+            F.coalesce(F.sum(F.when(hx, xx * ys)), F.lit(0.0)).alias("sxy1"),
+            F.count_if(~hx & hy).cast("double").alias("m0"),
+            F.coalesce(F.sum(F.when(~hx, ys)), F.lit(0.0)).alias("sy0"),
+            F.coalesce(F.sum(F.when(~hx, ys * ys)), F.lit(0.0)).alias("syy0")]
+    for t in targets:
+        yt = dbl(t)
+        both = hx & yt.isNotNull()
+        aggs += [F.count_if(both).cast("double").alias(f"n__{t}"),
+                 F.coalesce(F.sum(F.when(both, xx)), F.lit(0.0)).alias(f"sx__{t}"),
+                 F.coalesce(F.sum(F.when(both, yt)), F.lit(0.0)).alias(f"sy__{t}"),
+                 F.coalesce(F.sum(F.when(both, xx * xx)), F.lit(0.0)).alias(f"sxx__{t}"),
+                 F.coalesce(F.sum(F.when(both, xx * yt)), F.lit(0.0)).alias(f"sxy__{t}"),
+                 F.count(yt).cast("double").alias(f"ny__{t}"),
+                 F.coalesce(F.sum(yt), F.lit(0.0)).alias(f"sya__{t}")]
+    fine_keys = [fold_col] + [k for k in keys if k != fold_col]
+    fine = small_result(df.groupBy(*fine_keys).agg(*aggs))
+    parts = ["n", "sx", "sy", "sxx", "sxy", "ny", "sya"]
+    per_fold = fine.groupBy(fold_col).agg(*[F.sum(f"{p}__{t}").alias(f"{p}__{t}")
+                                            for t in targets for p in parts])
+    model = None
+    for name, t in specs:
+        m = leave_out_linear_from(per_fold, fold_col, t, name).drop(f"{name}_train_rows")
+        model = m if model is None else model.join(m, fold_col)
+    j = fine.join(F.broadcast(model), fold_col, "left")
+    out = {}
+    for name, _ in specs:
+        a, b, ybar = F.col(f"{name}_a"), F.col(f"{name}_b"), F.col(f"{name}_ybar")
+        out[f"sp_{name}"] = a * F.col("cx") + b * F.col("sx_all") + F.when(F.col("c0") > 0, ybar * F.col("c0")).otherwise(0.0)
+        sse_x = (F.col("syy1") - 2.0 * a * F.col("sy1") - 2.0 * b * F.col("sxy1") + a * a * F.col("m1")
+                 + 2.0 * a * b * F.col("sx1") + b * b * F.col("sxx1"))
+        sse_0 = F.when(F.col("m0") > 0, F.col("syy0") - 2.0 * ybar * F.col("sy0") + ybar * ybar * F.col("m0")) \
+                 .otherwise(0.0)
+        out[f"se_{name}"] = sse_x + sse_0
+    return j.select(*fine_keys, F.col("rows").alias("n"), F.col("sy_score").alias("sy"),
+                    *[c.alias(k) for k, c in out.items()])
+
+
 def gram_fold_sums(df: DataFrame, fold_col: str, feats: list[str], y: str) -> DataFrame:
     """ONE pass: per fold, over complete rows (all features and y present):
     n, sums of x_i, y, x_i*x_j (i <= j) and x_i*y - (k rows, p^2/2 columns)."""

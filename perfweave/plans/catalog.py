@@ -262,18 +262,18 @@ def logo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logo_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + X25: per held-out GPU, errors by (model, vcpu|storage|batch)."""
-    return reports.logo_breakdown(_logo_pred(spark, sf_dir))
+    return reports.logo_breakdown_from(evaluate.logo_sums(spark, sf_dir))
 
 
 def logo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 + X27 + P10: per held-out GPU RMSE of both models."""
-    return reports.logo_summary(_logo_pred(spark, sf_dir))
+    return reports.logo_summary_from(evaluate.logo_sums(spark, sf_dir))
 
 
 def logo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breakdown rows joined to their GPU's summary row."""
-    pred = _logo_pred(spark, sf_dir)
-    return reports.logo_report(reports.logo_breakdown(pred), reports.logo_summary(pred))
+    fine = evaluate.logo_sums(spark, sf_dir)
+    return reports.logo_report(reports.logo_breakdown_from(fine), reports.logo_summary_from(fine))
 
 
 def kfold_report_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +312,7 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_ymax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis limit = max over both RMSE columns of the LOGO summary."""
-    s = reports.logo_summary(_logo_pred(spark, sf_dir))
+    s = reports.logo_summary_from(evaluate.logo_sums(spark, sf_dir))
     return s.agg(F.max(F.greatest("RMSE_full_ms", "RMSE_base_ms")).alias("ymax"))
 
 
@@ -429,7 +429,7 @@ def manifest_val(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-(model, batch) LOGO table rendered as a text report with
     padded headers and units, as a published CSV would hold it."""
-    b = reports.logo_breakdown(_logo_pred(spark, sf_dir)).where(F.col("breakdown") == "batch")
+    b = reports.logo_breakdown_from(evaluate.logo_sums(spark, sf_dir)).where(F.col("breakdown") == "batch")
     return b.select(F.col("model").alias(" Model "), F.col("group_value").alias("Batch Size "),
                     reports.fmt("Actual_ms_mean", 2).alias("Actual (ms)"),
                     F.concat(reports.fmt("Pred_full_ms_mean", 2), F.lit(" ms")).alias(" Predicted (ms)"))

@@ -100,9 +100,33 @@ def with_batch_features(df: DataFrame) -> DataFrame:
 def kfold_report(spark: SparkSession, sf_dir: str, predictor: str = "linear",
                  keys=("model", "vcpu", "storage")) -> DataFrame:
     t = with_batch_features(drop_missing_targets(require_columns(trials(spark, sf_dir))))
+    if predictor == "linear":
+        # one pass: models and report sums from the same aggregate
+        return reports.kfold_report_from(linear_report_sums(reports.category_keys(t, keys), "fold", keys),
+                                          keys)
     return reports.kfold_report(kfold_predictions(t, "fold", predictor), keys)
 
 
+def linear_report_sums(df: DataFrame, fold_col: str, keys, x: str = "log2_batch_size",
+                       min_rows: int | None = None) -> DataFrame:
+    """Both linear models (full, base) fitted out of fold and summarised at
+    (fold, *keys) from one pass; ``min_rows`` keeps held-out folds only."""
+    sums = predict.linear_report_sums(df, fold_col, x, [("pred_full", TARGET_FULL),
+                                                        ("pred_base", TARGET_BASE)], TARGET_FULL, keys)
+    if min_rows is not None:
+        held = sums.groupBy(fold_col).agg(F.sum("n").alias("n"))
+        held = held.where(F.col(fold_col).isNotNull() & (F.col("n") >= min_rows)).select(fold_col)
+        sums = sums.join(F.broadcast(held), fold_col, "left_semi")
+    return reports.analytic_sums(sums)
+
+
+def logo_sums(spark: SparkSession, sf_dir: str, gpu: str = "gpu_name") -> DataFrame:
+    """Leave-one-GPU-out linear models summarised at (gpu, model, vcpu,
+    storage, batch_size), one pass over the trials."""
+    t = with_batch_features(drop_missing_targets(require_columns(trials(spark, sf_dir))))
+    return linear_report_sums(t, gpu, reports.LOGO_KEYS, min_rows=MIN_HELDOUT_ROWS)
+
+
 def logo_predictions(df: DataFrame, gpu: str = "gpu_name", predictor: str = "linear",
                      x: str = "log2_batch_size", min_rows: int = MIN_HELDOUT_ROWS) -> DataFrame:
     """Leave-one-GPU-out predictions (M4): every known GPU with enough rows
