@@ -185,3 +185,19 @@ def test_fold_medians_equal_refit_by_filter(spark):
             assert got[g][f"med__{c}"] == pytest.approx(tr[c].median())
     approx = {r["g"]: r for r in predict.fold_medians(df, "g", ["x"], exact=False).collect()}
     assert set(approx) == {"a", "b", "c"}
+
+
+def test_one_pass_report_equals_row_scoring(spark):
+    t = evaluate.with_batch_features(drop_missing_targets(trials(spark, SF001)))
+    # missing x on some rows exercises the leave-out-mean fallback
+    t = t.withColumn("log2_batch_size", F.when(F.col("l_linenumber") == 2, None)
+                     .otherwise(F.col("log2_batch_size")))
+    keys = ("model", "vcpu", "storage")
+    fast = {tuple(r[k] for k in keys): r for r in reports.kfold_report_from(
+        evaluate.linear_report_sums(t, "fold", keys), keys).collect()}
+    slow = {tuple(r[k] for k in keys): r for r in reports.kfold_report(
+        evaluate.kfold_predictions(t, "fold", "linear"), keys).collect()}
+    assert fast.keys() == slow.keys()
+    for k, r in slow.items():
+        for c in ("n_samples", "RMSE_full_ms", "RMSE_base_ms", "Improvement_pct"):
+            assert fast[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9)
