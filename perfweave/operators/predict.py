@@ -220,6 +220,38 @@ def linear_report_sums(df: DataFrame, fold_col: str, x: str, specs, y_score: str
                     *[c.alias(k) for k, c in out.items()])
 
 
+def group_mean_report_sums(df: DataFrame, fold_col: str, specs, y_score: str, keys) -> DataFrame:
+    """Out-of-fold group-mean models AND their report sums from ONE pass.
+
+    One aggregate at (fold, union of all group keys and report keys) holds
+    the training sums of every target and the scoring sums (n, Sy, Syy) of
+    ``y_score``; each spec's leave-out means come from that table and a
+    cell's squared error is ``Syy - 2 p Sy + p^2 n``.  ``specs`` =
+    [(name, target, groups)].  Returns ``fine keys + (n, sy, sp_<name>,
+    se_<name>)``.
+    """
+    ys = dbl(y_score)
+    fine_keys = list(dict.fromkeys([fold_col, *[g for _, _, gs in specs for g in gs], *keys]))
+    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(ys).alias("sy_score"),
+            F.coalesce(F.sum(ys * ys), F.lit(0.0)).alias("syy_score"),
+            F.count(ys).cast("double").alias("cnt_score")]
+    for t in sorted({t for _, t, _ in specs}):
+        aggs += [F.sum(dbl(t)).alias(f"s__{t}"), F.count(t).alias(f"n__{t}")]
+    fine = small_result(df.groupBy(*fine_keys).agg(*aggs))
+    j = fine
+    for name, t, groups in specs:
+        m = leave_out_group_mean_from(fine, fold_col, t, groups, name).drop(f"{name}_train_rows")
+        j = j.join(F.broadcast(m), [fold_col, *groups], "left")
+    out = {}
+    for name, _, _ in specs:
+        p = F.col(name)
+        out[f"sp_{name}"] = p * F.col("rows")
+        out[f"se_{name}"] = F.col("syy_score") - 2.0 * p * F.coalesce(F.col("sy_score"), F.lit(0.0)) \
+            + p * p * F.col("cnt_score")
+    return j.select(*fine_keys, F.col("rows").alias("n"), F.col("sy_score").alias("sy"),
+                    *[c.alias(k) for k, c in out.items()])
+
+
 def gram_fold_sums(df: DataFrame, fold_col: str, feats: list[str], y: str) -> DataFrame:
     """ONE pass: per fold, over complete rows (all features and y present):
     n, sums of x_i, y, x_i*x_j (i <= j) and x_i*y - (k rows, p^2/2 columns)."""

@@ -100,11 +100,16 @@ def with_batch_features(df: DataFrame) -> DataFrame:
 def kfold_report(spark: SparkSession, sf_dir: str, predictor: str = "linear",
                  keys=("model", "vcpu", "storage")) -> DataFrame:
     t = with_batch_features(drop_missing_targets(require_columns(trials(spark, sf_dir))))
+    t = reports.category_keys(t, keys)
+    # one pass: models and report sums from the same aggregate
     if predictor == "linear":
-        # one pass: models and report sums from the same aggregate
-        return reports.kfold_report_from(linear_report_sums(reports.category_keys(t, keys), "fold", keys),
-                                          keys)
-    return reports.kfold_report(kfold_predictions(t, "fold", predictor), keys)
+        return reports.kfold_report_from(linear_report_sums(t, "fold", keys), keys)
+    if predictor == "mean":
+        sums = predict.group_mean_report_sums(t, "fold", [("pred_full", TARGET_FULL, FULL_GROUPS),
+                                                          ("pred_base", TARGET_BASE, BASE_GROUPS)],
+                                              TARGET_FULL, keys)
+        return reports.kfold_report_from(reports.analytic_sums(sums), keys)
+    raise ValueError(f"unknown predictor {predictor!r}")
 
 
 def linear_report_sums(df: DataFrame, fold_col: str, keys, x: str = "log2_batch_size",

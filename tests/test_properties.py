@@ -201,3 +201,15 @@ def test_one_pass_report_equals_row_scoring(spark):
     for k, r in slow.items():
         for c in ("n_samples", "RMSE_full_ms", "RMSE_base_ms", "Improvement_pct"):
             assert fast[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9)
+
+
+def test_one_pass_mean_report_equals_row_scoring(spark):
+    t = drop_missing_targets(trials(spark, SF001))
+    keys = ("model", "vcpu", "storage")
+    fast = {tuple(r[k] for k in keys): r for r in evaluate.kfold_report(spark, SF001, "mean").collect()}
+    slow = {tuple(r[k] for k in keys): r for r in reports.kfold_report(
+        evaluate.kfold_predictions(t, "fold", "mean"), keys).collect()}
+    assert fast.keys() == slow.keys()
+    for k, r in slow.items():
+        for c in ("n_samples", "RMSE_full_ms", "RMSE_base_ms", "Improvement_pct"):
+            assert fast[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9)
