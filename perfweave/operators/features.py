@@ -187,11 +187,6 @@ def gpu_model_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame
     return df.withColumns(new) if new else df
 
 
-def hardware_flags(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
-    """GPU-only columns (per row) - kept for frames without a GPU dimension."""
-    return gpu_columns(df, fam, st)
-
-
 def gpu_dimension(spark, st: Stats, spec: DataFrame, fam: FamilyConfig,
                   key: str = "gpu_name") -> DataFrame | None:
     """One row per GPU name seen in the trials (plus a NULL-name row when

@@ -114,12 +114,6 @@ def _score_linear(df: DataFrame, model: DataFrame, fold_col: str, x: str, names)
     return j.withColumns(preds).drop(*keep[1:])
 
 
-def apply_linear(df: DataFrame, coefs: DataFrame, fold_col: str, x: str, name: str) -> DataFrame:
-    """Score every row with its fold's model: a broadcast join of the k-row
-    coefficient table (the facts are not shuffled)."""
-    return _score_linear(df, coefs, fold_col, x, [name])
-
-
 def oof_group_mean(df: DataFrame, fold_col: str, specs, min_rows: int | None = None) -> DataFrame:
     """Attach out-of-fold group-mean predictions; ``specs`` = [(name, y, groups)].
 
@@ -337,12 +331,6 @@ def _held_from(sums: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
                         .select(fold_col))
 
 
-def restrict_to_heldout(df: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
-    """Rows whose fold is held out (LOGO: known GPU with >= min_rows rows)."""
-    flags = small_result(holdout_flags(df, fold_col, min_rows).where("held_out").select(fold_col))
-    return df.join(flags, fold_col, "left_semi")
-
-
 # --------------------------------------------------------------------------
 # Fold-wise preprocessing (A11 median imputation, A12 standardisation).
 # --------------------------------------------------------------------------

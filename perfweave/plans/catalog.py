@@ -240,10 +240,6 @@ def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- LOGO ---
 
-def _logo_pred(spark: SparkSession, sf_dir: str, predictor: str = "linear") -> DataFrame:
-    return evaluate.logo_predictions(_eval_trials(spark, sf_dir), "gpu_name", predictor)
-
-
 def logo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 + M6a: leave-one-GPU-out group means of the GPU-only model."""
     t = _eval_trials(spark, sf_dir)
