@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perfweave.llm import mixing, packing_bestfit, quality_risk, secrets_markov
+from perfweave.llm import jaccard_adaptive, mixing, packing_bestfit, quality_risk, secrets_markov
 from perfweave.llm.common import table, written
 
 
@@ -13,6 +13,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_risk.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return jaccard_adaptive.one_of_each(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask; every document stays."""
     return secrets_markov.redact(docs, secrets_markov.train(secrets_markov.corpus_samples(docs)))
@@ -28,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing_bestfit.pack(docs)
 
 
-STAGES = [("quality", quality), ("secrets", secrets), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mix), ("packing", pack)]
 
 ORACLE_SQL = None  # the packing stage tokenises, which SQL cannot express
 

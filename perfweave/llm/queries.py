@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perfweave.llm import (langid_gru, mixing, packing_bestfit, preference, quality_risk, secrets_markov,
-                           substring_cover, toxicity_fm)
+import corpus_pipeline
+from perfweave.llm import (jaccard_adaptive, langid_gru, mixing, packing_bestfit, preference, quality_risk,
+                           secrets_markov, substring_cover, topk_pivots, toxicity_fm)
 from perfweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +20,20 @@ def _op6(spark, sf_dir):
                       "base_failed", "kept")
 
 
+def _op7(spark, sf_dir):
+    return jaccard_adaptive.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
 REGISTRY: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
+    "op1_topk_pivots": lambda s, d: topk_pivots.top_k(table(s, d, "embeddings")),
     "op2_preference_format": lambda s, d: preference.digest(table(s, d, "conversations")),
     "op3_toxicity_fm": lambda s, d: toxicity_fm.digest(table(s, d, "documents"), table(s, d, "labels")),
     "op4_mixing_budgets": lambda s, d: mixing.selection(table(s, d, "documents")),
     "op5_substring_cover": lambda s, d: substring_cover.digest(table(s, d, "documents")),
     "op6_quality_risk": _op6,
+    "op7_jaccard_adaptive": _op7,
     "op8_langid_gru": lambda s, d: langid_gru.digest(table(s, d, "documents")),
     "op9_secrets_markov": lambda s, d: secrets_markov.digest(table(s, d, "documents")),
     "op10_packing_bestfit": lambda s, d: packing_bestfit.pack(table(s, d, "documents")),
