@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfweave.session import ensure_checkpoint_dir
+from perfweave.storage import written  # noqa: F401  (operators import it from here)
 
 # A word is a run of characters other than these (Java and Python syntax agree).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,19 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
-
-    Cuts the lineage in one pass (``checkpoint()`` computes its input twice)
-    and survives the loss of executors.  The files stay until the checkpoint
-    folder is cleaned, since the caller's result still reads them.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Words of a text as an array (null or blank text: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
