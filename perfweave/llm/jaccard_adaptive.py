@@ -2,7 +2,8 @@
 
 A document is its set of distinct SHINGLE-word shingles (64-bit hashes).  Two
 documents link when 100 * intersection >= PERCENT * union.  All shingles have
-one global order: estimated document frequency first, hash second.  Linked
+one global order: class of estimated document frequency first, hash second;
+an order key holds both.  Linked
 sets x, y share at least ceil(t * max(|x|, |y|)) shingles, t = PERCENT / 100,
 so for every l the first |x| - ceil(t |x|) + l shingles of x and the like of y
 have l in common (multi-match prefix).  Each document picks its own l: longer
@@ -21,7 +22,10 @@ remaining pair across different components is generated, counted and
 verified, so no link between components is lost, while a group of thousands of
 near copies costs as many comparisons as it has members.  Posting lists that
 the sketch calls long are split by salt, and their hubs meet in a second
-round.  Verification counts the exact intersection of the hash sets.
+round.  Before any set is fetched, a pair's two prefixes bound its
+intersection: up to the smaller of their last keys all common shingles are
+seen, and beyond it at most the shorter rest is common.  Verification
+counts the exact intersection of the hash sets.
 
 Defined cases: null and blank texts have empty sets and link with nothing;
 with fewer than SHINGLE words the whole sequence is one shingle; repeated rows
@@ -66,6 +70,20 @@ def least_common(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def order_keys(h: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Sortable keys (positive 64-bit): frequency class, then 56 bits of the hash."""
+    level = np.minimum(4 * np.log2(1.0 + frequency[(h >> H.U64(64 - SKETCH_BITS)).astype(np.int64)]), 127).astype(np.int64)
+    return (level << 56) | (h & H.U64((1 << 56) - 1)).astype(np.int64)
+
+
+def bit_words(keys: np.ndarray) -> np.ndarray:
+    """256 bits, one set for each key by its hash."""
+    out = np.zeros(4, H.U64)
+    at = keys & 255
+    np.bitwise_or.at(out, at >> 6, H.U64(1) << (at & 63).astype(H.U64))
+    return out.astype(np.int64)
+
+
 def choose_matches(frequency: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     """(l, prefix length) with the least estimated cost; ``frequency`` is in prefix order."""
     common = least_common(n, percent)
@@ -91,7 +109,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
         rows = []
         for p in range(parts):
             at = np.flatnonzero(total[p * per:(p + 1) * per])
-            rows.append((p, at.astype("<i4").tobytes(), total[p * per + at].tobytes()))
+            rows.append((p, at.astype("<i4").tobytes(), total[p * per + at].astype("<i4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(
             (pa.int32(), pa.binary(), pa.binary()))], names=["part", "at", "n"])
 
@@ -99,7 +117,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
         out = np.zeros(per, np.int64)
         for f in frames:
             for at, n in zip(f["at"], f["n"]):
-                out[np.frombuffer(at, "<i4")] += np.frombuffer(n, np.int64)
+                out[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i4")
         yield pd.DataFrame([(key[0], out.tobytes())], columns=["part", "n"])
 
     def whole(f: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +131,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-SET_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, l int, prefix array<long>, salts array<int>"
+SET_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, l int, prefix array<long>, salts array<int>, bits array<long>"
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -124,25 +142,27 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
+        noise = frequency.mean()  # what other shingles add to a counter
         for b in batches:
             rows = []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), size)
                 n = len(h)
                 if not n:
-                    rows.append((0, 0, 0, 0, [], []))
+                    rows.append((0, 0, 0, 0, [], [], []))
                     continue
                 fp1, fp2 = (int(H.mix(h ^ H.U64(c)).sum(dtype=H.U64).astype(np.int64))
                             for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-                f = frequency[(h >> H.U64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((h, f))[:n - least_common(n, percent) + MATCHES]
-                l, length = choose_matches(f[order], n, percent)
-                order = order[:length]
-                rows.append((n, fp1, fp2, l, h[order].astype(np.int64), 1 + f[order] // SALT_ROWS))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                keys = order_keys(h, frequency)
+                order = np.argsort(keys)[:n - least_common(n, percent) + MATCHES]
+                f = np.maximum(frequency[(h[order] >> H.U64(64 - SKETCH_BITS)).astype(np.int64)] - noise, 1.0)
+                l, length = choose_matches(f, n, percent)
+                rows.append((n, fp1, fp2, l, keys[order[:length]], (1 + f[:length] // SALT_ROWS).astype(np.int32),
+                             bit_words(keys[order[:length]])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
-                names=["doc_id", "n", "fp1", "fp2", "l", "prefix", "salts"])
+                names=["doc_id", "n", "fp1", "fp2", "l", "prefix", "salts", "bits"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SET_SCHEMA)
 
@@ -163,12 +183,47 @@ def _sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
+def _bits_fit(a: str, b: str, percent: int) -> Column:
+    """False if the prefix bits alone rule a pair out.
+
+    The prefix that ends first lies in the part that both prefixes show.  Each
+    of its bits that the other lacks is a shingle the other lacks."""
+    def lacks(s, o):
+        return sum((F.bit_count(F.get(f"bits{s}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"bits{o}", F.lit(i)))))
+                    for i in range(4)), F.lit(0))
+
+    room = [(F.col(f"n{s}") - lacks(s, o)) * (100 + percent) >= (F.col(f"n{a}") + F.col(f"n{b}")) * percent
+            for s, o in ((a, b), (b, a))]
+    return F.when(F.col(f"last{a}") <= F.col(f"last{b}"), room[0]).otherwise(room[1])
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their prefixes do not rule out."""
+    of = classes.select("id", "n", F.col("x.l").alias("l"), F.col("x.prefix").alias("p"))
+    both = (pairs.select("a", "b").join(of.select(*[F.col(c).alias(f"{c}b") for c in ("id", "n", "l", "p")]), F.col("b") == F.col("idb"))
+            .join(of.select(*[F.col(c).alias(f"{c}a") for c in ("id", "n", "l", "p")]), F.col("a") == F.col("ida")))
+    common = F.size(F.array_intersect("pa", "pb"))
+    seen = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    rest = F.least(*[F.col(f"n{s}") - F.size(F.filter(f"p{s}", lambda x: x <= F.col("seen"))) for s in "ab"])
+    return (both.withColumns({"seen": seen, "common": common})
+            .where((F.col("common") >= F.least("la", "lb"))
+                   & ((F.col("common") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
+            .select("a", "b"))
+
+
 def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     with_b = pairs.select("a", "b").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     both = with_b.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Sets of the documents that take part in pairs, written."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return written(sets(texts, size), "sets")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -177,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(prefixes(narrow, size, percent), "prefixes")
     classes = written(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(
-        F.min("doc_id").alias("id"), F.min_by(F.struct("l", "prefix", "salts"), "doc_id").alias("x")), "classes")
+        F.min("doc_id").alias("id"), F.min_by(F.struct("l", "prefix", "salts", "bits"), "doc_id").alias("x")), "classes")
 
     # Posting entries with the salt that splits lists the sketch calls long.
     entry = F.explode(F.arrays_zip(F.col("x.prefix").alias("t"), F.col("x.salts").alias("s")))
@@ -193,28 +248,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         F.min("h").alias("top"), F.collect_set("h").alias("all"))  # as many as salts
     second = hubs.select("top", F.explode("all").alias("h")).select(
         F.col("top.id").alias("a"), F.col("top.n").alias("na"), F.col("h.id").alias("b"), F.col("h.n").alias("nb"))
-    star = written(first.unionByName(second).where(
-        (F.col("a") != F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "star")
-
-    # Sets of every class that shares a list.
-    involved = lists.select(F.col("id").alias("doc_id")).distinct()
-    items = written(sets(narrow.join(involved, "doc_id", "left_semi"), size).dropDuplicates(["id"]), "sets")
-    links = written(verified(star, items, percent), "links")
+    star = first.unionByName(second).where(
+        (F.col("a") != F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    star = written(plausible(star, classes, percent), "star")
+    links = written(verified(star, sets_of(narrow, star, size), percent), "links")
     joined = written(components(links), "components")
 
     # What the stars left open: lists that hold more than one component.
-    at = lists.select("t", "id", "n", "l").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "t", "id", "n", "l", F.coalesce("component", "id").alias("c"))
-    at = written(at, "members")
+    about = classes.select("id", "x.bits", F.element_at("x.prefix", -1).alias("last")).join(
+        joined.select(F.col("node").alias("id"), "component"), "id", "left")
+    at = written(lists.select("t", "id", "n", "l").join(about, "id").select(
+        "t", "id", "n", "l", "last", "bits", F.coalesce("component", "id").alias("c")), "members")
     mixed = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
-    rest = written(at.join(mixed, "t", "left_semi"), "open")
-    x, y = (rest.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "l", "c")]) for s in ("1", "2"))
-    open_pairs = (x.join(y, "t").where((F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2"))
-                                       & _sizes_fit(F.col("n1"), F.col("n2"), percent))
+    rest = at.join(mixed, "t", "left_semi")
+    x, y = (rest.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "l", "last", "bits", "c")]) for s in ("1", "2"))
+    open_pairs = (x.join(y, (x["t"] == y["t"]) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2"))
+                         & _sizes_fit(F.col("n1"), F.col("n2"), percent) & _bits_fit("1", "2", percent))
                   .groupBy(F.col("id1").alias("a"), F.col("id2").alias("b"))
                   .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l1", "l2")).alias("need")).where("k >= need"))
-    fresh = open_pairs.join(star, ["a", "b"], "left_anti")
-    more = written(verified(fresh, items, percent), "more")
+    fresh = written(plausible(open_pairs.join(star, ["a", "b"], "left_anti"), classes, percent), "open-pairs")
+    more = written(verified(fresh, sets_of(narrow, fresh, size), percent), "more")
     joined = written(components(links.unionByName(more)), "components")
 
     placed = classes.select("fp1", "fp2", F.col("n").alias("_n"), "id").join(
@@ -234,4 +287,4 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     judged = near_duplicates(docs, size, percent)
     gone = judged.where(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select(
         F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
