@@ -181,9 +181,11 @@ def selection(docs: DataFrame, seed: int = 17, budget_share: float = 0.6, max_ep
 
 def select_documents(docs: DataFrame, seed: int = 17, budget_share: float = 0.6, max_epochs: int = 1) -> DataFrame:
     """The selected documents with all their columns; one row for each epoch that takes them."""
-    cols = docs.columns
     _, plan = plan_for(docs, seed, budget_share, max_epochs)
-    return _expanded(with_leaf(docs), plan, seed).select(*[F.col(f"`{c}`") for c in cols])
+    # The input row travels as one struct, so its column names cannot clash.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "lang", "source")
+    return _expanded(with_leaf(row).drop("lang", "source"), plan, seed).select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def oracle_sql(seed: int = 17, budget_share: float = 0.6, max_epochs: int = 4) -> str:
@@ -215,7 +217,8 @@ a{step} AS (SELECT {cols}, coalesce(least(cap, w * arg_min(rate, pos) FILTER (WH
     return rf"""
 WITH t AS (SELECT doc_id, lang AS l, source AS s,
         'domain' || CAST(floor((strpos('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) / 4) AS INT) AS d,
-        len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM documents),
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens FROM documents),
 leaves AS (SELECT d, l, s, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY d, l, s),{deal(0, ["d"])},{
         deal(1, ["d", "l"])},{deal(2, ["d", "l", "s"])},
 plan AS (SELECT x.d, x.l, x.s, x.tokens, CAST(floor(alloc) AS BIGINT) AS alloc,

@@ -210,5 +210,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     judged = docs.select(key, stratum, "text", F.xxhash64("text").alias("_text_hash"))
     good = verdicts(judged, labels, stratum, key, alpha, delta, ("_text_hash",)).where("kept").select(
         F.col(key).alias("_kept_key"), F.col("_text_hash").alias("_kept_hash"))
-    return docs.join(good, F.col(key).eqNullSafe(F.col("_kept_key"))
-                     & (F.xxhash64(docs["text"]) == F.col("_kept_hash")), "left_semi")
+    return docs.join(good, docs[key].eqNullSafe(good["_kept_key"])
+                     & (F.xxhash64(docs["text"]) == good["_kept_hash"]), "left_semi")

@@ -168,9 +168,10 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, model: list[float], text: str = "text", mask: str = "[SECRET]",
            threshold: float = THRESHOLD) -> DataFrame:
     """The documents with every span replaced by ``mask`` (overlapping spans as one)."""
-    cols = docs.columns
-    df = find(docs, model, text, threshold)
-    t = F.col(text)
+    # The input row travels as one struct, so its column names cannot clash.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
+    df = find(row, model, "text", threshold)
+    t = F.col("text")
 
     def step(a, s):  # spans come by start; ``at`` is the end of what is already handled
         gap = F.substring(t, a["at"] + 1, s["s"] - a["at"])
@@ -179,8 +180,8 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", mask: str =
 
     clean = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                         lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return df.select(*[F.when(F.size("_spans") > 0, clean).otherwise(t).alias(c) if c == text else F.col(f"`{c}`")
-                       for c in cols])
+    return df.select(*[F.when(F.size("_spans") > 0, clean).otherwise(t).alias(c) if c == text else F.col("_row")[c].alias(c)
+                       for c in docs.columns])
 
 
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
