@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..config import FamilyConfig
 from ..functions import hardware as hw
 from ..functions.nulls import as_category, clip01, dbl, guarded_max, is_truthy, safe_ratio
+from ..storage import written
+from .joins import bounded_broadcast
+from .predict import exact_medians
 
 GIB = float(1024 ** 3)
-MAX_DIM_NAMES = 10_000
 
 # Columns that depend only on the GPU (its name and specification).
 SPEC_ONLY_CATEGORICALS = ("mem_type", "bus", "gpu_arch")
@@ -84,45 +86,48 @@ def _eff_len(df: DataFrame) -> Column:
     return F.coalesce(*parts) if parts else F.lit(None).cast("double")
 
 
-def stats_frame(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> DataFrame:
-    """ONE aggregate over the enriched trials (a single-row DataFrame).
+def stats_frame(df: DataFrame, fam: FamilyConfig) -> DataFrame:
+    """Whole-table statistics as a single-row DataFrame.
 
-    ``exact=True`` uses ``percentile`` (its buffer is a value->count map, so
-    memory grows with the number of distinct values, which is small for
-    hardware columns); ``exact=False`` uses the bounded ``percentile_approx``
-    sketch for high-cardinality inputs.
+    One aggregate per GPU name (row count, categories, non-missing counts)
+    covers everything that depends on few values; the medians of the
+    hardware columns are medians of its rows weighted by their counts.  Only
+    the medians of per-trial columns read the facts again, as value counts
+    cut into ranges (``predict.exact_medians``): no group of values is ever in
+    one task.
     """
-    def med(c: Column) -> Column:
-        return F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, 10000).cast("double")
-
     null = F.lit(None).cast("double")
-    aggs = []
-    for c in (c for c in fam.categorical if c in df.columns):
-        aggs += [F.sort_array(F.collect_set(as_category(c))).alias(f"cats__{c}"),
-                 F.count(c).alias(f"n__{c}")]
     name = "gpu_name" if "gpu_name" in df.columns else None
-    aggs.append(F.sort_array(F.collect_set(hw.arch_family(name))).alias("arch")
-                if name else F.array().cast("array<string>").alias("arch"))
-    # distinct GPU names (bounded by the number of GPU models, capped here:
-    # beyond the cap the name features are computed per row instead)
-    aggs.append(F.slice(F.collect_set(name), 1, MAX_DIM_NAMES + 1).alias("names")
-                if name else F.array().cast("array<string>").alias("names"))
-    aggs.append(F.count_if(F.col(name).isNull()).alias("null_names") if name else F.lit(0).alias("null_names"))
+    key = F.col(name) if name else F.lit(None).cast("string")
+    cats = [c for c in fam.categorical if c in df.columns]
     sm = _sm_col(df, fam)
-    aggs.append(med(dbl("bw_gbs")).alias("med_bw") if "bw_gbs" in df.columns else null.alias("med_bw"))
-    aggs.append(med(sm).alias("med_sm") if sm is not None else null.alias("med_sm"))
-    aggs.append((F.count("total_vram_bytes") if "total_vram_bytes" in df.columns
-                 else F.lit(0).cast("bigint")).alias("n_vram"))
-    roof = _raw_roof(df, fam)
-    aggs += [med(roof).alias("med_roof"), F.count(roof).alias("n_roof")]
+    hardware = {"med_bw": dbl("bw_gbs") if "bw_gbs" in df.columns else null, "med_sm": sm if sm is not None else null}
+    per_trial = {"med_roof": _raw_roof(df, fam)}
     if fam.flops_prefix == "F_TR":
-        aggs.append(med(_eff_len(df)).alias("med_eff"))
-    return df.agg(*aggs)
-
-
-def global_stats(df: DataFrame, fam: FamilyConfig, exact: bool = True) -> Stats:
+        per_trial["med_eff"] = _eff_len(df)
+    aggs = [F.count(F.lit(1)).alias("rows"),
+            (F.count("total_vram_bytes") if "total_vram_bytes" in df.columns else F.lit(0).cast("bigint")).alias("n_vram"),
+            F.count(per_trial["med_roof"]).alias("n_roof")]
+    for c in cats:
+        aggs += [F.collect_set(as_category(c)).alias(f"cats__{c}"), F.count(c).alias(f"n__{c}")]
+    by = [key.alias("__name"), *[x.alias(f"__{k}") for k, x in hardware.items()]]
+    per_gpu = written(df.groupBy(*by).agg(*aggs), "gpus")
+    arch = F.sort_array(F.collect_set(hw.arch_family("__name"))) if name else F.array().cast("array<string>")
+    total = per_gpu.agg(
+        *[x for c in cats for x in (F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"cats__{c}")))).alias(f"cats__{c}"),
+                                    F.sum(f"n__{c}").alias(f"n__{c}"))],
+        arch.alias("arch"), F.collect_set("__name").alias("names"),
+        F.coalesce(F.sum(F.when(F.col("__name").isNull(), F.col("rows"))), F.lit(0)).alias("null_names"),
+        *[F.percentile(f"__{k}", 0.5, F.col("rows")).alias(k) for k in hardware],
+        F.coalesce(F.sum("n_vram"), F.lit(0)).alias("n_vram"), F.coalesce(F.sum("n_roof"), F.lit(0)).alias("n_roof"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), x.alias("x")) for k, x in per_trial.items()])))
+    medians = {r["feature"]: r["median"] for r in exact_medians(long, ["feature"]).collect()}  # one or two numbers
+    return total.withColumns({k: F.lit(medians.get(k)).cast("double") for k in per_trial})
+
+
+def global_stats(df: DataFrame, fam: FamilyConfig) -> Stats:
     """Read the single stats row on the driver (categories, medians, counts)."""
-    r = stats_frame(df, fam, exact).collect()[0].asDict()
+    r = stats_frame(df, fam).collect()[0].asDict()
     cats = [c for c in fam.categorical if c in df.columns]
     categories = {c: list(r[f"cats__{c}"]) for c in cats if r[f"n__{c}"] > 0}
     return Stats(categories=categories, arch_families=list(r["arch"]),
@@ -188,13 +193,10 @@ def gpu_model_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame
 
 
 def gpu_dimension(spark, st: Stats, spec: DataFrame, fam: FamilyConfig,
-                  key: str = "gpu_name") -> DataFrame | None:
+                  key: str = "gpu_name") -> DataFrame:
     """One row per GPU name seen in the trials (plus a NULL-name row when
-    needed) with its spec and every GPU-only feature; None if there are too
-    many names (then the features are computed per row)."""
+    needed) with its spec and every GPU-only feature."""
     names = st.gpu_names or []
-    if len(names) > MAX_DIM_NAMES:
-        return None
     rows = [(n,) for n in names] + ([(None,)] if st.has_null_name else [])
     dim = spark.createDataFrame(rows, f"{key} string").join(spec, key, "left")
     return gpu_columns(dim, fam, st)
@@ -293,15 +295,13 @@ def trial_columns(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
     return batch_hw_features(df, fam, st)
 
 
-def engineer(df: DataFrame, fam: FamilyConfig, st: Stats | None = None,
-             exact: bool = True) -> DataFrame:
+def engineer(df: DataFrame, fam: FamilyConfig, st: Stats | None = None) -> DataFrame:
     """The whole feature prefix, computed per row on an enriched frame."""
-    st = st or global_stats(df, fam, exact=exact)
+    st = st or global_stats(df, fam)
     return trial_columns(gpu_columns(df, fam, st), fam, st)
 
 
-def engineer_with_dimension(trials: DataFrame, spec: DataFrame, fam: FamilyConfig,
-                            exact: bool = True, key: str = "gpu_name") -> DataFrame:
+def engineer_with_dimension(trials: DataFrame, spec: DataFrame, fam: FamilyConfig, key: str = "gpu_name") -> DataFrame:
     """Features with GPU-only work done once per GPU.
 
     The stats job runs over ``trials`` left-joined to ``spec``; the GPU
@@ -309,12 +309,9 @@ def engineer_with_dimension(trials: DataFrame, spec: DataFrame, fam: FamilyConfi
     then attached to the trials by ONE null-safe broadcast join, so per-row
     work is only the per-trial arithmetic.
     """
-    from .joins import bounded_broadcast
     enriched = trials.join(bounded_broadcast(spec), key, "left")
-    st = global_stats(enriched, fam, exact=exact)
+    st = global_stats(enriched, fam)
     dim = gpu_dimension(trials.sparkSession, st, spec, fam, key)
-    if dim is None:
-        return trial_columns(gpu_columns(enriched, fam, st), fam, st)
-    d = F.broadcast(dim.withColumnRenamed(key, "__dim_key"))
+    d = bounded_broadcast(written(dim, "gpu-dimension").withColumnRenamed(key, "__dim_key"))
     joined = trials.join(d, trials[key].eqNullSafe(d["__dim_key"]), "left").drop("__dim_key")
     return trial_columns(joined, fam, st)

@@ -82,9 +82,9 @@ def _pairs_table(spark: SparkSession, pairs) -> DataFrame:
 
 
 def _with_workers(df: DataFrame) -> DataFrame:
-    """Worker sweep clamped to the host's cap, duplicates removed."""
-    ws = F.array_distinct(F.transform(_lits(WORKER_SWEEP),
-                                      lambda w: clamp_workers(w, F.col("vcpu_cap"))))
+    """Worker sweep clamped to the host's cap (X24).  Distinct sweep values
+    that clamp to the same cap stay separate grid rows."""
+    ws = F.transform(_lits(dict.fromkeys(WORKER_SWEEP)), lambda w: clamp_workers(w, F.col("vcpu_cap")))
     return df.withColumn("vcpu", F.explode(ws)).withColumn("vcpu", F.col("vcpu").cast("bigint"))
 
 

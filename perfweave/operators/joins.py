@@ -25,19 +25,3 @@ def enrich_with_spec(trials: DataFrame, spec: DataFrame, key: str = "gpu_name",
     """Trial -> GPU specification left equi-join (J1); hardware columns stay
     NULL for GPUs the dimension does not know."""
     return trials.join(bounded_broadcast(spec, max_rows), key, "left")
-
-
-def small_result(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a small computed table (fold models, per-fold summaries)
-    once and return it as a broadcast-hinted local table.
-
-    The table is computed by ONE job (its aggregation over the facts runs
-    once, not once per consumer); the row count is the size check.  Beyond
-    ``max_rows`` the lazy frame is returned unhinted and AQE chooses the join
-    from runtime sizes.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    spark = df.sparkSession
-    return F.broadcast(spark.createDataFrame(rows, df.schema))

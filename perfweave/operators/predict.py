@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import dbl
-from .joins import small_result
+from ..storage import written
 
 
 def holdout_flags(df: DataFrame, fold_col: str, min_rows: int = 1) -> DataFrame:
@@ -27,9 +27,19 @@ def holdout_flags(df: DataFrame, fold_col: str, min_rows: int = 1) -> DataFrame:
               .withColumn("held_out", F.col(fold_col).isNotNull() & (F.col("fold_rows") >= min_rows)))
 
 
+def _totals(table: DataFrame, cols) -> dict:
+    """Whole-table sums of the columns: one row of numbers (0.0 when empty)."""
+    row = table.agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]).collect()[0]
+    return row.asDict()
+
+
 def _leave_out(sums: DataFrame, part_cols, cols) -> DataFrame:
-    """Add ``t_<c> = sum over partition - own value`` for every summed column."""
-    w = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()
+    """Add ``t_<c> = sum over partition - own value`` for every summed column.
+    Without partition columns the sums are those of the whole (small) table."""
+    if not part_cols:
+        total = _totals(sums, cols)
+        return sums.withColumns({f"t_{c}": F.lit(total[c]) - F.col(c) for c in cols})
+    w = Window.partitionBy(*part_cols)
     return sums.withColumns({f"t_{c}": F.sum(c).over(w) - F.col(c) for c in cols})
 
 
@@ -40,7 +50,7 @@ def fold_group_sums(df: DataFrame, fold_col: str, group_cols, targets) -> DataFr
     aggs = [F.count(F.lit(1)).alias("rows")]
     for y in targets:
         aggs += [F.sum(dbl(y)).alias(f"s__{y}"), F.count(y).alias(f"n__{y}")]
-    return df.groupBy(fold_col, *group_cols).agg(*aggs)
+    return written(df.groupBy(fold_col, *group_cols).agg(*aggs), "sums")
 
 
 def leave_out_group_mean_from(sums: DataFrame, fold_col: str, y: str, group_cols=(),
@@ -66,39 +76,54 @@ def leave_out_group_mean(df: DataFrame, fold_col: str, y: str, group_cols=(),
     return leave_out_group_mean_from(sums, fold_col, y, group_cols, name)
 
 
-def linear_fold_sums(df: DataFrame, fold_col: str, x: str, targets) -> DataFrame:
-    """ONE pass: per fold row count and, for each target, the regression
-    sums n, sx, sy, sxx, sxy (rows with x and y) and ny, sy_all (rows with y)."""
-    xx = dbl(x)
-    aggs = [F.count(F.lit(1)).alias("rows")]
+def _moments(x, y, tag: str) -> list:
+    """Aggregates of the pairs with x and y: count, means and centred sums of
+    squares and products (never raw sums of squares, which cancel)."""
+    return [F.regr_count(y, x).cast("double").alias(f"n__{tag}"), F.regr_avgx(y, x).alias(f"mx__{tag}"),
+            F.regr_avgy(y, x).alias(f"my__{tag}"), F.regr_sxx(y, x).alias(f"cxx__{tag}"),
+            F.regr_sxy(y, x).alias(f"cxy__{tag}"), F.regr_syy(y, x).alias(f"cyy__{tag}")]
+
+
+def linear_fold_sums(df: DataFrame, fold_col: str, x: str, targets, keys=(), more=()) -> DataFrame:
+    """ONE pass over the facts: per (fold, *keys) cell the row count and, for
+    each target, the moments of the rows with x and y and the count and mean
+    of all rows with y.  The cells are written once; everything else is
+    derived from them."""
+    aggs = [F.count(F.lit(1)).alias("rows"), *more]
     for y in targets:
-        yy = dbl(y)
-        both = xx.isNotNull() & yy.isNotNull()
-        aggs += [F.count_if(both).cast("double").alias(f"n__{y}"),
-                 F.coalesce(F.sum(F.when(both, xx)), F.lit(0.0)).alias(f"sx__{y}"),
-                 F.coalesce(F.sum(F.when(both, yy)), F.lit(0.0)).alias(f"sy__{y}"),
-                 F.coalesce(F.sum(F.when(both, xx * xx)), F.lit(0.0)).alias(f"sxx__{y}"),
-                 F.coalesce(F.sum(F.when(both, xx * yy)), F.lit(0.0)).alias(f"sxy__{y}"),
-                 F.count(yy).cast("double").alias(f"ny__{y}"),
-                 F.coalesce(F.sum(yy), F.lit(0.0)).alias(f"sya__{y}")]
-    return df.groupBy(fold_col).agg(*aggs)
-
-
-def leave_out_linear_from(sums: DataFrame, fold_col: str, y: str, name: str = "pred") -> DataFrame:
-    """Per fold: ``y ~ a + b x`` fitted on the other folds, from the k-row
-    sums table (M6b).  Leave-out mean of y is the fallback prediction for a
-    missing x and the intercept when x is constant."""
-    parts = ["n", "sx", "sy", "sxx", "sxy", "ny", "sya"]
-    s = sums.select(fold_col, *[F.col(f"{p}__{y}").alias(p) for p in parts])
-    s = _leave_out(s, [], parts)
-    den = F.col("t_n") * F.col("t_sxx") - F.col("t_sx") * F.col("t_sx")
-    b = F.coalesce(F.when(den != 0, (F.col("t_n") * F.col("t_sxy") - F.col("t_sx") * F.col("t_sy")) / den),
-                   F.lit(0.0))
-    s = s.withColumns({f"{name}_b": b, f"{name}_ybar": F.try_divide(F.col("t_sya"), F.col("t_ny"))})
-    a = F.when(F.col("t_n") > 0, (F.col("t_sy") - F.col(f"{name}_b") * F.col("t_sx")) / F.col("t_n")) \
-         .otherwise(F.col(f"{name}_ybar"))
+        aggs += [*_moments(dbl(x), dbl(y), y), F.count(dbl(y)).cast("double").alias(f"ny__{y}"),
+                 F.avg(dbl(y)).alias(f"mya__{y}")]
+    cells = [fold_col] + [k for k in keys if k != fold_col]
+    return written(df.groupBy(*cells).agg(*aggs), "cells")
+
+
+def leave_out_linear_from(cells: DataFrame, fold_col: str, y: str, name: str = "pred") -> DataFrame:
+    """Per fold: ``y ~ a + b x`` fitted on the other folds, from the cell
+    moments (M6b).  Leave-out mean of y is the fallback prediction for a
+    missing x and the intercept when x is constant.
+
+    Cells are shifted to the overall means (one row of numbers), so sums
+    over cells and their leave-out differences involve deviations only.
+    """
+    c = {p: F.coalesce(F.col(f"{p}__{y}"), F.lit(0.0)) for p in ("n", "mx", "my", "cxx", "cxy", "ny", "mya")}
+    mid = cells.agg(*[F.coalesce(F.try_divide(F.sum(c[n] * c[m]), F.sum(c[n])), F.lit(0.0)).alias(m)
+                      for n, m in (("n", "mx"), ("n", "my"), ("ny", "mya"))]).collect()[0]
+    gx, gy, gya = (F.lit(float(mid[m])) for m in ("mx", "my", "mya"))
+    dx, dy = c["mx"] - gx, c["my"] - gy
+    parts = {"n": c["n"], "sx": c["n"] * dx, "sy": c["n"] * dy, "sxx": c["cxx"] + c["n"] * dx * dx,
+             "sxy": c["cxy"] + c["n"] * dx * dy, "ny": c["ny"], "sya": c["ny"] * (c["mya"] - gya)}
+    s = cells.groupBy(fold_col).agg(*[F.sum(e).alias(p) for p, e in parts.items()])
+    s = _leave_out(s, [], list(parts))
+    n = F.col("t_n")
+    mean_x, mean_y = F.try_divide(F.col("t_sx"), n), F.try_divide(F.col("t_sy"), n)
+    cxx, cxy = F.col("t_sxx") - F.col("t_sx") * mean_x, F.col("t_sxy") - F.col("t_sx") * mean_y
+    # x is constant when its spread is no more than rounding of its size.
+    spread = cxx > F.lit(1e-18) * n * (gx * gx + F.try_divide(F.col("t_sxx"), n))
+    s = s.withColumns({f"{name}_b": F.coalesce(F.when(spread, cxy / cxx), F.lit(0.0)),
+                       f"{name}_ybar": gya + F.try_divide(F.col("t_sya"), F.col("t_ny"))})
+    a = F.when(n > 0, (gy + mean_y) - F.col(f"{name}_b") * (gx + mean_x)).otherwise(F.col(f"{name}_ybar"))
     return s.select(fold_col, a.alias(f"{name}_a"), f"{name}_b", f"{name}_ybar",
-                    F.col("t_n").cast("bigint").alias(f"{name}_train_rows"))
+                    n.cast("bigint").alias(f"{name}_train_rows"))
 
 
 def leave_out_linear(df: DataFrame, fold_col: str, x: str, y: str, name: str = "pred") -> DataFrame:
@@ -108,7 +133,7 @@ def leave_out_linear(df: DataFrame, fold_col: str, x: str, y: str, name: str = "
 
 def _score_linear(df: DataFrame, model: DataFrame, fold_col: str, x: str, names) -> DataFrame:
     keep = [fold_col] + [f"{n}_{p}" for n in names for p in ("a", "b", "ybar")]
-    j = df.join(small_result(model.select(*keep)), fold_col, "left")
+    j = df.join(written(model.select(*keep), "model"), fold_col, "left")
     preds = {n: F.when(dbl(x).isNotNull(), F.col(f"{n}_a") + F.col(f"{n}_b") * dbl(x))
                  .otherwise(F.col(f"{n}_ybar")) for n in names}
     return j.withColumns(preds).drop(*keep[1:])
@@ -122,12 +147,11 @@ def oof_group_mean(df: DataFrame, fold_col: str, specs, min_rows: int | None = N
     ``min_rows``: keep only rows of held-out folds (LOGO).
     """
     fine_keys = list(dict.fromkeys(c for _, _, gs in specs for c in gs))
-    sums = small_result(fold_group_sums(df, fold_col, fine_keys, sorted({y for _, y, _ in specs})))
+    sums = fold_group_sums(df, fold_col, fine_keys, sorted({y for _, y, _ in specs}))
     if min_rows is not None:
         df = df.join(_held_from(sums, fold_col, min_rows), fold_col, "left_semi")
     for name, y, groups in specs:
-        t = small_result(leave_out_group_mean_from(sums, fold_col, y, groups, name)
-                         .drop(f"{name}_train_rows"))
+        t = written(leave_out_group_mean_from(sums, fold_col, y, groups, name).drop(f"{name}_train_rows"), "model")
         df = df.join(t, [fold_col, *groups], "left")
     return df
 
@@ -140,7 +164,7 @@ def oof_linear(df: DataFrame, fold_col: str, specs, min_rows: int | None = None)
     xs = list(dict.fromkeys(x for _, x, _ in specs))
     for x in xs:
         mine = [(n, y) for n, xx, y in specs if xx == x]
-        sums = small_result(linear_fold_sums(df, fold_col, x, sorted({y for _, y in mine})))
+        sums = linear_fold_sums(df, fold_col, x, sorted({y for _, y in mine}))
         if min_rows is not None:
             df = df.join(_held_from(sums, fold_col, min_rows), fold_col, "left_semi")
             min_rows = None
@@ -155,62 +179,39 @@ def oof_linear(df: DataFrame, fold_col: str, specs, min_rows: int | None = None)
 def linear_report_sums(df: DataFrame, fold_col: str, x: str, specs, y_score: str, keys) -> DataFrame:
     """Out-of-fold linear models AND their report sums from ONE pass.
 
-    One aggregate at (fold, *keys) collects the training sums of every
-    target and the scoring sums against ``y_score`` (n, x, x^2, y, y^2, xy
-    split by whether x is present).  The k-row leave-out models come from
-    the fold totals of that table; each model's prediction sum and squared
-    error per (fold, key) follow analytically
-    (``sum (y - a - b x)^2 = Syy - 2a Sy - 2b Sxy + a^2 n + 2ab Sx + b^2 Sxx``;
-    rows without x are predicted by the leave-out mean).  Returns the
-    report-ready table ``keys + (n, sy, sp_<name>, se_<name>)`` without ever
-    scoring the facts row by row.  ``specs`` = [(name, target)].
+    One aggregate at (fold, *keys) collects the training moments of every
+    target and the scoring moments of ``y_score``, split by whether x is
+    present.  The k-row leave-out models come from those cells; each cell's
+    prediction sum and squared error follow from its centred moments,
+    ``cyy - 2b cxy + b^2 cxx + n (my - a - b mx)^2``, with the leave-out
+    mean as prediction where x is missing.  The facts are never scored row
+    by row.  ``specs`` = [(name, target)]; returns the report-ready table
+    ``keys + (n, sy, sp_<name>, se_<name>)``.
     """
     xx, ys = dbl(x), dbl(y_score)
-    hx, hy = xx.isNotNull(), ys.isNotNull()
-    targets = sorted({t for _, t in specs})
-    aggs = [F.count(F.lit(1)).alias("rows"),
-            F.count_if(hx).cast("double").alias("cx"), F.count_if(~hx).cast("double").alias("c0"),
-            F.coalesce(F.sum(F.when(hx, xx)), F.lit(0.0)).alias("sx_all"),
-            F.sum(ys).alias("sy_score"),
-            F.count_if(hx & hy).cast("double").alias("m1"),
-            F.coalesce(F.sum(F.when(hx & hy, xx)), F.lit(0.0)).alias("sx1"),
-            F.coalesce(F.sum(F.when(hx & hy, xx * xx)), F.lit(0.0)).alias("sxx1"),
-            F.coalesce(F.sum(F.when(hx, ys)), F.lit(0.0)).alias("sy1"),
-            F.coalesce(F.sum(F.when(hx, ys * ys)), F.lit(0.0)).alias("syy1"),
-            F.coalesce(F.sum(F.when(hx, xx * ys)), F.lit(0.0)).alias("sxy1"),
-            F.count_if(~hx & hy).cast("double").alias("m0"),
-            F.coalesce(F.sum(F.when(~hx, ys)), F.lit(0.0)).alias("sy0"),
-            F.coalesce(F.sum(F.when(~hx, ys * ys)), F.lit(0.0)).alias("syy0")]
-    for t in targets:
-        yt = dbl(t)
-        both = hx & yt.isNotNull()
-        aggs += [F.count_if(both).cast("double").alias(f"n__{t}"),
-                 F.coalesce(F.sum(F.when(both, xx)), F.lit(0.0)).alias(f"sx__{t}"),
-                 F.coalesce(F.sum(F.when(both, yt)), F.lit(0.0)).alias(f"sy__{t}"),
-                 F.coalesce(F.sum(F.when(both, xx * xx)), F.lit(0.0)).alias(f"sxx__{t}"),
-                 F.coalesce(F.sum(F.when(both, xx * yt)), F.lit(0.0)).alias(f"sxy__{t}"),
-                 F.count(yt).cast("double").alias(f"ny__{t}"),
-                 F.coalesce(F.sum(yt), F.lit(0.0)).alias(f"sya__{t}")]
-    fine_keys = [fold_col] + [k for k in keys if k != fold_col]
-    fine = small_result(df.groupBy(*fine_keys).agg(*aggs))
-    parts = ["n", "sx", "sy", "sxx", "sxy", "ny", "sya"]
-    per_fold = fine.groupBy(fold_col).agg(*[F.sum(f"{p}__{t}").alias(f"{p}__{t}")
-                                            for t in targets for p in parts])
+    hx = xx.isNotNull()
+    no_x = F.when(~hx, ys)
+    more = [F.count_if(hx).cast("double").alias("cx"), F.count_if(~hx).cast("double").alias("c0"),
+            F.avg(xx).alias("mx_all"), F.sum(ys).alias("sy_score"), *_moments(xx, ys, "score"),
+            F.count(no_x).cast("double").alias("m0"), F.avg(no_x).alias("my0"),
+            (F.var_pop(no_x) * F.count(no_x)).alias("cyy0")]
+    cells = linear_fold_sums(df, fold_col, x, sorted({t for _, t in specs}), keys, more)
     model = None
     for name, t in specs:
-        m = leave_out_linear_from(per_fold, fold_col, t, name).drop(f"{name}_train_rows")
+        m = leave_out_linear_from(cells, fold_col, t, name).drop(f"{name}_train_rows")
         model = m if model is None else model.join(m, fold_col)
-    j = fine.join(F.broadcast(model), fold_col, "left")
+    j = cells.join(written(model, "model"), fold_col, "left")
+    n, mx, my, cxx, cxy, cyy = (F.col(f"{p}__score") for p in ("n", "mx", "my", "cxx", "cxy", "cyy"))
     out = {}
     for name, _ in specs:
         a, b, ybar = F.col(f"{name}_a"), F.col(f"{name}_b"), F.col(f"{name}_ybar")
-        out[f"sp_{name}"] = a * F.col("cx") + b * F.col("sx_all") + F.when(F.col("c0") > 0, ybar * F.col("c0")).otherwise(0.0)
-        sse_x = (F.col("syy1") - 2.0 * a * F.col("sy1") - 2.0 * b * F.col("sxy1") + a * a * F.col("m1")
-                 + 2.0 * a * b * F.col("sx1") + b * b * F.col("sxx1"))
-        sse_0 = F.when(F.col("m0") > 0, F.col("syy0") - 2.0 * ybar * F.col("sy0") + ybar * ybar * F.col("m0")) \
-                 .otherwise(0.0)
-        out[f"se_{name}"] = sse_x + sse_0
-    return j.select(*fine_keys, F.col("rows").alias("n"), F.col("sy_score").alias("sy"),
+        out[f"sp_{name}"] = (F.when(F.col("cx") > 0, F.col("cx") * (a + b * F.col("mx_all"))).otherwise(0.0)
+                             + F.when(F.col("c0") > 0, ybar * F.col("c0")).otherwise(0.0))
+        off, off0 = my - a - b * mx, F.col("my0") - ybar
+        out[f"se_{name}"] = (
+            F.when(n > 0, F.greatest(F.lit(0.0), cyy - 2.0 * b * cxy + b * b * cxx) + n * off * off).otherwise(0.0)
+            + F.when(F.col("m0") > 0, F.col("cyy0") + F.col("m0") * off0 * off0).otherwise(0.0))
+    return j.select(*dict.fromkeys([fold_col, *keys]), F.col("rows").alias("n"), F.col("sy_score").alias("sy"),
                     *[c.alias(k) for k, c in out.items()])
 
 
@@ -218,78 +219,78 @@ def group_mean_report_sums(df: DataFrame, fold_col: str, specs, y_score: str, ke
     """Out-of-fold group-mean models AND their report sums from ONE pass.
 
     One aggregate at (fold, union of all group keys and report keys) holds
-    the training sums of every target and the scoring sums (n, Sy, Syy) of
-    ``y_score``; each spec's leave-out means come from that table and a
-    cell's squared error is ``Syy - 2 p Sy + p^2 n``.  ``specs`` =
+    the training sums of every target and the count, mean and centred sum of
+    squares of ``y_score``; each spec's leave-out means come from that table
+    and a cell's squared error is ``cyy + n (my - p)^2``.  ``specs`` =
     [(name, target, groups)].  Returns ``fine keys + (n, sy, sp_<name>,
     se_<name>)``.
     """
     ys = dbl(y_score)
     fine_keys = list(dict.fromkeys([fold_col, *[g for _, _, gs in specs for g in gs], *keys]))
-    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(ys).alias("sy_score"),
-            F.coalesce(F.sum(ys * ys), F.lit(0.0)).alias("syy_score"),
-            F.count(ys).cast("double").alias("cnt_score")]
+    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(ys).alias("sy_score"), F.avg(ys).alias("my_score"),
+            F.count(ys).cast("double").alias("n_score"), (F.var_pop(ys) * F.count(ys)).alias("cyy_score")]
     for t in sorted({t for _, t, _ in specs}):
         aggs += [F.sum(dbl(t)).alias(f"s__{t}"), F.count(t).alias(f"n__{t}")]
-    fine = small_result(df.groupBy(*fine_keys).agg(*aggs))
+    fine = written(df.groupBy(*fine_keys).agg(*aggs), "cells")
     j = fine
     for name, t, groups in specs:
         m = leave_out_group_mean_from(fine, fold_col, t, groups, name).drop(f"{name}_train_rows")
-        j = j.join(F.broadcast(m), [fold_col, *groups], "left")
+        j = j.join(written(m, "model"), [fold_col, *groups], "left")
     out = {}
     for name, _, _ in specs:
-        p = F.col(name)
-        out[f"sp_{name}"] = p * F.col("rows")
-        out[f"se_{name}"] = F.col("syy_score") - 2.0 * p * F.coalesce(F.col("sy_score"), F.lit(0.0)) \
-            + p * p * F.col("cnt_score")
+        off = F.col("my_score") - F.col(name)
+        out[f"sp_{name}"] = F.col(name) * F.col("rows")
+        out[f"se_{name}"] = F.when(F.col("n_score") > 0, F.col("cyy_score") + F.col("n_score") * off * off).otherwise(0.0)
     return j.select(*fine_keys, F.col("rows").alias("n"), F.col("sy_score").alias("sy"),
                     *[c.alias(k) for k, c in out.items()])
 
 
+MAX_RIDGE_FEATURES = 64  # the driver holds one p x p matrix per fold
+
+
 def gram_fold_sums(df: DataFrame, fold_col: str, feats: list[str], y: str) -> DataFrame:
     """ONE pass: per fold, over complete rows (all features and y present):
-    n, sums of x_i, y, x_i*x_j (i <= j) and x_i*y - (k rows, p^2/2 columns)."""
-    xs = [dbl(c) for c in feats]
-    yy = dbl(y)
-    ok = yy.isNotNull()
-    for x in xs:
-        ok = ok & x.isNotNull()
-    aggs = [F.count_if(ok).cast("double").alias("n"), F.sum(F.when(ok, yy)).alias("sy"),
-            F.sum(F.when(ok, yy * yy)).alias("syy")]
+    n, means of x_i and y, and centred products of (x_i, x_j) and (x_i, y)
+    - k rows, p^2/2 columns."""
+    ok = dbl(y).isNotNull()
+    for c in feats:
+        ok = ok & dbl(c).isNotNull()
+    xs, yy = [F.when(ok, dbl(c)) for c in feats], F.when(ok, dbl(y))
+    n = F.count_if(ok)
+    aggs = [n.cast("double").alias("n"), F.avg(yy).alias("my")]
     for i, xi in enumerate(xs):
-        aggs += [F.sum(F.when(ok, xi)).alias(f"sx{i}"), F.sum(F.when(ok, xi * yy)).alias(f"sxy{i}")]
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(F.when(ok, xi * xs[j])).alias(f"sxx{i}_{j}"))
+        aggs += [F.avg(xi).alias(f"m{i}"), (F.covar_pop(xi, yy) * n).alias(f"cy{i}")]
+        aggs += [(F.covar_pop(xi, xs[j]) * n).alias(f"c{i}_{j}") for j in range(i, len(xs))]
     return df.groupBy(fold_col).agg(*aggs).na.fill(0.0)
 
 
 def ridge_models(sums_rows, fold_col: str, p: int, lam: float) -> list[tuple]:
     """Leave-fold-out ridge per fold from the k summary rows: features are
     standardised with the training moments, penalty ``lam`` on the
-    standardised coefficients; returns (fold, intercept, coef..., means...)."""
+    standardised coefficients; returns (fold, intercept, coef..., means...).
+    The other folds' moments are merged by the parallel formula."""
     import numpy as np
 
     def vec(r):
-        n = r["n"]
-        sx = np.array([r[f"sx{i}"] for i in range(p)])
-        sxy = np.array([r[f"sxy{i}"] for i in range(p)])
-        sxx = np.zeros((p, p))
+        c = np.zeros((p, p))
         for i in range(p):
             for j in range(i, p):
-                sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
-        return n, r["sy"], sx, sxy, sxx
+                c[i, j] = c[j, i] = r[f"c{i}_{j}"]
+        return (r["n"], r["my"], np.array([r[f"m{i}"] for i in range(p)]),
+                np.array([r[f"cy{i}"] for i in range(p)]), c)
 
     parts = {r[fold_col]: vec(r) for r in sums_rows}
-    tot = [sum(v[i] for v in parts.values()) for i in range(5)]
     out = []
-    for f, v in parts.items():
-        n, sy, sx, sxy, sxx = (tot[i] - v[i] for i in range(5))
+    for f in parts:
+        rest = [v for g, v in parts.items() if g != f and v[0] > 0]
+        n = sum(v[0] for v in rest)
         if n <= 0:
             out.append((f, None, *([None] * p), *([None] * p)))
             continue
-        mu, ybar = sx / n, sy / n
-        cov = sxx / n - np.outer(mu, mu)
-        cxy = sxy / n - mu * ybar
+        ybar = sum(v[0] * v[1] for v in rest) / n
+        mu = sum(v[0] * v[2] for v in rest) / n
+        cxy = sum(v[3] + v[0] * (v[2] - mu) * (v[1] - ybar) for v in rest) / n
+        cov = sum(v[4] + v[0] * np.outer(v[2] - mu, v[2] - mu) for v in rest) / n
         sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
         sd[sd == 0] = 1.0
         corr = cov / np.outer(sd, sd)
@@ -309,13 +310,15 @@ def oof_ridge(df: DataFrame, fold_col: str, specs, lam: float = 1.0) -> DataFram
     spark = df.sparkSession
     for name, feats, y in specs:
         p = len(feats)
+        if p > MAX_RIDGE_FEATURES:
+            raise ValueError(f"ridge takes at most {MAX_RIDGE_FEATURES} features")
         rows = gram_fold_sums(df, fold_col, feats, y).collect()
         models = ridge_models(rows, fold_col, p, lam)
         fold_type = df.schema[fold_col].dataType.simpleString()
         schema = (f"{fold_col} {fold_type}, __a double, "
                   + ", ".join(f"__b{i} double" for i in range(p)) + ", "
                   + ", ".join(f"__m{i} double" for i in range(p)))
-        m = F.broadcast(spark.createDataFrame(models, schema))
+        m = spark.createDataFrame(models, schema)  # k rows; Spark knows their size
         pred = F.col("__a")
         for i, c in enumerate(feats):
             pred = pred + F.col(f"__b{i}") * F.coalesce(dbl(c), F.col(f"__m{i}"))
@@ -327,8 +330,7 @@ def oof_ridge(df: DataFrame, fold_col: str, specs, lam: float = 1.0) -> DataFram
 def _held_from(sums: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
     """Held-out folds from a per-fold(-group) sums table (row counts add up)."""
     t = sums.groupBy(fold_col).agg(F.sum("rows").alias("fold_rows"))
-    return F.broadcast(t.where(F.col(fold_col).isNotNull() & (F.col("fold_rows") >= min_rows))
-                        .select(fold_col))
+    return t.where(F.col(fold_col).isNotNull() & (F.col("fold_rows") >= min_rows)).select(fold_col)
 
 
 # --------------------------------------------------------------------------
@@ -349,14 +351,18 @@ def fold_moments(df: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
         x = dbl(c)
         aggs += [F.count(x).cast("double").alias(f"n__{c}"), F.avg(x).alias(f"m__{c}"),
                  (F.var_pop(x) * F.count(x)).alias(f"q__{c}")]
-    m = df.groupBy(fold_col).agg(*aggs)
-    w = Window.partitionBy()
+    m = written(df.groupBy(fold_col).agg(*aggs), "moments")
+    part = {(p, c): F.coalesce(F.col(f"{p}__{c}"), F.lit(0.0)) for c in feats for p in ("n", "m", "q")}
+    first = m.agg(*[e.alias(f"{p}{i}") for i, c in enumerate(feats) for p, e in (
+        ("N", F.sum(part["n", c])),
+        ("M", F.coalesce(F.try_divide(F.sum(part["n", c] * part["m", c]), F.sum(part["n", c])), F.lit(0.0))))]).collect()[0]
+    mean = {c: F.lit(first[f"M{i}"]) for i, c in enumerate(feats)}
+    second = m.agg(*[F.sum(part["q", c] + part["n", c] * (part["m", c] - mean[c]) * (part["m", c] - mean[c]))
+                     .alias(f"Q{i}") for i, c in enumerate(feats)]).collect()[0]
     out = [F.col(fold_col)]
-    for c in feats:
-        n, mu, q = (F.coalesce(F.col(f"{p}__{c}"), F.lit(0.0)) for p in ("n", "m", "q"))
-        N = F.sum(n).over(w)
-        MU = F.try_divide(F.sum(n * mu).over(w), N)
-        Q = F.sum(q + n * (mu - MU) * (mu - MU)).over(w)
+    for i, c in enumerate(feats):
+        n, mu, q = (part[p, c] for p in ("n", "m", "q"))
+        N, MU, Q = F.lit(first[f"N{i}"]), mean[c], F.lit(second[f"Q{i}"])
         nc = N - n
         muc = F.try_divide(N * MU - n * mu, nc)
         qc = Q - q - F.try_divide(n * nc, N) * (mu - muc) * (mu - muc)
@@ -367,77 +373,92 @@ def fold_moments(df: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
 
 
 def scale_with(df: DataFrame, moments: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
-    j = df.join(small_result(moments), fold_col, "left")
+    j = df.join(written(moments, "moments"), fold_col, "left")
     return j.withColumns({c: (dbl(c) - F.col(f"mean__{c}")) / F.col(f"std__{c}") for c in feats}) \
             .drop(*[f"mean__{c}" for c in feats], *[f"std__{c}" for c in feats])
 
 
-MAX_FOLDS = 1000
+def _ranged(counted: DataFrame, keys, value: str) -> DataFrame:
+    """Value counts in (key, value) ranges, with the number of their range."""
+    return written(counted.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id()), "ranges")
+
 
+def _middle_values(totals: DataFrame, opened, keys, value: str) -> DataFrame:
+    """Medians from range totals (*keys, part, pk).
 
-def fold_medians(df: DataFrame, fold_col: str, feats: list[str], exact: bool = True) -> DataFrame:
+    Running totals tell every range the ranks it holds; ``opened`` maps the
+    ranges with a middle rank (at most two per group) to their rows
+    (*keys, part, base, n, value, k).  Interpolation is that of Spark's
+    ``percentile``.
+    """
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = written(totals.withColumn("base", F.coalesce(F.sum("pk").over(before), F.lit(0)))
+                    .withColumn("n", F.sum("pk").over(group)), "ranks")
+    pos = (F.col("n") - 1) * 0.5
+    lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+    rows = opened(spans.where((F.col("base") < hi) & (F.col("base") + F.col("pk") >= lo)))
+    inside = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = rows.withColumn("cum", F.col("base") + F.sum("k").over(inside))
+    two = cum.groupBy(*keys).agg(F.min(F.when(F.col("cum") >= lo, F.col(value))).alias("a"),
+                                 F.min(F.when(F.col("cum") >= hi, F.col(value))).alias("b"), F.max(pos).alias("pos"))
+    median = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+        (F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b"))
+    return two.select(*keys, median.alias("median"))
+
+
+def exact_medians(long: DataFrame, group_cols, value: str = "x") -> DataFrame:
+    """Exact median of ``value`` per group, with no group in one task: values
+    are counted with partial aggregation, the counts are cut into ranges, and
+    only the ranges with a middle rank are opened."""
+    keys = list(group_cols)
+    counted = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
+    ranges = _ranged(counted, keys, value)
+    totals = ranges.groupBy(*keys, "part").agg(F.sum("k").alias("pk"))
+    return _middle_values(totals, lambda mid: ranges.join(mid.drop("pk"), [*keys, "part"]), keys, value)
+
+
+def fold_medians(df: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
     """Training-set median of every feature for every held-out fold.
 
     The training set of fold f is "all rows whose fold is not f" (a NULL
-    fold always trains).  Exact medians come from ONE pass over the facts:
-    the features are unpivoted to (feature, x) and counted per distinct value
-    - in total and per fold (k conditional counts, partial aggregation) - so
-    fold f's training histogram is ``total - count_f``.  A running sum per
-    feature (ordered by x) locates the median ranks of every fold at once;
-    the interpolation between the two middle values is the one of Spark's
-    ``percentile``.  The window holds one feature's distinct values, the
-    memory bound of any exact median.  ``exact=False`` uses one bounded
-    ``percentile_approx`` sketch per fold (k aggregates; sketches do not
-    subtract).  A feature without training values yields NULL.
+    fold always trains).  One pass over the facts counts every feature's
+    values per fold; the counts are cut into (feature, value) ranges.  The
+    training total of a range is its total minus fold f's, so the middle ranks
+    of all folds come from the small table of range totals, and only the
+    ranges that hold one are opened.  A feature without training values
+    yields NULL.
     """
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().where(F.col(fold_col).isNotNull())
-                   .limit(MAX_FOLDS + 1).collect())
-    if len(folds) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} folds")
-    if not exact:
-        parts = []
-        for f in folds:
-            train = df.where(F.col(fold_col).isNull() | (F.col(fold_col) != F.lit(f)))
-            parts.append(train.agg(*[F.percentile_approx(dbl(c), 0.5, 10000).cast("double")
-                                     .alias(f"med__{c}") for c in feats]).withColumn(fold_col, F.lit(f)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.select(fold_col, *[F.col(f"med__{c}") for c in feats])
-
-    long = df.select(F.col(fold_col).alias("__fold"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), dbl(c).alias("x")) for c in feats]))).where(F.col("x").isNotNull())
-    hist = long.groupBy("feature", "x").agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("__fold") == F.lit(f)).alias(f"c{i}") for i, f in enumerate(folds)])
-    run = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    train = {i: F.col("total") - F.col(f"c{i}") for i in range(len(folds))}
-    cum = hist.select("feature", "x",
-                      *[F.sum(train[i]).over(run).alias(f"cum{i}") for i in train],
-                      *[F.sum(train[i]).over(whole).alias(f"n{i}") for i in train])
-    aggs = []
-    for i in train:
-        pos = (F.col(f"n{i}") - 1) * 0.5
-        r_lo, r_hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        aggs += [F.min(F.when(F.col(f"cum{i}") >= r_lo, F.col("x"))).alias(f"lo{i}"),
-                 F.min(F.when(F.col(f"cum{i}") >= r_hi, F.col("x"))).alias(f"hi{i}"),
-                 F.max(pos).alias(f"pos{i}")]
-    per_feature = cum.groupBy("feature").agg(*aggs)
-    rows = []
-    for i, f in enumerate(folds):
-        lo, hi, pos = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"pos{i}")
-        med = F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
-        rows.append(F.struct(F.lit(f).alias(fold_col), med.alias("med")))
-    long_med = per_feature.select("feature", F.inline(F.array(*rows)))
-    wide = long_med.groupBy(fold_col).pivot("feature", list(feats)).agg(F.first("med"))
-    # folds whose training rows hold no value of a feature still get a row
-    base = df.sparkSession.createDataFrame([(f,) for f in folds], df.select(fold_col).schema)
-    out = base.join(wide, fold_col, "left")
+    long = df.select(F.col(fold_col).alias("fold"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), dbl(c).alias("x")) for c in feats])))
+    counted = long.groupBy("feature", "x", "fold").agg(F.count(F.lit(1)).alias("k"))
+    ranges = _ranged(counted, ["feature"], "x")
+    folds = written(ranges.where(F.col("fold").isNotNull()).select(F.col("fold").alias("held")).distinct(), "folds")
+    per_fold = written(ranges.where(F.col("x").isNotNull()).groupBy("feature", "part", "fold")
+                       .agg(F.sum("k").alias("own")), "totals")
+    whole = per_fold.groupBy("feature", "part").agg(F.sum("own").alias("pk"))
+    # Range totals for every held-out fold.
+    helds = [r["held"] for r in folds.collect()]  # fold values, as many as models to fit
+    if not helds:
+        return folds.select(F.col("held").alias(fold_col), *[F.lit(None).cast("double").alias(f"med__{c}") for c in feats])
+    per_held = whole.withColumn("held", F.explode(F.array(*[F.lit(h) for h in helds])))
+    totals = per_held.join(per_fold.withColumnRenamed("fold", "held"), ["feature", "part", "held"], "left").select(
+        "feature", "held", "part", (F.col("pk") - F.coalesce("own", F.lit(0))).alias("pk")).where("pk > 0")
+
+    def opened(mid: DataFrame) -> DataFrame:
+        rows = ranges.join(mid.drop("pk"), ["feature", "part"])
+        mine = F.coalesce(F.col("fold") == F.col("held"), F.lit(False))
+        return rows.where(F.col("x").isNotNull() & ~mine).groupBy("feature", "held", "part", "base", "n", "x").agg(
+            F.sum("k").alias("k"))
+
+    medians = _middle_values(totals, opened, ["feature", "held"], "x")
+    wide = medians.groupBy(F.col("held").alias(fold_col)).pivot("feature", list(feats)).agg(F.first("median"))
+    # Folds whose training rows hold no value of a feature still get a row.
+    out = folds.select(F.col("held").alias(fold_col)).join(wide, fold_col, "left")
     return out.select(fold_col, *[F.col(c).cast("double").alias(f"med__{c}") for c in feats])
 
 
 def impute_with(df: DataFrame, medians: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
-    j = df.join(small_result(medians), fold_col, "left")
+    j = df.join(written(medians, "medians"), fold_col, "left")
     return j.withColumns({c: F.coalesce(dbl(c), F.col(f"med__{c}"), F.lit(0.0)) for c in feats}) \
             .drop(*[f"med__{c}" for c in feats])

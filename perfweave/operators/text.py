@@ -2,17 +2,19 @@
 
 Everything is a DataFrame job: tokens are exploded with their positions,
 counted with partial aggregation (a hot token such as "the" is combined
-map-side), ranked by ``orderBy(...).limit(k)`` (per-task top-k, then a
-bounded merge) and looked up by an equi-join against the capped vocabulary,
-whose size bound (``max_tokens``) makes it safe to broadcast.
+map-side), cut at the frequency that fills the vocabulary and ranked.
+Encoding is narrow: tokens are looked up where the text lies, in the capped
+vocabulary, whose checked size makes it safe to broadcast.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col_
+from ..storage import written
 
 # ---------------------------------------------------------------------------
 # Special tokens in id order, vocabulary cap, and the word
@@ -54,41 +56,71 @@ def build_vocab(tokens: DataFrame, max_tokens: int = MAX_VOCAB) -> DataFrame:
     """(token, token_id, freq): specials 0-3, then tokens by descending
     frequency, ties by first appearance, total size <= max_tokens (T2, W3, W5).
 
-    The ranking runs on the top ``max_tokens - 4`` rows only (a bounded
-    single-partition window after a top-k).
+    A table of how many tokens have each frequency gives the cut-off
+    frequency; only tokens at or above it are sorted, and of those at the
+    cut-off itself only the first-seen that still fit are kept.
     """
     spark = tokens.sparkSession
     k = max(0, max_tokens - len(SPECIALS))
+    counts = written(token_counts(tokens), "tokens")
+    down = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = counts.groupBy("freq").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(down))
+    cut = levels.where(F.col("upto") >= k).agg(F.max(F.struct("freq", (F.col("upto") - F.col("n")).alias("above")))
+                                               .alias("x")).select("x.*").collect()[0]
     order = [F.col("freq").desc(), F.col("first_seen").asc()]
-    top = token_counts(tokens).orderBy(*order).limit(k)
+    if cut["freq"] is None:
+        top = counts
+    else:
+        ties = counts.where(F.col("freq") == cut["freq"]).orderBy("first_seen").limit(k - cut["above"])
+        top = counts.where(F.col("freq") > cut["freq"]).unionByName(ties)
     ranked = top.select("token", (F.row_number().over(Window.orderBy(*order)) + len(SPECIALS) - 1)
-                        .cast("int").alias("token_id"), "freq")
+                        .cast("int").alias("token_id"), "freq")  # at most k rows
     values = ", ".join(f"('{t}', {i})" for i, t in enumerate(SPECIALS))
     specials = spark.sql(f"SELECT token, CAST(token_id AS INT) AS token_id, CAST(NULL AS BIGINT) AS freq "
                          f"FROM (VALUES {values}) AS s(token, token_id)")
     return specials.unionByName(ranked)
 
 
+def id_lookup(vocab: DataFrame, max_tokens: int = MAX_VOCAB):
+    """Column function from a token array to its ids: a narrow, Arrow-batched
+    dictionary look-up (T3, J5).  The vocabulary has at most ``max_tokens``
+    entries (checked), so it goes to every executor; no token is shuffled.
+    Unknown tokens give <unk>, no tokens give [<unk>] (T4)."""
+    rows = vocab.select("token", "token_id").limit(max_tokens + 1).collect()
+    if len(rows) > max_tokens:
+        raise ValueError(f"a vocabulary has at most {max_tokens} tokens")
+    ids = {r["token"]: r["token_id"] for r in rows}
+    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+
+    @F.pandas_udf("array<int>")
+    def look_up(tokens: pd.Series) -> pd.Series:
+        get = shared.value.get
+        return tokens.map(lambda ts: [get(t, UNK_ID) for t in ts] or [UNK_ID])
+
+    return look_up
+
+
 def encode_ids(corpus: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
                keep_tokens: int | None = None) -> DataFrame:
     """(id, ids): token ids in text order, unknown -> <unk>, empty -> [<unk>]
     (T3, T4, J5).
 
-    ``keep_tokens`` limits the lookup to the first tokens of each text when
+    ``keep_tokens`` limits the look-up to the first tokens of each text when
     the caller truncates to that length anyway (exact: the id of a token
-    does not depend on the tokens after it).  The vocabulary is capped at
-    ``MAX_VOCAB`` rows, so it is broadcast.
+    does not depend on the tokens after it).
     """
-    toks = corpus.select(F.col(id_col), F.posexplode_outer(tokenize(text_col)).alias("pos", "token"))
-    if keep_tokens is not None:
-        toks = toks.where(F.col("pos").isNull() | (F.col("pos") < keep_tokens))
-    looked = toks.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-    item = F.when(F.col("pos").isNotNull(),
-                  F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    grouped = looked.groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    ids = F.transform("items", lambda s: s["id"])
-    return grouped.select(id_col, F.when(F.size(ids) == 0, F.array(F.lit(UNK_ID))).otherwise(ids)
-                          .alias("ids"))
+    return encode_columns(corpus, vocab, [id_col], {"ids": text_col}, keep_tokens)
+
+
+def encode_columns(corpus: DataFrame, vocab: DataFrame, keys: list[str], texts: dict[str, str],
+                   keep_tokens: int | None = None) -> DataFrame:
+    """Ids of several text columns in one projection over one scan."""
+    look_up = id_lookup(vocab)
+    out = []
+    for name, text_col in texts.items():
+        toks = tokenize(text_col)
+        out.append(look_up(toks if keep_tokens is None else F.slice(toks, 1, keep_tokens)).alias(name))
+    return corpus.select(*keys, *out)
 
 
 def truncate(ids, max_len: int) -> Column:

@@ -25,16 +25,15 @@ def measured_steps(steps: DataFrame, trial: str = "trial_id", order=("ts", "even
                  .where((F.col("step_idx") > warmup) & (F.col("step_idx") <= warmup + measure)))
 
 
-def trial_timing(steps: DataFrame, trial: str = "trial_id", exact: bool = True,
-                 warmup: int = WARMUP_STEPS, measure: int = MEASURE_STEPS,
-                 ratio_floor=None) -> DataFrame:
+def trial_timing(steps: DataFrame, trial: str = "trial_id", warmup: int = WARMUP_STEPS,
+                 measure: int = MEASURE_STEPS, ratio_floor=None) -> DataFrame:
     """Mean and p90 step time, mean loader and compute time over measured,
     non-OOM steps; then T_gpu, T_cpu_io, T_step, loader ratio, bottleneck
     (A1, X23).  A trial without a usable step gets missing values."""
     m = measured_steps(steps, trial, warmup=warmup, measure=measure)
     ok = ~F.coalesce(F.col("oom"), F.lit(False))
     total = F.when(ok, F.col("loader_ms") + F.col("compute_ms"))
-    p90 = F.percentile(total, 0.9) if exact else F.percentile_approx(total, 0.9, 10000).cast("double")
+    p90 = F.percentile(total, 0.9)  # at most ``measure`` values of a trial
     r = m.groupBy(trial).agg(
         F.count(total).alias("n_steps"),
         F.avg(total).alias("avg_batch_time_ms"),
@@ -49,11 +48,15 @@ def trial_throughput(steps: DataFrame, trial: str = "trial_id",
                      warmup: int = WARMUP_STEPS, measure: int = MEASURE_STEPS) -> DataFrame:
     """Examples / tokens per second of compute time (A2).
 
-    An OOM step's compute time counts in the denominator but its examples
-    and tokens do not; no measured time -> missing; no tokens -> missing.
+    Every step's compute time counts in the denominator; its examples and
+    tokens count once its forward pass has finished (``fwd_done``; without
+    that column, unless it ran out of memory); no measured time -> missing;
+    no tokens -> missing.
     """
     m = measured_steps(steps, trial, warmup=warmup, measure=measure)
     ok = ~F.coalesce(F.col("oom"), F.lit(False))
+    if "fwd_done" in steps.columns:
+        ok = F.coalesce(F.col("fwd_done"), ok)
     r = m.groupBy(trial).agg(
         (F.sum("compute_ms") / 1000.0).alias("measured_s"),
         F.sum(F.when(ok, F.col("n_examples")).otherwise(0)).cast("bigint").alias("n_examples"),

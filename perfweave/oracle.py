@@ -379,7 +379,11 @@ m AS (SELECT *, CASE WHEN NOT coalesce(oom, false) THEN loader_ms + compute_ms E
       FROM ranked WHERE rn > 5 AND rn <= 25)"""
 
 
-def trial_timing_sql() -> str:
+def trial_timing_sql(floor: str | None = None) -> str:
+    if floor is None:
+        ratio = "CASE WHEN avg_loader_ms + avg_compute_ms > 0 THEN avg_loader_ms / (avg_loader_ms + avg_compute_ms) END"
+    else:
+        ratio = f"avg_loader_ms / greatest({floor}, avg_loader_ms + avg_compute_ms)"
     return f"""WITH {_measured_cte()},
 r AS (SELECT trial_id, count(total) AS n_steps, avg(total) AS avg_batch_time_ms,
         quantile_cont(total, 0.9) AS p90_batch_time_ms,
@@ -391,7 +395,7 @@ SELECT trial_id, n_steps, {r6('avg_batch_time_ms')} AS avg_batch_time_ms,
   {r6('avg_compute_ms')} AS avg_compute_ms, {r6('avg_compute_ms')} AS T_gpu_ms,
   {r6('avg_loader_ms')} AS T_cpu_io_ms,
   {r6('CASE WHEN avg_compute_ms IS NULL THEN NULL WHEN avg_loader_ms IS NULL THEN avg_compute_ms ELSE greatest(avg_compute_ms, avg_loader_ms) END')} AS T_step_ms,
-  {r6('CASE WHEN avg_loader_ms + avg_compute_ms > 0 THEN avg_loader_ms / (avg_loader_ms + avg_compute_ms) END')} AS loader_ratio,
+  {r6(ratio)} AS loader_ratio,
   CASE WHEN avg_compute_ms > avg_loader_ms THEN 'gpu' ELSE 'host' END AS bottleneck
 FROM r"""
 
@@ -399,8 +403,8 @@ FROM r"""
 def trial_throughput_sql() -> str:
     return f"""WITH {_measured_cte()},
 r AS (SELECT trial_id, sum(compute_ms) / 1000.0 AS secs,
-        CAST(sum(CASE WHEN ok THEN n_examples ELSE 0 END) AS BIGINT) AS n_examples,
-        CAST(sum(CASE WHEN ok THEN n_tokens ELSE 0 END) AS BIGINT) AS n_tokens
+        CAST(sum(CASE WHEN fwd_done THEN n_examples ELSE 0 END) AS BIGINT) AS n_examples,
+        CAST(sum(CASE WHEN fwd_done THEN n_tokens ELSE 0 END) AS BIGINT) AS n_tokens
       FROM m GROUP BY trial_id)
 SELECT trial_id, n_examples, n_tokens,
   {r6('CASE WHEN secs > 0 THEN n_examples / secs END')} AS examples_per_sec,
@@ -442,7 +446,7 @@ FROM r"""
 def _hosts_cte() -> str:
     return f"""{_trials_cte()},
 hosts AS (SELECT gpu_name, storage, greatest(1, max(vcpu)) AS vcpu_cap FROM trials GROUP BY 1, 2),
-hw AS (SELECT DISTINCT gpu_name, storage, vcpu_cap, CAST(greatest(0, least(w, vcpu_cap)) AS BIGINT) AS vcpu
+hw AS (SELECT gpu_name, storage, vcpu_cap, CAST(greatest(0, least(w, vcpu_cap)) AS BIGINT) AS vcpu
        FROM hosts, unnest([4, 8, 16]) AS u(w))"""
 
 
@@ -497,7 +501,7 @@ SELECT gpu_name, storage, vcpu, model, dataset, embed_dim, learning_rate, batch_
 FROM f"""
 
 
-def flops_transformer_sql() -> str:
+def _transformer_cte() -> str:
     from .operators import grid as g
     rows = []
     for m, d, task, bs, lrs, opts, L in g.TRANSFORMER_SWEEPS:
@@ -514,7 +518,11 @@ x AS (
   SELECT hw.gpu_name, hw.storage, hw.vcpu, s.*, o.optimizer, l.learning_rate, b.batch_size, pr.prec_bits
   FROM hw, {sweeps}, unnest(s.opts) AS o(optimizer), unnest(s.lrs) AS l(learning_rate),
     unnest(s.batches) AS b(batch_size), unnest([16, 32]) AS pr(prec_bits)),
-y AS (SELECT *, {blk} AS blk FROM x)
+y AS (SELECT *, {blk} AS blk FROM x)"""
+
+
+def flops_transformer_sql() -> str:
+    return _transformer_cte() + """
 SELECT gpu_name, storage, vcpu, model, dataset, task, optimizer, learning_rate, batch_size, prec_bits,
   CASE WHEN task <> 'seq2seq' THEN CAST(cfg_len AS DOUBLE) END AS seq_len,
   CAST(cfg_len AS DOUBLE) AS src_len,
@@ -529,6 +537,17 @@ SELECT gpu_name, storage, vcpu, model, dataset, task, optimizer, learning_rate,
 FROM y"""
 
 
+def mem_estimate_tr_sql() -> str:
+    return _transformer_cte() + """,
+z AS (SELECT *, CAST(depth AS BIGINT) * (4 * CAST(d_model AS BIGINT) * d_model + 2 * CAST(d_model AS BIGINT) * d_ff) * 4 AS pb,
+        CASE WHEN lower(optimizer) IN ('adam', 'adamw', 'adafactor') THEN 2 ELSE 1 END AS mult FROM y)
+SELECT gpu_name, CASE WHEN storage IS NULL OR upper(storage) = 'NVME' THEN 'NVME' ELSE 'SSD' END AS storage, vcpu, model,
+  dataset, optimizer, learning_rate, batch_size, prec_bits, pb AS param_bytes, pb * mult AS optimizer_state_bytes,
+  CASE WHEN prec_bits = 16 THEN pb ELSE 0 END AS master_param_bytes,
+  pb + pb * mult + CASE WHEN prec_bits = 16 THEN pb ELSE 0 END AS total_state_bytes
+FROM z"""
+
+
 def mem_estimate_sql() -> str:
     return f"""WITH {_trials_cte()}
 SELECT {KEYS}, param_bytes, optimizer_state_bytes, master_param_bytes, total_state_bytes,
@@ -736,6 +755,51 @@ def fold_scale_sql() -> str:
 SELECT f.fold, {', '.join(sel)} FROM (SELECT DISTINCT fold FROM feat) f"""
 
 
+def impute_rows_sql() -> str:
+    meds = ", ".join(
+        f"(SELECT median(CAST({c} AS DOUBLE)) FROM feat WHERE gpu_name IS NULL OR gpu_name <> g.g) AS med__{c}"
+        for c in PREP_FEATURES)
+    sel = ", ".join(f"{r6(f'coalesce(CAST(feat.{c} AS DOUBLE), med__{c}, 0.0)')} AS {c}" for c in PREP_FEATURES)
+    return f"""WITH {_features_cte()}, meds AS (SELECT g.g AS g, {meds} FROM (SELECT DISTINCT gpu_name AS g FROM feat WHERE gpu_name IS NOT NULL) g)
+SELECT {KEYS}, {sel} FROM feat LEFT JOIN meds ON feat.gpu_name = meds.g"""
+
+
+def scale_rows_sql() -> str:
+    moments, sel = [], []
+    for c in PREP_FEATURES:
+        x = f"CAST({c} AS DOUBLE)"
+        moments += [f"(SELECT avg({x}) FROM feat WHERE fold <> f.fold) AS mean__{c}",
+                    f"coalesce(nullif((SELECT stddev_pop({x}) FROM feat WHERE fold <> f.fold), 0), 1.0) AS std__{c}"]
+        sel.append(f"{r6(f'(CAST(feat.{c} AS DOUBLE) - mean__{c}) / std__{c}')} AS {c}")
+    return f"""WITH {_features_cte()},
+m AS (SELECT f.fold AS mf, {', '.join(moments)} FROM (SELECT DISTINCT fold FROM feat) f)
+SELECT {KEYS}, {', '.join(sel)} FROM feat LEFT JOIN m ON feat.fold = m.mf"""
+
+
+def oof_predict_sql() -> str:
+    return f"""WITH {_eval_cte()},
+{_lfo_linear('d', 'fold', 'x')}
+SELECT {KEYS}, {r6('CASE WHEN d.x IS NOT NULL THEN cf.a + cf.b * d.x ELSE cf.ybar END')} AS pred_full,
+  {r6('CASE WHEN d.x IS NOT NULL THEN cb.a + cb.b * d.x ELSE cb.ybar END')} AS pred_base
+FROM d JOIN c_full cf ON cf.fk = d.fold JOIN c_base cb ON cb.fk = d.fold"""
+
+
+def logo_predict_sql() -> str:
+    return f"""WITH {_eval_cte()},
+{_lfo_linear('d', 'gpu_name', 'x')},
+held AS (SELECT gpu_name FROM d WHERE gpu_name IS NOT NULL GROUP BY gpu_name HAVING count(*) >= 3)
+SELECT {KEYS}, d.gpu_name, {r6('CASE WHEN d.x IS NOT NULL THEN cf.a + cf.b * d.x ELSE cf.ybar END')} AS pred_full,
+  {r6('CASE WHEN d.x IS NOT NULL THEN cb.a + cb.b * d.x ELSE cb.ybar END')} AS pred_base
+FROM d JOIN c_full cf ON cf.fk = d.gpu_name JOIN c_base cb ON cb.fk = d.gpu_name
+WHERE d.gpu_name IN (SELECT gpu_name FROM held)"""
+
+
+def choice_one_hot_sql() -> str:
+    cols = [f"CAST(model = '{v}' AS INTEGER) AS model_{v}" for v in ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]
+    cols.append("CAST(optimizer = 'SGD' AS INTEGER) AS opt_SGD")
+    return f"WITH {_eval_cte()}\nSELECT {KEYS}, {', '.join(cols)} FROM d"
+
+
 def distinct_keys_sql() -> str:
     return f"""WITH {_trials_cte()}
 SELECT DISTINCT model, vcpu, storage FROM trials ORDER BY 1, 2, 3"""
@@ -766,7 +830,7 @@ def _doc_toks_cte(src: str = "documents", idc: str = "doc_id", textc: str = "tex
 
 def _vocab_cte(toks: str = "toks") -> str:
     return f"""cnt AS (SELECT token, count(*) AS freq,
-         min(CAST(side AS BIGINT) * 1000000000000000 + CAST(doc_id AS BIGINT) * 10000000 + pos) AS first_seen
+         min(struct_pack(s := side, d := doc_id, p := pos)) AS first_seen
        FROM {toks} GROUP BY token),
 ranked AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, first_seen) + 3 AS INTEGER) AS token_id, freq
            FROM cnt ORDER BY freq DESC, first_seen LIMIT 29996),
@@ -865,7 +929,21 @@ def manifest_val_sql() -> str:
     return f"""WITH files AS ({fx.duckdb_view(fx.VAL_FILES_SQL)}),
 mapping AS ({fx.duckdb_view(fx.MAPPING_SQL)}),
 {_classes_cte()}
-SELECT path, label_idx, n_bytes FROM files JOIN mapping USING (file) JOIN cls USING (class_name)"""
+SELECT path, label_idx, n_bytes FROM files JOIN mapping USING (file) JOIN cls USING (class_name)
+WHERE regexp_matches(lower(path), '\\.(html)$')"""
+
+
+def trial_bytes_sql() -> str:
+    return f"""WITH {_trials_cte()}, files AS ({fx.duckdb_view(fx.DATASET_FILES_SQL)}),
+per AS (SELECT dataset, avg(n_bytes) AS b FROM files GROUP BY dataset)
+SELECT {KEYS}, t.dataset, {r6('coalesce(b, 0.0)')} AS disk_bytes_per_sample
+FROM trials t LEFT JOIN per ON t.dataset = per.dataset"""
+
+
+def scan_csv_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS}, gpu_name, model, vcpu, storage, batch_size, {r6('learning_rate')} AS learning_rate,
+  {r6('T_gpu_ms')} AS T_gpu_ms, {r6('avg_batch_time_ms')} AS avg_batch_time_ms FROM trials"""
 
 
 def clean_report_sql() -> str:
@@ -983,6 +1061,10 @@ def feature_matrix_base_sql() -> str:
     return _matrix_sql("T_gpu_ms", drop=("vcpu", "storage_SSD"))
 
 
+def feature_matrix_base_mlp_sql() -> str:
+    return _matrix_sql("T_gpu_ms")
+
+
 ORACLES = {
     "kfold_report": kfold_report_sql,
     "scan_trials": scan_trials_sql,
@@ -1031,6 +1113,17 @@ ORACLES = {
     "manifest": manifest_sql,
     "manifest_bytes": manifest_bytes_sql,
     "manifest_val": manifest_val_sql,
+    "feature_matrix_base_logo": feature_matrix_base_sql,
+    "feature_matrix_base_mlp": feature_matrix_base_mlp_sql,
+    "choice_one_hot": choice_one_hot_sql,
+    "trial_timing_tr": lambda: trial_timing_sql("1e-9"),
+    "mem_estimate_tr": mem_estimate_tr_sql,
+    "oof_predict": oof_predict_sql,
+    "logo_predict": logo_predict_sql,
+    "impute_rows": impute_rows_sql,
+    "scale_rows": scale_rows_sql,
+    "trial_bytes": trial_bytes_sql,
+    "scan_trials_csv": scan_csv_sql,
     "clean_report": clean_report_sql,
     "dedup_columns": dedup_columns_sql,
     "transformer_features": transformer_features_sql,

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CNN, MIN_HELDOUT_ROWS, MLP_LOGO, TARGET_BASE, TARGET_FULL, TRANSFORMER
+from ..config import CNN, CNN_LOGO, MIN_HELDOUT_ROWS, MLP, MLP_LOGO, TARGET_BASE, TARGET_FULL, TRANSFORMER
+from ..functions.estimators import memory_estimate, storage_label
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
-from ..operators.joins import enrich_with_spec, small_result
-from ..operators import folds, gbt, grid, layers, predict, text, timing
+from ..operators.joins import enrich_with_spec
+from ..operators import folds, gbt, grid, layers, matrix, predict, text, timing
 from ..operators.features import engineer, engineer_with_dimension
 from ..operators.profile import profile, skew_candidates
 from ..sources import fixtures, manifest
@@ -21,10 +22,13 @@ from ..sources import reports as report_src
 from ..sources.tables import read_table
 from ..sources.trials import (dedup_columns, drop_missing_targets, order_columns, slug, trials,
                               union_trials)
+from ..storage import written
 from ..streaming import step_stream
 from . import evaluate, reports
 from .evaluate import KEY_COLS
 
+RATIO_FLOOR = 1e-9  # smallest denominator of the Transformer family's loader ratio
+
 ROW_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
@@ -154,6 +158,26 @@ def feature_matrix_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*ROW_KEYS, *[F.col(c).cast("double").alias(c) for c in base], TARGET_BASE)
 
 
+def feature_matrix_base_logo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8, host ablation of the leave-one-GPU-out evaluators."""
+    f = evaluate.evaluation_features(spark, sf_dir, CNN_LOGO)
+    _, base = evaluate.model_features(f, CNN_LOGO)
+    return f.select(*ROW_KEYS, *[F.col(c).cast("double").alias(c) for c in base], TARGET_BASE)
+
+
+def feature_matrix_base_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 of the MLP family, which ablates nothing: the base model sees all features."""
+    f = evaluate.evaluation_features(spark, sf_dir, MLP)
+    _, base = evaluate.model_features(f, MLP)
+    return f.select(*ROW_KEYS, *[F.col(c).cast("double").alias(c) for c in base], TARGET_BASE)
+
+
+def choice_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7, optional model and optimizer columns."""
+    f = matrix.with_choices(_eval_trials(spark, sf_dir), include_model_oh=True, include_opt_oh=True)
+    return f.select(*ROW_KEYS, *[c for c in f.columns if c.startswith(("model_", "opt_"))])
+
+
 # ----------------------------------------------------- timing / estimators ---
 
 def trial_timing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +185,11 @@ def trial_timing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timing.trial_timing(fixtures.steps(spark, sf_dir))
 
 
+def trial_timing_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + A1 + X23 with the Transformer family's floored ratio."""
+    return timing.trial_timing(fixtures.steps(spark, sf_dir), ratio_floor=RATIO_FLOOR)
+
+
 def trial_throughput_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 over the step log."""
     return timing.trial_throughput(fixtures.steps(spark, sf_dir))
@@ -173,8 +202,8 @@ def layer_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed host configurations: one pass over the trials, materialised
-    as a small broadcast table (every grid job reads it)."""
-    return small_result(grid.host_configs(trials(spark, sf_dir)))
+    as a small table (every grid job reads it)."""
+    return written(grid.host_configs(trials(spark, sf_dir)), "hosts")
 
 
 def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +235,18 @@ def mem_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "act_bytes_per_sample_proxy", "arithmetic_intensity_train")
 
 
+def mem_estimate_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X20 with the Transformer family's optimizers, and the storage label."""
+    g = grid.transformer_grid(_hosts(spark, sf_dir))
+    d, ff = F.col("d_model").cast("bigint"), F.col("d_ff").cast("bigint")
+    g = g.withColumns({"param_count": F.col("depth").cast("bigint") * (4 * d * d + 2 * d * ff),
+                       "amp_enabled": F.col("prec_bits") == 16})
+    g = memory_estimate(g, amp="amp_enabled", with_adafactor=True)
+    return g.select("gpu_name", storage_label("storage").alias("storage"), "vcpu", "model", "dataset", "optimizer",
+                    "learning_rate", "batch_size", "prec_bits", "param_bytes", "optimizer_state_bytes",
+                    "master_param_bytes", "total_state_bytes")
+
+
 def trial_timing_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X23 on the trial table (T_step, loader ratio, bottleneck)."""
     return trials(spark, sf_dir).select(*ROW_KEYS, "T_step_ms", "loader_ratio", "bottleneck")
@@ -238,6 +279,17 @@ def oof_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(b, "fold")
 
 
+def oof_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + J7: out-of-fold predictions of both linear models, row by row."""
+    return evaluate.kfold_predictions(_eval_trials(spark, sf_dir), "fold", "linear").select(
+        *ROW_KEYS, "pred_full", "pred_base")
+
+
+def logo_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + J7: leave-one-GPU-out predictions of both linear models, row by row."""
+    return evaluate.logo_predictions(_eval_trials(spark, sf_dir)).select(*ROW_KEYS, "gpu_name", "pred_full", "pred_base")
+
+
 # ----------------------------------------------------------------- LOGO ---
 
 def logo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +353,20 @@ def fold_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.fold_moments(_prep_frame(spark, sf_dir), "fold", list(PREP_FEATURES))
 
 
+def impute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 applied: every row imputed with the medians of the other GPUs' rows."""
+    f = _features(spark, sf_dir).select(*ROW_KEYS, "gpu_name", *PREP_FEATURES)
+    return predict.impute_with(f, predict.fold_medians(f, "gpu_name", list(PREP_FEATURES)), "gpu_name",
+                               list(PREP_FEATURES)).select(*ROW_KEYS, *PREP_FEATURES)
+
+
+def scale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 applied: every row standardised with the moments of the other folds' rows."""
+    f = _features(spark, sf_dir).select(*ROW_KEYS, "fold", *PREP_FEATURES)
+    return predict.scale_with(f, predict.fold_moments(f, "fold", list(PREP_FEATURES)), "fold",
+                              list(PREP_FEATURES)).select(*ROW_KEYS, *PREP_FEATURES)
+
+
 def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct report keys."""
     return trials(spark, sf_dir).select("model", "vcpu", "storage").distinct().orderBy("model", "vcpu", "storage")
@@ -309,7 +375,7 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_ymax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis limit = max over both RMSE columns of the LOGO summary."""
     s = reports.logo_summary_from(evaluate.logo_sums(spark, sf_dir))
-    return s.agg(F.max(F.greatest("RMSE_full_ms", "RMSE_base_ms")).alias("ymax"))
+    return report_src.report_ymax(s, "RMSE_full_ms", "RMSE_base_ms")
 
 
 def format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,18 +445,14 @@ def _pair_vocab(pairs: DataFrame) -> DataFrame:
 
 def vocab_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T8 + U4: one vocabulary over sources then targets."""
-    return _pair_vocab(_pairs(spark, sf_dir))
+    return _pair_vocab(written(_pairs(spark, sf_dir), "pairs"))
 
 
 def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """<bos> ids <eos> cut to SEQ_LEN on both sides of every pair."""
-    p = _pairs(spark, sf_dir)
-    voc = _pair_vocab(p)
-    s = text.encode_ids(p, voc, "pair_id", "src", keep_tokens=SEQ_LEN - 1)
-    t = text.encode_ids(p, voc, "pair_id", "tgt", keep_tokens=SEQ_LEN - 1)
-    return (s.select("pair_id", text.ids_text(text.wrap_truncate("ids", SEQ_LEN)).alias("src_ids"))
-             .join(t.select("pair_id", text.ids_text(text.wrap_truncate("ids", SEQ_LEN)).alias("tgt_ids")),
-                   "pair_id"))
+    p = written(_pairs(spark, sf_dir), "pairs")  # one join of the corpus for both uses
+    e = text.encode_columns(p, _pair_vocab(p), ["pair_id"], {"src": "src", "tgt": "tgt"}, keep_tokens=SEQ_LEN - 1)
+    return e.select("pair_id", *[text.ids_text(text.wrap_truncate(c, SEQ_LEN)).alias(f"{c}_ids") for c in ("src", "tgt")])
 
 
 # ------------------------------------------------------------- manifest ---
@@ -417,7 +479,14 @@ def manifest_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 + J2: validation files kept only when mapped to a class."""
     return manifest.validation_manifest(fixtures.val_files(spark, sf_dir),
                                         fixtures.page_mapping(spark, sf_dir),
-                                        fixtures.classes(spark, sf_dir))
+                                        fixtures.classes(spark, sf_dir), extensions=MANIFEST_EXTENSIONS)
+
+
+def trial_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + J3: trials with the mean bytes per sample of their dataset."""
+    t = trials(spark, sf_dir).select(*ROW_KEYS, "dataset")
+    return manifest.with_dataset_bytes(t, fixtures.dataset_files(spark, sf_dir)).select(
+        *ROW_KEYS, "dataset", "disk_bytes_per_sample")
 
 
 # -------------------------------------------------------------- reports ---
@@ -482,6 +551,19 @@ def write_trials_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_trials(spark, path).select(*ROW_KEYS, "architecture", "gpu_name", "gpu_slug", "T_gpu_ms")
 
 
+def scan_trials_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 from CSV: a trial table written as CSV and read with its schema."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.trials import scan_trials as read_trials
+    t = trials(spark, sf_dir).select(*ROW_KEYS, "gpu_name", "model", "vcpu", "storage", "batch_size", "learning_rate",
+                                     "T_gpu_ms", "avg_batch_time_ms")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trials-csv-{uuid.uuid4().hex}"
+    t.write.option("header", True).csv(path)
+    return read_trials(spark, path, "csv", t.schema)
+
+
 def stream_trial_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1: the step-log rollup as a stateful stream; equals trial_timing."""
     return step_stream.stream_trial_timing_query(spark, sf_dir)
@@ -489,6 +571,9 @@ def stream_trial_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- GBT ---
 
+# ``gbt.oof_gbt`` defaults to the full protocol (config.GBT_DEFAULTS).  The
+# registered queries fit fewer, shallower trees: the full protocol takes
+# hours on one machine (see README, known limits).
 GBT_QUERY_PARAMS = dict(max_iter=5, max_depth=3)
 
 
@@ -499,10 +584,9 @@ def _gbt_frame(spark: SparkSession, sf_dir: str):
 
 
 def oof_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3 + M5: 2-fold out-of-fold GBT predictions of both models -> report."""
+    """M3 + M5: 5-fold out-of-fold GBT predictions of both models -> report."""
     f, full, base = _gbt_frame(spark, sf_dir)
-    f = f.withColumn("fold2", F.col("fold") % 2)
-    pred = gbt.oof_gbt(f, "fold2", [("pred_full", TARGET_FULL, full), ("pred_base", TARGET_BASE, base)],
+    pred = gbt.oof_gbt(f, "fold", [("pred_full", TARGET_FULL, full), ("pred_base", TARGET_BASE, base)],
                        keys=[*ROW_KEYS, "model", "vcpu", "storage"], params=GBT_QUERY_PARAMS)
     return reports.kfold_report(pred)
 
@@ -558,6 +642,15 @@ REGISTRY = {
     "mem_estimate": mem_estimate,
     "trial_timing_cols": trial_timing_cols,
     "kfold_assign": kfold_assign,
+    "feature_matrix_base_logo": feature_matrix_base_logo,
+    "feature_matrix_base_mlp": feature_matrix_base_mlp,
+    "choice_one_hot": choice_one_hot,
+    "trial_timing_tr": trial_timing_tr,
+    "mem_estimate_tr": mem_estimate_tr,
+    "oof_predict": oof_predict,
+    "logo_predict": logo_predict,
+    "impute_rows": impute_rows,
+    "scale_rows": scale_rows,
     "oof_mean": oof_mean,
     "oof_linear": oof_linear,
     "oof_ridge": oof_ridge,
@@ -587,6 +680,8 @@ REGISTRY = {
     "dedup_columns": dedup_columns_q,
     "transformer_features": transformer_features,
     "mlp_features": mlp_features,
+    "trial_bytes": trial_bytes,
+    "scan_trials_csv": scan_trials_csv,
     "write_trials": write_trials_q,
     "stream_trial_timing": stream_trial_timing,
     "oof_gbt": oof_gbt,

@@ -3,14 +3,13 @@ predictions -> reports (K-fold and leave-one-GPU-out)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL, FamilyConfig
 from ..functions.nulls import dbl
 from ..operators import predict
-from ..operators.features import Stats, engineer, engineer_with_dimension, global_stats
+from ..operators.features import engineer_with_dimension
 from ..operators.joins import enrich_with_spec
 from ..operators.matrix import base_features, feature_columns
 from ..operators.profile import auto_log1p
@@ -33,44 +32,17 @@ def evaluation_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_with_spec(t, fixtures.gpu_spec(spark))
 
 
-def evaluation_features(spark: SparkSession, sf_dir: str, fam: FamilyConfig = CNN,
-                        log1p: bool = True, exact: bool = True, cache: bool = False) -> DataFrame:
+def evaluation_features(spark: SparkSession, sf_dir: str, fam: FamilyConfig = CNN, log1p: bool = True) -> DataFrame:
     """Fixture trials -> full feature frame, GPU-only features via the GPU
-    dimension (see ``engineer_with_dimension``)."""
-    t = drop_missing_targets(require_columns(trials(spark, sf_dir)))
-    f = engineer_with_dimension(t, fixtures.gpu_spec(spark), fam, exact=exact)
-    return finish_features(f, fam, log1p, cache)
-
-
-_CACHED: list = []
-
+    dimension (see ``engineer_with_dimension``).
 
-def feature_frame(df: DataFrame, fam: FamilyConfig = CNN, exact: bool = True,
-                  stats: Stats | None = None, log1p: bool = True, cache: bool = False) -> DataFrame:
-    """Feature prefix + heavy-tail logs.
-
-    Jobs: the one-row stats aggregate, then (with ``log1p``) the profile
-    aggregate.  The feature projection is a narrow, codegen'd pipeline over
-    the scan, so consumers recompute it: measured at sf0.1, persisting the
-    ~100-column frame cost more (12 s) than the two recomputations it saves
-    (~7 s each), and at scale it would write the whole frame once more.
-    ``cache=True`` (MEMORY_AND_DISK, recomputable) is for callers that read
-    the frame many times (e.g. k model fits); only the most recent such
-    frame is kept.
+    The projection is a narrow, codegen'd pipeline over the scan, so
+    consumers recompute it: at sf0.1 persisting the ~100-column frame cost
+    more than the recomputations it saves.
     """
-    f = engineer(df, fam, stats or global_stats(df, fam, exact=exact))
-    return finish_features(f, fam, log1p, cache)
-
-
-def finish_features(f: DataFrame, fam: FamilyConfig, log1p: bool, cache: bool) -> DataFrame:
-    if cache:
-        while _CACHED:
-            _CACHED.pop().unpersist()
-        f = f.persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHED.append(f)
-    if log1p:
-        f, _ = auto_log1p(f, TARGET_FULL, fam.leaky, extra_drop=KEY_COLS)
-    return f
+    t = drop_missing_targets(require_columns(trials(spark, sf_dir)))
+    f = engineer_with_dimension(t, fixtures.gpu_spec(spark), fam)
+    return auto_log1p(f, TARGET_FULL, fam.leaky, extra_drop=KEY_COLS)[0] if log1p else f
 
 
 def model_features(f: DataFrame, fam: FamilyConfig = CNN) -> tuple[list[str], list[str]]:
@@ -121,7 +93,7 @@ def linear_report_sums(df: DataFrame, fold_col: str, keys, x: str = "log2_batch_
     if min_rows is not None:
         held = sums.groupBy(fold_col).agg(F.sum("n").alias("n"))
         held = held.where(F.col(fold_col).isNotNull() & (F.col("n") >= min_rows)).select(fold_col)
-        sums = sums.join(F.broadcast(held), fold_col, "left_semi")
+        sums = sums.join(held, fold_col, "left_semi")
     return reports.analytic_sums(sums)
 
 

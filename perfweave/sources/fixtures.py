@@ -36,7 +36,8 @@ RAW_TRIALS_SQL = f"""
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   {GPU_NAME_CASE} AS gpu_name,
   p_type AS model, p_brand AS dataset, 'CNN' AS architecture,
-  CAST(CASE l_linenumber % 3 WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 16 END AS BIGINT) AS vcpu,
+  CAST(least(CASE l_linenumber % 3 WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 16 END,
+             CASE l_suppkey % 10 WHEN 2 THEN 8 ELSE 16 END) AS BIGINT) AS vcpu,
   CASE l_linestatus WHEN 'O' THEN 'NVME' ELSE 'SSD' END AS storage,
   CAST(CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN 32 WHEN 1 THEN 64 WHEN 2 THEN 128
        ELSE 256 END AS BIGINT) AS batch_size,
@@ -61,7 +62,8 @@ STEPS_SQL = """
 SELECT user_id AS trial_id, ts, event_id,
   value * 0.25 AS loader_ms, value * 0.75 AS compute_ms,
   CAST(32 AS INT) AS n_examples, CAST(event_id % 128 AS INT) AS n_tokens,
-  event_type = 'error' AS oom
+  event_type = 'error' AS oom,
+  event_type <> 'error' OR event_id % 2 = 0 AS fwd_done
 FROM {events}
 """
 
@@ -88,9 +90,10 @@ FROM {part}
 CORPUS_SQL = "SELECT doc_id, text FROM {documents}"
 
 # Pair corpus: a user turn and the assistant turn that follows it; the
-# conversation's system prompt is the fallback source text.
+# conversation's system prompt is the fallback source text.  The key holds
+# both numbers at full width: no two turns share it, and it sorts like them.
 PAIRS_SQL = """
-SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS src_primary, s.text AS src_fallback,
+SELECT lpad(CAST(u.conv_id AS STRING), 20, '0') || ':' || lpad(CAST(u.turn AS STRING), 20, '0') AS pair_id, u.text AS src_primary, s.text AS src_fallback,
        a.text AS tgt_primary, CAST(NULL AS STRING) AS tgt_fallback
 FROM {conversations} u
 LEFT JOIN {conversations} a
@@ -108,6 +111,14 @@ SELECT url AS path, regexp_extract(url, '^[a-z]+://[^/]+/([a-z][a-z])/', 1) AS c
 FROM {pages}
 """
 
+# Files of the datasets: every page is a file of one dataset (the brand names
+# of the trials' datasets, dealt by page number; one brand has no file).
+DATASET_FILES_SQL = """
+SELECT 'Brand#' || CAST(1 + page_id % 22 AS STRING) AS dataset,
+       CAST(bit_length(html) / 8 AS BIGINT) AS n_bytes
+FROM {pages}
+"""
+
 # Validation split stand-in: files keyed by id, and an id -> class mapping.
 VAL_FILES_SQL = "SELECT page_id AS file, url AS path, CAST(bit_length(html) / 8 AS BIGINT) AS n_bytes FROM {pages}"
 MAPPING_SQL = "SELECT doc_id AS file, lang AS class_name FROM {documents}"
@@ -192,6 +203,10 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, PAGES_SQL, ("pages",))
 
 
+def dataset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, DATASET_FILES_SQL, ("pages",))
+
+
 def page_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation annotations stand-in: page id -> class (language of the
     document with the same id); pages without one are unmapped."""

@@ -47,14 +47,28 @@ def manifest(files: DataFrame, classes: DataFrame, extensions=None) -> DataFrame
 
 
 def validation_manifest(files: DataFrame, mapping: DataFrame, classes: DataFrame,
-                        key: str = "file") -> DataFrame:
-    """Validation files mapped to a class by a file->class table; unmapped
-    files are dropped (S7, J2)."""
+                        key: str = "file", extensions=None) -> DataFrame:
+    """Validation files with an accepted extension, mapped to a class by a
+    file->class table; unmapped files are dropped (S7, J2)."""
+    if extensions:
+        files = files.where(extension_filter("path", extensions))
     idx = bounded_broadcast(class_index(classes))
     return (files.join(mapping, key, "inner").join(idx, "class_name", "inner")
                  .select("path", "label_idx", "n_bytes"))
 
 
+def dataset_bytes(files: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Mean bytes per sample of every dataset."""
+    return files.groupBy(dataset).agg(F.avg("n_bytes").alias("disk_bytes_per_sample"))
+
+
+def with_dataset_bytes(trials: DataFrame, files: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Trials with their dataset's mean bytes; a dataset without files -> 0.0."""
+    per = bounded_broadcast(dataset_bytes(files, dataset))
+    return trials.join(per, dataset, "left").withColumn(
+        "disk_bytes_per_sample", F.coalesce("disk_bytes_per_sample", F.lit(0.0)))
+
+
 def average_bytes(man: DataFrame, classes: DataFrame) -> DataFrame:
     """Mean bytes per sample of every class; a class without files -> 0.0."""
     per = man.groupBy("label_idx").agg(F.avg("n_bytes").alias("avg_bytes"))

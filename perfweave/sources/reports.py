@@ -11,6 +11,12 @@ MODEL_REPORT_SPEC = (("model", "exact", "model"), ("batch", "contains", "batch")
                      ("actual", "contains", "actual"), ("pred", "contains", "pred"))
 ERROR_FRAGMENT = "error"
 
+# Column roles of an unseen-GPU report: the caller names the fragments of the
+# two predictors' columns.
+def unseen_report_spec(full: str = "full", base: str = "base"):
+    return (("gpu", "contains", "gpu"), ("full", "contains", full), ("base", "contains", base))
+
+
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, header names stripped of blanks."""
@@ -60,6 +66,15 @@ def clean_model_report(df: DataFrame) -> DataFrame:
     return out.dropna(subset=["Model", "Batch", "Actual", "Predicted"]).orderBy("Model", "Batch")
 
 
+def clean_unseen_report(df: DataFrame, full: str = "full", base: str = "base") -> DataFrame:
+    """(GPU, RMSE_full_ms, RMSE_base_ms) of a two-predictor report: columns by
+    name, numbers cleaned (P3), incomplete rows dropped (P4), sorted by GPU."""
+    cols = resolve_columns(df, unseen_report_spec(full, base))
+    out = df.select(F.col(cols["gpu"]).alias("GPU"), to_num(cols["full"]).alias("RMSE_full_ms"),
+                    to_num(cols["base"]).alias("RMSE_base_ms"))
+    return out.dropna().orderBy("GPU")
+
+
 def report_ymax(df: DataFrame, a: str = "Actual", b: str = "Predicted") -> DataFrame:
     """Axis limit: largest value of two columns."""
     return df.agg(F.max(F.greatest(a, b)).alias("ymax"))

@@ -13,17 +13,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FACT_TABLES = ("lineitem", "events", "documents", "pages", "conversations", "orders")
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over the cluster's cores when it has too few splits.
+SPREAD_BYTES = 128 * 1024 * 1024
 
-    A large input already has one split per file block, and this is a no-op
-    (no shuffle); a small single-row-group file would otherwise run every
-    downstream narrow stage in one task.
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table that is a single file of at most SPREAD_BYTES.
+
+    Such a file may be one row group, so one split, and every narrow stage
+    over it one task.  What is shuffled for it is bounded by SPREAD_BYTES;
+    larger tables are read as Spark splits them.  Rows are the same either way.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    if len(df.inputFiles()) > 1 or int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,4 +33,4 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df) if name in FACT_TABLES else df
+    return spread_small(df) if name in FACT_TABLES else df

@@ -78,8 +78,13 @@ def derive_trial_columns(df: DataFrame) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture trial table with all generator columns, missing canonicalised."""
-    return canon_missing(derive_trial_columns(fixtures.raw_trials(spark, sf_dir)))
+    """Fixture trial table with all generator columns; missing values are
+    canonicalised everywhere but in the two targets (P2)."""
+    return canonical_trials(derive_trial_columns(fixtures.raw_trials(spark, sf_dir)))
+
+
+def canonical_trials(df: DataFrame) -> DataFrame:
+    return canon_missing(df, skip=(TARGET_FULL, TARGET_BASE))
 
 
 def union_trials(frames) -> DataFrame:
@@ -116,7 +121,8 @@ def order_columns(df: DataFrame, last: str | None = None) -> DataFrame:
 def write_trials(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write one folder per (architecture, GPU) (S4).  The partition columns
     make a held-out GPU a partition filter for readers."""
-    out = dedup_columns(df).withColumn("gpu_slug", slug("gpu_name"))
+    # Rows of one folder come together; large folders are split by size at run time.
+    out = dedup_columns(df).withColumn("gpu_slug", slug("gpu_name")).hint("rebalance", "architecture", "gpu_slug")
     w = out.write.mode(mode).partitionBy("architecture", "gpu_slug")
     if fmt == "csv":
         w.option("header", True).csv(path)

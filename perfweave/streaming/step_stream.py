@@ -6,7 +6,8 @@ Each trial's measured window is "steps warmup+1 .. warmup+measure in
 earliest steps.  ``applyInPandasWithState`` keeps exactly those (bounded
 state: at most 25 rows per trial, whatever the arrival order) and emits them
 whenever they change.  Every emission goes to a file sink via
-``foreachBatch`` tagged with its micro-batch id; the current result is the
+``foreachBatch`` in a folder of its micro-batch, which a replay of the
+micro-batch overwrites; the current result is the
 batch rollup (``operators.timing.trial_timing``, the same Spark code) over
 each trial's latest emission.  On a finite replay it equals the batch
 result exactly.
@@ -59,7 +60,8 @@ def stream_trial_timing(spark: SparkSession, steps: DataFrame, out_dir: str, che
         GroupStateTimeout.NoTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        # A replayed micro-batch replaces its own folder.
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     q = (kept.writeStream.foreachBatch(sink).outputMode("update")
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -76,10 +78,14 @@ def latest_rollup(spark: SparkSession, out_dir: str, warmup: int = WARMUP_STEPS,
 
 
 def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step log as a stream over the events parquet file(s)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-              .parquet(sf_dir))
+    """The step log as a stream over the events table, one file or a folder of files."""
+    folder, path = sf_dir.rstrip("/"), f"{sf_dir.rstrip('/')}/events.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    if any(f.endswith("/events.parquet") for f in table.inputFiles()):  # a stream reads folders only
+        events = stream.option("pathGlobFilter", "events.parquet").parquet(folder)
+    else:
+        events = stream.parquet(path)
     return spark.sql(fixtures.STEPS_SQL, events=events)
 
 

@@ -23,7 +23,8 @@ def duck():
     import duckdb
 
     from perfweave.sources.tables import TABLES
+    folder = os.environ.get("PERFWEAVE_ORACLE_DIR", SF001)
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     return con

@@ -91,3 +91,26 @@ def test_resolve_columns_by_name(spark):
     cols = reports.resolve_columns(df)
     assert cols == {"model": "MODEL", "batch": "batch size", "actual": "Actual x",
                     "pred": "Predicted y", "error": None}
+
+
+# The published unseen-GPU rows (family, GPU, full, base).
+UNSEEN_ROWS = (
+    ("CNN", "A100", 13.915, 15.942), ("CNN", "RTX 4000 Ada", 19.973, 21.24), ("CNN", "L4", 23.757, 25.905),
+    ("CNN", "RTX 5090", 27.935, 28.841), ("MLP", "H100", 11.85, 54.492), ("MLP", "L40", 16.658, 57.6),
+    ("MLP", "L40s", 19.24, 69.669), ("MLP", "RTX 4000 Ada", 20.145, 54.021), ("Transformer", "RTX 5090", 9.98, 10.303),
+    ("Transformer", "A40", 11.927, 18.163), ("Transformer", "A100", 15.425, 18.217), ("Transformer", "L4", 20.465, 23.207))
+
+
+@pytest.mark.parametrize("family", ["CNN", "MLP", "Transformer"])
+def test_unseen_gpu_report_file(spark, tmp_path, family):
+    """A two-predictor CSV: columns by fragment, numbers cleaned, incomplete rows dropped, sorted by GPU."""
+    from perfweave.sources import reports
+    mine = [r[1:] for r in UNSEEN_ROWS if r[0] == family]
+    path = tmp_path / "unseen.csv"
+    path.write_text(" Held-out GPU , Full model (ms),Base model (ms) \n"
+                    + "".join(f"{g},{a} ms,{b}\n" for g, a, b in mine) + "broken,,1.0\n")
+    got = [tuple(r) for r in reports.clean_unseen_report(
+        reports.read_report_csv(spark, str(path)), "full model", "base model").collect()]
+    assert got == sorted(mine)
+    with pytest.raises(ValueError):
+        reports.resolve_columns(spark.createDataFrame([(1,)], "x int"), reports.unseen_report_spec())
