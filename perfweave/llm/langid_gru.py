@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perfweave.llm.common import code_on_workers
+
 SAMPLE_DOCS = 3000
 SAMPLE_WORDS = 25
 SEGMENT = 32  # bytes
@@ -164,6 +166,7 @@ def training_rows(doc_id: Column) -> Column:
 
 def sample_segments(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_words: int = SAMPLE_WORDS) -> list[tuple[bytes, str]]:
     """At most 2 x n_docs x n_words labelled segments, by hash of doc_id."""
+    code_on_workers(docs.sparkSession)
     labelled = docs.where(training_rows(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, n_docs / max(1, labelled.count()))
     few = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
@@ -215,6 +218,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
     import pyarrow as pa
 
+    code_on_workers(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = Memo(), np.empty((0, 0))
         for b in batches:

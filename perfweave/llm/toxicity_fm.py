@@ -33,6 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perfweave.llm.common import code_on_workers
 from perfweave.operators.joins import bounded_broadcast
 
 SAMPLE_DOCS = 12_000
@@ -165,6 +166,7 @@ def training_rows(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, n_docs: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, int]]:
     """About n_docs labelled documents, by hash of doc_id, as (slots, label)."""
+    code_on_workers(docs.sparkSession)
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & training_rows(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic")))
     share = min(1.0, n_docs / max(1, known.count()))
@@ -189,6 +191,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """(doc_id, score) of every row."""
     import pyarrow as pa
 
+    code_on_workers(docs.sparkSession)
     # 2 ** BITS x (FACTORS + 2) numbers, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(
         None if machine is None else (machine.bias, machine.rows().astype(np.float32)))
