@@ -18,12 +18,11 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def duck_views(folder):
+    """DuckDB connection with a folder's tables as views."""
     import duckdb
 
     from perfweave.sources.tables import TABLES
-    folder = os.environ.get("PERFWEAVE_ORACLE_DIR", SF001)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
