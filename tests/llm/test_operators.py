@@ -419,7 +419,7 @@ def test_preference_segments(spark):
         (1, "prompt", 0, "<|user|>\nq\n", False), (1, "chosen", 0, "<|assistant|>\ngood\n", True),
         (1, "chosen", 1, "<|user|>\nthanks\n", False), (1, "rejected", 0, "<|assistant|>\nbad\n", True),
         (2, "prompt", 0, "<|user|>\nsame\n", False), (3, "prompt", 0, "<|user|>\n\n", False),
-        (3, "chosen", 1, "<|assistant|>\nlate\n", True), (3, "rejected", 1, "<|assistant|>\nlate\n", True),
+        (3, "chosen", 0, "<|assistant|>\nlate\n", True), (3, "rejected", 0, "<|assistant|>\nlate\n", True),
         (4, "chosen", 0, "<|user|>\nalone\n", False)])
     whole = {r.pair_id: r for r in preference.assemble(preference.segments(turns)).collect()}
     assert whole[1].prompt == "<|user|>\nq\n" and whole[1].chosen_trained == "0:19" and whole[1].rejected_trained == "0:18"
