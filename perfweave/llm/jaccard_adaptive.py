@@ -222,7 +222,8 @@ def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """Sets of the documents that take part in pairs, written."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    # The same plan at every size: both sides are shuffled by doc_id.
+    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return written(sets(texts, size), "sets")
 
 
