@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfweave.llm import wordhash as H
+from perfweave.llm.common import code_on_workers
 
 WINDOW = 50
 # Perfect difference set of order 5: fixed values.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_DOCS, BUCKET_DOCS = 1500, 4000  # documents per block, and per bucket of hashes
+LEAST_KEYS = 64
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -138,9 +140,11 @@ def repeated(docs: DataFrame, block_docs: int = BLOCK_DOCS, bucket_docs: int = B
     """One row per document: doc_id, n_words, n_removed, kept text (or its sha256)."""
     import pandas as pd
 
-    spark = docs.sparkSession
-    total, least_keys = docs.count(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, buckets = (max(least_keys, -(-total // n)) for n in (block_docs, bucket_docs))
+    code_on_workers(docs.sparkSession)
+    # Set by the data, not by the number of partitions: a block sends at most
+    # one row to each bucket, and never more rows than it has hashes.
+    total = docs.count()
+    blocks, buckets = (max(LEAST_KEYS, -(-total // n)) for n in (block_docs, bucket_docs))
     dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
                         F.col("doc_id").isNull().alias("no_id"), "text",
                         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
