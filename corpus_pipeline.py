@@ -14,8 +14,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return jaccard_adaptive.one_of_each(docs)
+    """One document of each group of near-duplicates stays: sets of five-word
+    shingles, linked from a Jaccard of 0.8 (the defaults of the join are those of its own query)."""
+    return jaccard_adaptive.one_of_each(docs, size=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
