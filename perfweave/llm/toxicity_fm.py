@@ -9,8 +9,13 @@ logistic of
 so besides each term's weight w every pair of terms contributes the inner
 product of their vectors v: pairs such as an insult and a group mention count
 although each alone may be harmless.  Long texts hold many neutral terms; a
-term takes part only if its shares among toxic and other training documents
-differ by ``MIN_Z`` standard errors, and it occurs in ``MIN_DOCS`` of them.
+term in ``MIN_DOCS`` training documents takes part if it tells alone or beside
+another term.  Alone: its shares among toxic and other documents differ by
+``MIN_Z`` standard errors.  In a pair: among the documents that hold some
+other term, its shares differ by ``PAIR_Z`` standard errors (more, as all
+pairs of terms are tested), and ``PAIR_DOCS`` documents hold both (fewer give
+no reliable test); both terms of the pair then take part.  Terms that only a
+pair brought in learn slower and decay (``PAIR_START``, ``PAIR_DECAY``).
 
 Training: numpy, AdaGrad on logistic loss, on a bounded sample of labelled
 documents (``SAMPLE_DOCS`` by hash; documented bound).  Rows that may be
@@ -41,6 +46,11 @@ BITS = 18
 FACTORS = 4
 MIN_DOCS = 4
 MIN_Z = 4.0
+PAIR_DOCS = 32
+PAIR_Z = 9.0
+PAIR_DECAY = 0.3
+PAIR_START = 30.0  # first squared-gradient sum of their weights
+PAIR_BLOCK = 1024  # terms counted against as many others at once
 MEMO_TERMS = 400_000
 
 # Bytes of words: ASCII letters and everything beyond ASCII; the rest divides words.
@@ -113,6 +123,53 @@ def informative(samples: list[tuple[np.ndarray, int]], n: int) -> np.ndarray:
     return (k1 + k0 >= MIN_DOCS) & (np.abs(k1 / n1 - k0 / n0) >= MIN_Z * error)
 
 
+def paired(samples: list[tuple[np.ndarray, int]], alone: np.ndarray) -> np.ndarray:
+    """Slots of pairs whose one slot tells the classes apart where the other
+    stands, and not by itself (``alone``)."""
+    size = PAIR_BLOCK
+    y = np.array([t for _, t in samples])
+    place = np.empty(len(y), np.int64)  # toxic texts first
+    place[np.argsort(-y, kind="stable")] = np.arange(len(y))
+    toxic = int((y > 0).sum())
+    slot = np.concatenate([s for s, _ in samples])
+    doc = np.repeat(place, [len(s) for s, _ in samples])
+    terms = np.flatnonzero(np.bincount(slot, minlength=len(alone)) >= PAIR_DOCS)
+    at = np.full(len(alone), -1)
+    at[terms] = np.arange(len(terms))
+    doc, slot = doc[at[slot] >= 0], at[slot[at[slot] >= 0]]
+    order = np.argsort(slot, kind="stable")
+    doc, slot = doc[order], slot[order]
+    blocks = -(-len(terms) // size)
+    ends = np.searchsorted(slot, np.arange(blocks + 1) * size)
+    n1, n0 = (np.bincount(slot[c], minlength=blocks * size).astype(np.float32) for c in (doc < toxic, doc >= toxic))
+    weak, found = np.zeros(blocks * size, bool), np.zeros(blocks * size, bool)
+    weak[:len(terms)] = ~alone[terms]
+
+    def block(i):  # texts x terms
+        x = np.zeros((len(y), size), np.float32)
+        x[doc[ends[i]:ends[i + 1]], slot[ends[i]:ends[i + 1]] - i * size] = 1
+        return x
+
+    def tells(k1, k0, a1, a0):  # second term's shares among the first's texts
+        share = (k1 + k0) / (a1 + a0)
+        error = np.sqrt(share * (1 - share) * (1 / a1 + 1 / a0)) + 1e-12
+        return (k1 + k0 >= PAIR_DOCS) & (a1 > 0) & (a0 > 0) & (np.abs(k1 / a1 - k0 / a0) >= PAIR_Z * error)
+
+    with np.errstate(all="ignore"):
+        for i in range(blocks):
+            x, rows = block(i), slice(i * size, (i + 1) * size)
+            for j in range(i, blocks):
+                z, cols = x if i == j else block(j), slice(j * size, (j + 1) * size)
+                k1, k0 = x[:toxic].T @ z[:toxic], x[toxic:].T @ z[toxic:]
+                ok = tells(k1, k0, n1[rows, None], n0[rows, None]) & weak[cols]
+                ok |= tells(k1, k0, n1[cols], n0[cols]) & weak[rows, None]
+                found[rows] |= ok.any(1)
+                found[cols] |= ok.any(0)
+    out = np.zeros(len(alone), bool)
+    out[terms] = found[:len(terms)]
+    return out
+
+
 def train(samples: list[tuple[np.ndarray, int]], epochs: int = 30, batch: int = 64, rate: float = 0.2,
           decay: float = 1e-5, toxic_weight: float = 2.0,
           start: float = 1.0, vstart: float = 10.0, seed: int = 0) -> Machine | None:
@@ -120,13 +177,15 @@ def train(samples: list[tuple[np.ndarray, int]], epochs: int = 30, batch: int =
     if not samples:
         return None
     n, rng = 1 << BITS, np.random.default_rng(seed)
-    used = informative(samples, n)
+    alone = informative(samples, n)
+    used = alone | paired(samples, alone)
     rows = [s[used[s]] for s, _ in samples]
     y = np.array([t for _, t in samples], np.float64)
     pos = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     w, v = np.zeros(n), rng.normal(0, 0.005, (n, FACTORS)) * used[:, None]
     # Squared-gradient sums start at values that keep rare, noisy slots slow.
-    b, hw, hv, hb = float(np.log(pos / (1 - pos))), np.full(n, start), np.full((n, FACTORS), vstart), 1.0
+    b, hw, hv, hb = float(np.log(pos / (1 - pos))), np.where(alone, start, PAIR_START), np.full((n, FACTORS), vstart), 1.0
+    decays = np.where(alone, decay, PAIR_DECAY)[:, None]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for first in range(0, len(order), batch):
@@ -147,9 +206,9 @@ def train(samples: list[tuple[np.ndarray, int]], epochs: int = 30, batch: int =
             err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[part]) * np.where(y[part] > 0, toxic_weight, 1.0)
             here = err[doc]
             seen = np.bincount(back, here, k)
-            gw = seen + decay * ws
+            gw = seen + decays[slots, 0] * ws
             gv = np.stack([np.bincount(back, here * s[doc, f], k) for f in range(FACTORS)], 1)
-            gv += (decay - seen[:, None]) * vs
+            gv += (decays[slots] - seen[:, None]) * vs
             hw[slots] += gw * gw
             hv[slots] += gv * gv
             hb += err.sum() ** 2
