@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from perfweave.llm import (jaccard_adaptive, langid_gru, mixing, packing_bestfit, preference, quality_risk,
-                           secrets_markov, substring_cover, topk_pivots, toxicity_fm)
+from perfweave.llm import (gnat_negatives, jaccard_adaptive, langid_gru, mixing, packing_bestfit, preference, quality_risk,
+                           secrets_markov, spelling_variants, substring_cover, topk_pivots, toxicity_fm, url_trie)
 from perfweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,9 @@ REGISTRY: dict[str, Query] = {
     "op8_langid_gru": lambda s, d: langid_gru.digest(table(s, d, "documents")),
     "op9_secrets_markov": lambda s, d: secrets_markov.digest(table(s, d, "documents")),
     "op10_packing_bestfit": lambda s, d: packing_bestfit.pack(table(s, d, "documents")),
+    "op11_url_trie": lambda s, d: url_trie.judge(table(s, d, "pages"), url_trie.RULES),
+    "op12_gnat_negatives": lambda s, d: gnat_negatives.mine(table(s, d, "embeddings"), label=gnat_negatives.noisy_label),
+    "op13_spelling_variants": lambda s, d: spelling_variants.group(table(s, d, "documents"), every=spelling_variants.EVERY),
 }
 
 _TOPK_SQL = r"""
@@ -88,4 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_adaptive": _JACCARD_SQL,
     "op2_preference_format": preference.ORACLE,
     "op4_mixing_budgets": mixing.oracle_sql(),
+    "op11_url_trie": url_trie.ORACLE,
+    "op12_gnat_negatives": gnat_negatives.ORACLE,
+    "op13_spelling_variants": spelling_variants.ORACLE,
 }
