@@ -370,7 +370,10 @@ class Index:
             if not len(x) or not len(q):
                 return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("anchor_id", "slot", "vec_id", "score")})
             q_ids = q["vec_id"].to_numpy()
-            low, high = (np.array([list(v) for v in q[c]], np.int64).reshape(len(q), -1) for c in ("low", "high"))
+            # An anchor with fewer windows than others gets empty ones.
+            slots = max(map(len, q["low"]))
+            low, high = (np.array([[*v, *[empty] * (slots - len(v))] for v in q[c]], np.int64).reshape(len(q), slots)
+                         for c, empty in (("low", LONG_MAX), ("high", LONG_MIN)))
             got = best_in_windows(q_ids, q["label"].to_numpy(), matrix(q["v"], width), low, high, [set(v) for v in q["leaves"]],
                                   x["vec_id"].to_numpy(), x["label"].to_numpy(), matrix(x["v"], width), x["leaf"].to_numpy(), same, k)
             return pd.DataFrame({"anchor_id": q_ids[got["anchor"]], "slot": got["slot"], "vec_id": got["vec_id"], "score": got["score"]})
