@@ -6,6 +6,7 @@ its settings.  ``local_session`` is for tests and the bench script.
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,3 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="perfweave-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def code_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (a path all machines see; elsewhere the package goes with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])

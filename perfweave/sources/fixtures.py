@@ -14,9 +14,13 @@ check, because its size is fixed in the code.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+from ..storage import delete_at_exit
 from .tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -111,6 +115,12 @@ SELECT url AS path, regexp_extract(url, '^[a-z]+://[^/]+/([a-z][a-z])/', 1) AS c
 FROM {pages}
 """
 
+# The pages as the files of an image folder (content, class folder, page).
+PAGE_IMAGES_SQL = """
+SELECT html AS value, regexp_extract(url, '^[a-z]+://[^/]+/([a-z][a-z])/', 1) AS class, page_id AS page
+FROM {pages} WHERE html IS NOT NULL
+"""
+
 # Files of the datasets: every page is a file of one dataset (the brand names
 # of the trials' datasets, dealt by page number; one brand has no file).
 DATASET_FILES_SQL = """
@@ -119,12 +129,28 @@ SELECT 'Brand#' || CAST(1 + page_id % 22 AS STRING) AS dataset,
 FROM {pages}
 """
 
-# Validation split stand-in: files keyed by id, and an id -> class mapping.
-VAL_FILES_SQL = "SELECT page_id AS file, url AS path, CAST(bit_length(html) / 8 AS BIGINT) AS n_bytes FROM {pages}"
-MAPPING_SQL = "SELECT doc_id AS file, lang AS class_name FROM {documents}"
+# Validation split stand-in: files by name.
+VAL_FILES_SQL = """
+SELECT 'val_' || CAST(page_id AS STRING) || '.JPEG' AS file, url AS path, CAST(bit_length(html) / 8 AS BIGINT) AS n_bytes
+FROM {pages}
+"""
+
+# Annotation lines in file order (ord, k).  Some files are listed twice (the
+# last line tells), some lines lack the class.
+ANNOTATION_SQL = """
+SELECT ord, k, 'val_' || CAST(ord AS STRING) || '.JPEG' || tail AS line FROM (
+  SELECT doc_id AS ord, 0 AS k, CASE WHEN doc_id % 7 = 3 THEN '' ELSE chr(9) || lang || chr(9) || '0' || chr(9) || '63' END AS tail FROM {documents}
+  UNION ALL
+  SELECT doc_id AS ord, 1 AS k, chr(9) || 'en' || chr(9) || '1' AS tail FROM {documents} WHERE doc_id % 5 = 0) AS a
+"""
 
-# Ordered class list (the "wnids" file): languages of the documents, sorted.
-CLASSES_SQL = "SELECT DISTINCT lang AS class_name FROM {documents}"
+# Class list in file order: languages by their last document, which is not the
+# order of their names; a blank line and a padded name belong to the file.
+CLASS_LIST_SQL = """
+SELECT ord, line FROM (
+  SELECT -max(doc_id) AS ord, CASE WHEN lang = 'fr' THEN '  fr ' ELSE lang END AS line FROM {documents} WHERE lang IS NOT NULL GROUP BY lang
+  UNION ALL SELECT -min(doc_id) - 1 AS ord, '' AS line FROM {documents}) AS c
+"""
 
 # ---------------------------------------------------------------------------
 # GPU specification dimension.
@@ -207,10 +233,35 @@ def dataset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, DATASET_FILES_SQL, ("pages",))
 
 
-def page_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation annotations stand-in: page id -> class (language of the
-    document with the same id); pages without one are unmapped."""
-    return _view(spark, sf_dir, MAPPING_SQL, ("documents",))
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder; its files go when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
+def annotation_file(spark: SparkSession, sf_dir: str) -> str:
+    """Validation annotations written as text, in order; its path."""
+    path = shared_path(spark, "annotations")
+    _view(spark, sf_dir, ANNOTATION_SQL, ("documents",)).orderBy("ord", "k").select("line").write.text(path)
+    return path
+
+
+def class_list_file(spark: SparkSession, sf_dir: str) -> str:
+    """The class list (the "wnids" file) written as text, in order; its path."""
+    path = shared_path(spark, "classes")
+    _view(spark, sf_dir, CLASS_LIST_SQL, ("documents",)).orderBy("ord").select("line").write.text(path)
+    return path
+
+
+def image_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The pages as files, one each, ``<root>/<class>/images/...``; the root.
+
+    Spark's writer names folders ``column=value``; one file a page."""
+    path = shared_path(spark, "images")
+    pages = _view(spark, sf_dir, PAGE_IMAGES_SQL, ("pages",))
+    pages.write.partitionBy("class", "page").option("maxRecordsPerFile", 1).text(path)
+    return path
 
 
 def val_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +269,9 @@ def val_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, CLASSES_SQL, ("documents",))
+    """The class list read back from its file."""
+    from .manifest import class_list
+    return class_list(spark, class_list_file(spark, sf_dir))
 
 
 def duckdb_view(sql: str) -> str:

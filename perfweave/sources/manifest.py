@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
+from .lines import ordered_lines
 
 # Accepted image extensions (case-insensitive).
 IMAGE_EXTENSIONS = (".jpeg", ".jpg", ".png")
@@ -21,21 +22,42 @@ def extension_filter(path_col: str, extensions) -> F.Column:
     return F.lower(F.col(path_col)).rlike(rf"\.({ext})$")
 
 
-def list_image_folder(spark: SparkSession, root: str, extensions=IMAGE_EXTENSIONS) -> DataFrame:
-    """(path, class_name, n_bytes) for ``root/<class>/images/<file>``."""
+def list_files(spark: SparkSession, root: str, extensions, class_pattern: str) -> DataFrame:
+    """(path, n_bytes, class_name) of the files below ``root`` with an accepted
+    extension; the pattern's group of the path is the class."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", F.col("length").alias("n_bytes")))
     files = files.where(extension_filter("path", extensions))
-    return files.withColumn("class_name", F.regexp_extract("path", r"/([^/]+)/images/[^/]+$", 1))
+    return files.withColumn("class_name", F.regexp_extract("path", class_pattern, 1))
+
+
+def list_image_folder(spark: SparkSession, root: str, extensions=IMAGE_EXTENSIONS) -> DataFrame:
+    """(path, n_bytes, class_name) for ``root/<class>/images/<file>``."""
+    return list_files(spark, root, extensions, r"/([^/]+)/images/[^/]+$")
+
+
+def class_list(spark: SparkSession, path: str) -> DataFrame:
+    """(class_name, pos) of a class list file: one name a line, blank lines skipped."""
+    lines = ordered_lines(spark, path).select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("class_name"), "pos")
+    return lines.where("class_name <> ''")
 
 
 def class_index(classes: DataFrame, name: str = "class_name") -> DataFrame:
-    """Label index = position of the class in the (sorted) class list.
+    """Label index = position of the class in its list (W2); a class that is
+    listed again takes its last position.
 
     The window runs over the class list only (one row per class).
     """
-    return classes.select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("int")
-                          .alias("label_idx"))
+    at = classes.select(name, (F.row_number().over(Window.orderBy("pos")) - 1).cast("int").alias("label_idx"))
+    return at.groupBy(name).agg(F.max("label_idx").alias("label_idx"))
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, class_name) of a tab-separated annotation file (S7): the first two
+    fields; lines with fewer are skipped, the last line of a file name wins."""
+    parts = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), "\t")
+    lines = ordered_lines(spark, path).select(parts.alias("p"), "pos").where(F.size("p") >= 2)
+    return lines.groupBy(F.get("p", F.lit(0)).alias("file")).agg(F.max_by(F.get("p", F.lit(1)), "pos").alias("class_name"))
 
 
 def manifest(files: DataFrame, classes: DataFrame, extensions=None) -> DataFrame:

@@ -12,10 +12,11 @@ from ..config import TARGET_BASE, TARGET_FULL
 from ..functions.estimators import arithmetic_intensity, memory_estimate, step_time_columns
 from ..functions.nulls import canon_missing, col_, dbl
 from . import fixtures
+from .csv_files import read_csv
 
 REQUIRED_COLUMNS = ("gpu_name", "batch_size", "model", TARGET_FULL, TARGET_BASE, "vcpu", "storage")
 
-# Common trial columns written by every family's generator.
+# Trial columns of the generators (fixed values: names of their CSV files).
 TRIAL_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("architecture", T.StringType()), T.StructField("optimizer", T.StringType()),
@@ -37,6 +38,13 @@ TRIAL_SCHEMA = T.StructType([
     T.StructField("avg_batch_time_ms", T.DoubleType()), T.StructField("p90_batch_time_ms", T.DoubleType()),
     T.StructField("T_gpu_ms", T.DoubleType()), T.StructField("T_cpu_io_ms", T.DoubleType()),
     T.StructField("T_step_ms", T.DoubleType()), T.StructField("loader_ratio", T.DoubleType()),
+    T.StructField("input_shape", T.StringType()), T.StructField("num_classes", T.LongType()),
+    T.StructField("precision", T.LongType()),
+    T.StructField("flops_1x1_frac", T.DoubleType()), T.StructField("flops_3x3_frac", T.DoubleType()),
+    T.StructField("flops_depthwise_frac", T.DoubleType()), T.StructField("flops_grouped_frac", T.DoubleType()),
+    T.StructField("bn_layers", T.LongType()), T.StructField("act_layers", T.LongType()),
+    T.StructField("sum_hwC", T.LongType()), T.StructField("max_hwC", T.LongType()),
+    T.StructField("disk_bytes_per_sample", T.DoubleType()),
 ])
 
 
@@ -50,11 +58,12 @@ def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
 
 def scan_trials(spark: SparkSession, path: str, fmt: str = "parquet",
                 schema: T.StructType | None = None) -> DataFrame:
-    """Read a trial table (S1).  CSV gets an explicit schema (no inference
-    pass over the data); Parquet directories merge per-GPU schemas."""
+    """Read a trial table (S1).  CSV columns are taken by name and get the
+    schema's types (no inference pass over the data; lines that do not fit are
+    left out, see ``csv_files.read_csv`` for their quarantine); Parquet
+    directories merge per-GPU schemas."""
     if fmt == "csv":
-        return (spark.read.schema(schema or TRIAL_SCHEMA).option("header", True)
-                .option("mode", "PERMISSIVE").csv(path))
+        return read_csv(spark, path, schema or TRIAL_SCHEMA)[0]
     return spark.read.option("mergeSchema", True).parquet(path)
 
 

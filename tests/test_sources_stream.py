@@ -57,7 +57,7 @@ def test_image_folder_manifest(spark):
             with open(os.path.join(root, cls, "images", f), "wb") as h:
                 h.write(b"x" * (len(f) * 10))
     files = manifest.list_image_folder(spark, root)
-    classes = spark.createDataFrame([("n01",), ("n02",), ("n03",)], "class_name string")
+    classes = spark.createDataFrame([("n01", 0), ("n02", 1), ("n03", 2)], "class_name string, pos int")
     man = manifest.manifest(files, classes)
     got = sorted((os.path.basename(r["path"]), r["label_idx"], r["n_bytes"]) for r in man.collect())
     assert got == [("a.JPEG", 0, 60), ("b.png", 0, 50), ("c.jpg", 1, 50)]
@@ -114,7 +114,7 @@ def test_pair_keys_do_not_collide(spark, tmp_path):
 def test_validation_manifest_filters_extensions(spark):
     files = spark.createDataFrame([(1, "x/a.JPEG", 5), (2, "x/b.txt", 5)], "file long, path string, n_bytes long")
     mapping = spark.createDataFrame([(1, "n"), (2, "n")], "file long, class_name string")
-    classes = spark.createDataFrame([("n",)], "class_name string")
+    classes = spark.createDataFrame([("n", 0)], "class_name string, pos int")
     got = manifest.validation_manifest(files, mapping, classes, extensions=manifest.IMAGE_EXTENSIONS).collect()
     assert [r["path"] for r in got] == ["x/a.JPEG"]
 
@@ -125,3 +125,54 @@ def test_throughput_counts_steps_after_their_forward_pass(spark):
                                   "n_examples int, n_tokens int, oom boolean, fwd_done boolean")
     r = timing.trial_throughput(steps, warmup=5, measure=20).first()
     assert r["n_examples"] == 4 * 3  # steps 6, 7 (out of memory after its forward pass) and 9
+
+
+def test_class_list_in_file_order(spark, tmp_path):
+    (tmp_path / "wnids.txt").write_text("n09\n\n  n01 \nn05\t\n" + "".join(f"c{i}\n" for i in range(500, 0, -1)))
+    got = {r["class_name"]: r["label_idx"] for r in manifest.class_index(manifest.class_list(spark, str(tmp_path))).collect()}
+    assert got == {"n09": 0, "n01": 1, "n05": 2, **{f"c{i}": 503 - i for i in range(500, 0, -1)}}
+
+
+def test_line_order_survives_splits(spark, tmp_path):
+    """A file that is read in many splits, and several files, keep their line order."""
+    (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(5000)))
+    (tmp_path / "b.txt").write_text("".join(f"{i}\n" for i in range(5000, 9000)))
+    from perfweave.sources.lines import ordered_lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = ordered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 5
+        assert [int(r["line"]) for r in lines.orderBy("pos").collect()] == list(range(9000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_annotations_last_line_wins(spark, tmp_path):
+    (tmp_path / "val.txt").write_text("v1.JPEG\tn01\t0\t0\nv2.JPEG\n  v3.JPEG\tn02\nv1.JPEG\tn03\t1\n\nv2.JPEG \tn04\n")
+    got = {r["file"]: r["class_name"] for r in manifest.annotations(spark, str(tmp_path / "val.txt")).collect()}
+    assert got == {"v1.JPEG": "n03", "v3.JPEG": "n02", "v2.JPEG ": "n04"}
+
+
+def test_csv_by_name_with_quarantine(spark, tmp_path):
+    from perfweave.sources.csv_files import read_csv
+    (tmp_path / "a.csv").write_text("\ufeffgpu_name,model,batch_size,avg_batch_time_ms\nNVIDIA L4,resnet,64,1.5\nshort,line\n\"a, b\",vit,32,2.5\n")
+    (tmp_path / "b.csv").write_text("avg_batch_time_ms,batch_size,model,extra,model\n3.5,16,mlp,x,ignored\n4.5,many,mlp,x,y\n1,2,3,4,5,6\n")
+    (tmp_path / "c.csv").write_text("model,batch_size\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    import gzip
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as f:
+        f.write("batch_size,model\n8,zip\n")
+    schema = tr.T.StructType([tr.T.StructField(n, t) for n, t in (("model", tr.T.StringType()), ("batch_size", tr.T.LongType()), (
+        "avg_batch_time_ms", tr.T.DoubleType()), ("gpu_name", tr.T.StringType()), ("depth", tr.T.LongType()))])
+    rows, broken = read_csv(spark, str(tmp_path), schema)
+    assert rows.columns == ["model", "batch_size", "avg_batch_time_ms", "gpu_name", "depth", "extra"]
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, [
+        ("resnet", 64, 1.5, "NVIDIA L4", None, None), ("vit", 32, 2.5, "a, b", None, None), ("mlp", 16, 3.5, None, None, "x"), ("zip", 8, None, None, None, None)]))
+    assert sorted((os.path.basename(r["file"]), r["line"]) for r in broken.collect()) == [("a.csv", "short,line"), ("b.csv", "1,2,3,4,5,6"), ("b.csv", "4.5,many,mlp,x,y")]
+    assert tr.scan_trials(spark, str(tmp_path), "csv", schema).count() == 4
+    assert rows.select("model").count() == 4 and broken.select("line").count() == 3
+    with pytest.raises(FileNotFoundError):
+        read_csv(spark, str(tmp_path / "none"), schema)
