@@ -2,10 +2,11 @@
 
 Exact leave-fold-out predictors are trained for ALL folds in one pass:
 per-fold sufficient statistics (one ``groupBy(fold)`` aggregate, k rows),
-leave-out totals as ``total - own fold`` (a window over the k-row summary,
-never over facts), then one join of the small coefficient table back onto
-the facts (AQE broadcasts it from its measured size).  The same code does
-K-fold (fold = hash fold) and leave-one-GPU-out (fold = gpu_name).
+leave-out statistics as the merge of the folds before and the folds after a
+fold (``leaveout``; on the k-row summary, never over facts), then one join of
+the small coefficient table back onto the facts (AQE broadcasts it from its
+measured size).  The same code does K-fold (fold = hash fold) and
+leave-one-GPU-out (fold = gpu_name).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import dbl
 from ..storage import written
+from .leaveout import leave_out_moments, leave_out_sums
 
 
 def holdout_flags(df: DataFrame, fold_col: str, min_rows: int = 1) -> DataFrame:
@@ -27,22 +29,6 @@ def holdout_flags(df: DataFrame, fold_col: str, min_rows: int = 1) -> DataFrame:
               .withColumn("held_out", F.col(fold_col).isNotNull() & (F.col("fold_rows") >= min_rows)))
 
 
-def _totals(table: DataFrame, cols) -> dict:
-    """Whole-table sums of the columns: one row of numbers (0.0 when empty)."""
-    row = table.agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]).collect()[0]
-    return row.asDict()
-
-
-def _leave_out(sums: DataFrame, part_cols, cols) -> DataFrame:
-    """Add ``t_<c> = sum over partition - own value`` for every summed column.
-    Without partition columns the sums are those of the whole (small) table."""
-    if not part_cols:
-        total = _totals(sums, cols)
-        return sums.withColumns({f"t_{c}": F.lit(total[c]) - F.col(c) for c in cols})
-    w = Window.partitionBy(*part_cols)
-    return sums.withColumns({f"t_{c}": F.sum(c).over(w) - F.col(c) for c in cols})
-
-
 def fold_group_sums(df: DataFrame, fold_col: str, group_cols, targets) -> DataFrame:
     """ONE pass over the facts: per (fold, group) row count and, for every
     target, its sum and non-missing count.  k x groups rows - every
@@ -59,10 +45,10 @@ def leave_out_group_mean_from(sums: DataFrame, fold_col: str, y: str, group_cols
     group, falling back to the other folds' overall mean (M6a), computed on
     the (small) fold-group sums table."""
     g = sums.groupBy(fold_col, *group_cols).agg(F.sum(f"s__{y}").alias("s"), F.sum(f"n__{y}").alias("n"))
-    g = _leave_out(g, list(group_cols), ["s", "n"])
+    g = leave_out_sums(g, fold_col, ["s", "n"], group_cols)
     f = sums.groupBy(fold_col).agg(F.sum(f"s__{y}").alias("s0"), F.sum(f"n__{y}").alias("n0"))
-    f = _leave_out(f, [], ["s0", "n0"])
-    out = g.join(f.select(fold_col, "t_s0", "t_n0"), fold_col, "left")
+    f = leave_out_sums(f, fold_col, ["s0", "n0"]).select(F.col(fold_col).alias("__fold"), "t_s0", "t_n0")
+    out = g.join(f, F.col(fold_col).eqNullSafe(F.col("__fold")), "left")
     pred = F.when(F.col("t_n") > 0, F.col("t_s") / F.col("t_n")).otherwise(
         F.try_divide(F.col("t_s0"), F.col("t_n0")))
     return out.select(fold_col, *group_cols, pred.alias(name),
@@ -97,31 +83,35 @@ def linear_fold_sums(df: DataFrame, fold_col: str, x: str, targets, keys=(), mor
     return written(df.groupBy(*cells).agg(*aggs), "cells")
 
 
+def _fold_pair_moments(cells: DataFrame, fold_col: str, y: str) -> DataFrame:
+    """Cells merged to one row per fold: counts, means, centred sums.  The
+    fold's own means come first, so a cell adds its deviation from them only."""
+    c = {p: F.coalesce(F.col(f"{p}__{y}"), F.lit(0.0)) for p in ("n", "mx", "my", "cxx", "cxy", "ny", "mya")}
+    mean = lambda n, m: F.coalesce(F.try_divide(F.sum(c[n] * c[m]), F.sum(c[n])), F.lit(0.0))
+    mid = cells.groupBy(fold_col).agg(F.sum(c["n"]).alias("n"), mean("n", "mx").alias("x"), mean("n", "my").alias("y"),
+                                      F.sum(c["ny"]).alias("ny"), mean("ny", "mya").alias("ya"))
+    mid = mid.withColumnRenamed(fold_col, "__fold")
+    dx, dy = c["mx"] - F.col("x"), c["my"] - F.col("y")
+    return cells.join(mid, F.col(fold_col).eqNullSafe(F.col("__fold"))).groupBy(F.col("__fold").alias(fold_col)).agg(
+        *[F.first(v).alias(v) for v in ("n", "x", "y", "ny", "ya")],
+        F.sum(c["cxx"] + c["n"] * dx * dx).alias("xx"), F.sum(c["cxy"] + c["n"] * dx * dy).alias("xy"))
+
+
 def leave_out_linear_from(cells: DataFrame, fold_col: str, y: str, name: str = "pred") -> DataFrame:
     """Per fold: ``y ~ a + b x`` fitted on the other folds, from the cell
     moments (M6b).  Leave-out mean of y is the fallback prediction for a
     missing x and the intercept when x is constant.
-
-    Cells are shifted to the overall means (one row of numbers), so sums
-    over cells and their leave-out differences involve deviations only.
     """
-    c = {p: F.coalesce(F.col(f"{p}__{y}"), F.lit(0.0)) for p in ("n", "mx", "my", "cxx", "cxy", "ny", "mya")}
-    mid = cells.agg(*[F.coalesce(F.try_divide(F.sum(c[n] * c[m]), F.sum(c[n])), F.lit(0.0)).alias(m)
-                      for n, m in (("n", "mx"), ("n", "my"), ("ny", "mya"))]).collect()[0]
-    gx, gy, gya = (F.lit(float(mid[m])) for m in ("mx", "my", "mya"))
-    dx, dy = c["mx"] - gx, c["my"] - gy
-    parts = {"n": c["n"], "sx": c["n"] * dx, "sy": c["n"] * dy, "sxx": c["cxx"] + c["n"] * dx * dx,
-             "sxy": c["cxy"] + c["n"] * dx * dy, "ny": c["ny"], "sya": c["ny"] * (c["mya"] - gya)}
-    s = cells.groupBy(fold_col).agg(*[F.sum(e).alias(p) for p, e in parts.items()])
-    s = _leave_out(s, [], list(parts))
-    n = F.col("t_n")
-    mean_x, mean_y = F.try_divide(F.col("t_sx"), n), F.try_divide(F.col("t_sy"), n)
-    cxx, cxy = F.col("t_sxx") - F.col("t_sx") * mean_x, F.col("t_sxy") - F.col("t_sx") * mean_y
+    folds = written(_fold_pair_moments(cells, fold_col, y), "folds")
+    s = leave_out_moments(folds, fold_col, "n", ["x", "y"], {"xx": ("x", "x"), "xy": ("x", "y")})
+    means = leave_out_moments(folds, fold_col, "ny", ["ya"], {}).select(F.col(fold_col).alias("__fold"), "t_ny", "t_ya")
+    s = s.join(means, F.col(fold_col).eqNullSafe(F.col("__fold")))
+    n, mx, cxx = F.col("t_n"), F.col("t_x"), F.col("t_xx")
     # x is constant when its spread is no more than rounding of its size.
-    spread = cxx > F.lit(1e-18) * n * (gx * gx + F.try_divide(F.col("t_sxx"), n))
-    s = s.withColumns({f"{name}_b": F.coalesce(F.when(spread, cxy / cxx), F.lit(0.0)),
-                       f"{name}_ybar": gya + F.try_divide(F.col("t_sya"), F.col("t_ny"))})
-    a = F.when(n > 0, (gy + mean_y) - F.col(f"{name}_b") * (gx + mean_x)).otherwise(F.col(f"{name}_ybar"))
+    spread = cxx > F.lit(1e-18) * (n * mx * mx + cxx)
+    s = s.withColumns({f"{name}_b": F.coalesce(F.when(spread, F.col("t_xy") / cxx), F.lit(0.0)),
+                       f"{name}_ybar": F.when(F.col("t_ny") > 0, F.col("t_ya"))})
+    a = F.when(n > 0, F.col("t_y") - F.col(f"{name}_b") * mx).otherwise(F.col(f"{name}_ybar"))
     return s.select(fold_col, a.alias(f"{name}_a"), f"{name}_b", f"{name}_ybar",
                     n.cast("bigint").alias(f"{name}_train_rows"))
 
@@ -245,88 +235,6 @@ def group_mean_report_sums(df: DataFrame, fold_col: str, specs, y_score: str, ke
                     *[c.alias(k) for k, c in out.items()])
 
 
-MAX_RIDGE_FEATURES = 64  # the driver holds one p x p matrix per fold
-
-
-def gram_fold_sums(df: DataFrame, fold_col: str, feats: list[str], y: str) -> DataFrame:
-    """ONE pass: per fold, over complete rows (all features and y present):
-    n, means of x_i and y, and centred products of (x_i, x_j) and (x_i, y)
-    - k rows, p^2/2 columns."""
-    ok = dbl(y).isNotNull()
-    for c in feats:
-        ok = ok & dbl(c).isNotNull()
-    xs, yy = [F.when(ok, dbl(c)) for c in feats], F.when(ok, dbl(y))
-    n = F.count_if(ok)
-    aggs = [n.cast("double").alias("n"), F.avg(yy).alias("my")]
-    for i, xi in enumerate(xs):
-        aggs += [F.avg(xi).alias(f"m{i}"), (F.covar_pop(xi, yy) * n).alias(f"cy{i}")]
-        aggs += [(F.covar_pop(xi, xs[j]) * n).alias(f"c{i}_{j}") for j in range(i, len(xs))]
-    return df.groupBy(fold_col).agg(*aggs).na.fill(0.0)
-
-
-def ridge_models(sums_rows, fold_col: str, p: int, lam: float) -> list[tuple]:
-    """Leave-fold-out ridge per fold from the k summary rows: features are
-    standardised with the training moments, penalty ``lam`` on the
-    standardised coefficients; returns (fold, intercept, coef..., means...).
-    The other folds' moments are merged by the parallel formula."""
-    import numpy as np
-
-    def vec(r):
-        c = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                c[i, j] = c[j, i] = r[f"c{i}_{j}"]
-        return (r["n"], r["my"], np.array([r[f"m{i}"] for i in range(p)]),
-                np.array([r[f"cy{i}"] for i in range(p)]), c)
-
-    parts = {r[fold_col]: vec(r) for r in sums_rows}
-    out = []
-    for f in parts:
-        rest = [v for g, v in parts.items() if g != f and v[0] > 0]
-        n = sum(v[0] for v in rest)
-        if n <= 0:
-            out.append((f, None, *([None] * p), *([None] * p)))
-            continue
-        ybar = sum(v[0] * v[1] for v in rest) / n
-        mu = sum(v[0] * v[2] for v in rest) / n
-        cxy = sum(v[3] + v[0] * (v[2] - mu) * (v[1] - ybar) for v in rest) / n
-        cov = sum(v[4] + v[0] * np.outer(v[2] - mu, v[2] - mu) for v in rest) / n
-        sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
-        sd[sd == 0] = 1.0
-        corr = cov / np.outer(sd, sd)
-        beta_std = np.linalg.solve(corr + lam * np.eye(p), cxy / sd)
-        beta = beta_std / sd
-        out.append((f, float(ybar - mu @ beta), *map(float, beta), *map(float, mu)))
-    return out
-
-
-def oof_ridge(df: DataFrame, fold_col: str, specs, lam: float = 1.0) -> DataFrame:
-    """Attach out-of-fold ridge predictions; specs = [(name, features, y)].
-
-    One Gram aggregate per spec (k rows), k p x p solves on the driver (the
-    normal-equations route MLlib's WLS solver also takes), and a broadcast
-    scoring join; a missing feature scores at its training mean.
-    """
-    spark = df.sparkSession
-    for name, feats, y in specs:
-        p = len(feats)
-        if p > MAX_RIDGE_FEATURES:
-            raise ValueError(f"ridge takes at most {MAX_RIDGE_FEATURES} features")
-        rows = gram_fold_sums(df, fold_col, feats, y).collect()
-        models = ridge_models(rows, fold_col, p, lam)
-        fold_type = df.schema[fold_col].dataType.simpleString()
-        schema = (f"{fold_col} {fold_type}, __a double, "
-                  + ", ".join(f"__b{i} double" for i in range(p)) + ", "
-                  + ", ".join(f"__m{i} double" for i in range(p)))
-        m = spark.createDataFrame(models, schema)  # k rows; Spark knows their size
-        pred = F.col("__a")
-        for i, c in enumerate(feats):
-            pred = pred + F.col(f"__b{i}") * F.coalesce(dbl(c), F.col(f"__m{i}"))
-        df = (df.join(m, fold_col, "left").withColumn(name, pred)
-                .drop("__a", *[f"__b{i}" for i in range(p)], *[f"__m{i}" for i in range(p)]))
-    return df
-
-
 def _held_from(sums: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
     """Held-out folds from a per-fold(-group) sums table (row counts add up)."""
     t = sums.groupBy(fold_col).agg(F.sum("rows").alias("fold_rows"))
@@ -340,40 +248,30 @@ def _held_from(sums: DataFrame, fold_col: str, min_rows: int) -> DataFrame:
 def fold_moments(df: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
     """Leave-fold-out mean and population std of every feature.
 
-    Per fold: count, mean and M2 (= n * var_pop, Spark's stable streaming
-    moments).  Totals combine the k fold rows with the parallel-variance
-    formula; the training complement of fold f is the total with fold f
-    removed by the inverse formula - no sum-of-squares cancellation.
+    One aggregate per (fold, feature) of count, mean and centred sum of
+    squares (Spark merges partial moments without cancellation); the
+    training rows of fold f are the merge of the folds before and after it.
     A zero (or undefined) std becomes 1.
     """
-    aggs = []
-    for c in feats:
-        x = dbl(c)
-        aggs += [F.count(x).cast("double").alias(f"n__{c}"), F.avg(x).alias(f"m__{c}"),
-                 (F.var_pop(x) * F.count(x)).alias(f"q__{c}")]
-    m = written(df.groupBy(fold_col).agg(*aggs), "moments")
-    part = {(p, c): F.coalesce(F.col(f"{p}__{c}"), F.lit(0.0)) for c in feats for p in ("n", "m", "q")}
-    first = m.agg(*[e.alias(f"{p}{i}") for i, c in enumerate(feats) for p, e in (
-        ("N", F.sum(part["n", c])),
-        ("M", F.coalesce(F.try_divide(F.sum(part["n", c] * part["m", c]), F.sum(part["n", c])), F.lit(0.0))))]).collect()[0]
-    mean = {c: F.lit(first[f"M{i}"]) for i, c in enumerate(feats)}
-    second = m.agg(*[F.sum(part["q", c] + part["n", c] * (part["m", c] - mean[c]) * (part["m", c] - mean[c]))
-                     .alias(f"Q{i}") for i, c in enumerate(feats)]).collect()[0]
-    out = [F.col(fold_col)]
-    for i, c in enumerate(feats):
-        n, mu, q = (part[p, c] for p in ("n", "m", "q"))
-        N, MU, Q = F.lit(first[f"N{i}"]), mean[c], F.lit(second[f"Q{i}"])
-        nc = N - n
-        muc = F.try_divide(N * MU - n * mu, nc)
-        qc = Q - q - F.try_divide(n * nc, N) * (mu - muc) * (mu - muc)
-        sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(qc, nc)))
-        out += [muc.alias(f"mean__{c}"),
-                F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd).alias(f"std__{c}")]
-    return m.select(*out)
+    long = df.select(F.col(fold_col).alias("fold"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), dbl(c).alias("x")) for c in feats])))
+    x = F.col("x")
+    m = written(long.groupBy("feature", "fold").agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("m"),
+                                                    (F.var_pop(x) * F.count(x)).alias("q")), "moments")
+    rest = leave_out_moments(m, "fold", "n", ["m"], {"q": ("m", "m")}, ["feature"])
+    sd = F.sqrt(F.try_divide(F.col("t_q"), F.col("t_n")))
+    rest = rest.select("feature", "fold", F.when(F.col("t_n") > 0, F.col("t_m")).alias("mean"),
+                       F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd).alias("std"))
+    wide = rest.groupBy(F.col("fold").alias(fold_col)).pivot("feature", list(feats)).agg(
+        F.first("mean").alias("mean"), F.first("std").alias("std"))
+    return wide.select(fold_col, *[F.col(f"{c}_{v}" ).alias(f"{v}__{c}") for c in feats for v in ("mean", "std")])
 
 
 def scale_with(df: DataFrame, moments: DataFrame, fold_col: str, feats: list[str]) -> DataFrame:
-    j = df.join(written(moments, "moments"), fold_col, "left")
+    """Features standardised with the moments of the other folds' rows; a NULL
+    fold has a row of moments like any other."""
+    m = written(moments.withColumnRenamed(fold_col, "__fold"), "moments")
+    j = df.join(m, F.col(fold_col).eqNullSafe(F.col("__fold")), "left").drop("__fold")
     return j.withColumns({c: (dbl(c) - F.col(f"mean__{c}")) / F.col(f"std__{c}") for c in feats}) \
             .drop(*[f"mean__{c}" for c in feats], *[f"std__{c}" for c in feats])
 

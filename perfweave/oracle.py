@@ -19,6 +19,8 @@ AGG_KEYS = {"kfold_report", "kfold_report_overall", "kfold_report_mean", "logo_b
             "logo_summary", "logo_report", "report_ymax", "oof_mean", "oof_linear", "logo_mean", "logo_linear",
             "fold_scale", "skew_profile", "median_fill",
             "layer_flops", "format_report", "clean_report", "oof_ridge", "manifest_bytes"}
+# Queries compared at significant digits (see sig).
+SIG_KEYS = {"fold_scale", "logo_ridge"}
 _DIGITS = {"d": 6}
 
 
@@ -733,47 +735,119 @@ def format_report_sql() -> str:
 SELECT model, vcpu, storage, {f('RMSE_full_ms')}, {f('RMSE_base_ms')}, {f('Improvement_pct')} FROM q"""
 
 
-PREP_FEATURES = ("FP16", "bw_gbs", "mem_pressure", "B_over_GB", "log_F_CNN_batch", "batch_size")
+def matrix_columns() -> list[tuple[str, str]]:
+    """(name, SQL) of every feature of the full matrix, in its order."""
+    return ([(c, f"CAST({'amp_int' if c == 'amp' else c} AS DOUBLE)") for c in MATRIX_FEATURES]
+            + [(f"log1p__{c}", _log1p(f"CAST({c} AS DOUBLE)")) for c in LOG1P_COLUMNS])
+
+
+def _log1p(x: str) -> str:
+    """ln(1 + x) to full precision for small x (DuckDB has no log1p)."""
+    return f"CASE WHEN 1.0 + {x} = 1.0 THEN {x} ELSE ln(1.0 + {x}) * ({x} / ((1.0 + {x}) - 1.0)) END"
+
+
+def _mx_cte() -> str:
+    """The matrix with features f0, f1, ... beside keys, folds and targets."""
+    cols = ", ".join(f"{x} AS f{i}" for i, (_, x) in enumerate(matrix_columns()))
+    return f"""{_features_cte()},
+mx AS (SELECT {KEYS}, fold, gpu_name, model, vcpu, storage, avg_batch_time_ms AS yf, T_gpu_ms AS yb, {cols} FROM feat)"""
+
+
+def _meds_cte(fold: str) -> str:
+    meds = ", ".join(f"median(f{i}) AS d{i}" for i in range(len(matrix_columns())))
+    return f"""held AS (SELECT {fold} AS h, count(*) AS rows_h FROM mx WHERE {fold} IS NOT NULL GROUP BY 1),
+med AS (SELECT h, {meds} FROM held JOIN mx ON mx.{fold} IS DISTINCT FROM h GROUP BY h)"""
+
+
+def sig(x: str, digits: int = 8) -> str:
+    """Rounded to significant digits: sums of large values differ in the last bits between engines."""
+    e = f"floor(log10(abs({x})))"
+    return (f"CASE WHEN {x} = 0 THEN {x} ELSE CAST(CAST(round({x} / pow(10.0, {e}), {digits}) AS VARCHAR) || 'e' "
+            f"|| CAST(CAST({e} AS INTEGER) AS VARCHAR) AS DOUBLE) END")
 
 
 def fold_impute_sql() -> str:
-    gpus = "SELECT DISTINCT gpu_name AS g FROM feat WHERE gpu_name IS NOT NULL"
-    meds = ", ".join(
-        f"(SELECT {r6(f'median(CAST({c} AS DOUBLE))')} FROM feat WHERE gpu_name IS NULL OR gpu_name <> g.g) AS med__{c}"
-        for c in PREP_FEATURES)
-    return f"""WITH {_features_cte()}
-SELECT g.g AS gpu_name, {meds} FROM ({gpus}) g"""
+    sel = ", ".join(f"{r6(f'd{i}')} AS med__{c}" for i, (c, _) in enumerate(matrix_columns()))
+    return f"""WITH {_mx_cte()},
+{_meds_cte('gpu_name')}
+SELECT h AS gpu_name, {sel} FROM med"""
+
+
+def _moments_cte() -> str:
+    cols = ", ".join(f"avg(f{i}) AS m{i}, coalesce(nullif(stddev_pop(f{i}), 0), 1.0) AS s{i}" for i in range(len(matrix_columns())))
+    return f"""held AS (SELECT DISTINCT fold AS h FROM mx),
+mom AS (SELECT h, {cols} FROM held JOIN mx ON mx.fold <> h GROUP BY h)"""
 
 
 def fold_scale_sql() -> str:
-    sel = []
-    for c in PREP_FEATURES:
-        x = f"CAST({c} AS DOUBLE)"
-        sel.append(f"""{r6(f'(SELECT avg({x}) FROM feat WHERE fold <> f.fold)')} AS mean__{c},
-  {r6(f"coalesce(nullif((SELECT stddev_pop({x}) FROM feat WHERE fold <> f.fold), 0), 1.0)")} AS std__{c}""")
-    return f"""WITH {_features_cte()}
-SELECT f.fold, {', '.join(sel)} FROM (SELECT DISTINCT fold FROM feat) f"""
+    sel = ", ".join(f"{sig(f'm{i}')} AS mean__{c}, {sig(f's{i}')} AS std__{c}" for i, (c, _) in enumerate(matrix_columns()))
+    return f"WITH {_mx_cte()},\n{_moments_cte()}\nSELECT h AS fold, {sel} FROM mom"
 
 
 def impute_rows_sql() -> str:
-    meds = ", ".join(
-        f"(SELECT median(CAST({c} AS DOUBLE)) FROM feat WHERE gpu_name IS NULL OR gpu_name <> g.g) AS med__{c}"
-        for c in PREP_FEATURES)
-    sel = ", ".join(f"{r6(f'coalesce(CAST(feat.{c} AS DOUBLE), med__{c}, 0.0)')} AS {c}" for c in PREP_FEATURES)
-    return f"""WITH {_features_cte()}, meds AS (SELECT g.g AS g, {meds} FROM (SELECT DISTINCT gpu_name AS g FROM feat WHERE gpu_name IS NOT NULL) g)
-SELECT {KEYS}, {sel} FROM feat LEFT JOIN meds ON feat.gpu_name = meds.g"""
+    sel = ", ".join(f"{r6(f'coalesce(f{i}, d{i}, 0.0)')} AS {c}" for i, (c, _) in enumerate(matrix_columns()))
+    return f"""WITH {_mx_cte()},
+{_meds_cte('gpu_name')}
+SELECT {KEYS}, {sel} FROM mx LEFT JOIN med ON mx.gpu_name = med.h"""
 
 
 def scale_rows_sql() -> str:
-    moments, sel = [], []
-    for c in PREP_FEATURES:
-        x = f"CAST({c} AS DOUBLE)"
-        moments += [f"(SELECT avg({x}) FROM feat WHERE fold <> f.fold) AS mean__{c}",
-                    f"coalesce(nullif((SELECT stddev_pop({x}) FROM feat WHERE fold <> f.fold), 0), 1.0) AS std__{c}"]
-        sel.append(f"{r6(f'(CAST(feat.{c} AS DOUBLE) - mean__{c}) / std__{c}')} AS {c}")
-    return f"""WITH {_features_cte()},
-m AS (SELECT f.fold AS mf, {', '.join(moments)} FROM (SELECT DISTINCT fold FROM feat) f)
-SELECT {KEYS}, {', '.join(sel)} FROM feat LEFT JOIN m ON feat.fold = m.mf"""
+    sel = ", ".join(f"{r6(f'(f{i} - m{i}) / s{i}')} AS {c}" for i, (c, _) in enumerate(matrix_columns()))
+    return f"WITH {_mx_cte()},\n{_moments_cte()}\nSELECT {KEYS}, {sel} FROM mx JOIN mom ON mx.fold = mom.h"
+
+
+RIDGE_STEPS = 60  # conjugate-gradient steps; the system's eigenvalues lie in [1, 1 + columns]
+
+
+def _ridge_cte(fold: str, base_drop, min_rows: int) -> str:
+    """Row predictions p (pf, pb) of ridge fitted on the other folds: imputed,
+    standardised, penalty 1, normal equations by conjugate gradients."""
+    names = [c for c, _ in matrix_columns()]
+    n = len(names)
+    base = [i for i, c in enumerate(names) if not base_drop(c)]
+    lists = lambda idx, f: "[" + ", ".join(f(i) for i in idx) + "]"
+    full = list(range(n))
+    g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    parts = [_mx_cte(), _meds_cte(fold)]
+    parts.append(f"im AS (SELECT h, yf, yb, {', '.join(f'coalesce(f{i}, d{i}, 0.0) AS x{i}' for i in full)} FROM mx JOIN med ON mx.{fold} IS DISTINCT FROM h)")
+    parts.append(f"xst AS (SELECT h, avg(yf) AS yfm, avg(yb) AS ybm, {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) AS sd{i}' for i in full)} FROM im GROUP BY h)")
+    parts.append("sc AS (SELECT h, yfm, ybm, " + ", ".join(
+        f"m{i}, CASE WHEN sd{i} * sd{i} > 1e-20 * (m{i} * m{i} + sd{i} * sd{i}) THEN sd{i} END AS s{i}" for i in full) + " FROM xst)")
+    parts.append("z AS (SELECT h, yf - yfm AS uf, yb - ybm AS ub, " + ", ".join(f"coalesce((x{i} - m{i}) / s{i}, 0.0) AS z{i}" for i in full)
+                 + " FROM im JOIN sc USING (h))")
+    parts.append("gm AS (SELECT h, " + ", ".join(f"avg(z{i} * z{j}) AS g{i}_{j}" for i in full for j in range(i, n)) + ", "
+                 + ", ".join(f"avg(z{i} * uf) AS cf{i}, avg(z{i} * ub) AS cb{i}" for i in full) + " FROM z GROUP BY h)")
+    parts.append(f"""sys AS (SELECT h, 'f' AS s, {lists(full, lambda i: lists(full, lambda j: g(i, j)))} AS a, {lists(full, lambda i: f'cf{i}')} AS b FROM gm
+  UNION ALL SELECT h, 'b' AS s, {lists(base, lambda i: lists(base, lambda j: g(i, j)))} AS a, {lists(base, lambda i: f'cb{i}')} AS b FROM gm)""")
+    parts.append("it0 AS (SELECT h, s, a, list_transform(b, lambda v: 0.0) AS x, b AS r, b AS p, list_dot_product(b, b) AS rr FROM sys)")
+    for k in range(RIDGE_STEPS):
+        parts.append(f"""iq{k} AS (SELECT *, list_transform(list_zip(a, p), lambda v: list_dot_product(v[1], p) + v[2]) AS q FROM it{k}),
+ia{k} AS (SELECT *, CASE WHEN list_dot_product(p, q) > 1e-300 THEN rr / list_dot_product(p, q) ELSE 0.0 END AS al FROM iq{k}),
+ir{k} AS (SELECT h, s, a, p, rr, list_transform(list_zip(x, p), lambda v: v[1] + al * v[2]) AS x,
+                 list_transform(list_zip(r, q), lambda v: v[1] - al * v[2]) AS r FROM ia{k}),
+it{k + 1} AS MATERIALIZED (SELECT h, s, a, x, r, list_transform(list_zip(r, p), lambda v: v[1] + CASE WHEN rr > 0 THEN list_dot_product(r, r) / rr ELSE 0.0 END * v[2]) AS p,
+                 list_dot_product(r, r) AS rr FROM ir{k})""")
+    z_full = lists(full, lambda i: f"coalesce((coalesce(f{i}, d{i}, 0.0) - m{i}) / s{i}, 0.0)")
+    z_base = lists(base, lambda i: f"coalesce((coalesce(f{i}, d{i}, 0.0) - m{i}) / s{i}, 0.0)")
+    last = f"it{RIDGE_STEPS}"
+    parts.append(f"""p AS (SELECT mx.gpu_name, model, vcpu, storage, yf AS y, yfm + list_dot_product({z_full}, bf.x) AS pf, ybm + list_dot_product({z_base}, bb.x) AS pb
+  FROM mx JOIN held ON mx.{fold} = held.h AND rows_h >= {min_rows} JOIN med ON med.h = held.h JOIN sc ON sc.h = held.h
+  JOIN {last} bf ON bf.h = held.h AND bf.s = 'f' JOIN {last} bb ON bb.h = held.h AND bb.s = 'b')""")
+    return ",\n".join(parts)
+
+
+def oof_ridge_sql() -> str:
+    return f"""WITH {_ridge_cte('fold', lambda c: c in ('vcpu', 'storage_SSD'), 1)},
+s AS (SELECT coalesce(model, 'nan') AS model, vcpu, coalesce(storage, 'nan') AS storage, {_group_stats('')} FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT model, vcpu, storage, n_samples, {r6('rf')} AS RMSE_full_ms, {r6('rb')} AS RMSE_base_ms,
+  {r6('CASE WHEN rb > 0 THEN 100.0 * (rb - rf) / rb END')} AS Improvement_pct FROM s"""
+
+
+def logo_ridge_sql() -> str:
+    return f"""WITH {_ridge_cte('gpu_name', lambda c: c in ('vcpu', 'storage_SSD'), 3)},
+s AS (SELECT gpu_name, {_group_stats('')} FROM p GROUP BY gpu_name)
+SELECT gpu_name AS GPU, n_samples, {sig('rf')} AS RMSE_full_ms, {sig('rb')} AS RMSE_base_ms,
+  CASE WHEN rb > 0 THEN {sig('(100.0 * (rb - rf) / rb)')} END AS Improvement_pct FROM s"""
 
 
 def oof_predict_sql() -> str:
@@ -904,8 +978,9 @@ FROM es JOIN et ON es.doc_id = et.doc_id"""
 # -------------------------------------------------------------- manifest ---
 
 def _classes_cte() -> str:
-    return f"""cls AS (SELECT class_name, CAST(row_number() OVER (ORDER BY class_name) - 1 AS INTEGER) AS label_idx
-        FROM ({fx.duckdb_view(fx.CLASSES_SQL)}))"""
+    return f"""clist AS (SELECT trim(line) AS class_name, ord FROM ({fx.duckdb_view(fx.CLASS_LIST_SQL)}) WHERE trim(line) <> ''),
+cls AS (SELECT class_name, CAST(max(i) AS INTEGER) AS label_idx
+        FROM (SELECT class_name, row_number() OVER (ORDER BY ord) - 1 AS i FROM clist) GROUP BY class_name)"""
 
 
 def _manifest_cte() -> str:
@@ -927,12 +1002,20 @@ SELECT class_name, cls.label_idx, {r6('coalesce(a, 0.0)')} AS avg_bytes FROM cls
 
 def manifest_val_sql() -> str:
     return f"""WITH files AS ({fx.duckdb_view(fx.VAL_FILES_SQL)}),
-mapping AS ({fx.duckdb_view(fx.MAPPING_SQL)}),
+ann AS ({fx.duckdb_view(fx.ANNOTATION_SQL)}),
+mapping AS (SELECT split_part(line, chr(9), 1) AS file, arg_max(split_part(line, chr(9), 2), ord * 2 + k) AS class_name
+            FROM ann WHERE contains(line, chr(9)) GROUP BY 1),
 {_classes_cte()}
 SELECT path, label_idx, n_bytes FROM files JOIN mapping USING (file) JOIN cls USING (class_name)
 WHERE regexp_matches(lower(path), '\\.(html)$')"""
 
 
+def manifest_files_sql() -> str:
+    return f"""WITH pg AS ({fx.duckdb_view(fx.PAGE_IMAGES_SQL)}),
+{_classes_cte()}
+SELECT page, label_idx, CAST(bit_length(value) / 8 + 1 AS BIGINT) AS n_bytes FROM pg JOIN cls ON class = class_name"""
+
+
 def trial_bytes_sql() -> str:
     return f"""WITH {_trials_cte()}, files AS ({fx.duckdb_view(fx.DATASET_FILES_SQL)}),
 per AS (SELECT dataset, avg(n_bytes) AS b FROM files GROUP BY dataset)
@@ -942,8 +1025,16 @@ FROM trials t LEFT JOIN per ON t.dataset = per.dataset"""
 
 def scan_csv_sql() -> str:
     return f"""WITH {_trials_cte()}
-SELECT {KEYS}, gpu_name, model, vcpu, storage, batch_size, {r6('learning_rate')} AS learning_rate,
-  {r6('T_gpu_ms')} AS T_gpu_ms, {r6('avg_batch_time_ms')} AS avg_batch_time_ms FROM trials"""
+SELECT {KEYS}, gpu_name, model, vcpu, storage, batch_size,
+  CASE WHEN l_suppkey % 2 = 1 THEN {r6('learning_rate')} END AS learning_rate,
+  {r6('T_gpu_ms')} AS T_gpu_ms, {r6('avg_batch_time_ms')} AS avg_batch_time_ms,
+  CASE WHEN l_suppkey % 2 = 1 THEN model END AS notes
+FROM trials WHERE l_suppkey % 2 = 0 OR l_partkey % 50 <> 1"""
+
+
+def csv_quarantine_sql() -> str:
+    return f"""WITH {_trials_cte()}
+SELECT {KEYS.replace('l_linenumber', 'CAST(l_linenumber AS BIGINT) AS l_linenumber')}, 'n/a' AS batch_size, 13 AS n_fields FROM trials WHERE l_suppkey % 2 = 1 AND l_partkey % 50 = 1"""
 
 
 def clean_report_sql() -> str:
@@ -1099,6 +1190,8 @@ ORACLES = {
     "kfold_report_overall": kfold_report_overall_sql,
     "kfold_report_mean": kfold_report_mean_sql,
     "fold_impute": fold_impute_sql,
+    "oof_ridge": oof_ridge_sql,
+    "logo_ridge": logo_ridge_sql,
     "fold_scale": fold_scale_sql,
     "distinct_keys": distinct_keys_sql,
     "report_ymax": report_ymax_sql,
@@ -1113,6 +1206,7 @@ ORACLES = {
     "manifest": manifest_sql,
     "manifest_bytes": manifest_bytes_sql,
     "manifest_val": manifest_val_sql,
+    "manifest_files": manifest_files_sql,
     "feature_matrix_base_logo": feature_matrix_base_sql,
     "feature_matrix_base_mlp": feature_matrix_base_mlp_sql,
     "choice_one_hot": choice_one_hot_sql,
@@ -1124,6 +1218,7 @@ ORACLES = {
     "scale_rows": scale_rows_sql,
     "trial_bytes": trial_bytes_sql,
     "scan_trials_csv": scan_csv_sql,
+    "csv_quarantine": csv_quarantine_sql,
     "clean_report": clean_report_sql,
     "dedup_columns": dedup_columns_sql,
     "transformer_features": transformer_features_sql,

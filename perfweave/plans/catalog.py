@@ -14,11 +14,12 @@ from ..functions.estimators import memory_estimate, storage_label
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
 from ..operators.joins import enrich_with_spec
-from ..operators import folds, gbt, grid, layers, matrix, predict, text, timing
+from ..operators import folds, gbt, grid, layers, matrix, predict, ridge, text, timing
 from ..operators.features import engineer, engineer_with_dimension
 from ..operators.profile import profile, skew_candidates
 from ..sources import fixtures, manifest
 from ..sources import reports as report_src
+from ..sources.csv_files import read_csv
 from ..sources.tables import read_table
 from ..sources.trials import (dedup_columns, drop_missing_targets, order_columns, slug, trials,
                               union_trials)
@@ -334,37 +335,35 @@ def kfold_report_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.kfold_report(spark, sf_dir, "mean")
 
 
-# Features with missing values / moderate magnitudes for the fold-wise
-# preprocessing queries.
-PREP_FEATURES = ("FP16", "bw_gbs", "mem_pressure", "B_over_GB", "log_F_CNN_batch", "batch_size")
-
-
-def _prep_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).select("gpu_name", "fold", *PREP_FEATURES)
+def _matrix(spark: SparkSession, sf_dir: str, fam=CNN):
+    """Feature frame and all feature names of the full model."""
+    f = evaluate.evaluation_features(spark, sf_dir, fam)
+    return f, evaluate.model_features(f, fam)[0]
 
 
 def fold_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-only median of each feature for every held-out GPU."""
-    return predict.fold_medians(_prep_frame(spark, sf_dir), "gpu_name", list(PREP_FEATURES))
+    """Training-only median of every feature for every held-out GPU."""
+    f, feats = _matrix(spark, sf_dir, CNN_LOGO)
+    return predict.fold_medians(f.select("gpu_name", *feats), "gpu_name", feats)
 
 
 def fold_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-fold-out mean and population std per K-fold fold."""
-    return predict.fold_moments(_prep_frame(spark, sf_dir), "fold", list(PREP_FEATURES))
+    """Leave-fold-out mean and population std of every feature per K-fold fold."""
+    f, feats = _matrix(spark, sf_dir)
+    return predict.fold_moments(f.select("fold", *feats), "fold", feats)
 
 
 def impute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11 applied: every row imputed with the medians of the other GPUs' rows."""
-    f = _features(spark, sf_dir).select(*ROW_KEYS, "gpu_name", *PREP_FEATURES)
-    return predict.impute_with(f, predict.fold_medians(f, "gpu_name", list(PREP_FEATURES)), "gpu_name",
-                               list(PREP_FEATURES)).select(*ROW_KEYS, *PREP_FEATURES)
+    """A11 applied: every row's features imputed with the medians of the other GPUs' rows."""
+    f, feats = _matrix(spark, sf_dir, CNN_LOGO)
+    return predict.impute_with(f, predict.fold_medians(f.select("gpu_name", *feats), "gpu_name", feats), "gpu_name", feats).select(
+        *ROW_KEYS, *feats)
 
 
 def scale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12 applied: every row standardised with the moments of the other folds' rows."""
-    f = _features(spark, sf_dir).select(*ROW_KEYS, "fold", *PREP_FEATURES)
-    return predict.scale_with(f, predict.fold_moments(f, "fold", list(PREP_FEATURES)), "fold",
-                              list(PREP_FEATURES)).select(*ROW_KEYS, *PREP_FEATURES)
+    """A12 applied: every row's features standardised with the moments of the other folds' rows."""
+    f, feats = _matrix(spark, sf_dir)
+    return predict.scale_with(f, predict.fold_moments(f.select("fold", *feats), "fold", feats), "fold", feats).select(*ROW_KEYS, *feats)
 
 
 def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,11 +474,20 @@ def manifest_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.average_bytes(_manifest(spark, sf_dir), fixtures.classes(spark, sf_dir))
 
 
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + W2 over real files: the pages written as an image folder and listed by ``binaryFile``."""
+    root = fixtures.image_folder(spark, sf_dir)
+    files = manifest.list_files(spark, root, (".txt",), r"/class=([^/]*)/page=\d+/[^/]+$")
+    files = files.withColumn("page", F.regexp_extract("path", r"/page=(\d+)/", 1).cast("long"))
+    idx = manifest.class_index(fixtures.classes(spark, sf_dir))
+    return files.join(idx, "class_name").select("page", "label_idx", "n_bytes")
+
+
 def manifest_val(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S7 + J2: validation files kept only when mapped to a class."""
-    return manifest.validation_manifest(fixtures.val_files(spark, sf_dir),
-                                        fixtures.page_mapping(spark, sf_dir),
-                                        fixtures.classes(spark, sf_dir), extensions=MANIFEST_EXTENSIONS)
+    """S7 + J2: validation files kept only when the annotation file maps them to a class."""
+    mapping = manifest.annotations(spark, fixtures.annotation_file(spark, sf_dir))
+    return manifest.validation_manifest(fixtures.val_files(spark, sf_dir), mapping, fixtures.classes(spark, sf_dir),
+                                        extensions=MANIFEST_EXTENSIONS)
 
 
 def trial_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,26 +550,36 @@ def mlp_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_trials_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + U1 roundtrip: write one folder per (architecture, GPU) under the
     shared checkpoint folder, read it back with merged schemas."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     from ..sources.trials import scan_trials as read_trials, write_trials
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trials-{uuid.uuid4().hex}"
+    path = fixtures.shared_path(spark, "trials")
     write_trials(trials(spark, sf_dir).select(*ROW_KEYS, "architecture", "gpu_name", "T_gpu_ms"), path)
     return read_trials(spark, path).select(*ROW_KEYS, "architecture", "gpu_name", "gpu_slug", "T_gpu_ms")
 
 
-def scan_trials_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 from CSV: a trial table written as CSV and read with its schema."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    from ..sources.trials import scan_trials as read_trials
+def _csv_trials(spark: SparkSession, sf_dir: str):
+    """Trials written as the generators do: files whose columns differ in order
+    and in number, some with a line that does not fit; read back by name."""
     t = trials(spark, sf_dir).select(*ROW_KEYS, "gpu_name", "model", "vcpu", "storage", "batch_size", "learning_rate",
                                      "T_gpu_ms", "avg_batch_time_ms")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trials-csv-{uuid.uuid4().hex}"
-    t.write.option("header", True).csv(path)
-    return read_trials(spark, path, "csv", t.schema)
+    path = fixtures.shared_path(spark, "trials-csv")
+    t.where("l_suppkey % 2 = 0").drop("learning_rate").write.option("header", True).csv(f"{path}/a")
+    broken = F.when(F.col("l_partkey") % 50 == 1, F.lit("n/a")).otherwise(F.col("batch_size").cast("string"))
+    odd = t.where("l_suppkey % 2 = 1").withColumns({"batch_size": broken, "notes": F.col("model")})
+    odd.select(*sorted(odd.columns, reverse=True)).write.option("header", True).csv(f"{path}/b")
+    return read_csv(spark, path, t.schema)
+
+
+def scan_trials_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + U1 from CSV files with different headers, columns by name."""
+    return _csv_trials(spark, sf_dir)[0]
+
+
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of those files that do not fit their header."""
+    part = F.split("line", ",")
+    return _csv_trials(spark, sf_dir)[1].select(
+        *[F.get(part, F.lit(i)).cast("bigint").alias(k) for i, k in ((7, "l_orderkey"), (6, "l_partkey"), (5, "l_suppkey"), (8, "l_linenumber"))],
+        F.get(part, F.lit(10)).alias("batch_size"), F.size(part).alias("n_fields"))
 
 
 def stream_trial_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,9 +594,9 @@ def stream_trial_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 GBT_QUERY_PARAMS = GBT_DEFAULTS
 
 
-def _gbt_frame(spark: SparkSession, sf_dir: str):
-    f = _features(spark, sf_dir, log1p=True)
-    full, base = evaluate.model_features(f, CNN)
+def _gbt_frame(spark: SparkSession, sf_dir: str, fam=CNN):
+    f = evaluate.evaluation_features(spark, sf_dir, fam)
+    full, base = evaluate.model_features(f, fam)
     return f, full, base
 
 
@@ -592,31 +610,31 @@ def oof_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logo_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 + M5: leave-one-GPU-out GBT predictions of both models -> summary."""
-    f, full, base = _gbt_frame(spark, sf_dir)
+    f, full, base = _gbt_frame(spark, sf_dir, CNN_LOGO)
     held = [r[0] for r in predict.holdout_flags(f, "gpu_name", MIN_HELDOUT_ROWS)
             .where("held_out").select("gpu_name").collect()]
     pred = gbt.oof_gbt(f, "gpu_name", [("pred_full", TARGET_FULL, full), ("pred_base", TARGET_BASE, base)],
                        keys=[*ROW_KEYS, "model", "vcpu", "storage", "batch_size"], folds=sorted(held),
-                       params=GBT_QUERY_PARAMS)
+                       params=GBT_QUERY_PARAMS, impute=True)
     return reports.logo_summary(pred)
 
 
-# Features of the ridge models (full sees host configuration; the GPU-only
-# baseline gets the same list with host features removed).
-RIDGE_FEATURES = ("log2_batch_size", "log_F_CNN_batch", "vcpu", "storage_SSD", "FP32", "bw_gbs",
-                  "mem_headroom", "tc_util_proxy", "B_over_GB")
-
-
 def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-fold-out ridge for both models (k Gram matrices) -> report."""
-    f = _features(spark, sf_dir)
-    full = list(RIDGE_FEATURES)
-    base = CNN.ablate(full)
-    pred = predict.oof_ridge(f, "fold", [("pred_full", full, TARGET_FULL),
-                                         ("pred_base", base, TARGET_BASE)])
+    """M3 + M6c: leave-fold-out ridge of both models on the whole feature matrix -> report."""
+    f, full, base = _gbt_frame(spark, sf_dir)
+    pred = ridge.oof_ridge(f, "fold", [("pred_full", full, TARGET_FULL), ("pred_base", base, TARGET_BASE)],
+                           keys=[*ROW_KEYS, "model", "vcpu", "storage"])
     return reports.kfold_report(pred)
 
 
+def logo_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + M6c: leave-one-GPU-out ridge of both models on the whole feature matrix -> summary."""
+    f, full, base = _gbt_frame(spark, sf_dir, CNN_LOGO)
+    pred = ridge.oof_ridge(f, "gpu_name", [("pred_full", full, TARGET_FULL), ("pred_base", base, TARGET_BASE)],
+                           keys=[*ROW_KEYS, "model", "vcpu", "storage", "batch_size"], min_rows=MIN_HELDOUT_ROWS)
+    return reports.logo_summary(pred)
+
+
 REGISTRY = {
     "scan_trials": scan_trials,
     "drop_missing": drop_missing,
@@ -653,6 +671,7 @@ REGISTRY = {
     "oof_mean": oof_mean,
     "oof_linear": oof_linear,
     "oof_ridge": oof_ridge,
+    "logo_ridge": logo_ridge,
     "logo_mean": logo_mean,
     "logo_linear": logo_linear,
     "logo_breakdown": logo_breakdown,
@@ -675,12 +694,14 @@ REGISTRY = {
     "manifest": manifest_q,
     "manifest_bytes": manifest_bytes,
     "manifest_val": manifest_val,
+    "manifest_files": manifest_files,
     "clean_report": clean_report,
     "dedup_columns": dedup_columns_q,
     "transformer_features": transformer_features,
     "mlp_features": mlp_features,
     "trial_bytes": trial_bytes,
     "scan_trials_csv": scan_trials_csv,
+    "csv_quarantine": csv_quarantine,
     "write_trials": write_trials_q,
     "stream_trial_timing": stream_trial_timing,
     "oof_gbt": oof_gbt,

@@ -155,25 +155,6 @@ def test_mlp_flops_closed_form(spark):
     assert g["num_patches"] == P and g["depth"] == depth
 
 
-def test_oof_ridge_equals_refit_by_filter(spark, feats):
-    cols = ["log2_batch_size", "vcpu", "FP32", "mem_headroom"]
-    out = predict.oof_ridge(feats, "fold", [("p", cols, TARGET_FULL)], lam=0.5)
-    got = out.select(*catalog.ROW_KEYS, "fold", "p", *cols).toPandas()
-    pdf = feats.select("fold", TARGET_FULL, *cols).toPandas()
-    for f in sorted(got["fold"].unique()):
-        tr = pdf[(pdf.fold != f)].dropna()
-        X = tr[cols].to_numpy(float)
-        y = tr[TARGET_FULL].to_numpy(float)
-        mu, sd = X.mean(0), X.std(0)
-        sd[sd == 0] = 1.0
-        Z = (X - mu) / sd
-        beta_std = np.linalg.solve(Z.T @ Z / len(Z) + 0.5 * np.eye(len(cols)), Z.T @ (y - y.mean()) / len(Z))
-        te = got[got.fold == f].head(50)
-        Xt = te[cols].astype(float).fillna(pd.Series(mu, index=cols)).to_numpy(float)
-        expect = y.mean() + ((Xt - mu) / sd) @ beta_std
-        assert np.allclose(te["p"].to_numpy(float), expect, rtol=1e-6, atol=1e-6)
-
-
 def test_fold_medians_equal_refit_by_filter(spark):
     rows = [(f, x, y) for f, x, y in [
         ("a", 1.0, None), ("a", 5.0, 2.0), ("b", 2.0, 2.0), ("b", 2.0, 7.0), ("b", 9.0, 1.0),
