@@ -16,16 +16,23 @@ Frequencies come from a count sketch over all shingles of all documents
 cost only; collisions cannot change a result.
 
 Equal sets are one class, represented by its smallest doc_id.  The classes
-in a posting list are first compared with the list's hub only; classes that
-the verified links already join need no further comparison.  Then every
-remaining pair across different components is generated, counted and
-verified, so no link between components is lost, while a group of thousands of
-near copies costs as many comparisons as it has members.  Posting lists that
-the sketch calls long are split by salt, and their hubs meet in a second
-round.  Before any set is fetched, a pair's two prefixes bound its
-intersection: up to the smaller of their last keys all common shingles are
-seen, and beyond it at most the shorter rest is common.  Verification
-counts the exact intersection of the hash sets.
+in a posting list are first compared with hubs only: lists are cut by set size
+(twice, with shifted borders, so that linked sizes share a cut), and the hub of
+a cut is the class with the fewest shingles of its own, that is, with the
+list's shingle earliest in its order; the original of a group of near copies is
+such a class.  Classes that verified links already join need no further
+comparison.  Then the pairs that are still open are generated: a pair of one
+list in different components, of which at most one is in the list's largest
+component, and whose shingle stands early enough in both: if it is the first
+common one, all before it are lost to the intersection, so |x| - position must
+reach the intersection that a link needs.  A group that shares a passage but
+has too many shingles of its own thus makes no pairs, and neither does a group
+of thousands of near copies.  No link between components is lost.  Posting
+lists that the sketch calls long are split by salt, and their hubs meet in a
+second round.  Before any set is fetched, a pair's two prefixes must share
+min(l_x, l_y) shingles and bound its intersection: up to the smaller of their
+last keys all common shingles are seen, and beyond it at most the shorter rest
+is common.  Verification counts the exact intersection of the hash sets.
 
 Defined cases: null and blank texts have empty sets and link with nothing;
 with fewer than SHINGLE words the whole sequence is one shingle; repeated rows
@@ -95,39 +102,27 @@ def choose_matches(frequency: np.ndarray, n: int, percent: int) -> tuple[int, in
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Document frequency estimates by the top SKETCH_BITS of a hash."""
-    import pandas as pd
     import pyarrow as pa
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     cells, parts = 1 << SKETCH_BITS, 64
     per = cells // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells)
         for b in batches:
             for t in b.column(0):
-                np.add.at(total, (shingle_hashes(t.as_py(), size) >> H.U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        rows = []
-        for p in range(parts):
-            at = np.flatnonzero(total[p * per:(p + 1) * per])
-            rows.append((p, at.astype("<i4").tobytes(), total[p * per + at].astype("<i4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(
-            (pa.int32(), pa.binary(), pa.binary()))], names=["part", "at", "n"])
-
-    def add(key, frames: Iterator[pd.DataFrame]):
-        out = np.zeros(per, np.int64)
-        for f in frames:
-            for at, n in zip(f["at"], f["n"]):
-                out[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i4")
-        yield pd.DataFrame([(key[0], out.tobytes())], columns=["part", "n"])
-
-    def whole(f: pd.DataFrame) -> pd.DataFrame:
-        return next(add((int(f["part"].iloc[0]),), iter([f])))
-
-    sums = docs.select("text").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInPandas(
-        whole, "part int, n binary").collect()  # parts rows, 8 MB in all
-    out = np.zeros(cells, np.int64)
+                np.add.at(total, (shingle_hashes(t.as_py(), size) >> H.U64(64 - SKETCH_BITS)).astype(np.int64), 1.0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(list(total.reshape(parts, per)), pa.list_(pa.float64()))],
+                                         names=["part", "n"])
+
+    # Added up row by row in the JVM: a part's buffer is one vector, however many tasks send one.
+    sums = docs.select("text").mapInArrow(count, "part int, n array<double>").groupBy("part").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("n"))).alias("n")).collect()  # parts rows, 8 MB in all
+    out = np.zeros(cells)
     for r in sums:
-        out[r["part"] * per:(r["part"] + 1) * per] = np.frombuffer(r["n"], np.int64)
+        out[r["part"] * per:(r["part"] + 1) * per] = r["n"]
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
@@ -183,6 +178,13 @@ def _sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
+def _early(pos: str, n: str, percent: int) -> Column:
+    """0 if the smaller set of a linked pair can have its first common shingle here, else 1: the
+    other is no smaller, so the link needs 2 percent / (100 + percent) of this set."""
+    fits = (F.col(n) - F.col(pos)) * (100 + percent) >= F.col(n) * (2 * percent)
+    return F.when(fits, 0).otherwise(1)
+
+
 def _bits_fit(a: str, b: str, percent: int) -> Column:
     """False if the prefix bits alone rule a pair out.
 
@@ -235,22 +237,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = written(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(
         F.min("doc_id").alias("id"), F.min_by(F.struct("l", "prefix", "salts", "bits"), "doc_id").alias("x")), "classes")
 
-    # Posting entries with the salt that splits lists the sketch calls long.
-    entry = F.explode(F.arrays_zip(F.col("x.prefix").alias("t"), F.col("x.salts").alias("s")))
-    postings = classes.select("id", "n", F.col("x.l").alias("l"), entry.alias("e")).select(
-        "id", "n", "l", F.col("e.t").alias("t"), F.col("e.s").alias("salts"),
+    # Posting entries with their position and the salt that splits lists the sketch calls long.
+    entry = F.posexplode(F.arrays_zip(F.col("x.prefix").alias("t"), F.col("x.salts").alias("s"))).alias("pos", "e")
+    postings = classes.select("id", "n", F.col("x.l").alias("l"), entry).select(
+        "id", "n", "l", "pos", F.col("e.t").alias("t"), F.col("e.s").alias("salts"),
         F.pmod(F.xxhash64("id"), F.col("e.s")).cast("int").alias("salt"))
-    one = Window.partitionBy("t", "salt")
-    me = F.struct("id", "n")
-    lists = written(postings.withColumn("hub", F.min(me).over(one)).withColumn("k", F.count(F.lit(1)).over(one))
-                    .where("k > 1 OR salts > 1").drop("k"), "lists")
-    first = lists.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    hubs = lists.where("salts > 1").groupBy("t", "salt").agg(F.min("hub").alias("h")).groupBy("t").agg(
+    # Linked sizes differ by a factor of 100 / percent at most: two cuts of twice that width, half a width apart.
+    scale = F.log("n") / F.lit(2.0 * np.log(100.0 / percent)) if percent < 100 else F.col("n").cast("double")
+    me = F.struct((F.col("pos") / F.col("n")).alias("own"), "id", "n")
+    cut = [F.floor(scale + F.lit(shift)).alias(f"cut{i}") for i, shift in enumerate((0.0, 0.5))]
+    lists = postings.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("t", "salt"))).where("k > 1 OR salts > 1").drop("k").select("*", *cut)
+    for i in range(2):
+        lists = lists.withColumn(f"hub{i}", F.min(me).over(Window.partitionBy("t", "salt", f"cut{i}")))
+    lists = written(lists, "lists")
+    both = lists.select("t", "salt", "salts", "id", "n", F.inline(F.array(*[F.struct(
+        F.lit(i).alias("layout"), F.col(f"cut{i}").alias("cut"), F.col(f"hub{i}").alias("hub")) for i in range(2)])))
+    first = both.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    hubs = both.where("salts > 1").groupBy("t", "layout", "cut", "salt").agg(F.min("hub").alias("h")).groupBy("t", "layout", "cut").agg(
         F.min("h").alias("top"), F.collect_set("h").alias("all"))  # as many as salts
     second = hubs.select("top", F.explode("all").alias("h")).select(
         F.col("top.id").alias("a"), F.col("top.n").alias("na"), F.col("h.id").alias("b"), F.col("h.n").alias("nb"))
     star = first.unionByName(second).where(
-        (F.col("a") != F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+        (F.col("a") != F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = written(plausible(star, classes, percent), "star")
     links = written(verified(star, sets_of(narrow, star, size), percent), "links")
     joined = written(components(links), "components")
@@ -258,15 +267,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     # What the stars left open: lists that hold more than one component.
     about = classes.select("id", "x.bits", F.element_at("x.prefix", -1).alias("last")).join(
         joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    at = written(lists.select("t", "id", "n", "l").join(about, "id").select(
-        "t", "id", "n", "l", "last", "bits", F.coalesce("component", "id").alias("c")), "members")
-    mixed = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
-    rest = at.join(mixed, "t", "left_semi")
-    x, y = (rest.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "l", "last", "bits", "c")]) for s in ("1", "2"))
-    open_pairs = (x.join(y, (x["t"] == y["t"]) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2"))
-                         & _sizes_fit(F.col("n1"), F.col("n2"), percent) & _bits_fit("1", "2", percent))
-                  .groupBy(F.col("id1").alias("a"), F.col("id2").alias("b"))
-                  .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l1", "l2")).alias("need")).where("k >= need"))
+    at = written(lists.select("t", "id", "n", "pos").join(about, "id").select(
+        "t", "id", "n", "pos", "last", "bits", F.coalesce("component", "id").alias("c")), "members")
+    sizes = at.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"), F.min(_early("pos", "n", percent)).alias("late"))
+    mixed = sizes.groupBy("t").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("cs"), F.min("late").alias("late")).where(
+        "cs > 1 AND late = 0").select("t", F.col("m.c").alias("largest"))
+    rest = written(at.join(mixed, "t"), "open-lists")
+    x, y = (rest.select("t", "largest", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "pos", "last", "bits", "c")]) for s in ("1", "2"))
+    outside = x.where("c1 <> largest").drop("largest")
+    reach = [(F.col(f"n{s}") - F.col(f"pos{s}")) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent for s in "12"]
+    open_pairs = outside.join(y, (outside["t"] == y["t"]) & (F.col("c1") != F.col("c2")) & reach[0] & reach[1] & _bits_fit("1", "2", percent)).select(
+        F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     fresh = written(plausible(open_pairs.join(star, ["a", "b"], "left_anti"), classes, percent), "open-pairs")
     more = written(verified(fresh, sets_of(narrow, fresh, size), percent), "more")
     joined = written(components(links.unionByName(more)), "components")
