@@ -15,7 +15,7 @@ GPU_SPEC = fx.gpu_spec_sql()
 # Queries whose floating outputs are sums over many rows: compared at 4
 # decimals (summation order differs between engines; fewer digits make a
 # rounding tie between the two results ~100x less likely).
-AGG_KEYS = {"kfold_report", "kfold_report_overall", "kfold_report_mean", "logo_breakdown",
+AGG_KEYS = {"kfold_report", "kfold_report_even", "kfold_report_overall", "kfold_report_mean", "logo_breakdown",
             "logo_summary", "logo_report", "report_ymax", "oof_mean", "oof_linear", "logo_mean", "logo_linear",
             "fold_scale", "skew_profile", "median_fill",
             "layer_flops", "format_report", "clean_report", "oof_ridge", "manifest_bytes"}
@@ -402,6 +402,13 @@ SELECT trial_id, n_steps, {r6('avg_batch_time_ms')} AS avg_batch_time_ms,
 FROM r"""
 
 
+def stream_window_sql() -> str:
+    return f"""WITH steps AS ({STEPS}),
+t AS (SELECT trial_id, date_trunc('day', ts) AS d, CASE WHEN NOT coalesce(oom, false) THEN loader_ms + compute_ms END AS x FROM steps)
+SELECT strftime(d, '%Y-%m-%d') AS window_start, count(trial_id) AS n_steps, {r6('avg(x)')} AS avg_step_ms, {r6('quantile_disc(x, 0.9)')} AS p90_step_ms
+FROM t GROUP BY d"""
+
+
 def trial_throughput_sql() -> str:
     return f"""WITH {_measured_cte()},
 r AS (SELECT trial_id, sum(compute_ms) / 1000.0 AS secs,
@@ -571,6 +578,20 @@ SELECT {KEYS}, ('0x' || substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCH
 FROM trials"""
 
 
+def _even_fold(name: str = "fold") -> str:
+    key = "concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))"
+    return f"CAST((row_number() OVER (ORDER BY md5({key}), {KEYS}) - 1) % 5 AS BIGINT) AS {name}"
+
+
+def kfold_even_sql() -> str:
+    return f"WITH {_trials_cte()}\nSELECT {KEYS}, {_even_fold('fold_even')} FROM trials"
+
+
+def kfold_report_even_sql() -> str:
+    sql = kfold_report_sql()
+    return sql.replace("d AS (SELECT *, log2(", f"d AS (SELECT * EXCLUDE (fold), {_even_fold()}, log2(", 1)
+
+
 def _eval_cte() -> str:
     return f"""{_trials_cte()},
 d AS (SELECT *, log2(greatest(1.0, CAST(batch_size AS DOUBLE))) AS x FROM trials
@@ -1180,6 +1201,8 @@ ORACLES = {
     "mem_estimate": mem_estimate_sql,
     "trial_timing_cols": trial_timing_cols_sql,
     "kfold_assign": kfold_assign_sql,
+    "kfold_even": kfold_even_sql,
+    "kfold_report_even": kfold_report_even_sql,
     "oof_mean": oof_mean_sql,
     "oof_linear": oof_linear_sql,
     "logo_mean": logo_mean_sql,
@@ -1225,6 +1248,8 @@ ORACLES = {
     "mlp_features": mlp_features_sql,
     "write_trials": write_trials_sql,
     "stream_trial_timing": trial_timing_sql,
+    "stream_final_timing": trial_timing_sql,
+    "stream_window_rollup": stream_window_sql,
     **{g: _feature_group_sql(g) for g in ("hw_ratios", "mem_pressure", "batch_features", "batch_hw",
                                            "roofline", "tc_util", "flops_features", "one_hot")},
 }

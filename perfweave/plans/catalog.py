@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CNN, CNN_LOGO, GBT_DEFAULTS, MIN_HELDOUT_ROWS, MLP, MLP_LOGO, TARGET_BASE, TARGET_FULL, TRANSFORMER
+from ..config import CNN, CNN_LOGO, GBT_DEFAULTS, KFOLD_SEED, KFOLD_SPLITS, MIN_HELDOUT_ROWS, MLP, MLP_LOGO, TARGET_BASE, TARGET_FULL, TRANSFORMER
 from ..functions.estimators import memory_estimate, storage_label
 from ..functions.nulls import canon_missing
 from ..operators.features import stats_frame
@@ -261,6 +261,17 @@ def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.assign_folds(t, ROW_KEYS, k=5, seed=42, out="fold_md5")
 
 
+def kfold_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: shuffled folds of equal size (by at most one row)."""
+    t = trials(spark, sf_dir).select(*ROW_KEYS)
+    return folds.even_folds(t, ROW_KEYS, k=KFOLD_SPLITS, seed=KFOLD_SEED, out="fold_even").select(*ROW_KEYS, "fold_even")
+
+
+def kfold_report_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 over folds of equal size (M2)."""
+    return evaluate.kfold_report(spark, sf_dir, "linear", even=True)
+
+
 def _eval_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.with_batch_features(drop_missing_targets(trials(spark, sf_dir)))
 
@@ -320,9 +331,8 @@ def logo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breakdown rows joined to their GPU's summary row."""
-    fine = evaluate.logo_sums(spark, sf_dir)
-    return reports.logo_report(reports.logo_breakdown_from(fine), reports.logo_summary_from(fine))
+    """Breakdown rows with their GPU's summary, from one aggregate."""
+    return reports.logo_report_from(evaluate.logo_sums(spark, sf_dir))
 
 
 def kfold_report_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -587,6 +597,16 @@ def stream_trial_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step_stream.stream_trial_timing_query(spark, sf_dir)
 
 
+def stream_final_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 in event time: trials closed by timers; equals trial_timing."""
+    return step_stream.stream_final_query(spark, sf_dir)
+
+
+def stream_window_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 per event-time window, with a watermark."""
+    return step_stream.stream_window_query(spark, sf_dir)
+
+
 # ----------------------------------------------------------------- GBT ---
 
 # The registered queries fit the full protocol (config.GBT_DEFAULTS); see
@@ -659,6 +679,8 @@ REGISTRY = {
     "mem_estimate": mem_estimate,
     "trial_timing_cols": trial_timing_cols,
     "kfold_assign": kfold_assign,
+    "kfold_even": kfold_even,
+    "kfold_report_even": kfold_report_even,
     "feature_matrix_base_logo": feature_matrix_base_logo,
     "feature_matrix_base_mlp": feature_matrix_base_mlp,
     "choice_one_hot": choice_one_hot,
@@ -704,6 +726,8 @@ REGISTRY = {
     "csv_quarantine": csv_quarantine,
     "write_trials": write_trials_q,
     "stream_trial_timing": stream_trial_timing,
+    "stream_final_timing": stream_final_timing,
+    "stream_window_rollup": stream_window_rollup,
     "oof_gbt": oof_gbt,
     "logo_gbt": logo_gbt,
 }

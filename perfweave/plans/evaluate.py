@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CNN, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL, FamilyConfig
+from ..config import CNN, KFOLD_SEED, KFOLD_SPLITS, MIN_HELDOUT_ROWS, TARGET_BASE, TARGET_FULL, FamilyConfig
 from ..functions.nulls import dbl
 from ..operators import predict
+from ..operators.folds import even_folds
 from ..operators.features import engineer_with_dimension
 from ..operators.joins import enrich_with_spec
 from ..operators.matrix import base_features, feature_columns
@@ -70,8 +71,13 @@ def with_batch_features(df: DataFrame) -> DataFrame:
 
 
 def kfold_report(spark: SparkSession, sf_dir: str, predictor: str = "linear",
-                 keys=("model", "vcpu", "storage")) -> DataFrame:
+                 keys=("model", "vcpu", "storage"), even: bool = False) -> DataFrame:
+    """K-fold report of both models; ``even``: folds of equal size instead of
+    the trial table's own ``fold`` column."""
     t = with_batch_features(drop_missing_targets(require_columns(trials(spark, sf_dir))))
+    if even:
+        used = list(dict.fromkeys([*keys, *FULL_GROUPS, "log2_batch_size", TARGET_FULL, TARGET_BASE, *KEY_COLS[:-1]]))
+        t = even_folds(t.select(*used), KEY_COLS[:-1], KFOLD_SPLITS, KFOLD_SEED)
     t = reports.category_keys(t, keys)
     # one pass: models and report sums from the same aggregate
     if predictor == "linear":

@@ -11,12 +11,16 @@ micro-batch overwrites; the current result is the
 batch rollup (``operators.timing.trial_timing``, the same Spark code) over
 each trial's latest emission.  On a finite replay it equals the batch
 result exactly.
+
+``final_trial_timing`` is the form for an endless log, in event time: rows
+later than the watermark are dropped, a trial's log closes ``span`` after its
+first step, and its timer then emits the kept steps once and removes the state.
+``window_rollup`` sums steps per event-time window with built-in streaming
+aggregates (approximate percentile, bounded buffers).
 """
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +28,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import MEASURE_STEPS, WARMUP_STEPS
 from ..operators import timing
-from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
 
 STATE_SCHEMA = ("ts array<timestamp_ntz>, event_id array<bigint>, loader_ms array<double>, "
@@ -68,6 +71,68 @@ def stream_trial_timing(spark: SparkSession, steps: DataFrame, out_dir: str, che
     q.awaitTermination()
 
 
+def _make_final(keep: int, span_ms: int):
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            old = state.get
+            state.remove()
+            kept = pd.DataFrame({c: list(old[i]) for i, c in enumerate(COLS)})
+            yield kept.assign(ts=pd.to_datetime(kept["ts"]), trial_id=int(key[0]))[["trial_id", *COLS]]
+            return
+        parts = [b[list(COLS)] for b in batches if len(b)]
+        if pd.isna(key[0]) or not parts:  # heartbeats only move the watermark
+            return
+        if state.exists:
+            old = state.get
+            parts.append(pd.DataFrame({c: list(old[i]) for i, c in enumerate(COLS)}))
+        allr = pd.concat(parts, ignore_index=True)
+        allr["ts"] = pd.to_datetime(allr["ts"])
+        kept = allr.sort_values(["ts", "event_id"], kind="mergesort").head(keep).reset_index(drop=True)
+        state.update(tuple(list(kept[c]) for c in COLS))
+        closes = int(kept["ts"].iloc[0].timestamp() * 1000) + span_ms
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
+
+    return update
+
+
+def final_trial_timing(steps: DataFrame, out_dir: str, checkpoint: str, delay: str, span_seconds: int,
+                       warmup: int = WARMUP_STEPS, measure: int = MEASURE_STEPS) -> list[dict]:
+    """Each trial's measured steps once, when its log has closed; the progress of every micro-batch.
+
+    ``delay``: how late a row may come; ``span_seconds``: event time from a
+    trial's first step until its log closes.  Rows with a null trial_id are
+    heartbeats.  A later row of a closed trial is late unless the watermark
+    lets it pass; it then opens the trial anew.
+    """
+    timed = steps.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+    kept = timed.groupBy("trial_id").applyInPandasWithState(
+        _make_final(warmup + measure, span_seconds * 1000), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    q = (kept.writeStream.foreachBatch(sink).outputMode("append")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return list(q.recentProgress)
+
+
+def window_rollup(steps: DataFrame, out_dir: str, checkpoint: str, delay: str, window: str) -> list[dict]:
+    """Per event-time window: steps, mean and approximate 90th percentile of the step time of non-OOM steps.
+
+    A window is written once, when the watermark has passed its end."""
+    total = F.when(~F.coalesce(F.col("oom"), F.lit(False)), F.col("loader_ms") + F.col("compute_ms"))
+    rolled = (steps.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+              .groupBy(F.window("event_time", window).alias("w"))
+              .agg(F.count("trial_id").alias("n_steps"), F.avg(total).alias("avg_step_ms"),
+                   F.approx_percentile(total, 0.9, 10_000).alias("p90_step_ms")))
+    rolled = rolled.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_steps", "avg_step_ms", "p90_step_ms")
+    q = (rolled.writeStream.format("parquet").option("path", out_dir).outputMode("append")
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return list(q.recentProgress)
+
+
 def latest_rollup(spark: SparkSession, out_dir: str, warmup: int = WARMUP_STEPS,
                   measure: int = MEASURE_STEPS) -> DataFrame:
     """Rollup of each trial's latest kept steps (<= warmup+measure rows each)."""
@@ -92,6 +157,53 @@ def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_trial_timing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the step stream into a fresh folder under the shared
     checkpoint directory and return the per-trial result."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fixtures.shared_path(spark, "stream")
     stream_trial_timing(spark, stream_steps(spark, sf_dir), f"{base}/out", f"{base}/ckpt")
     return latest_rollup(spark, f"{base}/out")
+
+
+SLICES = 6  # files of a replay
+
+
+def replay(spark: SparkSession, sf_dir: str, path: str) -> int:
+    """The step log written as files that a stream reads one by one: slices of
+    event time, every seventh row one slice late, and a last file with a
+    heartbeat far behind the log's end.  Returns a slice's length in seconds."""
+    log = fixtures.steps(spark, sf_dir).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
+    lo, hi = log.agg(F.min("s"), F.max("s")).collect()[0]  # two numbers
+    if lo is None:
+        log.drop("s").write.parquet(f"{path}/part-0")
+        return 1
+    width = (hi - lo) // SLICES + 1
+    at = F.floor((F.col("s") - lo) / F.lit(width)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    sliced = log.withColumn("slice", F.least(at, F.lit(SLICES - 1)).cast("int")).drop("s")
+    for i in range(SLICES):
+        sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.parquet(f"{path}/part-{i}")
+    beat = spark.range(1).select(*[(F.timestamp_micros(F.lit(hi + 1000 * SLICES * width)).cast("timestamp_ntz") if f.name == "ts"
+                                    else F.lit(None).cast(f.dataType)).alias(f.name) for f in log.drop("s").schema.fields])
+    beat.coalesce(1).write.parquet(f"{path}/part-{SLICES}")
+    return max(1, -(-width // 1_000_000))
+
+
+def replayed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Its stream: one file a micro-batch, in the order they were written."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def stream_final_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay with out-of-order files: every trial's timing when its log has closed."""
+    base = fixtures.shared_path(spark, "replay")
+    seconds = replay(spark, sf_dir, f"{base}/in")
+    steps = replayed(spark, f"{base}/in", fixtures.steps(spark, sf_dir).schema)
+    final_trial_timing(steps, f"{base}/out", f"{base}/ckpt", f"{2 * seconds} seconds", 2 * SLICES * seconds)
+    return timing.trial_timing(spark.read.schema(OUT_SCHEMA).parquet(f"{base}/out"))
+
+
+def stream_window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay with out-of-order files: step times per day of event time."""
+    base = fixtures.shared_path(spark, "windows")
+    seconds = replay(spark, sf_dir, f"{base}/in")
+    steps = replayed(spark, f"{base}/in", fixtures.steps(spark, sf_dir).schema)
+    window_rollup(steps, f"{base}/out", f"{base}/ckpt", f"{2 * seconds} seconds", "1 day")
+    out = spark.read.schema("window_start timestamp_ntz, n_steps bigint, avg_step_ms double, p90_step_ms double").parquet(f"{base}/out")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))

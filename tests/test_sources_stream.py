@@ -176,3 +176,39 @@ def test_csv_by_name_with_quarantine(spark, tmp_path):
     assert rows.select("model").count() == 4 and broken.select("line").count() == 3
     with pytest.raises(FileNotFoundError):
         read_csv(spark, str(tmp_path / "none"), schema)
+
+
+def _log(spark, path, files):
+    schema = fixtures.steps(spark, SF001).schema
+    for i, rows in enumerate(files):
+        full = [tuple({"trial_id": t, "ts": __import__("datetime").datetime(2024, 1, 1) + __import__("datetime").timedelta(seconds=s), "event_id": e,
+                       "loader_ms": 1.0, "compute_ms": float(e), "n_examples": 1, "n_tokens": 1, "oom": False, "fwd_done": True}[f.name]
+                      for f in schema.fields) for t, s, e in rows]
+        spark.createDataFrame(full, schema).coalesce(1).write.parquet(f"{path}/part-{i}")
+    return step_stream.replayed(spark, path, schema)
+
+
+def test_event_time_state_is_removed_and_late_rows_are_dropped(spark, tmp_path):
+    files = [[(1, 0, 1), (1, 1, 2), (2, 5, 3)],
+             [(1, 3, 4), (2, 4, 5), (1, 2, 6)],     # out of order, within the delay
+             [(3, 500, 7), (None, 501, 0)],          # the watermark passes 480: trials 1 and 2 close
+             [(None, 502, 0)],                       # (one batch later, as Spark moves the watermark between batches)
+             [(2, 6, 8), (3, 502, 9)],               # a late row of trial 2
+             [(None, 5000, 0)]]                      # a heartbeat closes trial 3
+    stream = _log(spark, str(tmp_path / "in"), files)
+    progress = step_stream.final_trial_timing(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), "20 seconds", 100, warmup=1, measure=20)
+    kept = spark.read.schema(step_stream.OUT_SCHEMA).parquet(str(tmp_path / "out"))
+    got = {r["trial_id"]: (r["n_steps"], r["avg_compute_ms"]) for r in timing.trial_timing(kept, warmup=1).collect()}
+    assert got == {1: (3, 4.0), 2: (1, 3.0), 3: (1, 9.0)}
+    assert kept.count() == 8  # every trial was emitted once
+    state = [p["stateOperators"][0] for p in progress if p["stateOperators"]]
+    assert state[-1]["numRowsTotal"] == 0 and sum(s["numRowsDroppedByWatermark"] for s in state) == 1
+    assert max(s["numRowsTotal"] for s in state) >= 2
+
+
+def test_windows_are_written_once(spark, tmp_path):
+    files = [[(1, 0, 1), (1, 59, 2)], [(2, 61, 3), (1, 30, 4)], [(None, 10_000, 0)], [(None, 10_001, 0)], [(1, 10, 99)], [(None, 20_000, 0)]]
+    step_stream.window_rollup(_log(spark, str(tmp_path / "in"), files), str(tmp_path / "out"), str(tmp_path / "ckpt"), "60 seconds", "1 minute")
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
+    assert [(r["n_steps"], r["avg_step_ms"], r["p90_step_ms"]) for r in rows][:2] == [(3, 1 + 7 / 3, 5.0), (1, 4.0, 4.0)]
+    assert len({r["window_start"] for r in rows}) == len(rows)
