@@ -183,7 +183,9 @@ def sample_segments(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_words: int = S
                 rows += [(x, lang) for x in s]
             yield pd.DataFrame(rows, columns=["s", "lang"])
 
-    got = few.select("doc_id", "text", "lang").mapInPandas(draw, "s binary, lang string").limit(2 * n_docs * n_words)
+    # A null doc_id draws like 0 (pandas would turn the whole column into floats).
+    seed = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id")
+    got = few.select(seed, "text", "lang").mapInPandas(draw, "s binary, lang string").limit(2 * n_docs * n_words)
     return sorted((bytes(r["s"]), r["lang"]) for r in got.collect())
 
 
