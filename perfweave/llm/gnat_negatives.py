@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfweave.llm.common import code_on_workers, written
+from perfweave.llm.vectors import LONG_MAX, LONG_MIN, distances, exact_scores, look_up, matrix, pack, whole_numbers, width_and_unit
 
 SCALE = 256
 EVERY = 100       # anchors: vec_id divisible by it
@@ -57,8 +58,6 @@ FANOUT, SAMPLE, LEAF = 12, 4096, 48  # split points of a node, sampled rows, sam
 BLOCK, CHUNK = 8192, 1024  # rows of a block, anchors of a chunk
 SLICE = 256  # anchors evaluated at once inside a task
 
-LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
-
 
 def noisy_label(vec_id, label):
     """The label with the planted noise of the registered query."""
@@ -71,35 +70,14 @@ def plain_label(vec_id, label):
 
 def integer_rows(rows: DataFrame, scale: int, label) -> DataFrame:
     """(vec_id, label, v) of the rows that take part; v holds whole numbers as doubles."""
-    e = F.col("embedding")
-    big = F.lit(float("inf"))
-    scaled = F.transform(e, lambda x: F.lit(float(scale)) * x.cast("double"))
-    sound = e.isNotNull() & F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall(
-        scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
-    # floor() of a double is a long and would be cut at its ends; from 2**52 on a double is whole anyway.
-    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
-    taken = rows.where(F.coalesce(sound, F.lit(False))).select(
+    sound, whole = whole_numbers(F.col("embedding"), scale)
+    sound = sound & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    taken = rows.where(sound).select(
         F.col("vec_id").cast("long").alias("vec_id"), label(F.col("vec_id").cast("long"), F.col("label").cast("long")).alias("label"),
         whole.alias("v"))
     return taken.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.label", "x.v")
 
 
-def matrix(column, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for i, v in enumerate(column):
-        out[i, :len(v)] = v
-    return out
-
-
-def distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Euclidean distances by differences (no cancellation of large squares)."""
-    out = np.empty((len(x), len(points)))
-    for i, p in enumerate(points):
-        d = x - p
-        out[:, i] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
-
-
 def split_points(x: np.ndarray, n: int) -> np.ndarray:
     """Farthest-point split points among the distinct vectors of a sample."""
     picked = [0]
@@ -190,21 +168,6 @@ def leaves_to_visit(nodes: list[dict], extent: dict, q: np.ndarray, windows: lis
     return sorted(out)
 
 
-def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of whole-number vectors: int64, exact, cut to the range of a long."""
-    if not len(q) or not len(x):
-        return np.zeros((len(q), len(x)), np.int64)
-    with np.errstate(over="ignore"):
-        small = np.sqrt(np.einsum("ij,ij->i", q, q).max()) * np.sqrt(np.einsum("ij,ij->i", x, x)) < float(1 << 53)
-    if small.all():
-        return (q @ x.T).astype(np.int64)
-    out = np.empty((len(q), len(x)), np.int64)
-    out[:, small] = (q @ x[small].T).astype(np.int64)
-    a, b = ([[int(v) for v in row] for row in m.tolist()] for m in (q, x[~small]))
-    out[:, ~small] = [[min(max(sum(s * t for s, t in zip(u, v)), LONG_MIN), LONG_MAX) for v in b] for u in a]
-    return out
-
-
 def _head(frame: dict, k: int) -> dict:
     """The first k rows of every (anchor, slot), by score, then vec_id."""
     order = np.lexsort((frame["vec_id"], ~frame["score"], frame["slot"], frame["anchor"]))  # ~x orders like -x and cannot overflow
@@ -257,11 +220,7 @@ class Index:
         spark = rows.sparkSession
         rows = written(rows, "vectors")
         few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # bounded sample
-        one = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"),
-                       F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("largest")).collect()[0]
-        self.width = width = max(1, one["width"])
-        # Distances are taken in a unit in which squares stay finite; scores are not.
-        self.unit = unit = 1.0 if (one["largest"] or 0.0) < 1e100 else one["largest"]
+        self.width, self.unit = width, unit = width_and_unit(rows)
         self.sample = (np.array([r["vec_id"] for r in few], np.int64), np.array([r["label"] for r in few], np.int64),
                        matrix([r["v"] for r in few], width))
         self.nodes = nodes = build(self.sample[2] / unit, fanout, leaf)
@@ -303,20 +262,15 @@ class Index:
         anchor = F.pmod("vec_id", F.lit(every)) == 0
         size = {r["leaf"]: r for r in self.rows.groupBy("leaf").agg(
             F.count(F.lit(1)).alias("n"), F.count_if(anchor).alias("q")).collect()}  # at most a row a leaf
-        self.block_of, self.cuts = _pack({u: r["n"] for u, r in size.items()}, block)
-        self.chunk_of, self.chunk_cuts = _pack({u: r["q"] for u, r in size.items()}, chunk)
+        self.block_of, self.cuts = pack({u: r["n"] for u, r in size.items()}, block)
+        self.chunk_of, self.chunk_cuts = pack({u: r["q"] for u, r in size.items()}, chunk)
         self.tree = spark.sparkContext.broadcast((nodes, self.extent, self.sample, self.block_of, self.cuts))
 
-    def _map(self, table: dict, column):
-        if not table:
-            return F.lit(1)
-        return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), column)
-
     def anchors(self) -> DataFrame:
         """(vec_id, label, v, chunk) of the anchors."""
-        cut = F.pmod(F.xxhash64("vec_id", F.lit("chunk")), self._map(self.chunk_cuts, F.col("leaf")))
+        cut = F.pmod(F.xxhash64("vec_id", F.lit("chunk")), look_up(self.chunk_cuts, F.col("leaf")))
         return self.rows.where(F.pmod("vec_id", F.lit(self.every)) == 0).select(
-            "vec_id", "label", "v", (self._map(self.chunk_of, F.col("leaf")) + cut).cast("long").alias("chunk"))
+            "vec_id", "label", "v", (look_up(self.chunk_of, F.col("leaf")) + cut).cast("long").alias("chunk"))
 
     def search(self, asked: DataFrame, same: bool, k: int) -> DataFrame:
         """(anchor_id, slot, vec_id, score): the k best rows of every (anchor, window).
@@ -361,8 +315,8 @@ class Index:
         leaf = F.col("leaf")
         visits = written(asked.select("vec_id", "label", "v", "chunk", "high", "low").mapInArrow(
             visit, "vec_id long, label long, v array<double>, chunk long, high array<long>, block long, leaves array<long>, low array<long>"), "visits")
-        cut = F.pmod(F.xxhash64("vec_id"), self._map(self.cuts, leaf))
-        blocks = self.rows.withColumn("block", (self._map(self.block_of, leaf) + cut).cast("long")).join(
+        cut = F.pmod(F.xxhash64("vec_id"), look_up(self.cuts, leaf))
+        blocks = self.rows.withColumn("block", (look_up(self.block_of, leaf) + cut).cast("long")).join(
             visits.select("block", "chunk").distinct(), "block").select(
             "vec_id", "label", "v", "leaf", F.col("block").alias("x_block"), F.col("chunk").alias("x_chunk"))
 
@@ -384,21 +338,6 @@ class Index:
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _pack(sizes: dict, most: int) -> tuple[dict, dict]:
-    """First bin and number of bins of every leaf: neighbours share a bin up to ``most``, a larger leaf has several."""
-    first, cuts, at, room = {}, {}, -1, 0
-    for u in sorted(sizes):
-        n = sizes[u]
-        if n > most:
-            cuts[u] = -(-n // most)
-            first[u], at, room = at + 1, at + cuts[u], 0
-        else:
-            if n > room or at < 0:
-                at, room = at + 1, most
-            first[u], cuts[u], room = at, 1, room - n
-    return first, cuts
-
-
 def positives(index: Index, k: int = POSITIVES) -> DataFrame:
     """(anchor_id, positive_id, order, positive_score): the k best other rows of the anchor's label."""
     everything = F.array(F.lit(LONG_MIN).cast("long")), F.array(F.lit(LONG_MAX).cast("long"))

@@ -436,3 +436,28 @@ def test_empty_tables(spark, empty):
     assert secrets_markov.digest(empty).collect() == []
     assert packing_bestfit.pack(empty).collect() == []
     assert mixing.select_documents(empty).collect() == []
+
+
+def test_top_products_of_large_components_are_exact(spark):
+    """Scores beyond 2**53 are whole numbers, beyond a long the nearest long; squares need not be finite."""
+    import math
+    rows = [(0, [2e5, 3e5, 1.0]), (1, [1e5 + 0.123, 2e5, 0.5]), (2, [1e17, 0.0]), (3, [1e17, 1.0, 1.0]), (4, [-1e200, 3.0]), (5, [1e200]),
+            (6, [0.1, 0.2, 0.3]), (100, [1e100, 1e100]), (200, [0.1, -0.2, 1e9]), (7, [1e308, 1.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in e] for i, e in rows if all(math.isfinite(1024 * x) for x in e)}
+    keep = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q, x in whole.items():
+        if q % 100 == 0:
+            best = sorted((-keep(sum(a * b for a, b in zip(x, y))), i) for i, y in whole.items() if i != q)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk_pivots.top_k(df).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk_pivots.top_k(df, pivots=2, sample=3, block=2, chunk=1).collect()) == sorted(want)
+
+
+def test_language_sample_with_null_ids_and_repeated_rows(spark):
+    long = " ".join("wort%d" % i for i in range(80))
+    rows = [(None, long, "de")] * 3 + [(i, long, "de") for i in range(4)] + [(7, "x" * 50_000, "en"), (8, None, "en"), (9, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid_gru.sample_segments(docs)
+    assert got and {lang for _, lang in got} <= {"de", "en"}
