@@ -18,7 +18,7 @@ from ..functions import hardware as hw
 from ..functions.nulls import as_category, clip01, dbl, guarded_max, is_truthy, safe_ratio
 from ..storage import written
 from .joins import bounded_broadcast
-from .predict import exact_medians
+from .predict import exact_medians, fold_medians
 
 GIB = float(1024 ** 3)
 
@@ -41,6 +41,12 @@ class Stats:
     has_null_name: bool = False
 
 
+def _number(v, default=None) -> Column:
+    """A statistic as a column: a number for all rows, or each row's own (train-only statistics)."""
+    x = v if isinstance(v, Column) else F.lit(None if v is None else float(v)).cast("double")
+    return x if default is None else F.coalesce(x, F.lit(default))
+
+
 def _has(df: DataFrame, *cols) -> bool:
     return all(c in df.columns for c in cols)
 
@@ -86,8 +92,21 @@ def _eff_len(df: DataFrame) -> Column:
     return F.coalesce(*parts) if parts else F.lit(None).cast("double")
 
 
-def stats_frame(df: DataFrame, fam: FamilyConfig) -> DataFrame:
-    """Whole-table statistics as a single-row DataFrame.
+def _totals_of(cats, name, hardware) -> list:
+    """Statistics of rows of the per-GPU table."""
+    arch = F.sort_array(F.collect_set(hw.arch_family("__name"))) if name else F.array().cast("array<string>")
+    return [
+        *[x for c in cats for x in (F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"cats__{c}")))).alias(f"cats__{c}"),
+                                    F.sum(f"n__{c}").alias(f"n__{c}"))],
+        arch.alias("arch"), F.collect_set("__name").alias("names"),
+        F.coalesce(F.sum(F.when(F.col("__name").isNull(), F.col("rows"))), F.lit(0)).alias("null_names"),
+        *[F.percentile(f"__{k}", 0.5, F.col("rows")).alias(k) for k in hardware],
+        F.coalesce(F.sum("n_vram"), F.lit(0)).alias("n_vram"), F.coalesce(F.sum("n_roof"), F.lit(0)).alias("n_roof")]
+
+
+def stats_frame(df: DataFrame, fam: FamilyConfig, fold_col: str | None = None) -> DataFrame:
+    """Whole-table statistics as a single-row DataFrame; with ``fold_col`` one
+    row (held) per fold, of the other folds' rows.
 
     One aggregate per GPU name (row count, categories, non-missing counts)
     covers everything that depends on few values; the medians of the
@@ -111,15 +130,17 @@ def stats_frame(df: DataFrame, fam: FamilyConfig) -> DataFrame:
     for c in cats:
         aggs += [F.collect_set(as_category(c)).alias(f"cats__{c}"), F.count(c).alias(f"n__{c}")]
     by = [key.alias("__name"), *[x.alias(f"__{k}") for k, x in hardware.items()]]
+    if fold_col is not None:
+        # Every held-out fold gets the statistics of the other folds' GPU rows (small tables: GPUs x folds).
+        per_gpu = written(df.groupBy(F.col(fold_col).alias("__fold"), *by).agg(*aggs), "gpus")
+        held = written(per_gpu.where(F.col("__fold").isNotNull()).select(F.col("__fold").alias("held")).distinct(), "held")
+        rest = per_gpu.join(F.broadcast(held), ~F.col("__fold").eqNullSafe(F.col("held")))
+        total = held.join(rest.groupBy("held").agg(*_totals_of(cats, name, hardware)), "held", "left")
+        values = df.select(F.col(fold_col).alias("__fold"), *[x.alias(k) for k, x in per_trial.items()])
+        medians = fold_medians(values, "__fold", list(per_trial)).withColumnRenamed("__fold", "held").withColumnsRenamed({f"med__{k}": k for k in per_trial})
+        return total.join(written(medians, "medians"), "held", "left")
     per_gpu = written(df.groupBy(*by).agg(*aggs), "gpus")
-    arch = F.sort_array(F.collect_set(hw.arch_family("__name"))) if name else F.array().cast("array<string>")
-    total = per_gpu.agg(
-        *[x for c in cats for x in (F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"cats__{c}")))).alias(f"cats__{c}"),
-                                    F.sum(f"n__{c}").alias(f"n__{c}"))],
-        arch.alias("arch"), F.collect_set("__name").alias("names"),
-        F.coalesce(F.sum(F.when(F.col("__name").isNull(), F.col("rows"))), F.lit(0)).alias("null_names"),
-        *[F.percentile(f"__{k}", 0.5, F.col("rows")).alias(k) for k in hardware],
-        F.coalesce(F.sum("n_vram"), F.lit(0)).alias("n_vram"), F.coalesce(F.sum("n_roof"), F.lit(0)).alias("n_roof"))
+    total = per_gpu.agg(*_totals_of(cats, name, hardware))
     long = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), x.alias("x")) for k, x in per_trial.items()])))
     medians = {r["feature"]: r["median"] for r in exact_medians(long, ["feature"]).collect()}  # one or two numbers
     return total.withColumns({k: F.lit(medians.get(k)).cast("double") for k in per_trial})
@@ -210,11 +231,10 @@ def flops_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
         seq = dbl("flops_train_per_seq") if "flops_train_per_seq" in df.columns else F.lit(None).cast("double")
         batch = dbl("flops_train_per_batch") if "flops_train_per_batch" in df.columns else seq * B
         eff = _eff_len(df)
-        fill = st.median_eff_len if st.median_eff_len is not None else 1.0
         new = {"F_TR_seq": seq, "F_TR_batch": batch,
                "log_F_TR_seq": F.log1p(seq), "log_F_TR_batch": F.log1p(batch),
                "eff_seq_len": eff,
-               "log_eff_seq_len": F.log1p(F.coalesce(eff, F.lit(float(fill))))}
+               "log_eff_seq_len": F.log1p(F.coalesce(eff, _number(st.median_eff_len, 1.0)))}
         if _has(df, "flops_train_per_batch", "batch_size"):
             sample = dbl("flops_train_per_batch") / F.greatest(F.lit(1.0), B)
             new.update({"F_TR_sample": sample, "log_F_TR_sample": F.log1p(sample)})
@@ -251,18 +271,20 @@ def batch_hw_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
         # a missing or zero denominator means 1.0 (greatest skips the NULL)
         "B_per_SM": B / F.greatest(F.lit(1.0), F.nullif(sm, F.lit(0.0))),
         "B_over_GB": B / F.greatest(F.lit(1.0), F.nullif(mem_gb, F.lit(0.0))),
-        "B_times_BW": B * F.coalesce(bw, F.lit(float(st.median_bw if st.median_bw is not None else 0.0))),
-        "B_times_SM": B * F.coalesce(sm, F.lit(float(st.median_sm if st.median_sm is not None else 0.0))),
+        "B_times_BW": B * F.coalesce(bw, _number(st.median_bw, 0.0)),
+        "B_times_SM": B * F.coalesce(sm, _number(st.median_sm, 0.0)),
     }
     pb = dbl("param_bytes") if "param_bytes" in df.columns else F.lit(0.0)
     state = dbl("total_state_bytes") if "total_state_bytes" in df.columns else pb
     act_c = _act_col(fam)
     act = dbl(act_c) if act_c in df.columns else F.lit(0.0)
     required = state + act * B
-    if fam.vram_from_total_bytes and "total_vram_bytes" in df.columns and not st.vram_all_missing:
-        vram = dbl("total_vram_bytes")
-    else:
-        vram = F.coalesce(mem_gb, F.lit(0.0)) * GIB
+    vram = F.coalesce(mem_gb, F.lit(0.0)) * GIB
+    if fam.vram_from_total_bytes and "total_vram_bytes" in df.columns:
+        if isinstance(st.vram_all_missing, Column):
+            vram = F.when(st.vram_all_missing, vram).otherwise(dbl("total_vram_bytes"))
+        elif not st.vram_all_missing:
+            vram = dbl("total_vram_bytes")
     pressure = required / guarded_max(1.0, vram)
     s1["mem_pressure"] = pressure
     s1["amp"] = _amp_expr(df, fam)
@@ -270,8 +292,7 @@ def batch_hw_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
     if fam.flops_prefix == "F_TR" and not st.roof_any:
         s1["roof_time_ms"] = F.lit(0.0)
     else:
-        fill = F.lit(st.median_roof).cast("double")
-        s1["roof_time_ms"] = F.coalesce(raw_roof, fill)
+        s1["roof_time_ms"] = F.coalesce(raw_roof, _number(st.median_roof))
     has_tc = F.col("has_tensor_cores").cast("int") if "has_tensor_cores" in df.columns else F.lit(0)
     df = df.withColumns(s1)
     s2 = {
@@ -284,7 +305,7 @@ def batch_hw_features(df: DataFrame, fam: FamilyConfig, st: Stats) -> DataFrame:
           "B_times_headroom": B * F.col("mem_headroom")}
     for a in ("Ampere", "Ada", "Hopper"):
         c = f"arch_{a}"
-        s3[f"B_times_arch_{a}"] = B * (F.col(c) if c in df.columns else F.lit(0))
+        s3[f"B_times_arch_{a}"] = B * (F.coalesce(F.col(c), F.lit(0)) if c in df.columns else F.lit(0))
     return df.withColumns(s3)
 
 

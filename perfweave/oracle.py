@@ -150,8 +150,11 @@ e AS (
   WHERE t.avg_batch_time_ms IS NOT NULL AND t.T_gpu_ms IS NOT NULL)"""
 
 
-def _features_cte() -> str:
-    """Enriched trials -> the whole CNN feature prefix."""
+def _features_cte(train: bool = False) -> str:
+    """Enriched trials -> the whole CNN feature prefix.
+
+    ``train``: every row's statistics come from the other folds' rows (``feat``),
+    and ``feat_rest`` holds the training rows of every fold h with h's statistics."""
     B = "CAST(batch_size AS DOUBLE)"
     ampi = "CAST(coalesce(lower(CAST(amp AS VARCHAR)) IN ('true', '1', 'yes'), false) AS INTEGER)"
     lname = "lower(coalesce(gpu_name, 'nan'))"
@@ -174,10 +177,11 @@ def _features_cte() -> str:
 r0 AS (SELECT e.*, {_arch_case('gpu_name')} AS arch_family, {ampi} AS amp_i,
          {tc} AS tc, {tm} AS tm FROM e),
 r1 AS (SELECT r0.*, {roof_raw} AS roof_raw FROM r0),
-st AS (SELECT median(bw_gbs) AS med_bw, median(SM) AS med_sm, median(roof_raw) AS med_roof,
-              count(total_vram_bytes) AS n_vram FROM r1),
-f1 AS (
-  SELECT r1.*,
+st AS (SELECT {'h, ' if train else ''}median(bw_gbs) AS med_bw, median(SM) AS med_sm, median(roof_raw) AS med_roof,
+              count(total_vram_bytes) AS n_vram FROM {'(SELECT DISTINCT fold AS h FROM r1) JOIN r1 ON fold <> h GROUP BY h' if train else 'r1'}),
+""" + ",\n".join(f"""
+f1{end} AS (
+  SELECT r1.*, med_bw, med_sm, med_roof, {'h, ' if train else ''}
     flops_train_per_batch / {_gmax('1e-9', 'bw_gbs')} AS flops_to_bw_ratio,
     flops_train_per_batch / {_gmax('1e-9', 'FP32')} AS flops_to_FP32_ratio,
     flops_train_per_batch / {_gmax('1e-9', 'FP16')} AS flops_to_FP16_ratio,
@@ -200,24 +204,24 @@ f1 AS (
     CAST({B} > 128 AS INTEGER) AS batch_bin_large,
     {B} / greatest(1.0, nullif(SM, 0.0)) AS B_per_SM,
     {B} / greatest(1.0, nullif(mem_gb, 0.0)) AS B_over_GB,
-    {B} * coalesce(bw_gbs, (SELECT med_bw FROM st), 0.0) AS B_times_BW,
-    {B} * coalesce(SM, (SELECT med_sm FROM st), 0.0) AS B_times_SM,
+    {B} * coalesce(bw_gbs, med_bw, 0.0) AS B_times_BW,
+    {B} * coalesce(SM, med_sm, 0.0) AS B_times_SM,
     (CAST(total_state_bytes AS DOUBLE) + {act} * {B}) / {_gmax('1.0', 'total_vram_bytes')} AS mem_pressure,
     amp_i AS amp_int,
-    coalesce(roof_raw, (SELECT med_roof FROM st)) AS roof_time_ms
-  FROM r1),
-f2 AS (
-  SELECT f1.*,
+    coalesce(roof_raw, med_roof) AS roof_time_ms
+  FROM {src}),
+f2{end} AS (
+  SELECT f1{end}.*,
     CASE WHEN mem_pressure IS NOT NULL THEN least(1.0, greatest(0.0, 1.0 - mem_pressure)) END AS mem_headroom,
     CAST(coalesce(mem_pressure > 0.9, false) AS INTEGER) AS near_vram_limit,
     amp_i * has_tensor_cores AS tc_util_proxy
-  FROM f1),
-feat AS (
-  SELECT f2.*,
+  FROM f1{end}),
+feat{end} AS (
+  SELECT f2{end}.*,
     {B} * tc_util_proxy AS B_times_tc, {B} * mem_headroom AS B_times_headroom,
     {B} * arch_Ampere AS B_times_arch_Ampere, {B} * 0 AS B_times_arch_Ada,
     {B} * arch_Hopper AS B_times_arch_Hopper
-  FROM f2)"""
+  FROM f2{end})""" for end, src in ((("", "r1 JOIN st ON r1.fold = st.h"), ("_rest", "r1 JOIN st ON r1.fold <> st.h")) if train else (("", "r1, st"),)))
 
 
 def _round_cols(cols, doubles) -> str:
@@ -1164,6 +1168,18 @@ def _matrix_sql(target: str, drop=()) -> str:
     return f"WITH {_features_cte()}\nSELECT {KEYS}, {', '.join(sel)}, {r6(target)} AS {target} FROM feat"
 
 
+def feature_matrix_train_sql() -> str:
+    x = lambda c: f"CAST({'amp_int' if c == 'amp' else c} AS DOUBLE)"
+    take = ", ".join(
+        f"""(coalesce(NOT bool_or({x(c)} < 0), true) AND NOT (count(CASE WHEN {x(c)} NOT IN (0.0, 1.0) THEN 1 END) = 0 AND count(*) = count({x(c)}))
+      AND count({x(c)}) >= 3 AND coalesce(skewness({x(c)}) > 1.0 AND NOT isnan(skewness({x(c)})), false)) AS take_{c}""" for c in LOG1P_COLUMNS)
+    sel = [f"{r6(x(c))} AS {c}" for c in MATRIX_FEATURES]
+    sel += [f"CASE WHEN take_{c} THEN {r6('ln(1 + ' + x(c) + ')')} END AS log1p__{c}" for c in LOG1P_COLUMNS]
+    return f"""WITH {_features_cte(train=True)},
+logs AS (SELECT h AS lh, {take} FROM feat_rest GROUP BY h)
+SELECT {KEYS}, {', '.join(sel)}, {r6('avg_batch_time_ms')} AS avg_batch_time_ms FROM feat JOIN logs ON feat.fold = logs.lh"""
+
+
 def feature_matrix_sql() -> str:
     return _matrix_sql("avg_batch_time_ms")
 
@@ -1192,6 +1208,7 @@ ORACLES = {
     "log1p_features": log1p_features_sql,
     "feature_matrix": feature_matrix_sql,
     "feature_matrix_base": feature_matrix_base_sql,
+    "feature_matrix_train": feature_matrix_train_sql,
     "trial_timing": trial_timing_sql,
     "trial_throughput": trial_throughput_sql,
     "layer_flops": layer_flops_sql,

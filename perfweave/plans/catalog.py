@@ -17,6 +17,7 @@ from ..operators.joins import enrich_with_spec
 from ..operators import folds, gbt, grid, layers, matrix, predict, ridge, text, timing
 from ..operators.features import engineer, engineer_with_dimension
 from ..operators.profile import profile, skew_candidates
+from ..operators.train_features import train_features
 from ..sources import fixtures, manifest
 from ..sources import reports as report_src
 from ..sources.csv_files import read_csv
@@ -152,6 +153,13 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*ROW_KEYS, *[F.col(c).cast("double").alias(c) for c in full], TARGET_FULL)
 
 
+def feature_matrix_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 with fills, one-hot columns and log1p choices from the other folds' rows only."""
+    f = train_features(evaluate.evaluation_trials(spark, sf_dir), CNN, TARGET_FULL, "fold", KEY_COLS)
+    full, _ = evaluate.model_features(f, CNN)
+    return f.select(*ROW_KEYS, *[F.col(c).cast("double").alias(c) for c in full], TARGET_FULL)
+
+
 def feature_matrix_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The GPU-only baseline's matrix (host features removed)."""
     f = _features(spark, sf_dir, log1p=True)
@@ -670,6 +678,7 @@ REGISTRY = {
     "log1p_features": log1p_features,
     "feature_matrix": feature_matrix,
     "feature_matrix_base": feature_matrix_base,
+    "feature_matrix_train": feature_matrix_train,
     "trial_timing": trial_timing_q,
     "trial_throughput": trial_throughput_q,
     "layer_flops": layer_flops,

@@ -232,3 +232,68 @@ def test_ridge_small_folds_only_train(spark):
     pdf.loc[pdf.index >= 2, "fold"] %= 3
     got = ridge.oof_ridge(frame(spark, pdf), "fold", [("p", list("ab"), "t1")], ["id"], min_rows=3).collect()
     assert {r["fold"] for r in got} == {0, 1, 2}
+
+
+# -------------------------------------------------------- train-only statistics
+
+def test_third_moments_merge_like_refits(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"fold": rng.integers(0, 4, 300), "x": rng.gamma(1.5, size=300) * np.where(rng.random(300) < 0.1, 1e6, 1.0)})
+    rows = []
+    for f, g in pdf.groupby("fold"):
+        d = g.x - g.x.mean()
+        rows.append((int(f), float(len(g)), float(g.x.mean()), float((d ** 2).sum()), float((d ** 3).sum())))
+    table = spark.createDataFrame(rows, "f int, n double, m double, q double, t double")
+    for r in leave_out_moments(table, "f", "n", ["m"], {"q": ("m", "m")}, cubes={"t": ("m", "q")}).collect():
+        x = pdf[pdf.fold != r["f"]].x
+        d = x - x.mean()
+        assert (r["t_n"], r["t_m"], r["t_q"], r["t_t"]) == pytest.approx((len(x), x.mean(), (d ** 2).sum(), (d ** 3).sum()), rel=1e-9)
+
+
+def test_train_only_features(spark):
+    """A category, a heavy tail and a median that only one fold has make no column and no fill for that fold."""
+    from perfweave.config import CNN, TARGET_FULL
+    from perfweave.operators.train_features import train_features
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        fold = i % 3
+        gpu = ["NVIDIA L4", "Tesla T4", "NVIDIA H100 PCIe" if fold == 2 else "Tesla T4"][i % 5 % 3]
+        storage = "TAPE" if fold == 1 and i % 2 else ["NVME", "SSD"][i // 3 % 2]
+        bw = {"NVIDIA L4": 300.0, "Tesla T4": 320.0}.get(gpu)
+        rows.append((i, fold, gpu, storage, 32 * (1 + i % 4), bw, 40.0 if i % 7 else None, 30.0, 60.0, 24.0, 1e9 * (1 + i % 5),
+                     float(1e4 if fold == 0 and i % 30 == 0 else 1.0 + rng.random()), 1.0 + i, 2.0 + i))
+    cols = "id long, fold int, gpu_name string, storage string, batch_size long, bw_gbs double, SM double, FP32 double, FP16 double, mem_gb double, " \
+           "flops_train_per_batch double, oddity double, avg_batch_time_ms double, T_gpu_ms double"
+    e = spark.createDataFrame(rows, cols)
+    f = train_features(e, CNN, TARGET_FULL, "fold", ["id"])
+    got = {r["id"]: r for r in f.collect()}
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in cols.split(", ")])
+    assert len(got) == 120
+    for r in pdf.itertuples():
+        g, rest = got[r.id], pdf[pdf.fold != r.fold]
+        cats = sorted(rest.storage.unique())
+        for v in ("NVME", "SSD", "TAPE"):
+            if f"storage_{v}" in g:
+                assert g[f"storage_{v}"] == (int(r.storage == v) if v in cats[1:] else None)
+        fill = rest.bw_gbs.median()
+        assert g["B_times_BW"] == pytest.approx(r.batch_size * (r.bw_gbs if not np.isnan(r.bw_gbs) else fill))
+        for c in ("oddity", "B_times_BW", "B_times_SM", "roof_time_ms", "flops_train_per_batch"):
+            x = pd.Series([_trained(q, c, rest) for q in rest.itertuples()], dtype=float)
+            take = x.skew() > 1.0 and not (x < 0).any() and not x.isin([0, 1]).all()
+            want = np.log1p(g[c]) if take else None
+            have = g[f"log1p__{c}"] if f"log1p__{c}" in g else None
+            assert (have is None and want is None) or have == pytest.approx(want)
+    assert got[1]["log1p__oddity"] is not None and got[0]["log1p__oddity"] is None
+
+
+def _trained(q, c, rest):
+    """Feature value of a training row under the medians of ``rest``."""
+    if c == "B_times_BW":
+        return q.batch_size * (q.bw_gbs if not np.isnan(q.bw_gbs) else rest.bw_gbs.median())
+    if c == "B_times_SM":
+        return q.batch_size * (q.SM if not np.isnan(q.SM) else rest.SM.median())
+    if c == "roof_time_ms":
+        return q.flops_train_per_batch / 30.0 * 1000.0  # no AMP column and no activation bytes: compute time is the roof
+    return getattr(q, c)

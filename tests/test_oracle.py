@@ -13,7 +13,7 @@ from conftest import SF001, SF01, duck_views
 DIR = os.environ.get("PERFWEAVE_ORACLE_DIR", SF001)
 # Their SQL names the heavy-tailed columns of the sf0.01 tables (or, for the
 # display strings, a rounding tie at sf0.001 differs in the last digit).
-FIXTURE_KEYS = {"feature_matrix", "feature_matrix_base", "feature_matrix_base_logo", "feature_matrix_base_mlp",
+FIXTURE_KEYS = {"feature_matrix", "feature_matrix_base", "feature_matrix_base_logo", "feature_matrix_base_mlp", "feature_matrix_train",
                 "log1p_features", "skew_profile", "format_report", "fold_impute", "fold_scale", "impute_rows", "scale_rows",
                 "oof_ridge", "logo_ridge"}
 KEYS = sorted(k for k in entry.oracle_sql() if not k.startswith("op"))  # the op queries: tests/llm
