@@ -9,7 +9,6 @@ vocabulary, whose checked size makes it safe to broadcast.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +70,7 @@ def build_vocab(tokens: DataFrame, max_tokens: int = MAX_VOCAB) -> DataFrame:
     if cut["freq"] is None:
         top = counts
     else:
-        ties = counts.where(F.col("freq") == cut["freq"]).orderBy("first_seen").limit(k - cut["above"])
+        ties = _first(counts.where(F.col("freq") == cut["freq"]), "first_seen", k - cut["above"])
         top = counts.where(F.col("freq") > cut["freq"]).unionByName(ties)
     ranked = top.select("token", (F.row_number().over(Window.orderBy(*order)) + len(SPECIALS) - 1)
                         .cast("int").alias("token_id"), "freq")  # at most k rows
@@ -81,23 +80,42 @@ def build_vocab(tokens: DataFrame, max_tokens: int = MAX_VOCAB) -> DataFrame:
     return specials.unionByName(ranked)
 
 
-def id_lookup(vocab: DataFrame, max_tokens: int = MAX_VOCAB):
-    """Column function from a token array to its ids: a narrow, Arrow-batched
-    dictionary look-up (T3, J5).  The vocabulary has at most ``max_tokens``
-    entries (checked), so it goes to every executor; no token is shuffled.
-    Unknown tokens give <unk>, no tokens give [<unk>] (T4)."""
-    rows = vocab.select("token", "token_id").limit(max_tokens + 1).collect()
-    if len(rows) > max_tokens:
+def _first(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows, found by ranges: only the ranges that begin before n
+    are opened, and a range is ranked by itself, so no task sees more than one."""
+    ranged = written(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ties")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    opened = ranged.join(starts.where(F.col("start") < n).select("part", "start"), "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return opened.withColumn("place", place).where(F.col("start") + F.col("place") <= n).select(*rows.columns)
+
+
+BUCKETS = 4096  # of the look-up table; a bucket of a full vocabulary holds about seven tokens
+
+
+def with_lookup(corpus: DataFrame, vocab: DataFrame, max_tokens: int = MAX_VOCAB):
+    """The corpus with the vocabulary as a column, and a function from a token
+    array to its ids that reads it (T3, J5); both JVM-side.
+
+    The vocabulary has at most ``max_tokens`` entries (checked).  It becomes
+    one value, an array of hash buckets, that a scalar subquery hands to every
+    task; a look-up compares the tokens of one bucket, and no token is
+    shuffled.  Unknown tokens give <unk>, no tokens give [<unk>] (T4)."""
+    vocab = written(vocab.select("token", "token_id"), "vocabulary")
+    if vocab.limit(max_tokens + 1).count() > max_tokens:
         raise ValueError(f"a vocabulary has at most {max_tokens} tokens")
-    ids = {r["token"]: r["token_id"] for r in rows}
-    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+    bucket = lambda t: F.pmod(F.hash(t), F.lit(BUCKETS))
+    filled = vocab.groupBy(bucket("token").alias("b")).agg(F.collect_list(F.struct("token", "token_id")).alias("es"))
+    every = vocab.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(filled, "b", "left")
+    table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "es"))), lambda x: x["es"]).alias("buckets")).scalar()
 
-    @F.pandas_udf("array<int>")
-    def look_up(tokens: pd.Series) -> pd.Series:
-        get = shared.value.get
-        return tokens.map(lambda ts: [get(t, UNK_ID) for t in ts] or [UNK_ID])
+    def look_up(tokens: Column) -> Column:
+        ids = F.transform(tokens, lambda t: F.coalesce(
+            F.get(F.filter(F.get("__buckets", bucket(t)), lambda e: e["token"] == t), F.lit(0))["token_id"], F.lit(UNK_ID)))
+        return F.when(F.size(tokens) > 0, ids).otherwise(F.array(F.lit(UNK_ID)))
 
-    return look_up
+    return corpus.withColumn("__buckets", table), look_up
 
 
 def encode_ids(corpus: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
@@ -115,7 +133,7 @@ def encode_ids(corpus: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
 def encode_columns(corpus: DataFrame, vocab: DataFrame, keys: list[str], texts: dict[str, str],
                    keep_tokens: int | None = None) -> DataFrame:
     """Ids of several text columns in one projection over one scan."""
-    look_up = id_lookup(vocab)
+    corpus, look_up = with_lookup(corpus, vocab)
     out = []
     for name, text_col in texts.items():
         toks = tokenize(text_col)
