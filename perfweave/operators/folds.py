@@ -27,10 +27,10 @@ def assign_folds(df: DataFrame, key_cols, k: int = 5, seed: int = 42,
     return df.withColumn(out, hash_fold(key_cols, k, seed))
 
 
-def even_folds(df: DataFrame, key_cols, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Folds 0 .. k-1 by the rank of the rows' md5 (ties: by the keys)."""
+def even_folds(df: DataFrame, key_cols, k: int = 5, seed: int = 42, out: str = "fold", ties=()) -> DataFrame:
+    """Folds 0 .. k-1 by the rank of the rows' md5 (ties: by the keys, then by the columns ``ties``)."""
     key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
-    order = ["__h", *key_cols]
+    order = ["__h", *key_cols, *ties]
     ranged = written(df.withColumn("__h", F.md5(key)).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn(

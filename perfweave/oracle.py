@@ -582,9 +582,9 @@ SELECT {KEYS}, ('0x' || substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCH
 FROM trials"""
 
 
-def _even_fold(name: str = "fold") -> str:
+def _even_fold(name: str = "fold", ties: str = "") -> str:
     key = "concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))"
-    return f"CAST((row_number() OVER (ORDER BY md5({key}), {KEYS}) - 1) % 5 AS BIGINT) AS {name}"
+    return f"CAST((row_number() OVER (ORDER BY md5({key}), {KEYS}{ties}) - 1) % 5 AS BIGINT) AS {name}"
 
 
 def kfold_even_sql() -> str:
@@ -593,7 +593,8 @@ def kfold_even_sql() -> str:
 
 def kfold_report_even_sql() -> str:
     sql = kfold_report_sql()
-    return sql.replace("d AS (SELECT *, log2(", f"d AS (SELECT * EXCLUDE (fold), {_even_fold()}, log2(", 1)
+    return sql.replace("d AS (SELECT *, log2(", 
+                       "d AS (SELECT * EXCLUDE (fold), " + _even_fold(ties=", avg_batch_time_ms, T_gpu_ms, model, vcpu, storage, batch_size") + ", log2(", 1)
 
 
 def _eval_cte() -> str:

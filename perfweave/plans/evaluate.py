@@ -77,7 +77,8 @@ def kfold_report(spark: SparkSession, sf_dir: str, predictor: str = "linear",
     t = with_batch_features(drop_missing_targets(require_columns(trials(spark, sf_dir))))
     if even:
         used = list(dict.fromkeys([*keys, *FULL_GROUPS, "log2_batch_size", TARGET_FULL, TARGET_BASE, *KEY_COLS[:-1]]))
-        t = even_folds(t.select(*used), KEY_COLS[:-1], KFOLD_SPLITS, KFOLD_SEED)
+        # Rows of the fixture may share all four keys.
+        t = even_folds(t.select(*used), KEY_COLS[:-1], KFOLD_SPLITS, KFOLD_SEED, ties=(TARGET_FULL, TARGET_BASE, *FULL_GROUPS))
     t = reports.category_keys(t, keys)
     # one pass: models and report sums from the same aggregate
     if predictor == "linear":
