@@ -55,7 +55,7 @@ LABELS = 10
 POSITIVES = NEGATIVES = 5
 MARGIN = 80
 FANOUT, SAMPLE, LEAF = 12, 4096, 48  # split points of a node, sampled rows, sampled rows of a leaf
-BLOCK, CHUNK = 8192, 1024  # rows of a block, anchors of a chunk
+BLOCK, CHUNK = 2048, 1024  # rows of a block, anchors of a chunk
 SLICE = 256  # anchors evaluated at once inside a task
 
 
