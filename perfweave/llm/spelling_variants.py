@@ -184,7 +184,8 @@ def near_pairs(words: DataFrame, slice_words: int = SLICE) -> DataFrame:
     key = F.xxhash64(F.substr("word", F.lit(1), front), F.substr("word", F.char_length("word") - back + 1, back))
     listed = written(listed.withColumn("key", key), "listed")
     # Slices of a length and segment, so that one holds about slice_words words; pieces of the slices that hold far more.
-    dealt = listed.groupBy("len", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_words)).alias("slices"))
+    # The number of slices is a small written table, so Spark sends it to the words and not the words to it.
+    dealt = written(listed.groupBy("len", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_words)).alias("slices")), "slices")
     placed = listed.join(dealt, ["len", "part"]).withColumn("slice", F.pmod("key", F.col("slices"))).drop("slices")
     cut = placed.groupBy("len", "part", "slice").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * slice_words)).cast("int").alias("cuts"))
     placed = placed.join(cut, ["len", "part", "slice"]).withColumn("mine", F.pmod(F.hash("word"), F.col("cuts")))
