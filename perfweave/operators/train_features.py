@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..config import FamilyConfig
 from ..functions.nulls import as_category, dbl
 from ..storage import written
+from .columns import arrays, column_moments, names_of
 from .features import Stats, _raw_roof, _sm_col, engineer, stats_frame
 from .leaveout import leave_out_extremes, leave_out_moments, leave_out_sums, merge_moments
 from .profile import skew_candidates
@@ -47,17 +48,12 @@ def fold_profile(e: DataFrame, plain: dict, filled: dict, stats: DataFrame, fold
     """(held, column, n, n_missing, skew, take_log) of the training rows of every held-out fold.
 
     ``plain``: column -> value; ``filled``: as ``_factors``; ``stats``: medians per held fold."""
-    cells = [F.struct(F.lit(c).alias("column"), F.lit("own").alias("part"), x.cast("double").alias("x")) for c, x in plain.items()]
+    cells = [(c, "own", x) for c, x in plain.items()]
     for c, (x, factor, _, _) in filled.items():
-        cells += [F.struct(F.lit(c).alias("column"), F.lit(part).alias("part"), v.cast("double").alias("x")) for part, v in (("own", x), ("filled", factor))]
-    long = e.select(F.col(fold_col).alias("fold"), F.inline(F.array(*cells)))
-    x = F.col("x")
-    var, skew, n = F.var_pop(x), F.skewness(x), F.count(x)
-    m = long.groupBy("column", "part", "fold").agg(
-        n.cast("double").alias("n"), F.count(F.lit(1)).alias("rows"), F.avg(x).alias("m"), (var * n).alias("q"),
-        F.when(var > 0, skew * var * F.sqrt(var) * n).otherwise(0.0).alias("t"),
-        F.count_if(~x.isin(0.0, 1.0)).alias("non01"), F.count_if(x < 0).alias("negative"),
-        F.min(x).alias("lo"), F.min(F.when(x > 0, x)).alias("lo_pos"), F.max(x).alias("hi"))
+        cells += [(c, "own", x), (c, "filled", factor)]
+    m = column_moments(arrays(e, F.col(fold_col), [x for _, _, x in cells]), len(cells))
+    m = m.select(names_of([c for c, _, _ in cells]).alias("column"), names_of([part for _, part, _ in cells]).alias("part"), "fold",
+                 "n", "rows", "m", "q", "t", "non01", "negative", "lo", "lo_pos", "hi")
     m = written(m, "moments")
     by = ["column", "part"]
     rest = leave_out_moments(m, "fold", "n", ["m"], PRODUCTS, by, CUBES)

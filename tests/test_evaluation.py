@@ -297,3 +297,54 @@ def _trained(q, c, rest):
     if c == "roof_time_ms":
         return q.flops_train_per_batch / 30.0 * 1000.0  # no AMP column and no activation bytes: compute time is the roof
     return getattr(q, c)
+
+
+def test_column_moments_and_medians_in_batches(spark):
+    """Statistics of many columns without unpivoting: constants, nulls, folds apart, narrow and wide value ranges."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], n), "same": 0.1, "wide": np.exp(rng.normal(0, 9, n)) * rng.choice([-1, 1], n),
+                        "narrow": 1.0 + rng.random(n) * 1e-6, "big": 1e9 + rng.random(n), "none": np.nan})
+    pdf.loc[::7, "wide"] = np.nan
+    cols = ["same", "wide", "narrow", "big", "none"]
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, " + ", ".join(f"{c} double" for c in cols)).repartition(5)
+    med = {r["g"]: r for r in predict.fold_medians(df, "g", cols).collect()}
+    mom = {r["g"]: r for r in predict.fold_moments(df, "g", cols).collect()}
+    for g in "abc":
+        rest = pdf[pdf["g"] != g]
+        for c in cols[:4]:
+            assert med[g][f"med__{c}"] == pytest.approx(rest[c].median(), rel=1e-15)
+            assert mom[g][f"mean__{c}"] == pytest.approx(rest[c].mean(), rel=1e-12)
+            sd = rest[c].std(ddof=0) if c != "same" else 1.0  # no spread: 1, not a rounding error
+            assert mom[g][f"std__{c}"] == pytest.approx(sd, rel=1e-6)
+        assert med[g]["med__none"] is None and mom[g]["mean__none"] is None
+
+
+def test_narrow_ranges_are_cut_again(spark, monkeypatch):
+    """A value range with very many rows is cut into narrower ones before its values are counted."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 3000), "x": 5.0 + rng.random(3000) * 1e-3, "y": rng.integers(-3, 4, 3000) * 1.0})
+    steps = []
+    counts = predict.range_counts
+    monkeypatch.setattr(predict, "MANY", 100)
+    monkeypatch.setattr(predict, "range_counts", lambda rows, p, bits, *a: steps.append(bits) or counts(rows, p, bits, *a))
+    got = {r["g"]: r for r in predict.fold_medians(spark.createDataFrame(pdf).repartition(3), "g", ["x", "y"]).collect()}
+    assert steps == [18, 40, 64]
+    for g in range(4):
+        rest = pdf[pdf["g"] != g]
+        assert (got[g]["med__x"], got[g]["med__y"]) == (rest["x"].median(), rest["y"].median())
+
+
+def test_wide_projections_use_methods_the_jvm_compiles(spark):
+    from perfweave.session import jit_sized_methods
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        jit_sized_methods(spark)
+        assert spark.conf.get(name) == "8000"
+        spark.conf.set(name, "50000")  # a setting of the session stays
+        jit_sized_methods(spark)
+        assert spark.conf.get(name) == "50000"
+    finally:
+        spark.conf.set(name, before)
