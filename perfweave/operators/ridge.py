@@ -25,11 +25,13 @@ from statistics import median
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nulls import dbl
 from ..session import code_on_workers
 from ..storage import written
-from .predict import fold_medians
+from .columns import numbered
+from .predict import array_medians
 
 BLOCK = 64
 CONSTANT = 1e-20  # a variance below this share of the squared size is rounding
@@ -63,12 +65,12 @@ def fold_grams(rows: DataFrame, centres, p: int, block: int = BLOCK) -> DataFram
     kind = rows.schema["fold"].dataType.simpleString()
 
     def groups(b):
-        """(number of the fold's first row, rows) for every fold of a batch."""
-        folds, at = {}, {}
-        for i, f in enumerate(b.column("fold").to_pylist()):
-            folds.setdefault(f, []).append(i)
-            at.setdefault(f, i)
-        return [(f, at[f], np.array(v)) for f, v in folds.items()]
+        """(fold, number of its first row, rows) for every fold of a batch."""
+        folds: dict = {}
+        at = numbered(b, folds)
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(np.bincount(at, minlength=len(folds)))
+        return [(v, r[0], r) for v, r in zip(folds, np.split(order, ends[:-1]))]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,6 +200,42 @@ def models(grams: DataFrame, medians: DataFrame, feats, centres, specs, lam: flo
     return both.groupBy("fold").applyInPandas(run, schema)
 
 
+def scored(table: DataFrame, fitted: DataFrame, columns, names) -> DataFrame:
+    """The rows (columns, with __fold and __x) of the folds that have a model, with its predictions.
+
+    ``fitted``: the rows of ``models``; folds x features numbers go to every task."""
+    import pyarrow as pa
+
+    rows = table.select(*columns)
+    known = {r["fold"]: (np.array(r["fill"]), [(r[f"{n}_a"], np.array(r[f"{n}_b"])) for n in names]) for r in fitted.collect()}
+    shared = table.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = np.array([v in shared.value for v in b.column("__fold").to_pylist()], bool)
+            b = b.filter(pa.array(held, pa.bool_()))
+            if not len(b):
+                continue
+            folds: dict = {}
+            at = numbered(b.select(["__fold"]).rename_columns(["fold"]), folds)
+            x = np.asarray(b.column("__x").flatten().to_numpy(zero_copy_only=False), float).reshape(len(b), -1)
+            out, known_here = np.zeros((len(names), len(b))), np.ones((len(names), len(b)), bool)
+            for v, f in folds.items():
+                mine = at == f
+                fill, fits = shared.value[v]
+                full = np.where(np.isnan(x[mine]), fill, x[mine])
+                for s, (a, beta) in enumerate(fits):
+                    if a is None:  # no training row
+                        known_here[s, mine] = False
+                    else:
+                        out[s, mine] = a + full @ beta
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(o, pa.float64(), mask=~k) for o, k in zip(out, known_here)]],
+                                             names=[*b.schema.names, *names])
+
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return rows.mapInArrow(run, schema)
+
+
 def oof_ridge(df: DataFrame, fold_col: str, specs, keys, lam: float = 1.0, min_rows: int = 1, block: int = BLOCK) -> DataFrame:
     """Out-of-fold ridge predictions; specs = [(name, features, target)].
 
@@ -214,13 +252,11 @@ def oof_ridge(df: DataFrame, fold_col: str, specs, keys, lam: float = 1.0, min_r
     nan = F.lit(float("nan"))
     table = written(df.select(*keep, F.col(fold_col).alias("__fold"), F.array(*[F.coalesce(dbl(c), nan) for c in feats]).alias("__x"),
                               *[dbl(t).alias(f"__y{i}") for i, t in enumerate(targets)]), "matrix")
-    named = table.select(F.col("__fold").alias("fold"), *[F.nanvl(F.get("__x", F.lit(i)), F.lit(None).cast("double")).alias(c) for i, c in enumerate(feats)],
-                         *[F.col(f"__y{i}") for i in range(len(targets))])
     whole = F.lit(True)
     for i in range(len(targets)):
         whole = whole & F.col(f"__y{i}").isNotNull()
     training = table.where(whole)
-    meds = written(fold_medians(named.where(whole).select("fold", *feats), "fold", feats), "medians")
+    meds = written(array_medians(training.select(F.col("__fold").alias("fold"), F.col("__x").alias("x")), "fold", feats, nan_gone=True), "medians")
     rows = meds.collect()  # folds x features numbers
     centres = [median(v) if (v := [r[f"med__{c}"] for r in rows if r[f"med__{c}"] is not None]) else 0.0 for c in feats]
     y_mean = training.agg(*[F.coalesce(F.avg(f"__y{i}"), F.lit(0.0)) for i in range(len(targets))]).collect()[0]
@@ -231,8 +267,4 @@ def oof_ridge(df: DataFrame, fold_col: str, specs, keys, lam: float = 1.0, min_r
                     meds.select("fold", F.array(*[F.col(f"med__{c}") for c in feats]).alias("med")), feats, centres, specs, lam)
     held = table.groupBy(F.col("__fold").alias("h")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("h").isNotNull() & (F.col("rows") >= min_rows))
     fitted = written(fitted.join(held, F.col("fold") == F.col("h"), "left_semi"), "model")
-    full = F.zip_with("__x", "fill", lambda v, m: F.when(F.isnan(v), m).otherwise(v))
-    scored = table.join(fitted, F.col("__fold") == F.col("fold") if "fold" not in keep else F.col("__fold") == fitted["fold"]).withColumn("__full", full)
-    add = lambda acc, v: acc + v
-    preds = [F.aggregate(F.zip_with("__full", f"{n}_b", lambda v, b: v * b), F.col(f"{n}_a"), add).alias(n) for n, _, _ in specs]
-    return scored.select(*[table[c] for c in keep], *preds)
+    return scored(table, fitted, [*keep, "__fold", "__x"], [n for n, _, _ in specs]).select(*keep, *[n for n, _, _ in specs])

@@ -335,6 +335,42 @@ def test_narrow_ranges_are_cut_again(spark, monkeypatch):
         assert (got[g]["med__x"], got[g]["med__y"]) == (rest["x"].median(), rest["y"].median())
 
 
+def test_ranges_of_one_value_need_no_further_pass(spark, monkeypatch):
+    """Flags and few kinds of values end with the first pass; the next ones read only columns with more."""
+    rng = np.random.default_rng(7)
+    n = 2000
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], n), "flag": rng.integers(0, 2, n) * 1.0, "size": rng.choice([32.0, 64.0, 128.0], n),
+                        "neg": rng.choice([-0.0, 0.0, -2.5], n), "wide": 5.0 + rng.random(n) * 1e-3})
+    pdf.loc[::9, "size"] = np.nan
+    steps = []
+    counts = predict.range_counts
+    monkeypatch.setattr(predict, "range_counts", lambda rows, p, bits, above, opened, *a: steps.append((bits, opened and set(opened)))
+                        or counts(rows, p, bits, above, opened, *a))
+    cols = ["flag", "size", "neg", "wide"]
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, " + ", ".join(f"{c} double" for c in cols)).repartition(4)
+    few = {r["g"]: r for r in predict.fold_medians(df, "g", cols[:3]).collect()}
+    assert steps == [(18, None)]
+    steps.clear()
+    every = {r["g"]: r for r in predict.fold_medians(df, "g", cols).collect()}
+    assert steps == [(18, None), (64, {3})]
+    for g in "abc":
+        rest = pdf[pdf["g"] != g]
+        assert [few[g][f"med__{c}"] for c in cols[:3]] == [rest[c].median() for c in cols[:3]]
+        assert [every[g][f"med__{c}"] for c in cols] == [rest[c].median() for c in cols]
+
+
+def test_ridge_scores_rows_of_folds_with_a_model(spark):
+    """Missing features take the fill; folds without a model go; a model without training rows predicts nothing."""
+    from perfweave.operators.ridge import scored
+    nan = float("nan")
+    table = spark.createDataFrame([(1, "a", [1.0, nan]), (2, "b", [2.0, 3.0]), (3, None, [0.0, 0.0]), (4, "c", [1.0, 1.0])],
+                                  "id int, __fold string, __x array<double>")
+    fitted = spark.createDataFrame([("a", [0.0, 4.0], 1.0, [2.0, 0.5]), ("b", [0.0, 0.0], None, [0.0, 0.0])],
+                                   "fold string, fill array<double>, p_a double, p_b array<double>")
+    got = sorted((r["id"], r["p"]) for r in scored(table, fitted, ["id", "__fold", "__x"], ["p"]).collect())
+    assert got == [(1, 5.0), (2, None)]
+
+
 def test_wide_projections_use_methods_the_jvm_compiles(spark):
     from perfweave.session import jit_sized_methods
     name = "spark.sql.codegen.hugeMethodLimit"
