@@ -21,6 +21,7 @@ aggregates (approximate percentile, bounded buffers).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import MEASURE_STEPS, WARMUP_STEPS
 from ..operators import timing
+from ..session import code_on_workers
 from ..sources import fixtures
 
 STATE_SCHEMA = ("ts array<timestamp_ntz>, event_id array<bigint>, loader_ms array<double>, "
@@ -37,19 +39,26 @@ OUT_SCHEMA = ("trial_id bigint, ts timestamp_ntz, event_id bigint, loader_ms dou
               "oom boolean, n_examples int, n_tokens int")
 
 
+def _earliest(batches, state, keep: int):
+    """The ``keep`` earliest of a trial's new and kept steps, one array a column; None without any new step."""
+    kind = lambda c, v: np.asarray(v, "datetime64[us]" if c == "ts" else float if c.endswith("_ms") else None)
+    parts = [[kind(c, b[c].to_numpy()) for c in COLS] for b in batches if len(b)]
+    if not parts:
+        return None
+    if state.exists:
+        parts.append([kind(c, v) for c, v in zip(COLS, state.get)])
+    cols = [np.concatenate(c) for c in zip(*parts)]
+    first = np.lexsort((cols[1], cols[0]))[:keep]
+    return [c[first] for c in cols]
+
+
 def _make_update(keep: int):
     def update(key, batches, state):
-        parts = [b[list(COLS)] for b in batches if len(b)]
-        if state.exists:
-            old = state.get
-            parts.append(pd.DataFrame({c: list(old[i]) for i, c in enumerate(COLS)}))
-        if not parts:
+        kept = _earliest(batches, state, keep)
+        if kept is None:
             return
-        allr = pd.concat(parts, ignore_index=True)
-        allr["ts"] = pd.to_datetime(allr["ts"])
-        kept = allr.sort_values(["ts", "event_id"], kind="mergesort").head(keep).reset_index(drop=True)
-        state.update(tuple(list(kept[c]) for c in COLS))
-        yield kept.assign(trial_id=int(key[0]))[["trial_id", *COLS]]
+        state.update(tuple(c.tolist() for c in kept))
+        yield pd.DataFrame({"trial_id": int(key[0]), **dict(zip(COLS, kept))})
 
     return update
 
@@ -58,6 +67,7 @@ def stream_trial_timing(spark: SparkSession, steps: DataFrame, out_dir: str, che
                         warmup: int = WARMUP_STEPS, measure: int = MEASURE_STEPS) -> None:
     """Run the stateful selection over a streaming step log until the source
     is drained (``availableNow``), appending emissions under ``out_dir``."""
+    code_on_workers(spark)
     kept = steps.groupBy("trial_id").applyInPandasWithState(
         _make_update(warmup + measure), OUT_SCHEMA, STATE_SCHEMA, "update",
         GroupStateTimeout.NoTimeout)
@@ -79,17 +89,11 @@ def _make_final(keep: int, span_ms: int):
             kept = pd.DataFrame({c: list(old[i]) for i, c in enumerate(COLS)})
             yield kept.assign(ts=pd.to_datetime(kept["ts"]), trial_id=int(key[0]))[["trial_id", *COLS]]
             return
-        parts = [b[list(COLS)] for b in batches if len(b)]
-        if pd.isna(key[0]) or not parts:  # heartbeats only move the watermark
+        kept = _earliest(batches, state, keep) if not pd.isna(key[0]) else None  # heartbeats only move the watermark
+        if kept is None:
             return
-        if state.exists:
-            old = state.get
-            parts.append(pd.DataFrame({c: list(old[i]) for i, c in enumerate(COLS)}))
-        allr = pd.concat(parts, ignore_index=True)
-        allr["ts"] = pd.to_datetime(allr["ts"])
-        kept = allr.sort_values(["ts", "event_id"], kind="mergesort").head(keep).reset_index(drop=True)
-        state.update(tuple(list(kept[c]) for c in COLS))
-        closes = int(kept["ts"].iloc[0].timestamp() * 1000) + span_ms
+        state.update(tuple(c.tolist() for c in kept))
+        closes = int(kept[0][0].astype("datetime64[ms]").astype(int)) + span_ms
         state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
 
     return update
@@ -104,6 +108,7 @@ def final_trial_timing(steps: DataFrame, out_dir: str, checkpoint: str, delay: s
     heartbeats.  A later row of a closed trial is late unless the watermark
     lets it pass; it then opens the trial anew.
     """
+    code_on_workers(steps.sparkSession)
     timed = steps.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
     kept = timed.groupBy("trial_id").applyInPandasWithState(
         _make_final(warmup + measure, span_seconds * 1000), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
