@@ -7,6 +7,8 @@ read), so listing a billion files never reads their bytes.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,27 @@ def extension_filter(path_col: str, extensions) -> F.Column:
     return F.lower(F.col(path_col)).rlike(rf"\.({ext})$")
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession):
+    """Folders are listed in a few tasks a core, not in one task a folder (up to
+    10,000 for every parent).  A setting of the session stays."""
+    name, default = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "10000"
+    before = spark.conf.get(name, default)
+    if before == default:
+        spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before == default:
+            spark.conf.unset(name)
+
+
 def list_files(spark: SparkSession, root: str, extensions, class_pattern: str) -> DataFrame:
     """(path, n_bytes, class_name) of the files below ``root`` with an accepted
     extension; the pattern's group of the path is the class."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path", F.col("length").alias("n_bytes")))
+    with few_listing_tasks(spark):  # ``load`` lists
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.select("path", F.col("length").alias("n_bytes"))
     files = files.where(extension_filter("path", extensions))
     return files.withColumn("class_name", F.regexp_extract("path", class_pattern, 1))
 

@@ -65,6 +65,50 @@ def test_image_folder_manifest(spark):
     assert avg == {"n01": 55.0, "n02": 50.0, "n03": 0.0}
 
 
+def test_folders_are_listed_by_few_tasks(spark):
+    root = tempfile.mkdtemp(prefix="pw-img-")
+    n = 40 * spark.sparkContext.defaultParallelism
+    for i in range(n):
+        os.makedirs(os.path.join(root, "en", str(i), "images"))
+        with open(os.path.join(root, "en", str(i), "images", "a.png"), "wb") as h:
+            h.write(b"x")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("list-folders", "")
+    files = manifest.list_image_folder(spark, root)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("list-folders") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
+    assert files.count() == n
+
+
+def test_image_folder_files(spark):
+    """One file a row, also for equal rows; a mounted folder holds nothing else."""
+    d = tempfile.mkdtemp(prefix="pw-pages-")
+    rows = [(1, "http://a.com/en/x", "h\u00e9\nllo"), (2, "http://a.com/fr/x", ""), (2, "http://a.com/fr/x", ""), (3, "http://a.com/", "z"),
+            (None, "http://a.com/en/x", "q"), (4, "http://a.com/en/x", None), (5, None, "w")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    root = fixtures.image_folder(spark, d)
+    assert root.startswith("file:")
+    local = root[len("file:"):]
+    files = sorted(os.path.relpath(os.path.join(at, f), local) for at, _, fs in os.walk(local) for f in fs)
+    none = "__HIVE_DEFAULT_PARTITION__"
+    assert [os.path.dirname(f) for f in files] == sorted(
+        ["class=en/page=1", "class=fr/page=2", "class=fr/page=2", f"class={none}/page=3", f"class=en/page={none}", f"class={none}/page=5"])
+    by_folder = {os.path.dirname(f): open(os.path.join(local, f), "rb").read() for f in files}
+    assert by_folder["class=en/page=1"] == "h\u00e9\nllo\n".encode() and by_folder["class=fr/page=2"] == b"\n"
+    listed = manifest.list_files(spark, root, (".txt",), r"/class=([^/]*)/page=\d+/[^/]+$")
+    assert sorted((r["class_name"], r["n_bytes"]) for r in listed.collect() if r["class_name"] in ("en", "fr")) == [("en", 8), ("fr", 1), ("fr", 1)]
+
+
+def test_image_folder_without_pages(spark):
+    d = tempfile.mkdtemp(prefix="pw-pages-")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    assert manifest.list_files(spark, fixtures.image_folder(spark, d), (".txt",), "x").count() == 0
+
+
 def test_stream_equals_batch(spark):
     batch = timing.trial_timing(fixtures.steps(spark, SF001))
     stream = step_stream.stream_trial_timing_query(spark, SF001)
