@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nulls import col_
 from ..storage import written
@@ -44,11 +45,30 @@ def positioned_tokens(corpus: DataFrame, id_col: str, text_col: str, side: int =
                          F.posexplode(tokenize(text_col)).alias("pos", "token"))
 
 
+def placed(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``place``, a whole number that sorts like ``by`` (equal values, equal numbers)."""
+    ranged = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("place", F.monotonically_increasing_id())
+    return ranged.withColumn("place", F.min("place").over(Window.partitionBy(by)))
+
+
+def appearance(tokens: DataFrame) -> Column:
+    """A value that sorts like (side, doc, pos).
+
+    For whole-number documents it is one number of at most 34 digits: hash
+    aggregation keeps the least of those in place, whereas for the least struct
+    every task would sort all its tokens.  A null document comes first.
+    """
+    if not isinstance(tokens.schema["doc_id"].dataType, T.IntegralType):
+        return F.struct("side", "doc_id", "pos")
+    number = lambda x, digits: x.cast(f"decimal({digits},0)")
+    doc = F.coalesce(number(F.col("doc_id"), 20), number(F.lit(str(-2 ** 63 - 1)), 20))
+    of_side = number(F.col("side"), 10) * number(F.lit(str(2 ** 65)), 20)
+    return number(number(doc + of_side, 23) * number(F.lit(str(2 ** 32)), 10) + number(F.col("pos"), 10), 34)
+
+
 def token_counts(tokens: DataFrame) -> DataFrame:
     """Frequency and first appearance (side, doc, pos) of every token."""
-    return tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("freq"),
-        F.min(F.struct("side", "doc_id", "pos")).alias("first_seen"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.min(appearance(tokens)).alias("first_seen"))
 
 
 def build_vocab(tokens: DataFrame, max_tokens: int = MAX_VOCAB) -> DataFrame:
@@ -94,9 +114,8 @@ def _first(rows: DataFrame, order: str, n: int) -> DataFrame:
 BUCKETS = 4096  # of the look-up table; a bucket of a full vocabulary holds about seven tokens
 
 
-def with_lookup(corpus: DataFrame, vocab: DataFrame, max_tokens: int = MAX_VOCAB):
-    """The corpus with the vocabulary as a column, and a function from a token
-    array to its ids that reads it (T3, J5); both JVM-side.
+def with_ids(corpus: DataFrame, vocab: DataFrame, tokens: dict[str, str], max_tokens: int = MAX_VOCAB) -> DataFrame:
+    """The corpus with a column of ids (key) for every column of token arrays (value) (T3, J5), JVM-side.
 
     The vocabulary has at most ``max_tokens`` entries (checked).  It becomes
     one value, an array of hash buckets, that a scalar subquery hands to every
@@ -110,12 +129,17 @@ def with_lookup(corpus: DataFrame, vocab: DataFrame, max_tokens: int = MAX_VOCAB
     every = vocab.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(filled, "b", "left")
     table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "es"))), lambda x: x["es"]).alias("buckets")).scalar()
 
-    def look_up(tokens: Column) -> Column:
-        ids = F.transform(tokens, lambda t: F.coalesce(
-            F.get(F.filter(F.get("__buckets", bucket(t)), lambda e: e["token"] == t), F.lit(0))["token_id"], F.lit(UNK_ID)))
-        return F.when(F.size(tokens) > 0, ids).otherwise(F.array(F.lit(UNK_ID)))
+    def look_up(words: str, buckets: str) -> Column:
+        return F.transform(words, lambda t: F.coalesce(
+            F.get(F.filter(F.get(buckets, bucket(t)), lambda e: e["token"] == t), F.lit(0))["token_id"], F.lit(UNK_ID)))
 
-    return corpus.withColumn("__buckets", table), look_up
+    # Spark puts a column that is read once in its reader's place; one read twice
+    # becomes part of every row.  So a look-up reads its tokens and a table of its
+    # own name once (the table stays out of the rows), and the guard reads the ids.
+    tables = {f"__buckets{i}": table for i in range(len(tokens))}
+    ids = [look_up(words, b).alias(name) for b, (name, words) in zip(tables, tokens.items())]
+    found = corpus.withColumns(tables).select(*corpus.columns, *ids)
+    return found.withColumns({name: F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.lit(UNK_ID))) for name in tokens})
 
 
 def encode_ids(corpus: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
@@ -132,13 +156,11 @@ def encode_ids(corpus: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
 
 def encode_columns(corpus: DataFrame, vocab: DataFrame, keys: list[str], texts: dict[str, str],
                    keep_tokens: int | None = None) -> DataFrame:
-    """Ids of several text columns in one projection over one scan."""
-    corpus, look_up = with_lookup(corpus, vocab)
-    out = []
-    for name, text_col in texts.items():
-        toks = tokenize(text_col)
-        out.append(look_up(toks if keep_tokens is None else F.slice(toks, 1, keep_tokens)).alias(name))
-    return corpus.select(*keys, *out)
+    """Ids of several text columns over one scan; every text is tokenised once."""
+    words = {name: f"__tokens_{name}" for name in texts}
+    cut = lambda toks: toks if keep_tokens is None else F.slice(toks, 1, keep_tokens)
+    tokens = corpus.select(*keys, *[cut(tokenize(c)).alias(words[name]) for name, c in texts.items()])
+    return with_ids(tokens, vocab, words).select(*keys, *texts)
 
 
 def truncate(ids, max_len: int) -> Column:

@@ -247,3 +247,55 @@ def test_vocab_cap_keeps_first_seen_ties(spark):
     toks = text.positioned_tokens(docs, "doc_id", "text")
     got = {r["token"]: r["token_id"] for r in text.build_vocab(toks, max_tokens=8).collect()}
     assert got == {"<unk>": 0, "<pad>": 1, "<bos>": 2, "<eos>": 3, "a": 4, "b": 5, "c": 6, "d": 7}
+
+
+def test_token_counts_do_not_sort(spark):
+    """The first appearance of a token as one number: counted by hash, equal to the least (side, doc, pos)."""
+    big = 2 ** 63
+    rows = [(big - 1, "c b a"), (None, "z a"), (-big, "y x a"), (-big, "w y"), (3, "c c d"), (3, "d c"), (-3, "q d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toks = text.positioned_tokens(docs, "doc_id", "text").unionByName(text.positioned_tokens(docs, "doc_id", "text", side=1).where("doc_id = 3"))
+    counts = text.token_counts(toks)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan
+    want = {}
+    for r in toks.collect():
+        at = (r["side"], r["doc_id"] is not None, r["doc_id"] or 0, r["pos"])
+        n, first = want.get(r["token"], (0, at))
+        want[r["token"]] = (n + 1, min(first, at))
+    got = {r["token"]: (r["freq"], r["first_seen"]) for r in counts.collect()}
+    assert {t: n for t, (n, _) in got.items()} == {t: n for t, (n, _) in want.items()}
+    # No two tokens are seen first at the same place but those of equal keys.
+    for a in want:
+        for b in want:
+            assert (got[a][1] < got[b][1]) == (want[a][1] < want[b][1]), (a, b)
+
+
+def test_placed_sorts_like_its_keys(spark):
+    keys = [f"{i * 7919 % 1000:04d}" for i in range(1000)] + ["0003", "0003", None, None, ""]
+    rows = text.placed(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int").repartition(5), "k").collect()
+    assert sorted(r["i"] for r in rows) == list(range(len(keys)))
+    place = {}
+    for r in rows:
+        assert place.setdefault(r["k"], r["place"]) == r["place"]
+    assert sorted(place, key=place.get) == sorted(place, key=lambda k: (k is not None, k or ""))
+
+
+def test_vocab_of_placed_texts(spark):
+    rows = [("b", "x y"), ("a", "y z"), ("a", "w z"), (None, "v u")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    by_key = text.build_vocab(text.positioned_tokens(df, "id", "t"))
+    by_place = text.build_vocab(text.positioned_tokens(text.placed(df, "id"), "place", "t"))
+    first = {r["token"]: r["token_id"] for r in by_key.collect()}
+    other = {r["token"]: r["token_id"] for r in by_place.collect()}
+    tied = {"y", "w"}  # both first at (a, 0)
+    assert {t: i for t, i in first.items() if t not in tied} == {t: i for t, i in other.items() if t not in tied}
+
+
+def test_encoding_tokenises_once(spark):
+    df = spark.createDataFrame([(1, "a b", "b"), (2, "", None)], "id long, t string, u string")
+    voc = text.build_vocab(text.positioned_tokens(df, "id", "t"))
+    enc = text.encode_columns(df, voc, ["id"], {"x": "t", "y": "u"}, keep_tokens=3)
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # one a text column
+    assert {r["id"]: (r["x"], r["y"]) for r in enc.collect()} == {1: ([4, 5], [5]), 2: ([0], [0])}
