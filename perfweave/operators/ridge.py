@@ -3,10 +3,15 @@
 All folds' models come from one blocked Gram aggregate.  A row is the vector
 [u | m | y]: u_i is the feature's distance from a centre where it is present
 and 0 where it is missing, m_i is 1 where it is missing, y are the targets.
-Per fold the aggregate sums the products of distances from the fold's own
-means, in BLOCK x BLOCK blocks of columns, so nothing that travels or is
-merged is as wide as the matrix.  The folds but f are merged from the front
-and the back (no subtraction).  Since an imputed feature is
+In one pass every task merges the moments of its batches per fold (counts,
+means and products of deviations from them, no subtraction) and sends them in
+BLOCK x BLOCK blocks of columns, so nothing that travels or is merged between
+tasks is as wide as the matrix.  The folds but f are merged from the front
+and the back.
+
+The matrix is written once, a row's features as one binary cell of doubles
+(NaN: missing): it is read by every later pass, and a cell of bytes is copied
+whole where an array goes number by number.  Since an imputed feature is
 centre + u + (median - centre) m, its mean, spread and products with any other
 follow from the merged moments for whatever median: imputing with the
 training median (A11), standardising with training moments (A12) and fitting
@@ -30,84 +35,110 @@ from pyspark.sql import types as T
 from ..functions.nulls import dbl
 from ..session import code_on_workers
 from ..storage import written
-from .columns import numbered
+from .columns import numbered, numbers
 from .predict import array_medians
 
 BLOCK = 64
 CONSTANT = 1e-20  # a variance below this share of the squared size is rounding
 
 
+def packed(df: DataFrame, feats, keep) -> DataFrame:
+    """``keep`` columns and ``__x``: the features of a row as the bytes of doubles, NaN for a missing one."""
+    import pyarrow as pa
+
+    width = 8 * len(feats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.ascontiguousarray(b.column("__x").flatten().to_numpy(zero_copy_only=False), float)
+            ends = pa.py_buffer(np.arange(len(b) + 1, dtype=np.int32) * np.int32(width))
+            cells = pa.Array.from_buffers(pa.binary(), len(b), [None, ends, pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), cells], names=[*keep, "__x"])
+
+    wide = df.select(*keep, F.array(*[F.coalesce(dbl(c), F.lit(float("nan"))) for c in feats]).alias("__x"))
+    return wide.mapInArrow(run, T.StructType([*wide.select(*keep).schema.fields, T.StructField("__x", T.BinaryType())]))
+
+
 def _vectors(b, centres: np.ndarray, p: int) -> np.ndarray:
-    """[u | m | y] of a batch with columns x (features, targets; NaN: missing)."""
-    x = np.asarray(b.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(len(b), -1)
-    f, y = x[:, :p], x[:, p:]
+    """[u | m | y] of a batch with the cell x (features; NaN: missing) and the targets in the columns behind it."""
+    f = numbers(b.column("x"), p)
     gone = np.isnan(f)
-    return np.hstack([np.where(gone, 0.0, f - centres[:p]), gone, y - centres[p:]])
+    z = np.empty((len(b), 2 * p + len(centres) - p))
+    np.subtract(f, centres[:p], out=z[:, :p])
+    z[:, :p][gone] = 0.0
+    z[:, p:2 * p] = gone
+    for i, c in enumerate(centres[p:]):
+        z[:, 2 * p + i] = b.column(2 + i).to_numpy(zero_copy_only=False) - c
+    return z
 
 
 def fold_grams(rows: DataFrame, centres, p: int, block: int = BLOCK) -> DataFrame:
     """(fold, bi, bj, n, mi, mj, c): per fold and pair of column blocks the row
     count, the means of both blocks and the sums of products of deviations.
 
-    ``rows``: (fold, x); rows with a missing target must not be in it.  Two
-    passes: the means of every fold, then the products.
+    ``rows``: (fold, x, targets...); rows with a missing target must not be in it.
     """
     import pyarrow as pa
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = rows.sparkSession
     rows_kind = to_arrow_type(rows.schema["fold"].dataType)
     centres = np.asarray(centres, float)
     width = 2 * p + len(centres) - p
     spans = [(a, min(a + block, width)) for a in range(0, width, block)]
     kind = rows.schema["fold"].dataType.simpleString()
+    names = ["fold", "bi", "bj", "n", "mi", "mj", "c"]
+    near = ["hi", "hj"]  # values close to the means: these are kept as distances from them until all parts are merged
 
-    def groups(b):
-        """(fold, number of its first row, rows) for every fold of a batch."""
-        folds: dict = {}
-        at = numbered(b, folds)
-        order = np.argsort(at, kind="stable")
-        ends = np.cumsum(np.bincount(at, minlength=len(folds)))
-        return [(v, r[0], r) for v, r in zip(folds, np.split(order, ends[:-1]))]
+    def sent(items, more=()):
+        """A record batch of (fold, bi, bj, n, mi, mj, c, more...)."""
+        kinds = (rows_kind, pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.float64())] * (3 + len(more)))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in items], k) for i, k in enumerate(kinds)], names=[*names, *more])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        close: dict = {}
+        got: dict = {}
         for b in batches:
             if not len(b):
                 continue
-            z, parts = _vectors(b, centres, p), groups(b)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("fold").take(pa.array([at for _, at, _ in parts])),
-                 pa.array([np.concatenate([[len(v)], z[v].sum(0)]) for _, _, v in parts], pa.list_(pa.float64()))], names=["fold", "s"])
+            z, at = _vectors(b, centres, p), numbered(b, known)
+            order = np.argsort(at, kind="stable")
+            ends = np.cumsum(np.bincount(at, minlength=len(known)))
+            for f, v in enumerate(np.split(order, ends[:-1])):
+                if len(v):
+                    d = z[v]
+                    d -= close.setdefault(f, d.mean(0))
+                    mean = d.mean(0)
+                    d -= mean
+                    part = (float(len(v)), mean, mean, d.T @ d)
+                    got[f] = _merge(got[f], part) if f in got else part
+        for v, f in known.items():
+            n, m, _, x = got[f]
+            yield sent([(v, i, j, n, m[a:e], m[c:g], x[a:e, c:g].ravel(), close[f][a:e], close[f][c:g])
+                        for i, (a, e) in enumerate(spans) for j, (c, g) in enumerate(spans) if j >= i], near)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close: dict = {}
+        got: dict = {}
+        for b in batches:
+            for v, i, j, n, mi, mj, x, hi, hj in zip(*(b.column(c).to_pylist() for c in names[:4]), *(_lists(b.column(c)) for c in [*names[4:], *near])):
+                key, x = (v, i, j), x.reshape(len(mi), len(mj))
+                if key in got:
+                    got[key] = _merge(got[key], (n, mi + (hi - close[key][0]), mj + (hj - close[key][1]), x))
+                else:
+                    got[key], close[key] = (n, mi, mj, x), (hi, hj)
+        for key, (n, mi, mj, x) in got.items():
+            yield sent([(*key, n, close[key][0] + mi, close[key][1] + mj, x.ravel())])
 
-    def total(df: DataFrame, by, column: str) -> DataFrame:
-        return df.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column))
+    schema = f"fold {kind}, bi int, bj int, n double, mi array<double>, mj array<double>, c array<double>"
+    parts = rows.mapInArrow(products, schema + "".join(f", {c} array<double>" for c in near))
+    return parts.repartition("fold", "bi", "bj").mapInArrow(merged, schema)
 
-    means = {r["fold"]: np.array(r["s"]) for r in total(rows.mapInArrow(sums, f"fold {kind}, s array<double>"), ["fold"], "s").collect()}
-    means = {f: (s[0], s[1:] / s[0]) for f, s in means.items()}  # folds x columns numbers
-    shared = spark.sparkContext.broadcast(means)
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict = {}
-        for b in batches:
-            if not len(b):
-                continue
-            z = _vectors(b, centres, p)
-            for f, _, v in groups(b):
-                d = z[v] - shared.value[f][1]
-                got[f] = got.get(f, 0.0) + d.T @ d
-        out = [(f, i, j, got[f][a:e, c:g].ravel()) for f in got for i, (a, e) in enumerate(spans) for j, (c, g) in enumerate(spans) if j >= i]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], rows_kind), pa.array([r[1] for r in out], pa.int32()),
-                                          pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.list_(pa.float64()))],
-                                         names=["fold", "bi", "bj", "c"])
-
-    blocks = total(rows.mapInArrow(products, f"fold {kind}, bi int, bj int, c array<double>"), ["fold", "bi", "bj"], "c")
-    local = [(f, i, j, float(n), m[a:e].tolist(), m[c:g].tolist()) for f, (n, m) in means.items()
-             for i, (a, e) in enumerate(spans) for j, (c, g) in enumerate(spans) if j >= i]
-    known = spark.createDataFrame(local, f"f {kind}, i int, j int, n double, mi array<double>, mj array<double>")
-    return blocks.join(known, F.col("fold").eqNullSafe(F.col("f")) & (F.col("bi") == F.col("i")) & (F.col("bj") == F.col("j"))).select(
-        "fold", "bi", "bj", "n", "mi", "mj", "c")
+def _lists(column) -> list[np.ndarray]:
+    """The cells of a column of lists."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    return np.split(flat, ends[1:-1] - ends[0])
 
 
 def _merge(a, b):
@@ -201,7 +232,7 @@ def models(grams: DataFrame, medians: DataFrame, feats, centres, specs, lam: flo
 
 
 def scored(table: DataFrame, fitted: DataFrame, columns, names) -> DataFrame:
-    """The rows (columns, with __fold and __x) of the folds that have a model, with its predictions.
+    """The rows (columns, with __fold and __x) of the folds that have a model, with its predictions in the place of __x.
 
     ``fitted``: the rows of ``models``; folds x features numbers go to every task."""
     import pyarrow as pa
@@ -209,31 +240,36 @@ def scored(table: DataFrame, fitted: DataFrame, columns, names) -> DataFrame:
     rows = table.select(*columns)
     known = {r["fold"]: (np.array(r["fill"]), [(r[f"{n}_a"], np.array(r[f"{n}_b"])) for n in names]) for r in fitted.collect()}
     shared = table.sparkSession.sparkContext.broadcast(known)
+    others = [f for f in rows.schema.fields if f.name != "__x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = np.array([v in shared.value for v in b.column("__fold").to_pylist()], bool)
-            b = b.filter(pa.array(held, pa.bool_()))
-            if not len(b):
-                continue
             folds: dict = {}
             at = numbered(b.select(["__fold"]).rename_columns(["fold"]), folds)
-            x = np.asarray(b.column("__x").flatten().to_numpy(zero_copy_only=False), float).reshape(len(b), -1)
+            held = np.isin(at, [f for v, f in folds.items() if v in shared.value])
+            if not held.any():
+                continue
+            if not held.all():
+                b, at = b.filter(pa.array(held)), at[held]
             out, known_here = np.zeros((len(names), len(b))), np.ones((len(names), len(b)), bool)
+            x = None
             for v, f in folds.items():
-                mine = at == f
+                mine = np.flatnonzero(at == f)
+                if not len(mine):
+                    continue
                 fill, fits = shared.value[v]
-                full = np.where(np.isnan(x[mine]), fill, x[mine])
+                x = numbers(b.column("__x"), len(fill)) if x is None else x
+                full = x[mine]
+                full = np.where(np.isnan(full), fill, full)
                 for s, (a, beta) in enumerate(fits):
                     if a is None:  # no training row
                         known_here[s, mine] = False
                     else:
                         out[s, mine] = a + full @ beta
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(o, pa.float64(), mask=~k) for o, k in zip(out, known_here)]],
-                                             names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in others], *[pa.array(o, pa.float64(), mask=~k) for o, k in zip(out, known_here)]],
+                                             names=[*[f.name for f in others], *names])
 
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*others, *[T.StructField(n, T.DoubleType()) for n in names]]))
 
 
 def oof_ridge(df: DataFrame, fold_col: str, specs, keys, lam: float = 1.0, min_rows: int = 1, block: int = BLOCK) -> DataFrame:
@@ -249,9 +285,9 @@ def oof_ridge(df: DataFrame, fold_col: str, specs, keys, lam: float = 1.0, min_r
     feats = list(dict.fromkeys(c for _, fs, _ in specs for c in fs))
     targets = [t for _, _, t in specs]
     keep = list(dict.fromkeys([*keys, fold_col, *targets]))
-    nan = F.lit(float("nan"))
-    table = written(df.select(*keep, F.col(fold_col).alias("__fold"), F.array(*[F.coalesce(dbl(c), nan) for c in feats]).alias("__x"),
-                              *[dbl(t).alias(f"__y{i}") for i, t in enumerate(targets)]), "matrix")
+    ys = [f"__y{i}" for i in range(len(targets))]
+    slim = df.withColumns({"__fold": F.col(fold_col), **{y: dbl(t) for y, t in zip(ys, targets)}})
+    table = written(packed(slim, feats, [*keep, "__fold", *ys]), "matrix")
     whole = F.lit(True)
     for i in range(len(targets)):
         whole = whole & F.col(f"__y{i}").isNotNull()
@@ -261,7 +297,7 @@ def oof_ridge(df: DataFrame, fold_col: str, specs, keys, lam: float = 1.0, min_r
     centres = [median(v) if (v := [r[f"med__{c}"] for r in rows if r[f"med__{c}"] is not None]) else 0.0 for c in feats]
     y_mean = training.agg(*[F.coalesce(F.avg(f"__y{i}"), F.lit(0.0)) for i in range(len(targets))]).collect()[0]
     centres += [float(v) for v in y_mean]
-    x = training.select(F.col("__fold").alias("fold"), F.concat("__x", F.array(*[F.col(f"__y{i}") for i in range(len(targets))])).alias("x"))
+    x = training.select(F.col("__fold").alias("fold"), F.col("__x").alias("x"), *ys)
     grams = written(fold_grams(x, centres, len(feats), block), "grams")
     fitted = models(leave_out_grams(grams).where(F.col("fold").isNotNull()),
                     meds.select("fold", F.array(*[F.col(f"med__{c}") for c in feats]).alias("med")), feats, centres, specs, lam)
