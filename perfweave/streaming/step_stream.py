@@ -14,7 +14,10 @@ result exactly.
 
 ``final_trial_timing`` is the form for an endless log, in event time: rows
 later than the watermark are dropped, a trial's log closes ``span`` after its
-first step, and its timer then emits the kept steps once and removes the state.
+first step, and then its kept steps are emitted once and leave the state.
+A call of a state function costs milliseconds whatever it holds, so trials
+share GROUPS states (by hash), each one table of kept steps; every trial has a
+closing time of its own, and a group's timer is the next one of them.
 ``window_rollup`` sums steps per event-time window with built-in streaming
 aggregates (approximate percentile, bounded buffers).
 """
@@ -81,37 +84,87 @@ def stream_trial_timing(spark: SparkSession, steps: DataFrame, out_dir: str, che
     q.awaitTermination()
 
 
+GROUPS = 1024  # states that the trials share
+
+
+def _kept_kind():
+    """Arrow schema of a group's kept steps; ``closes`` is the closing time of the row's trial."""
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.timestamp("us"), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64())
+    return pa.schema(list(zip(("trial_id", *COLS, "closes"), kinds)))
+
+
+def _earliest_of_trials(new, old, keep: int, span_ms: int, watermark_ms: int):
+    """The ``keep`` earliest of every trial's new and kept steps, with new closing times for trials with new steps."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    every = pa.concat_tables([new, old]).combine_chunks()
+    plain = lambda c: pc.fill_null(every.column(c).cast(pa.int64()), 0).to_numpy()
+    gone = lambda c: every.column(c).is_null().to_numpy()
+    trial, ts = plain("trial_id"), plain("ts")
+    order = np.lexsort((plain("event_id"), gone("event_id"), ts, gone("ts"), trial))  # missing values last
+    trial = trial[order]
+    first = np.flatnonzero(np.concatenate([[True], trial[1:] != trial[:-1]]))
+    rank = np.arange(len(trial)) - np.repeat(first, np.diff(np.append(first, len(trial))))
+    # The first step's time; a trial without any time closes at once.
+    begin = np.where(gone("ts")[order][first], np.iinfo(np.int64).min // 2, ts[order][first] // 1000)
+    closes = np.repeat(np.maximum(begin + span_ms, watermark_ms + 1), np.diff(np.append(first, len(trial))))
+    untouched = ~np.isin(trial, new.column("trial_id").to_numpy())
+    closes[untouched] = plain("closes")[order][untouched]
+    kept = rank < keep
+    every = every.take(pa.array(order[kept]))
+    return every.set_column(every.schema.get_field_index("closes"), "closes", pa.array(closes[kept]))
+
+
 def _make_final(keep: int, span_ms: int):
+    import pyarrow as pa
+
     def update(key, batches, state):
-        if state.hasTimedOut:
-            old = state.get
-            state.remove()
-            kept = pd.DataFrame({c: list(old[i]) for i, c in enumerate(COLS)})
-            yield kept.assign(ts=pd.to_datetime(kept["ts"]), trial_id=int(key[0]))[["trial_id", *COLS]]
+        if pd.isna(key[0]):  # heartbeats only move the watermark
             return
-        kept = _earliest(batches, state, keep) if not pd.isna(key[0]) else None  # heartbeats only move the watermark
-        if kept is None:
-            return
-        state.update(tuple(c.tolist() for c in kept))
-        closes = int(kept[0][0].astype("datetime64[ms]").astype(int)) + span_ms
-        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
+        kind, now = _kept_kind(), state.getCurrentWatermarkMs()
+        kept = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else kind.empty_table()
+        new = [] if state.hasTimedOut else [pa.Table.from_pandas(b[["trial_id", *COLS]].assign(closes=0), kind, preserve_index=False) for b in batches if len(b)]
+        if new:
+            kept = _earliest_of_trials(pa.concat_tables(new), kept, keep, span_ms, now)
+        closes = kept.column("closes").to_numpy()
+        over = closes < now
+        if over.any():
+            out = kept.filter(pa.array(over)).drop_columns(["closes"]).to_pandas()
+            yield out.assign(ts=out["ts"].astype("datetime64[ns]"))
+            kept, closes = kept.filter(pa.array(~over)), closes[~over]
+        if len(closes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kind) as stream:
+                stream.write_table(kept)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(int(max(closes.min(), now + 1)))
+        elif state.exists:
+            state.remove()
 
     return update
 
 
 def final_trial_timing(steps: DataFrame, out_dir: str, checkpoint: str, delay: str, span_seconds: int,
-                       warmup: int = WARMUP_STEPS, measure: int = MEASURE_STEPS) -> list[dict]:
+                       warmup: int = WARMUP_STEPS, measure: int = MEASURE_STEPS, groups: int = GROUPS) -> list[dict]:
     """Each trial's measured steps once, when its log has closed; the progress of every micro-batch.
 
     ``delay``: how late a row may come; ``span_seconds``: event time from a
     trial's first step until its log closes.  Rows with a null trial_id are
     heartbeats.  A later row of a closed trial is late unless the watermark
-    lets it pass; it then opens the trial anew.
+    lets it pass; it then opens the trial anew.  ``groups``: states that the
+    trials share, the same for all runs on a checkpoint.
     """
     code_on_workers(steps.sparkSession)
     timed = steps.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
-    kept = timed.groupBy("trial_id").applyInPandasWithState(
-        _make_final(warmup + measure, span_seconds * 1000), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    beat = F.col("trial_id").isNull()
+    timed = timed.withColumn("group", F.when(~beat, F.pmod(F.xxhash64("trial_id"), F.lit(groups))))
+    # Whole numbers stay whole in pandas: heartbeats have some.
+    timed = timed.withColumns({c: F.when(beat, F.lit(0)).otherwise(F.col(c)) for c in ("trial_id", "event_id", "n_examples", "n_tokens")})
+    kept = timed.select("group", "trial_id", *COLS, "event_time").groupBy("group").applyInPandasWithState(
+        _make_final(warmup + measure, span_seconds * 1000), OUT_SCHEMA, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
@@ -182,6 +235,10 @@ def replay(spark: SparkSession, sf_dir: str, path: str) -> int:
     width = (hi - lo) // SLICES + 1
     at = F.floor((F.col("s") - lo) / F.lit(width)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
     sliced = log.withColumn("slice", F.least(at, F.lit(SLICES - 1)).cast("int")).drop("s")
+    # The log is read once, by all tasks; a slice's single file then comes from its own rows only.
+    folder = fixtures.shared_path(spark, "slices")
+    sliced.write.partitionBy("slice").parquet(folder)
+    sliced = spark.read.schema(sliced.schema).parquet(folder)
     for i in range(SLICES):
         sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.parquet(f"{path}/part-{i}")
     beat = spark.range(1).select(*[(F.timestamp_micros(F.lit(hi + 1000 * SLICES * width)).cast("timestamp_ntz") if f.name == "ts"
